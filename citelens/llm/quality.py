@@ -19,7 +19,6 @@ from .common import map_rows
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = [*BASE, "n_lines", "n_upper_words", "n_distinct_words"]
-SCHEMA = ", ".join(f"{c} long" for c in FEATURES)
 
 
 def features_of(text: str | None) -> tuple[int, ...]:
@@ -52,13 +51,13 @@ def with_features(df: DataFrame, text_col: str = "text", keep: list[str] | None
     keep = df.columns if keep is None else keep
     names = [f"c{i}" for i in range(len(keep))]  # any column names, even ones that clash with FEATURES
     inner = df.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)])
-    kinds = ", ".join(f"{n} {inner.schema[n].dataType.simpleString()}" for n in names)
+    kinds = [f"{n} {inner.schema[n].dataType.simpleString()}" for n in names]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([features_of(t) for t in batch.column(0).to_pylist()], np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(found[:, i]) for i in range(len(FEATURES))]], names=[*names, *[f"__{f}" for f in FEATURES]])
 
-    out = map_rows(inner, run, f"{kinds}, {', '.join(f'__{c} long' for c in FEATURES)}")
+    out = map_rows(inner, run, ", ".join([*kinds, *[f"__{c} long" for c in FEATURES]]))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[f"__{f}" for f in FEATURES])
 
 
