@@ -66,48 +66,49 @@ def _share(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, 0 bad, null abstains. Thresholds are of the usual kind for web text."""
+    """Votes: 1 good, 0 bad, null abstains. Thresholds are of the usual kind for web text. Rules that look for a defect
+    abstain where they find none; rules on shape can vote either way."""
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1)
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        return F.when(bad, 0) if good is None else F.when(bad, 0).when(good, 1)
 
-    per_word, chars = _share("n_symbols", "n_words"), _share("word_chars", "n_words")
+    chars, variety = _share("word_chars", "n_words"), _share("n_distinct_words", "n_words")
     return {
         "length": vote(F.col("__n_words") < 50, F.col("__n_words") >= 80),
         "word_length": vote((chars < 2.5) | (chars > 14), (chars >= 3) & (chars <= 10)),
-        "symbols": vote(per_word > 0.15, per_word < 0.03),
-        "lines": vote(_share("n_dup_lines", "n_lines") > 0.3, F.col("__n_dup_lines") == 0),
-        "repeats": vote(_share("n_repeat_words", "n_words") > 0.3, _share("n_repeat_words", "n_words") < 0.1),
-        "capitals": vote(_share("n_upper_words", "n_words") > 0.4, _share("n_upper_words", "n_words") < 0.1),
-        "variety": vote(_share("n_distinct_words", "n_words") < 0.15, _share("n_distinct_words", "n_words") > 0.3),
+        "symbols_per_word": vote(_share("n_symbols", "n_words") > 0.15, F.col("__n_symbols") == 0),
+        "symbol_chars": vote(_share("n_symbols", "word_chars") > 0.03),
+        "lines": vote((_share("n_dup_lines", "n_lines") > 0.3) & (F.col("__n_dup_lines") >= 3)),
+        "repeats": vote(_share("n_repeat_words", "n_words") > 0.3),
+        "capitals": vote(_share("n_upper_words", "n_words") > 0.4),
+        "variety": vote(variety < 0.15, variety > 0.4),
     }
 
 
-def fit(patterns: list[tuple[list[int | None], int]], steps: int = 100, prior: float = 0.8) -> tuple[float, list[tuple[float, float]]]:
-    """EM for a two-class naive model over (votes, count) rows -> prior of good, (accuracy on good, accuracy on bad) of
-    each rule. Accuracies stay within 0.55 to 0.995, so classes cannot swap; abstentions say nothing. No rows: the start."""
+def fit(patterns: list[tuple[list[int | None], int]], steps: int = 200) -> tuple[float, np.ndarray]:
+    """EM for a two-class naive model over (votes, count) rows: the prior of good and, as [rule, class (bad, good), vote
+    (bad, good, abstain)], the chance of each vote, from which a rule's accuracy on either class follows. It starts from
+    "good if no rule objects"; a rule's objection never counts in favour, nor its approval against. No rows: uniform."""
     k = len(patterns[0][0]) if patterns else len(rules())
-    accuracy = np.full((k, 2), 0.8)
+    chance = np.full((k, 2, 3), 1 / 3)
     if not patterns:
-        return prior, [tuple(x) for x in accuracy]
-    votes = np.array([[-1 if v is None else v for v in p] for p, _ in patterns])
+        return 0.5, chance
+    votes = np.array([[2 if v is None else v for v in p] for p, _ in patterns])
     counts = np.array([c for _, c in patterns], float)
-    good, bad = votes == 1, votes == 0
+    onehot = (votes[:, :, None] == np.arange(3)).astype(float)
+    post, prior = np.where((votes == 0).any(1), 0.2, 0.95), 0.8
     for _ in range(steps):
-        z = _logit(prior, accuracy, good, bad)
+        weight = np.stack([counts * (1 - post), counts * post])
+        now = (np.einsum("cp,pkv->kcv", weight, onehot) + 0.5) / (weight.sum(1)[None, :, None] + 1.5)
+        now[:, 0, 0], now[:, 1, 1] = now[:, :, 0].max(1), now[:, :, 1].max(1)
+        prior = float(np.clip(weight[1].sum() / counts.sum(), 0.05, 0.95))
+        done = np.abs(now - chance).max() < 1e-8
+        chance = now
+        z = math.log(prior / (1 - prior)) + np.einsum("pkv,kv->p", onehot, np.log(chance[:, 1] / chance[:, 0]))
         post = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        wg, wb = counts * post, counts * (1 - post)
-        now = np.stack([((wg @ good) + 4) / (wg @ (good | bad) + 5), ((wb @ bad) + 4) / (wb @ (good | bad) + 5)], 1).clip(0.55, 0.995)
-        prior = float(np.clip(wg.sum() / counts.sum(), 0.05, 0.95))
-        if np.abs(now - accuracy).max() < 1e-7:
+        if done:
             break
-        accuracy = now
-    return prior, [tuple(map(float, x)) for x in accuracy]
-
-
-def _logit(prior: float, accuracy: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    a, b = accuracy[:, 0], accuracy[:, 1]
-    return math.log(prior / (1 - prior)) + good @ np.log(a / (1 - b)) + bad @ np.log((1 - a) / b)
+    return prior, chance
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -120,10 +121,10 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep: list[str] | None
     """
     votes = rules()
     seen = with_features(df, text_col, []).select(*[v.alias(k) for k, v in votes.items()]).groupBy(*votes).count().collect()
-    prior, accuracy = fit(sorted(([[r[k] for k in votes], r["count"]] for r in seen), key=str))
+    prior, chance = fit(sorted(([[r[k] for k in votes], r["count"]] for r in seen), key=str))
     z = F.lit(math.log(prior / (1 - prior)))
-    for (g, b), v in zip(accuracy, votes.values(), strict=True):
-        z = z + F.when(v == 1, math.log(g / (1 - b))).when(v == 0, math.log((1 - g) / b)).otherwise(0.0)
+    for w, v in zip(np.log(chance[:, 1] / chance[:, 0]), votes.values(), strict=True):
+        z = z + F.when(v == 0, float(w[0])).when(v == 1, float(w[1])).otherwise(float(w[2]))
     results = {f: F.col(f"__{f}") for f in BASE}
     results["base_failed"] = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
     results["quality"] = 1 / (1 + F.exp(-z))
