@@ -97,7 +97,7 @@ def _stems(texts: list[list[bytes]], labels: list[int]) -> list[bytes]:
     toxic, ordinary, n = Counter(), Counter(), Counter(labels)
     for words, label in zip(texts, labels, strict=True):
         (toxic if label else ordinary).update({w[:k] for w in set(words) for k in range(4, min(len(w), 16) + 1)})
-    least = max(5, 0.01 * n[1])
+    least = max(4, min(8, 0.25 * n[1]), 0.02 * n[1])
     mark = {p: c for p, c in toxic.items() if c >= least and math.log((c + 0.5) / n[1]) - math.log((ordinary[p] + 0.5) / n[0]) > 3}
     first = []
     for p in sorted(mark, key=lambda p: (len(p), p)):  # beginnings that extend no marker of about the same support
