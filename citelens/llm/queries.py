@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, toxicity
 from .common import crc32_of, map_rows, table
+from .jaccard import jaccard_components
 from .quality import quality_rules
 from .urls import filter_urls, rule_table
 
@@ -48,6 +49,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_of("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = _vocabulary()
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
