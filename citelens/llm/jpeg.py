@@ -151,8 +151,13 @@ def _strided(bits: np.ndarray, n: int, table: dict[tuple[int, int], int]) -> np.
         return None
     rows = bits[: n * stride].reshape(n, stride)
     out = np.zeros(n, np.int32)
+    if len(table) == 1:
+        size = next(iter(table.values()))
+        part = rows[:, stride - size :]
+        v = np.packbits(part).astype(np.int32) if size == 8 else part.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
+        return v if part[:, 0].all() else np.where(part[:, 0] == 1, v, v - (1 << size) + 1)
     for (length, code), size in table.items():
-        own = np.ones(n, bool) if len(table) == 1 else np.all(rows[:, :length] == _bits_of(np.array([code]), length), axis=1)
+        own = np.all(rows[:, :length] == _bits_of(np.array([code]), length), axis=1)
         part = rows[own, stride - size :]
         v = np.packbits(part, axis=None).astype(np.int32) if size == 8 else part.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
         out[own] = np.where(part[:, 0] == 1, v, v - (1 << size) + 1)

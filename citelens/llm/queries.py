@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, toxicity
+from . import bpe, chat, jpeg, toxicity
 from .common import crc32_of, map_rows, table
 from .jaccard import jaccard_components
 from .quality import quality_rules
@@ -42,6 +42,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES), ["page_id"])
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = jpeg.load_media(jpeg.store_texts(table(spark, sf_dir, "documents")).withColumn("stored", F.col("media")), ["doc_id", "n_bytes", "stored"], tensors=False)
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, length(payload) - 15, 16)")).alias("tail_crc32"), F.octet_length("stored").cast("long").alias("media_bytes"),
+        F.sha2("stored", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op6_media_columns": op6_media_columns,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_formatting": op9_chat_formatting,
