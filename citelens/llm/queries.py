@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, jpeg, toxicity
 from .common import crc32_of, map_rows, table
+from .fixity import archive_pages, audit
 from .jaccard import jaccard_components
+from .packing import pack
+from .pii import replace_pii
 from .quality import quality_rules
 from .urls import filter_urls, rule_table
 
@@ -42,6 +45,19 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES), ["page_id"])
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica that this query damages: of every 50 page ids one record has a
+    byte overwritten, of every 97 one is lost."""
+    first = archive_pages(table(spark, sf_dir, "pages"))
+    middle = F.expr("overlay(record PLACING X'00' FROM cast(length div 2 as int) + 1)")
+    second = first.where("page_id % 97 <> 5 OR page_id IS NULL").withColumn("record", F.when(F.col("page_id") % 50 == 3, middle).otherwise(F.col("record")))
+    return audit(first, second)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = jpeg.load_media(jpeg.store_texts(table(spark, sf_dir, "documents")).withColumn("stored", F.col("media")), ["doc_id", "n_bytes", "stored"], tensors=False)
     return read.select(
@@ -80,14 +96,21 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(chats, digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"), key="a key that the caller keeps", keep=["doc_id", "text"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_warc_fixity": op5_warc_fixity,
     "op6_media_columns": op6_media_columns,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +135,11 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(learnt, '' ORDER BY turn, role, text)) AS loss_sha256,
   CAST(sum(base + 2 * controls + 20) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op5_warc_fixity": """
+WITH r AS (SELECT page_id, CAST(floor(page_id / 250.0) AS BIGINT) AS archive,
+  CAST(strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || 'WARC-Target-URI: ' || url
+    || 'Content-Length: ' || strlen(html)) + 12 + strlen(html) + 4 AS BIGINT) AS length FROM pages),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT archive, "offset", length, CASE WHEN page_id % 97 = 5 THEN 'missing' ELSE 'corrupt' END AS status
+FROM o WHERE page_id % 97 = 5 OR page_id % 50 = 3""",
 }
