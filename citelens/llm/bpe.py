@@ -1,9 +1,10 @@
-"""Byte-level BPE with Spark higher-order functions.
+"""Byte-level BPE.
 
-The texts of a block (one task's share, cut at ``BLOCK_CHARS``) are split into words; the block's distinct words travel
-as one array, the texts as indices into it. ``fold_word`` merges each distinct word once: it starts from single bytes and
-folds over the merges, taking the adjacent pair of least rank (leftmost at a tie) from a literal map of ranks. Ids are
-ranks. Nothing is shuffled, and no table of words has to be joined back. Decoding looks pieces up and concatenates them.
+A text is split into words by a pattern; each distinct word is merged once, from single bytes, always taking the adjacent
+pair of least rank (leftmost at a tie). Ids are ranks. Decoding looks pieces up and concatenates them, in Spark expressions.
+
+The fold over ranked merges exists twice, with equal results: ``fold_word`` in Spark's higher-order functions over a literal
+map of ranks (``encode_folded``), and ``Merger`` in Python (``encode``), which the queries use for its lower cost.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 16384
-BLOCK_CHARS = 128_000_000
+BLOCK_CHARS = 16_000_000
 #: Words of more bytes are merged with a heap, with equal results: the fold's work grows with a word's length squared.
 FOLD_BYTES = 48
 
@@ -111,13 +113,66 @@ def heap_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Merger(dict):
+    """The ids of words, merged when first asked for: pairs of least rank first, leftmost at a tie."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 1_000_000:  # only a memo
+            self.clear()
+        raw = word.encode("utf-8", "replace")
+        found = self[word] = heap_word(raw, self.ranks) if len(raw) > FOLD_BYTES else self.merged(raw)
+        return found
+
+    def merged(self, raw: bytes) -> list[int]:
+        get = self.ranks.get
+        whole = get(raw)
+        if whole is not None:
+            return [whole]
+        none = 1 << 31
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        pairs = [get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ids array<int>) of every row of ``df``; each match of ``pattern`` is merged separately, no special
     tokens. A null or empty text has no ids; repeated rows stay repeated; other columns are not read. The ranks must hold
-    all single bytes. Narrow: a task's memory is one block of at most ``BLOCK_CHARS`` characters or one longer text.
+    all single bytes. Narrow; a task's distinct words are merged once (a memo of bounded size), in Python: as a
+    higher-order-function fold (``encode_folded``, equal results) this costs more than twice the CPU, see the README.
     """
     kind = df.schema[id_col].dataType.simpleString()
     inner = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, merged = regex.compile(pattern).findall, Merger(ranks)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                coded = [np.fromiter(chain.from_iterable(map(merged.__getitem__, find(t))), np.int32) if t else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded)))], names=["id", "ids"])
+
+    return inner.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def encode_folded(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with the merges as a fold in Spark expressions. The texts of a task are split into words; a block's
+    distinct words travel as one array, the texts as indices into it, and nothing is shuffled. A task's memory is one block
+    of at most ``BLOCK_CHARS`` characters, or one longer text."""
+    kind = df.schema[id_col].dataType.simpleString()
+    inner = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     id_type: list[pa.DataType] = []
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +224,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "
                     out = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[take].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids.slice(k, step), out], names=["id", "ids"])
 
-    # Larger blocks hold fewer distinct words in all: about 8 file splits a task, while every core has one.
-    spark = df.sparkSession
-    tasks = inner.rdd.getNumPartitions()
-    inner = inner.coalesce(max(1, min(tasks, max(spark.sparkContext.defaultParallelism, -(-tasks // 8)))))
     packed = inner.mapInArrow(blocks, f"id array<{kind}>, n array<int>, at array<int>, words array<string>, long array<array<int>>")
     literal = rank_map(ranks)
     coded = F.zip_with("words", "long", lambda w, known: F.when(known.isNotNull(), known).otherwise(fold_word(w, literal)))
