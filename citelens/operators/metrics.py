@@ -78,7 +78,7 @@ def roc_scores(pairs: DataFrame, per_mission: DataFrame) -> DataFrame:
 
 
 def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr) by descending score, starting at infinity; points on a straight line are dropped.
+    """(threshold, tp, fp, tpr, fpr) by descending score, from a start at infinity; scores on a straight line are dropped.
 
     Rows are first summed per distinct score, so the running sums see one row per score; round scores to bound their number.
     """
@@ -87,12 +87,12 @@ def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
     points = per.select(F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
     total = scores.agg(F.sum("label").alias("ps"), F.sum(1 - F.col("label")).alias("ns"))
     start = total.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
-    points = start.unionByName(points)
     if drop_collinear:
         w = W.orderBy(F.desc("threshold"))
         step = lambda c: (F.col(c) - F.lag(c).over(w), F.lead(c).over(w) - F.col(c))
         (t0, t1), (f0, f1) = step("tp"), step("fp")
         points = points.withColumn("keep", t0.isNull() | t1.isNull() | (t0 != t1) | (f0 != f1)).where("keep").drop("keep")
+    points = start.unionByName(points)
     points = points.join(F.broadcast(total))  # one row
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return points.select("threshold", "tp", "fp", rate("tp", "ps").alias("tpr"), rate("fp", "ns").alias("fpr"))

@@ -96,10 +96,11 @@ cells AS (SELECT *, CASE WHEN human = 'SCIENCE' AND llm = 'SCIENCE' THEN 'tp' WH
 conf AS (SELECT count(*) FILTER (cell = 'tn') AS tn, count(*) FILTER (cell = 'fp') AS fp, count(*) FILTER (cell = 'fn') AS fn, count(*) FILTER (cell = 'tp') AS tp FROM cells)"""
 ROC = PAIRS + """, sc AS (SELECT CASE WHEN human = 'SCIENCE' THEN 1 ELSE 0 END AS label, CASE WHEN llm_raw IS NOT NULL THEN coalesce(round(prob_science, 6), 0.0) ELSE 0.0 END AS score FROM pairs LEFT JOIN per_mission USING (bibcode, mission)),
 ps AS (SELECT score, sum(label) AS p, sum(1 - label) AS n FROM sc GROUP BY 1),
-pt AS (SELECT CAST('inf' AS DOUBLE) AS threshold, 0 AS tp, 0 AS fp UNION ALL SELECT score, sum(p) OVER (ORDER BY score DESC), sum(n) OVER (ORDER BY score DESC) FROM ps),
+pt AS (SELECT score AS threshold, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp FROM ps),
 df AS (SELECT *, tp - lag(tp) OVER w AS t0, lead(tp) OVER w - tp AS t1, fp - lag(fp) OVER w AS f0, lead(fp) OVER w - fp AS f1 FROM pt WINDOW w AS (ORDER BY threshold DESC)),
+kept AS (SELECT threshold, tp, fp FROM df WHERE t0 IS NULL OR t1 IS NULL OR t0 <> t1 OR f0 <> f1 UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0),
 curve AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tp AS DOUBLE) / (SELECT sum(label) FROM sc) AS tpr, CAST(fp AS DOUBLE) / (SELECT sum(1 - label) FROM sc) AS fpr
-  FROM df WHERE t0 IS NULL OR t1 IS NULL OR t0 <> t1 OR f0 <> f1)"""
+  FROM kept)"""
 
 
 def _calls(s, d):
