@@ -1,0 +1,180 @@
+"""Tokenizer, quality rules, toxicity, PII, chat: edge cases of every operator and checks against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from citelens.llm import bpe, chat, pii, quality, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+ODD = [None, "", "   ", "\n\n", "a", "é" * 5000, "x" * 20000, "The cat's 12 hats!!\n\nThe cat's 12 hats!!", "😀 ünïcödé \u2028 text", "The cat's 12 hats!!\n\nThe cat's 12 hats!!"]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    ranks, pattern = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    return ranks, pattern, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls, blanks, long words, ties, repeated rows, columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, "k", 1, True, 0.5) for i, t in enumerate(ODD)] + [(None, "null id", "k", 1, True, 0.5), (4, "a", "k", 1, True, 0.5)], "doc_id long, text string, source string, n_words long, kept boolean, score double")
+
+
+@pytest.mark.parametrize("encode", [bpe.encode, bpe.encode_folded])
+def test_bpe(spark, odd, vocabulary, encode):
+    ranks, pattern, own = vocabulary
+    df = odd if encode is bpe.encode else odd.where("length(text) < 100 OR text IS NULL")
+    got = encode(df, ranks, pattern).select("doc_id", "ids", bpe.decode(F.col("ids"), ranks).alias("raw")).collect()
+    texts = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in df.collect())
+    assert sorted((r.doc_id if r.doc_id is not None else -1, bytes(r.raw).decode()) for r in got) == texts
+    for r in got:
+        assert list(r.ids) == own.encode_ordinary(bytes(r.raw).decode())
+    assert encode(df.limit(0), ranks, pattern).count() == 0
+
+
+def test_heap_equals_plain(vocabulary):
+    ranks, _, own = vocabulary
+    for w in ("a" * 300, "ab" * 90, "éàü" * 40, "the" * 33):
+        assert bpe.heap_word(w.encode(), ranks) == bpe.Merger(ranks).merged(w.encode())
+
+
+def brute_base(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {w for w in windows if windows.count(w) > 1}
+    covered = {j for i, w in enumerate(windows) if w in again for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_base(spark, odd):
+    out = quality.quality_rules(odd)
+    assert len(out.columns) == len(set(out.columns)) and "source" in out.columns
+    for r in out.collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_base(r.text)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert not (r.base_failed and r.kept) and 0 <= r.quality <= 1
+    assert out.count() == odd.count() and quality.quality_rules(odd.limit(0)).count() == 0
+
+
+def test_quality_keeps_good_and_drops_junk(spark):
+    good = [" ".join(f"word{(i * 7 + j * 13) % 997}" for j in range(120)) for i in range(80)]
+    junk = [" ".join(f"word{(i + j) % 90}###" for j in range(120)) for i in range(15)] + [" ".join(f"SHOUT{(i + j) % 30}!!" for j in range(120)) for i in range(15)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + junk)], "doc_id long, text string")
+    kept = {r.doc_id for r in quality.quality_rules(df).where("kept").collect()}
+    assert kept == set(range(80))
+
+
+def test_em_recovers_planted_accuracies():
+    import random
+
+    rnd = random.Random(1)
+    counts = {}
+    for _ in range(20000):
+        truth = rnd.random() < 0.7
+        votes = tuple(None if rnd.random() < 0.1 else int(truth if rnd.random() < a else not truth) for a in (0.95, 0.9, 0.85, 0.8))
+        counts[votes] = counts.get(votes, 0) + 1
+    prior, chance = quality.fit([(list(k), v) for k, v in counts.items()])
+    assert abs(prior - 0.7) < 0.05
+    for c, a in zip(chance, (0.95, 0.9, 0.85, 0.8), strict=True):
+        assert abs(c[1][1] / (c[1][0] + c[1][1]) - a) < 0.06
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    import random
+
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "ed", "in", "st"]) for _ in range(rnd.randint(1, 4)))
+    out = []
+    for i in range(400):
+        words = [word() for _ in range(rnd.randint(20, 80))]
+        if i % 4 == 0:
+            for w in rnd.sample(["zugblatt", "korvax", "mipplet", "quorn"], 2):
+                words.insert(rnd.randrange(len(words)), w)
+        out.append((i, " ".join(words), int(i % 4 == 0)))
+    return out
+
+
+def test_toxicity_held_out(spark, labelled, odd):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in labelled] + [(9999, 1, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in labelled)
+    model = toxicity.fit(rows)
+    truth = {i: x for i, _, x in labelled}
+    held = [r for r in toxicity.score_toxicity(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    right = sum(r.predicted == truth[r.doc_id] for r in held) / len(held)
+    assert right > 0.97
+    out = toxicity.score_toxicity(odd, model)
+    assert out.count() == odd.count() and all(0 <= r.score <= 1 for r in out.collect()) and out.columns.count("score") == 1
+    scores = {r.text: r.score for r in out.collect()}
+    assert scores[None] == scores[""] == scores["   "]
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_without_labels(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.training_rows(odd, none))
+    assert {r.score for r in toxicity.score_toxicity(odd, model).collect()} == {0.0}
+
+
+def test_pii_shapes():
+    s = pii.Surrogates("k")
+    text = "Mail jo.doe@mail7.example.com or call +1 (017) 555-7713, card 4111 1111 1111 1111, ip 10.1.2.3, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\", Mrs Anna Schmidt, IBAN DE89 3704 0044 0532 0130 00. jo.doe@mail7.example.com"
+    new, n, distinct = s.text(text)
+    assert (n, distinct) == (8, 7)
+    for own in ("jo.doe", "555-7713", "4111 1111", "10.1.2.3", "04dbebab", "Schmidt", "3704 0044"):
+        assert own not in new
+    mails = re.findall(r"\S+@\S+", new)
+    assert len(mails) == 2 and mails[0] == mails[1].rstrip(".") and mails[0].endswith(".com")
+    card = re.sub(r"\D", "", re.search(r"card ([\d ]+)", new)[1])
+    assert pii.luhn_digit(card[:-1]) == card[-1] and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    assert re.search(r"Mrs (\w+) ", new)[1] in pii.NAMES["f"]
+    iban = re.search(r"IBAN ([A-Z]{2}[\dA-Z ]+)", new)[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert s.text(text)[0] == new and pii.Surrogates("other").text(text)[0] != new
+
+
+def test_permutations_are_bijective():
+    p = pii.Permutation(b"k")
+    for n in (2, 7, 100, 1000):
+        assert sorted(p("t", x, n) for x in range(n)) == list(range(n))
+    s = pii.Surrogates("k")
+    assert len({s.of("ssn", f"{i:03d}-00-0000") for i in range(500)}) == 500
+
+
+def test_pii_table(spark, odd):
+    out = pii.replace_pii(odd, "k")
+    assert out.columns == [*odd.columns, "n_entities", "n_distinct"] and out.count() == odd.count()
+    assert sorted(str(r.text) for r in out.collect()) == sorted(str(r.text) for r in odd.collect())
+    assert pii.replace_pii(odd.limit(0), "k").count() == 0
+
+
+def test_chat(spark, vocabulary):
+    ranks, pattern, _ = vocabulary
+    rows = [(1, 1, "assistant", "yes ~1 ~0 </s>", "x"), (1, 0, "user", "</s>[INST] ok [/INST]", "x"), (2, 0, "assistant", None, "x"), (2, 0, "assistant", "tie", "x"), (None, None, None, None, "x"), (1, 1, "assistant", "yes ~1 ~0 </s>", "x")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string"), ranks, pattern)
+    got = {r.conv_id: r for r in out.collect()}
+    turns, learnt = chat.read_back(list(got[1].token_ids), list(got[1].loss_mask), ranks, pattern)
+    assert turns == [("user", "</s>[INST] ok [/INST]"), ("assistant", "yes ~1 ~0 </s>"), ("assistant", "yes ~1 ~0 </s>")]
+    assert learnt == "yes ~1 ~0 </s>" * 2 and got[1].formatted.count("</s>") == got[1].n_turns == 3
+    assert chat.read_back(list(got[2].token_ids), list(got[2].loss_mask), ranks, pattern) == ([("assistant", ""), ("assistant", "tie")], "tie")
+    assert got[None].n_turns == 1
+    for t in ("~", "~~1", "<~1s>", "<s><s>[/INST]~0"):
+        assert chat.unescape(chat.escape(t)) == t and not any(m in chat.escape(t) for m in chat.MARKERS)
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), ranks, pattern).count() == 0
+
+
+def test_digest_is_of_the_whole_text(spark, vocabulary):
+    ranks, pattern, own = vocabulary
+    text = "long text " * 20000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = bpe.encode(df, ranks, pattern).select(F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("h")).first()
+    assert r.h == hashlib.sha256(" ".join(map(str, own.encode_ordinary(text))).encode()).hexdigest()
