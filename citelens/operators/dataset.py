@@ -119,9 +119,13 @@ def tvt_split(labels: DataFrame, fractions: tuple[float, float, float] = (0.8, 0
         if mode == "available" and train + validate + test != n:
             raise ValueError(f"fractions do not divide class {c} of {n}")
         sizes[c] = (train, train + validate)
-    w = W.partitionBy("class").orderBy(split_order(seed), "bibcode")
-    place = F.row_number().over(w)
-    out = rep.withColumn("__k", place)
+    # A class may hold most rows: its order is numbered by hash range, each range starting where the ranges before end.
+    ordered = rep.withColumn("__o", split_order(seed)).withColumn("__b", F.substring("__o", 1, 4))
+    ranges = ordered.groupBy("class", "__b").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("class").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("class", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    within = F.row_number().over(W.partitionBy("class", "__b").orderBy("__o", "bibcode"))
+    out = ordered.withColumn("__w", within).join(starts, ["class", "__b"]).withColumn("__k", F.col("__s") + F.col("__w"))
     split = F.lit("test")
     for c, (train, validate) in sizes.items():
         split = F.when((F.col("class") == c) & (F.col("__k") <= train), "train").when((F.col("class") == c) & (F.col("__k") <= validate), "validate").otherwise(split)

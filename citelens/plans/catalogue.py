@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import nlp
 from ..functions import text as T
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
 from ..operators import batching, dataset, evaluation, metrics, paragraphs, responses, scoring
@@ -607,3 +608,34 @@ def q_threshold_sweep(s, d):
     rows = _calls(s, d).join(A.track(s, d).select("bibcode", F.col("papertype").alias("human")), "bibcode")
     steps = F.transform(scoring.thresholds(), lambda t: F.round(t, 6))
     return scoring.threshold_sweep(rows, F.greatest("conf_science", "conf_mention"), F.col("papertype") == F.col("human"), steps)
+
+
+# Linguistic operators: SQL cannot express them; tests hold them against given cases
+
+
+@query("q_truematch")
+def q_truematch(s, d):
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
+    out = [nlp.decide(rows, BY_LABEL[x], paragraphs.verdict_by_rules(F.col("sentence"), BY_LABEL[x])).where("verdict").select("bibcode", "i", F.lit(x).alias("mission")) for x in ("HST", "KEPLER", "K2", "COPERNICUS", "ROMAN")]
+    merged = out[0]
+    for o in out[1:]:
+        merged = merged.unionByName(o)
+    return merged
+
+
+@query("q_nlp_wordchunks")
+def q_nlp_wordchunks(s, d):
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(T.has_phrase(F.col("sentence"), BY_LABEL["HST"]))
+    return rows.select("bibcode", "i", F.explode(nlp.chunk_column(F.col("sentence"), BY_LABEL["HST"])).alias("c")).select("bibcode", "i", "c.*")
+
+
+@query("q_modif_skim")
+def q_modif_skim(s, d):
+    p = paragraphs.paragraphs(A.papers(s, d), F.col("body"), 0, (BY_LABEL["HST"],))
+    return p.select("bibcode", "lo", T.streamline(nlp.skim_column(F.col("paragraph"))).alias("modif"))
+
+
+@query("q_keyword_spans")
+def q_keyword_spans(s, d):
+    rows = A.papers(s, d).where(T.mentions(F.col("body"), BY_LABEL["HST"]))
+    return rows.select("bibcode", F.inline(nlp.spans(F.col("body"), BY_LABEL["HST"])))
