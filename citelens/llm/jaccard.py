@@ -5,11 +5,10 @@
    shingles (counted over all texts; the table is of fixed size and only orders) come last, so that passages many texts share
    seldom meet in a prefix. Nodes that share a prefix shingle form a group; equal groups count once. Groups too large for
    one tile are cut, in order of size, into tiles of two blocks, for pairs of blocks within the size band only.
-3. Links found early spare pairs later. First each node is tried against one member of its groups (the one it shares most
-   prefix shingles with). Then, in every tile that still spans components, bitmaps of hashed shingles bound the overlap of
-   pairs across components from above, and only survivors are verified, by intersecting the sorted arrays. A round lists the
-   best few pairs per two components and notes if it left any out; rounds go on until none was left out, so no link
-   between different components stays untried. Pairs within a component change nothing and are not listed.
+3. In every tile, bitmaps of hashed shingles bound the overlap of pairs from above, and only survivors are verified, by
+   intersecting the sorted arrays. Links found early spare pairs later: the first round lists two partners per node, best
+   bound first, the second sixteen, the third all, each only in tiles where the round before left partners out and only
+   across the components found so far. Pairs within a component change nothing; no other pair stays untried.
 
 Components come from rounds of large-star and small-star steps. Nothing that grows with the corpus reaches the driver.
 """
@@ -147,11 +146,11 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.nda
 
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(lid, fs, ns, shared): the distinct tiles, and how many prefix shingles each came from."""
+    """(lid, fs): the distinct tiles."""
 
-    def tiles(fs: np.ndarray, ns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def tiles(fs: np.ndarray, ns: np.ndarray) -> Iterator[np.ndarray]:
         if len(fs) <= TILE:
-            yield fs, ns
+            yield fs
             return
         order = np.lexsort((fs, ns))
         fs, ns = fs[order], ns[order]
@@ -161,26 +160,22 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
                     break
                 own = np.r_[i : min(i + TILE, len(fs))] if i == j else np.r_[i : i + TILE, j : min(j + TILE, len(fs))]
                 if i != j or len(own) > 1:
-                    yield fs[own], ns[own]
+                    yield fs[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        found: dict[int, np.ndarray] = {}
 
         def flush() -> pa.RecordBatch:
             rows = list(found.items())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.list_(pa.int64())), pa.array([v[1] for _, v in rows], pa.list_(pa.int64())), pa.array([v[2] for _, v in rows], pa.int64())], names=["lid", "fs", "ns", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.int64()))], names=["lid", "fs"])
 
         def close(f: np.ndarray, n: np.ndarray) -> None:
             keep = np.r_[True, f[1:] != f[:-1]]
             if keep.sum() < 2:
                 return
-            for fs, ns in tiles(f[keep], n[keep]):
-                k = xxhash.xxh3_64_intdigest(np.ascontiguousarray(fs).tobytes()) - (1 << 63)
-                if k in found:
-                    found[k][2] += 1
-                else:
-                    found[k] = [fs, ns, 1]
+            for fs in tiles(f[keep], n[keep]):
+                found[xxhash.xxh3_64_intdigest(np.ascontiguousarray(fs).tobytes()) - (1 << 63)] = fs
 
         rest = (np.zeros(0, np.int64),) * 3
         for b in batches:
@@ -199,8 +194,8 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     rows = sets.select(F.explode("prefix").alias("g"), "f", "n")
-    some = rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(run, "lid long, fs array<long>, ns array<long>, shared long")
-    return some.groupBy("lid").agg(F.first("fs").alias("fs"), F.first("ns").alias("ns"), F.sum("shared").alias("shared"))
+    some = rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(run, "lid long, fs array<long>")
+    return some.groupBy("lid").agg(F.first("fs").alias("fs"))
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -210,8 +205,6 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent
     count = ends.count()
     wanted = ends.select("doc", "f").dropDuplicates(["doc"])
     texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc").select("f", "text")
-    if docs.isStreaming:
-        raise ValueError("a batch table is needed")
     both = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
 
     cache: dict[str, Shingler] = {}
@@ -249,55 +242,87 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("f"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
 
 
-def _across(groups: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, more): pairs of different components in one tile whose bitmaps allow a link; at most ``most`` per tile and two
-    components, best bound first, ``more`` where some were left out."""
-    members = groups.select("lid", F.explode("fs").alias("f")).join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
-    open_ = members.groupBy("lid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lid")
-    members = members.join(open_, "lid").join(nodes.select("f", "n", "bits"), "f").select("lid", "f", "c", "n", "bits")
+class _Tile:
+    """The nodes of one tile, in order of size."""
 
-    def compare(rows: list[tuple]) -> Iterator[tuple]:
+    def __init__(self, rows: list[tuple], percent: int) -> None:
         rows.sort(key=lambda r: (r[2], r[0]))
-        f, c, n = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        bits = [r[3] for r in rows]
-        per: dict[tuple[int, int], list] = {}
-        for i in range(len(rows) - 1):
-            end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-            at = i + 1 + np.flatnonzero(c[i + 1 : end] != c[i])
-            if not len(at):
-                continue
-            size = len(bits[i])  # the shorter of any two: sizes grow with n
-            own = fold(bits[i], size)
-            other = np.stack([fold(bits[j], size) for j in at])
-            bound = np.minimum(n[i] - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), n[at] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-            need = least_overlap(n[i], n[at], percent)
-            for j, b in zip(at[bound >= need], (bound - need)[bound >= need], strict=True):
-                per.setdefault((min(c[i], c[j]), max(c[i], c[j])), []).append((-int(b), int(f[i]), int(f[j])))
-        for found in per.values():
-            found.sort()
-            for _, x, y in found[:most]:
-                yield min(x, y), max(x, y), len(found) > most
+        self.f, self.c, self.n, self.bits = (list(x) for x in zip(*rows, strict=True))
+        self.percent = percent
+
+    def pairs(self, most: int) -> Iterator[tuple[int, int, bool]]:
+        """(a, b, more): pairs across components whose bitmaps allow a link, for each node at most ``most`` partners that
+        are not smaller, best bound first."""
+        find = self._few if len(self.f) <= 12 else self._many
+        for i in range(len(self.f) - 1):
+            found = find(i)
+            if len(found) > most:
+                found.sort()
+            for _, j in found[:most]:
+                yield min(self.f[i], self.f[j]), max(self.f[i], self.f[j]), len(found) > most
+
+    def _few(self, i: int) -> list[tuple[int, int]]:
+        n, raw, c, out = self.n[i], self.bits[i], self.c[i], []
+        own = int.from_bytes(raw, "little")
+        for j in range(i + 1, len(self.f)):
+            m = self.n[j]
+            if self.percent * m > 100 * n:
+                break
+            if self.c[j] != c:
+                other, size = int.from_bytes(self.bits[j], "little"), 8 * len(self.bits[j])
+                while size > 8 * len(raw):
+                    size //= 2
+                    other = (other >> size) | (other & ((1 << size) - 1))
+                spare = min(n - (own & ~other).bit_count(), m - (other & ~own).bit_count()) - least_overlap(n, m, self.percent)
+                if spare >= 0:
+                    out.append((-spare, j))
+        return out
+
+    def _many(self, i: int) -> list[tuple[int, int]]:
+        n, raw = self.n[i], self.bits[i]
+        sizes = np.array(self.n[i + 1 :], np.int64)
+        end = int(np.searchsorted(sizes, 100 * n // self.percent, side="right"))
+        at = np.flatnonzero(np.array(self.c[i + 1 : i + 1 + end], np.int64) != self.c[i])
+        if not len(at):
+            return []
+        own = fold(raw, len(raw))  # no longer than the others': bitmaps grow with n
+        other = np.stack([fold(self.bits[i + 1 + j], len(raw)) for j in at])
+        bound = np.minimum(n - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), sizes[at] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+        spare = bound - least_overlap(n, sizes[at], self.percent)
+        return [(-int(s), int(i + 1 + j)) for s, j in zip(spare[spare >= 0], at[spare >= 0], strict=True)]
+
+
+def _across(groups: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """(lid, a, b, more) of the tiles that span components; ``more`` where a node has partners beyond ``most``."""
+    members = groups.select("lid", F.explode("fs").alias("f"))
+    if labels is not None:
+        members = members.join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
+        open_ = members.groupBy("lid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lid")
+        members = members.join(open_, "lid")
+    else:
+        members = members.withColumn("c", F.col("f"))
+    members = members.join(nodes.select("f", "n", "bits"), "f").select("lid", "f", "c", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def pack(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["lid", "a", "b", "more"])
 
         for b in batches:
             out = []
             for lid, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if lid != key and held:
-                    out += compare(held)
+                    out += [(key, *p) for p in _Tile(held, percent).pairs(most)]
                     held = []
                 key = lid
                 held.append(tuple(row))
-            yield pack(out)
+            if out:
+                yield pack(out)
         if held:
-            yield pack(list(compare(held)))
+            yield pack([(key, *p) for p in _Tile(held, percent).pairs(most)])
 
-    found = members.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more")).join(tried, ["a", "b"], "left_anti")
+    return members.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "lid long, a long, b long, more boolean")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -313,24 +338,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = sets.where(F.length("bits") > 0)
     nodes = materialise(full.groupBy("f").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     groups = materialise(_groups(full, percent), "groups")
-    member = groups.select(F.explode("fs").alias("a"), F.array_min("fs").alias("b"), "shared").where("a <> b")
-    best = member.groupBy("a", "b").agg(F.sum("shared").alias("s")).groupBy("a").agg(F.max_by("b", F.struct("s", -F.col("b"))).alias("b"))
-    tried = materialise(best.select("a", "b"), "tried")
-    edges = materialise(_verify(tried, nodes, docs, n, percent), "links")
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    most = 2
-    while True:
+    labels = edges = tried = None
+    for most in (2, 16, 1 << 60):
+        found = materialise(_across(groups, nodes, labels, percent, most), "across")
+        pairs = found.select("a", "b").distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = materialise(_verify(pairs, nodes, docs, n, percent), "links")
+        edges = links if edges is None else edges.unionByName(links)
         labels = materialise(components(edges), "labels")
-        pairs = materialise(_across(groups, nodes, labels, tried, percent, most), "pairs")
-        state = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if not state["n"]:
-            break
-        edges = edges.unionByName(materialise(_verify(pairs.select("a", "b"), nodes, docs, n, percent), "links"))
-        tried = tried.unionByName(pairs.select("a", "b"))
-        if not state["more"]:
-            labels = materialise(components(edges), "labels")
+        # A tile of which every pair was listed is settled; the rest is looked at again, across the components of now.
+        groups = groups.join(found.where("more").select("lid").distinct(), "lid", "left_semi")
+        if groups.isEmpty():
             break
-        most *= 8
     of = nodes.select("f", "doc").join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
     least = of.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = of.join(least, "c").select("f", "component_id")
