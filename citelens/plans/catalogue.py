@@ -428,9 +428,9 @@ def q_hallucinated(s, d):
 
 
 @query("q_importance", f"""WITH {_SENT.replace('s AS (SELECT bibcode, unnest(string_split(t', "s AS (SELECT bibcode, unnest(string_split(" + _ascii("t"))} SELECT bibcode, count(*) FILTER (regexp_matches(sentence, '(?i)\\b(i|me|my|mine|myself|we|us|our|ours|ourselves)\\b')) AS n_1st,
-  count(*) FILTER (regexp_matches(sentence, '\\b[A-Z][A-Z|a-z]+etal\\b|\\bet al\\b')) AS n_etal FROM s WHERE i >= last - 3 GROUP BY 1""")
+  count(*) FILTER (regexp_matches(sentence, '\\b[A-Z][A-Z|a-z]+etal\\b|\\bet al\\b')) AS n_etal FROM s GROUP BY 1""")
 def q_importance(s, d):
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where("i >= last - 3").select("bibcode", T.importance(F.col("sentence")).alias("f"))
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).select("bibcode", T.importance(F.col("sentence")).alias("f"))
     return rows.groupBy("bibcode").agg(F.count_if("f.is_pron_1st").alias("n_1st"), F.count_if("f.is_etal").alias("n_etal"))
 
 
