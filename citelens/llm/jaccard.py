@@ -31,27 +31,28 @@ BROADCAST_IDS = 500_000  # above, texts to verify are found by a shuffled join
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Words(dict):
+    """64-bit hashes of words, kept for the words of one task."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:  # only a memo
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's n-word shingles. ASCII letters are lower-cased, words split at ASCII white
     space. A text with fewer words is one shingle; without words the set is empty."""
 
     def __init__(self, n: int = 5) -> None:
-        self.n, self.known = n, {}
+        self.n, self.known = n, _Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "replace").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 1_000_000:  # only a memo
-            known.clear()
-        try:
-            w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for x in words:
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x)
-            w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        w = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         k = min(self.n, len(w))
         h = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
@@ -242,6 +243,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("f"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links: only components that the links join are looked at again."""
+    if labels is None:
+        return components(links)
+    of = lambda end: labels.select(F.col("f").alias(end), F.col("c").alias(f"c{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(ends.where("a <> b"))
+    moved = labels.join(joined.select(F.col("f").alias("c"), F.col("c").alias("d")), "c", "left").select("f", F.coalesce("d", "c").alias("c"))
+    return moved.unionByName(joined.join(labels, "f", "left_anti"))
+
+
 class _Tile:
     """The nodes of one tile, in order of size."""
 
@@ -253,7 +265,10 @@ class _Tile:
     def pairs(self, most: int) -> Iterator[tuple[int, int, bool]]:
         """(a, b, more): pairs across components whose bitmaps allow a link, for each node at most ``most`` partners that
         are not smaller, best bound first."""
-        find = self._few if len(self.f) <= 12 else self._many
+        find = self._few
+        if len(self.f) > 12:
+            self.prepare()
+            find = self._many
         for i in range(len(self.f) - 1):
             found = find(i)
             if len(found) > most:
@@ -279,17 +294,27 @@ class _Tile:
         return out
 
     def _many(self, i: int) -> list[tuple[int, int]]:
-        n, raw = self.n[i], self.bits[i]
-        sizes = np.array(self.n[i + 1 :], np.int64)
-        end = int(np.searchsorted(sizes, 100 * n // self.percent, side="right"))
-        at = np.flatnonzero(np.array(self.c[i + 1 : i + 1 + end], np.int64) != self.c[i])
+        n, size = self.n[i], len(self.bits[i])
+        end = int(np.searchsorted(self.sizes, 100 * n // self.percent, side="right"))
+        at = i + 1 + np.flatnonzero(self.comps[i + 1 : end] != self.comps[i])
         if not len(at):
             return []
-        own = fold(raw, len(raw))  # no longer than the others': bitmaps grow with n
-        other = np.stack([fold(self.bits[i + 1 + j], len(raw)) for j in at])
-        bound = np.minimum(n - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), sizes[at] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-        spare = bound - least_overlap(n, sizes[at], self.percent)
-        return [(-int(s), int(i + 1 + j)) for s, j in zip(spare[spare >= 0], at[spare >= 0], strict=True)]
+        # Bitmaps grow with n, so the others' are no shorter: each length has one matrix, of its nodes and all larger ones.
+        first, matrix = self.folded[size]
+        own, other = matrix[i - first], matrix[at - first]
+        bound = np.minimum(n - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), self.sizes[at] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
+        spare = bound - least_overlap(n, self.sizes[at], self.percent)
+        return [(-int(s), int(j)) for s, j in zip(spare[spare >= 0], at[spare >= 0], strict=True)]
+
+    def prepare(self) -> None:
+        self.sizes, self.comps = np.array(self.n, np.int64), np.array(self.c, np.int64)
+        self.folded: dict[int, tuple[int, np.ndarray]] = {}
+        for i, raw in enumerate(self.bits):
+            if (size := len(raw)) not in self.folded:
+                # nodes beyond the size band of the last one of this length are not compared with it
+                last = max(n for n, b in zip(self.n, self.bits, strict=True) if len(b) == size)
+                end = int(np.searchsorted(self.sizes, 100 * last // self.percent, side="right"))
+                self.folded[size] = i, np.stack([fold(b, size) for b in self.bits[i:end]])
 
 
 def _across(groups: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, most: int) -> DataFrame:
@@ -338,15 +363,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = sets.where(F.length("bits") > 0)
     nodes = materialise(full.groupBy("f").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     groups = materialise(_groups(full, percent), "groups")
-    labels = edges = tried = None
+    labels = tried = None
     for most in (2, 16, 1 << 60):
         found = materialise(_across(groups, nodes, labels, percent, most), "across")
         pairs = found.select("a", "b").distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = materialise(_verify(pairs, nodes, docs, n, percent), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        labels = materialise(components(edges), "labels")
+        if labels is None or not links.isEmpty():
+            labels = materialise(_merged(labels, links), "labels")
         # A tile of which every pair was listed is settled; the rest is looked at again, across the components of now.
         groups = groups.join(found.where("more").select("lid").distinct(), "lid", "left_semi")
         if groups.isEmpty():
