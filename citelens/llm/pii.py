@@ -39,7 +39,7 @@ PATTERN = re.compile(
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\w]|\.\d))
     |(?P<card>(?<![\w])\d(?:[ -]?\d){{12,18}}(?![\w]))
-    |(?P<phone>(?<![\w])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,4}}(?![\w]))
+    |(?P<phone>(?<![\w])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?P<sep>[ .-])\d{{2,4}}(?:(?P=sep)\d{{2,4}}){{0,3}}(?![\w]))
     |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?)""",
     re.X,
 )

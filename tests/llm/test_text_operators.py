@@ -142,6 +142,13 @@ def test_pii_shapes():
     assert s.text(text)[0] == new and pii.Surrogates("other").text(text)[0] != new
 
 
+def test_pii_next_to_pii():
+    s = pii.Surrogates("k")
+    for text in ("a +1 (826) 555-4081 190.137.223.204 b", "4845168114407329 4952935900253052 +1 (017) 555-7713", "10.1.2.3 +1 (826) 555-4081"):
+        new = s.text(text)[0]
+        assert not any(own in new for own in ("555-4081", "190.137", "4845168114407329", "4952935900253052", "555-7713", "10.1.2.3")), new
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
