@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -80,13 +81,14 @@ class Scorer:
 
 
 def _distinct_enough(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Without near copies: a text of which a fifth of the 5-word runs was seen before is left out of the fit."""
+    """Without near copies: a text of which a fifth of the 5-word runs was seen before is left out of the fit. An eighth of the
+    runs, by hash, stands for all, which keeps the driver's memory small."""
     seen: set[int] = set()
     kept = []
     for text, label in rows:
         w = text.lower().split()
-        runs = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
-        if len(runs & seen) < 0.2 * len(runs):
+        runs = {h for i in range(max(1, len(w) - 4)) if not (h := zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "replace"))) % 8}
+        if not runs or len(runs & seen) < 0.2 * len(runs):
             kept.append((text, label))
         seen |= runs
     return kept
@@ -95,9 +97,15 @@ def _distinct_enough(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 def _stems(texts: list[list[bytes]], labels: list[int]) -> list[bytes]:
     """Word beginnings that many toxic texts hold and ordinary texts do not."""
     toxic, ordinary, n = Counter(), Counter(), Counter(labels)
+    beginnings = lambda words: {w[:k] for w in set(words) for k in range(4, min(len(w), 16) + 1)}
     for words, label in zip(texts, labels, strict=True):
-        (toxic if label else ordinary).update({w[:k] for w in set(words) for k in range(4, min(len(w), 16) + 1)})
+        if label:
+            toxic.update(beginnings(words))
     least = max(4, min(8, 0.25 * n[1]), 0.02 * n[1])
+    toxic = Counter({p: c for p, c in toxic.items() if c >= least})
+    for words, label in zip(texts, labels, strict=True):
+        if not label:
+            ordinary.update(p for p in beginnings(words) if p in toxic)
     mark = {p: c for p, c in toxic.items() if c >= least and math.log((c + 0.5) / n[1]) - math.log((ordinary[p] + 0.5) / n[0]) > 3}
     first = []
     for p in sorted(mark, key=lambda p: (len(p), p)):  # beginnings that extend no marker of about the same support
