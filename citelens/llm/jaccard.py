@@ -109,14 +109,15 @@ def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc, f, n, bits, prefix): f identifies the set (null if empty); bits and prefix are empty on a set that its task met before."""
+    """(doc, t, f, n, bits, prefix): t is a hash of the text, f identifies the set (null if empty); bits and prefix are empty on
+    a set that its task met before."""
     hashes, counts = heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(n), set()
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = shingles(t)
                 if not len(h):
                     out.append((None, 0, b"", []))
@@ -141,9 +142,9 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.nda
                 out.append((f, len(h), bitmap(h), h_p.view(np.int64)))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc", "f", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc", "t", "f", "n", "bits", "prefix"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, f long, n long, bits binary, prefix array<long>")
+    return docs.select("doc", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc long, t long, f long, n long, bits binary, prefix array<long>")
 
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
@@ -199,13 +200,16 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
     return some.groupBy("lid").agg(F.first("fs").alias("fs"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of sets, those that link, by exact intersection; the sets are made again from one text each."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", "doc"), "f")
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
+    """Of pairs (a, b) of sets, those that link, by exact intersection; the sets are made again from one text each, which
+    its id and hash find (the id alone may be null or have several texts). ``repeated``: rows repeat both."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", F.col("row.doc").alias("d"), F.col("row.t").alias("t")), "f")
     ends = materialise(ends, "ends")
     count = ends.count()
-    wanted = ends.select("doc", "f").dropDuplicates(["doc"])
-    texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc").select("f", "text")
+    own = (F.xxhash64("text") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
+    texts = docs.join(F.broadcast(ends) if count <= BROADCAST_IDS else ends, own).select("f", "text")
+    if repeated:
+        texts = texts.dropDuplicates(["f"])
     both = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
 
     cache: dict[str, Shingler] = {}
@@ -361,7 +365,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sets = materialise(_sets(docs, n, percent, _heavy(docs, n)), "sets")
     full = sets.where(F.length("bits") > 0)
-    nodes = materialise(full.groupBy("f").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    row = F.struct(F.col("doc").isNull().alias("null"), "doc", "t")  # one row with the set's text
+    nodes = materialise(full.groupBy("f").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    repeated = not sets.where("f IS NOT NULL").groupBy("doc", "t").count().where("count > 1").isEmpty()
     groups = materialise(_groups(full, percent), "groups")
     labels = tried = None
     for most in (2, 16, 1 << 60):
@@ -369,14 +375,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = found.select("a", "b").distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = materialise(_verify(pairs, nodes, docs, n, percent), "links")
+        links = materialise(_verify(pairs, nodes, docs, n, percent, repeated), "links")
         if labels is None or not links.isEmpty():
             labels = materialise(_merged(labels, links), "labels")
         # A tile of which every pair was listed is settled; the rest is looked at again, across the components of now.
         groups = groups.join(found.where("more").select("lid").distinct(), "lid", "left_semi")
         if groups.isEmpty():
             break
-    of = nodes.select("f", "doc").join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
+    # The least id of a set counts every row of it: bits are on the first that a task met, of any id.
+    ids = sets.where("f IS NOT NULL").groupBy("f").agg(F.min("doc").alias("doc"))
+    of = ids.join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
     least = of.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = of.join(least, "c").select("f", "component_id")
     out = sets.select("doc", "f", "n").join(named, "f", "left")

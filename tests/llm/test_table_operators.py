@@ -272,6 +272,16 @@ def test_small_tiles_and_rounds_change_nothing(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == brute_components(rows)
 
 
+def test_jaccard_counts_every_row_in_any_order(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:59], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(7, text), (3, text), (9, near), (5, other), (None, near + " x1"), (2, near + " x1 x2"), (5, near), (None, other), (None, other + " y"), (None, other + " y"), (4, other + " y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for some in (df.coalesce(1), df.repartition(7)):
+        got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(some).collect()}
+        assert got == {(7, 2), (3, 2), (9, 2), (2, 2), (None, 2), (5, 4), (None, 4), (4, 4), (5, 2)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60)], "a long, b long")
     got = {r.f: r.c for r in jaccard.components(edges).collect()}
