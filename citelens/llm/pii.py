@@ -31,6 +31,8 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 CLASS = {c: a for a in ALPHABETS for c in a}
 HEX = "0123456789abcdef"
 
+# Where a group of digits starts another entity, a phone number ends before it.
+_other = r"(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?:\d{13,19}(?!\w)|\d{4}(?:[\ -]\d{4}){3}|\d{4}[\ -]\d{6}[\ -]\d{5})(?![\ -]?\d)|\d{3}-\d{2}-\d{4}(?![\w-])|[\w.+%-]+@"
 _title = "|".join(t for ts in TITLES.values() for t in ts)
 PATTERN = re.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
@@ -38,14 +40,33 @@ PATTERN = re.compile(
     |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?\b)
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\w]|\.\d))
-    |(?P<card>(?<![\w])\d(?:[ -]?\d){{12,18}}(?![\w]))
-    |(?P<phone>(?<![\w])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}(?P<sep>[ .-])\d{{2,4}}(?:(?P=sep)\d{{2,4}}){{0,3}}(?![\w]))
+    |(?P<card>(?<![\w])\d(?:[ -]?\d){{12,18}}(?!\w|\.\d))
+    |(?P<phone>(?<![\w])(?:\+\d{{7,15}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)[ .-]?)?\d{{1,8}}(?:[ .-](?!{_other})\d{{1,8}}){{0,5}}
+        |\(\d{{2,5}}\)[ .-]?\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{0,4}}|\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{1,4}})(?![\w]))
     |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?)""",
     re.X,
 )
 HINT = re.compile(rf"[0-9@]|\b(?:{_title})\b")
 
 
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, text) of what PATTERN finds. A phone number has 7 to 15 digits; a longer run of groups is cut at the
+    last boundary that leaves it so many, and read on from there."""
+    out, at = [], 0
+    while m := PATTERN.search(text, at):
+        start, end, kind = m.start(), m.end(), m.lastgroup
+        if kind == "phone":
+            ends = [end, *(start + x.start() for x in re.finditer(r"(?<=\d)[ .-]", m[0]))]
+            fits = [e for e in ends if 7 <= sum(c.isdigit() for c in text[start:e]) <= 15]
+            if not fits:
+                at = end
+                continue
+            end = max(fits)
+        out.append((start, end, kind, text[start:end]))
+        at = end
+    return out
+
+
 class Permutation:
     """Keyed permutations of 0 .. n-1; each tweak has its own."""
 
@@ -128,7 +149,7 @@ class Surrogates:
             left = iter(flat[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in body + flat[:2] + '00')) % 97:02d}" + body)
             return "".join(c if c == " " else next(left) for c in text)
         if kind == "phone":
-            code = re.match(r"\+\d{1,3}", text)
+            code = re.match(r"\+(?:[17]|\d{2,3}(?=\D)|\d\d)", text)
             head = code[0] if code else ""
             d = re.sub(r"\D", "", text[len(head):])
             return head + self._digits(text[len(head):], self.shape(d, f"phone{head}"))
@@ -152,8 +173,7 @@ class Surrogates:
         """A text with its entities replaced, and how many entities, and how many different ones, it held."""
         if not text or not HINT.search(text):
             return text, 0, 0
-        found = [(m.start(), m.end(), m.lastgroup, m[0]) for m in PATTERN.finditer(text)]
-        found = [x for x in found if x[2] != "phone" or 7 <= sum(c.isdigit() for c in x[3]) <= 15]
+        found = entities(text)
         if not found:
             return text, 0, 0
         originals = {x[3].lower() for x in found}

@@ -149,6 +149,15 @@ def test_pii_next_to_pii():
         assert not any(own in new for own in ("555-4081", "190.137", "4845168114407329", "4952935900253052", "555-7713", "10.1.2.3")), new
 
 
+def test_pii_phones():
+    s = pii.Surrogates("k")
+    for own in ("+44 20 7946-0958", "+1 555 123-4567", "555 123-4567", "+15551234567", "+49 30 123456", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "(0171) 5557713"):
+        for text in (f"call {own}.", f"{own} 190.137.223.204", f"call {own} 4845168114407329 b", f"+{own.lstrip('+')} 4111 1111 1111 1111" if own[0] == "+" else f"{own} x@y.org", f"{own} jo7@x.org"):
+            new, n, _ = s.text(text)
+            assert n == (1 if text.endswith(".") else 2) and own[-4:] not in new and pii.entities(text)[0][3] == own, (text, new)
+    assert sum(e - a for a, e, _, _ in pii.entities("12 34 56 78 90 12 34 56 78 90 12")) > 25
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
