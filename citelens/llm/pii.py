@@ -46,7 +46,8 @@ PATTERN = re.compile(
     |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?)""",
     re.X,
 )
-HINT = re.compile(rf"[0-9@]|\b(?:{_title})\b")
+# Every match of PATTERN holds one of these, so a text without them has none.
+HINT = re.compile(rf"[\d@]|\b(?:{_title})\b|(?i:token|secret|passw|key)|gh[pousr]_|sk-|AKIA")
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:

@@ -158,6 +158,13 @@ def test_pii_phones():
     assert sum(e - a for a, e, _, _ in pii.entities("12 34 56 78 90 12 34 56 78 90 12")) > 25
 
 
+def test_pii_hint_misses_no_branch():
+    s = pii.Surrogates("k")
+    own = ["password: CorrectHorseBattery", "api_key=abcdefghijkl", "Access-Key = 'abcdefghij", "TOKEN: abcdefgh", "sk-" + "abcdefghij" * 2, "ghp_" + "abcdefghij" * 2, "AKIA" + "ABCDEFGHIJKLMNOP", "Mrs. Anna Schmidt", "jo@mail.example.org"]
+    for text in own:
+        assert not re.search("[0-9]", text) and s.text(f"x {text} y")[1] == 1 and text not in s.text(f"x {text} y")[0], text
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
