@@ -13,6 +13,7 @@ import hashlib
 import hmac
 import math
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,7 +29,28 @@ NAMES = {
 }
 TITLES = {"m": "Mr Mister Herr Monsieur Señor Sir".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Señorita".split(), "": "Dr Prof".split()}
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)])), "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)]))]
-CLASS = {c: a for a in ALPHABETS for c in a}
+
+
+def _classes() -> dict[str, str]:
+    """The alphabet of every digit and letter: ALPHABETS, then digit blocks, then letters by script, case and block."""
+    own = {c: a for a in ALPHABETS for c in a}
+    groups: dict[tuple, list[str]] = {}
+    for i in range(0x80, 0x30000):
+        c = chr(i)
+        kind = unicodedata.category(c)
+        if c in own or kind not in ("Nd", "Lu", "Ll", "Lo"):
+            continue
+        script = unicodedata.name(c, "").split(" ")[0]
+        # accented Latin up to U+017F is one class a case; rarer letters stay within their block of 128
+        block = i - unicodedata.decimal(c) if kind == "Nd" else (i >> 16, i < 0x4E00) if script == "CJK" else 0 if script == "HANGUL" or 0xC0 <= i < 0x180 else i >> 7
+        groups.setdefault((script, kind, block), []).append(c)
+    for cs in groups.values():
+        own.update(dict.fromkeys(cs, "".join(cs)))
+    return own
+
+
+CLASS = _classes()
+PLACE = {a: {c: i for i, c in enumerate(a)} for a in set(CLASS.values())}
 HEX = "0123456789abcdef"
 
 # Where a group of digits starts another entity, a phone number ends before it.
@@ -91,6 +113,10 @@ class Permutation:
                 return x
 
 
+def plain_digits(text: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
 def luhn_digit(digits: str) -> str:
     total = sum((2 * int(d) - 9 * (d > "4")) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
     return str(-total % 10)
@@ -108,7 +134,7 @@ class Surrogates:
         n = 1
         for c, a in zip(text, sets, strict=True):
             if a:
-                x, n = x * len(a) + a.index(c), n * len(a)
+                x, n = x * len(a) + (PLACE[a][c] if a in PLACE else a.index(c)), n * len(a)
         shape = "".join(a[0] if a else c for c, a in zip(text, sets, strict=True))
         x = self.permute(f"{tweak}|{shape}", x, n)
         out = []
@@ -120,8 +146,13 @@ class Surrogates:
         return "".join(reversed(out))
 
     def _digits(self, text: str, digits: str) -> str:
+        """New (ASCII) digits in the places of a text's, each in the block of the digit it replaces."""
         left = iter(digits)
-        return "".join(next(left) if c.isdigit() else c for c in text)
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(left))) if c.isdecimal() else c for c in text)
+
+    def pseudonym(self, kind: str, text: str, turn: int = 0) -> str:
+        """For an entity whose shape allows no other value: a keyed name without its shape."""
+        return f"{kind}-{hmac.digest(self.permute.key, f'{kind}|{turn}|{text}'.encode(), 'sha256').hex()[:16]}"
 
     def _of(self, kind: str, text: str) -> str:
         if kind == "email":
@@ -133,9 +164,10 @@ class Surrogates:
             if max(parts) > 255:
                 return self.shape(text, "version")
             x = self.permute("ip", int.from_bytes(bytes(parts), "big"), 1 << 32)
-            return ".".join(map(str, x.to_bytes(4, "big")))
+            zero = ord(text[0]) - unicodedata.decimal(text[0])
+            return "".join(chr(zero + int(c)) if c != "." else c for c in ".".join(map(str, x.to_bytes(4, "big"))))
         if kind == "card":
-            d = re.sub(r"\D", "", text)
+            d = plain_digits(text)
             good = luhn_digit(d[:-1]) == d[-1]
             if good:
                 own = self.shape(d[:-1], "card")
@@ -152,7 +184,7 @@ class Surrogates:
         if kind == "phone":
             code = re.match(r"\+(?:[17]|\d{2,3}(?=\D)|\d\d)", text)
             head = code[0] if code else ""
-            d = re.sub(r"\D", "", text[len(head):])
+            d = plain_digits(text[len(head):])
             return head + self._digits(text[len(head):], self.shape(d, f"phone{head}"))
         if kind == "secret":
             m = re.search(r"[A-Za-z0-9+/_=.-]{8,}$", text)
@@ -188,6 +220,8 @@ class Surrogates:
                 if new.lower() not in originals and (new.lower() not in taken or any(k == kind and o.lower() == own.lower() for k, o in named)):
                     break
                 new = self.of(kind, new)
+            else:  # the shape allows no other value
+                new = next(p for i in range(1 << 30) if (p := self.pseudonym(kind, own, i)) not in originals and p not in taken)
             named[kind, own] = new
             taken.add(new.lower())
         out, at = [], 0

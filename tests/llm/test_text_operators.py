@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -165,6 +166,17 @@ def test_pii_hint_misses_no_branch():
         assert not re.search("[0-9]", text) and s.text(f"x {text} y")[1] == 1 and text not in s.text(f"x {text} y")[0], text
 
 
+def test_pii_of_any_script():
+    s = pii.Surrogates("k")
+    own = {"CJK": "Dr 王小明", "HANGUL": "Dr 김민수", "ARABIC": "Dr محمد", "HEBREW": "Dr דויד", "LATIN": "Dr ÉÀÇÔ", "DEVANAGARI": "४१११ ११११ ११११ ११११", "ARABIC-INDIC": "+١ ٥٥٥ ١٢٣ ٤٥٦٧", "GREEK": "άέή@ώύ.com"}
+    for script, text in own.items():
+        new, n, _ = s.text(f"x {text}, y")
+        kept = [a for a, b in zip(f"x {text}, y", new, strict=True) if a == b and not a.isascii()]
+        assert n == 1 and len(kept) <= 2, (new, kept)
+        assert all(unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0] for a, b in zip(f"x {text}, y", new, strict=True)), new
+    assert len(pii.Surrogates("k").shape("é", "t")) == 1 and s.text("Dr ՙՙՙ y")[0] != "Dr ՙՙՙ y"
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
