@@ -14,6 +14,7 @@ import hmac
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -197,13 +198,19 @@ class Surrogates:
                 if i == 0 and gender and len(words) > 1:
                     names = NAMES[gender]
                     out.append(names[self.permute(f"name{gender}", names.index(w), len(names))])
+                elif i == 0 and len(words) > 1 and (gender := next((g for g, ts in TITLES.items() if title.rstrip(".") in ts), "")):
+                    # an unlisted given name takes one of the title's gender, so several may share one; the surname tells them apart
+                    names = NAMES[gender]
+                    at = int.from_bytes(hmac.digest(self.permute.key, f"given|{w}".encode(), "sha256"), "big") % len(names)
+                    out.append(names[at] if names[at] != w else names[at - 1])
                 else:
                     out.append(self.shape(w, "name"))
             return " ".join([title, *out])
         return self.shape(text, kind)
 
     def text(self, text: str | None) -> tuple[str | None, int, int]:
-        """A text with its entities replaced, and how many entities, and how many different ones, it held."""
+        """A text with its entities replaced, and how many entities (mentions of a name among them), and how many different
+        ones, it held."""
         if not text or not HINT.search(text):
             return text, 0, 0
         found = entities(text)
@@ -224,12 +231,44 @@ class Surrogates:
                 new = next(p for i in range(1 << 30) if (p := self.pseudonym(kind, own, i)) not in originals and p not in taken)
             named[kind, own] = new
             taken.add(new.lower())
-        out, at = [], 0
-        for start, end, kind, own in found:
-            out += [text[at:start], named[kind, own]]
+        bare, again = self._mentions(named)
+        out, at, more = [], 0, 0
+        for start, end, kind, own in [*found, (len(text), len(text), "", "")]:
+            gap = text[at:start]
+            if bare:
+                gap, n = bare.subn(again, gap)
+                more += n
+            out += [gap, named.get((kind, own), "")]
             at = end
-        out.append(text[at:])
-        return "".join(out), len(found), len(originals)
+        return "".join(out), len(found) + more, len(originals)
+
+    def _mentions(self, named: dict[tuple[str, str], str]) -> tuple[re.Pattern | None, Callable[[re.Match], str]]:
+        """A pattern of the later mentions, without a title, of a text's names, and their replacement: the whole name, either
+        part, or a listed given name before a surname that was found."""
+        parts: dict[str, str] = {}
+        surnames: set[str] = set()
+        for (kind, own), new in named.items():
+            if kind != "name":
+                continue
+            olds, news = own.split(" ")[1:], new.split(" ")[1:] or [new]
+            pairs = [(" ".join(olds), " ".join(news)), *(zip(olds, news, strict=True) if len(olds) == len(news) else ((o, new) for o in olds))]
+            for o, n in pairs:
+                if not o[0].islower():
+                    parts.setdefault(o, n)
+            surnames.add(olds[-1])
+        if not parts:
+            return None, str
+        listed = "|".join(w for ws in NAMES.values() for w in ws)
+        known = "|".join(map(re.escape, sorted(parts, key=lambda p: (-len(p), p))))
+
+        def again(m: re.Match) -> str:
+            if m["given"] and m["known"] in surnames:
+                gender = next(g for g, ws in NAMES.items() if m["given"] in ws)
+                names = NAMES[gender]
+                return f"{parts.get(m['given']) or names[self.permute(f'name{gender}', names.index(m['given']), len(names))]} {parts[m['known']]}"
+            return (m["given"] + " " if m["given"] else "") + parts[m["known"]]
+
+        return re.compile(rf"(?<!\w)(?:(?P<given>{listed})\ (?={'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))}))?(?P<known>{known})(?!\w)"), again
 
 
 def replace_pii(df: DataFrame, key: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -177,6 +177,16 @@ def test_pii_of_any_script():
     assert len(pii.Surrogates("k").shape("é", "t")) == 1 and s.text("Dr ՙՙՙ y")[0] != "Dr ՙՙՙ y"
 
 
+def test_pii_names_keep_gender_and_coreference():
+    s = pii.Surrogates("k")
+    new, n, distinct = s.text("Dr Anna Schmidt came. Schmidt said so; Anna Schmidt left, Anna too. Schmidts stay. Paul Schmidt and Mr Oliver Smith, then Smith.")
+    m = re.fullmatch(r"Dr (\w+) (\w+) came\. (\w+) said so; (\w+ \w+) left, (\w+) too\. Schmidts stay\. (\w+) (\w+) and Mr (\w+) (\w+), then (\w+)\.", new)
+    first, last = m[1], m[2]
+    assert (m[3], m[4], m[5], m[7]) == (last, f"{first} {last}", first, last) and first in pii.NAMES["f"] and m[6] in pii.NAMES["m"]
+    assert m[8] in pii.NAMES["m"] and m[9] == m[10] != "Smith" and (n, distinct) == (7, 2)
+    assert re.search(r"Mrs\. (\w+) ", s.text("Mrs. Gwendolyn Price")[0])[1] in pii.NAMES["f"]
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
