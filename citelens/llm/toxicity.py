@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. A window of a text is compressed with either; what
+One zstandard dictionary is trained, on ordinary text; the toxic one is the same plus word beginnings chosen by a log-odds
+test, not a trained one (the README says why). A window of a text (one word by default) is compressed with either; what
 the toxic dictionary saves over the ordinary one (in bytes) is the window's distance. Counts of windows by distance,
 calibrated by a logistic model on labelled texts kept apart from those that trained the dictionaries, give the score.
 
