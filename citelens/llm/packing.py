@@ -62,7 +62,7 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callabl
 def pack(df: DataFrame, id_col: str = "doc_id", length: Column | None = None, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = default_cost, group: int = GROUP) -> DataFrame:
     """One row per piece: ``id_col``, piece (from 0), start, n_tokens, bin_id, bin_length, bin_offset.
 
-    length: tokens of a row, by default the words of ``text``; null or negative counts as 0. Rows are dealt by a hash of id
+    length: tokens of a row, by default the words of ``text``, which are fewer than its BPE tokens; null or negative counts as 0. Rows are dealt by a hash of id
     and length to groups of about ``group`` rows, each packed on its own: only ids and lengths are shuffled, a task holds
     one group, and the waste is at most a few part-filled bins per group. Repeated rows are packed one by one; ties go by
     id. The result depends on the rows alone, not on their order or partitions. bin_id is group * 2^32 + number.
