@@ -59,11 +59,11 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = jpeg.load_media(jpeg.store_texts(table(spark, sf_dir, "documents")).withColumn("stored", F.col("media")), ["doc_id", "n_bytes", "stored"], tensors=False)
+    read = jpeg.load_media(jpeg.store_texts(table(spark, sf_dir, "documents")).withColumn("stored", F.col("media")), ["doc_id", "n_bytes", "stored"])
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, length(payload) - 15, 16)")).alias("tail_crc32"), F.octet_length("stored").cast("long").alias("media_bytes"),
-        F.sha2("stored", 256).alias("media_sha256"), "feature",
+        F.sha2("stored", 256).alias("media_sha256"), F.sha2("rgb", 256).alias("rgb_sha256"), "feature",
     )
 
 

@@ -1,5 +1,6 @@
 """URL filters, packing, fixity, media and the Jaccard join, against brute force; the pipeline on the smallest tables."""
 
+import hashlib
 import os
 import random
 
@@ -211,6 +212,17 @@ def test_media_table(spark):
     assert jpeg.store_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_media_query_stores_tensors(spark):
+    from citelens.llm import queries
+
+    if not os.path.isdir(SF):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(3)
+    want = {r.doc_id: hashlib.sha256(r.rgb).hexdigest() for r in jpeg.load_media(jpeg.store_texts(docs), ["doc_id"]).collect()}
+    got = {r.doc_id: r.rgb_sha256 for r in queries.op6_media_columns(spark, SF).collect()}
+    assert want and all(got[i] == h for i, h in want.items()) and None not in got.values()
+
+
 def brute_components(rows):
     sets, parent = {}, {}
     for i, t in rows:
