@@ -10,6 +10,7 @@ map of ranks (``encode_folded``), and ``Merger`` in Python (``encode``), which t
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import zlib
@@ -19,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_coders: dict[tuple[str, str], tiktoken.Encoding] = {}
+_last: list = [None, None, None]
+
+
+def coder(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+    """One per worker and vocabulary (told by a digest of all ranks), since building it takes a while."""
+    if _last[0] is not ranks or _last[1] != pattern:
+        digest = hashlib.sha256(b"".join(len(k).to_bytes(4, "big") + k + v.to_bytes(4, "big") for k, v in sorted(ranks.items()))).hexdigest()
+        if (digest, pattern) not in _coders:
+            _coders[digest, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _last[:] = ranks, pattern, _coders[digest, pattern]
+    return _last[2]
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
     """The ranks as a literal array of small maps by crc32 of the key: Spark's map lookup is a scan, which so stays short.
     Keys hold one character (U+0000 to U+00FF) per byte. ``from_json`` of a literal is folded to a literal by the optimizer."""

@@ -7,15 +7,15 @@ occur in content are escaped reversibly. Where the loss mask switches on and off
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import coder
+
 START, BODY, STOP, END = MARKERS = ("<s>", "[INST]", "[/INST]", "</s>")
 ESCAPE = "~"
 
@@ -32,17 +32,6 @@ def unescape(text: str) -> str:
     return text.replace("~1", "").replace("~0", ESCAPE)
 
 
-_coders: dict[tuple, tiktoken.Encoding] = {}
-
-
-def coder(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
-    """One per worker: building it takes a while."""
-    key = (len(ranks), hash(pattern), hash(frozenset(itertools.islice(ranks.items(), 1000))))
-    if key not in _coders:
-        _coders[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _coders[key]
-
-
 def reserved(ranks: dict[bytes, int]) -> dict[str, int]:
     """The first free ids, in the markers' order."""
     return {m: max(ranks.values()) + 1 + i for i, m in enumerate(MARKERS)}
@@ -59,44 +48,53 @@ def format_chats(df: DataFrame, ranks: dict[bytes, int], pattern: str, learn: st
     ids = reserved(ranks)
     conv = df.schema["conv_id"].dataType.simpleString()
 
+    names = ["conv_id", "n_turns", "formatted", "token_ids", "loss_mask"]
+
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(ranks, pattern).encode_ordinary
+        encode, known = coder(ranks, pattern).encode_ordinary, {}
+        ints = pa.list_(pa.int32())
         for b in batches:
-            roles, texts = ([escape(x) for x in b.column(c).to_pylist()] for c in (2, 3))
-            r, t = [encode(x) for x in roles], [encode(x) for x in texts]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(r, ints), pa.array(t, ints)], names=["conv_id", "turn", "role", "text", "r", "t"])
+            roles = b.column(2).to_pylist()
+            for x in set(roles) - known.keys():
+                known[x] = encode(escape(x))
+            t = [encode(escape(x)) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([known[x] for x in roles], ints), pa.array(t, ints)], names=["conv_id", "turn", "role", "text", "r", "t"])
 
     def assemble(rows: list[tuple]) -> tuple:
-        text, segments, flags = [], [], []
-        for role, body, r, t in rows:
-            text += [START, escape(role), BODY, escape(body), STOP, END]
-            segments += [[ids[START]], r, [ids[BODY]], t, [ids[STOP], ids[END]]]
-            flags += [0, 0, 0, int(role == learn), 0]
+        """Rows (role, text, r, t) of one conversation."""
+        one = {m: np.array([i], np.int32) for m, i in ids.items()}
+        text = "".join(x for role, body, _, _ in rows for x in (START, escape(role), BODY, escape(body), STOP, END))
+        segments = [x for _, _, r, t in rows for x in (one[START], r, one[BODY], t, one[STOP], one[END])]
+        on = np.array([x for role, _, _, _ in rows for x in (0, 0, 0, int(role == learn), 0, 0)]) == 1
         ends = np.cumsum([len(s) for s in segments])  # prefix sums: where each segment ends
-        switch = np.zeros(int(ends[-1]) + 1, np.int32)
-        on = np.asarray(flags) == 1
-        starts = ends - np.array([len(s) for s in segments])
-        np.add.at(switch, starts[on], 1)
+        switch = np.zeros(int(ends[-1]) + 1, np.int8)
+        np.add.at(switch, np.r_[0, ends[:-1]][on], 1)
         np.add.at(switch, ends[on], -1)
-        return len(rows), "".join(text), np.concatenate([np.asarray(s, np.int32) for s in segments]), np.cumsum(switch[:-1]).astype(np.int8)
+        return len(rows), text, np.concatenate(segments), np.cumsum(switch[:-1], dtype=np.int8)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, begun, kind = None, [], False, None
+        key, rows, done, size, kind = None, [], [], 0, None
 
         def out() -> pa.RecordBatch:
-            n, text, tokens, mask = assemble(rows)
-            return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([n], pa.int64()), pa.array([text]), pa.array([tokens], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.int8()))], names=["conv_id", "n_turns", "formatted", "token_ids", "loss_mask"])
+            c, n, text, tokens, mask = zip(*done, strict=True)
+            ends = pa.array(np.r_[0, np.cumsum([len(t) for t in tokens])], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (tokens, mask)]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind), pa.array(n, pa.int64()), pa.array(text, pa.string()), *lists], names=names)
 
         for b in batches:
             kind = b.schema.field(0).type
-            for c, role, body, r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                if begun and c != key:
-                    yield out()
-                    rows = []
-                key, begun = c, True
-                rows.append((role, body, r, t))
-        if begun:
+            lists = [(b.column(i).offsets.to_numpy(), b.column(i).values.to_numpy()) for i in (4, 5)]
+            for i, (c, role, body) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
+                if rows and c != key:
+                    done.append((key, *assemble(rows)))
+                    size, rows = size + len(done[-1][2]), []
+                    if size > 4_000_000 or len(done) >= 1000:
+                        yield out()
+                        done, size = [], 0
+                key = c
+                rows.append((role, body, *(v[o[i] : o[i + 1]] for o, v in lists)))
+        if rows:
+            done.append((key, *assemble(rows)))
             yield out()
 
     flat = df.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -106,19 +104,23 @@ def format_chats(df: DataFrame, ranks: dict[bytes, int], pattern: str, learn: st
     return dealt.mapInArrow(gather, f"conv_id {conv}, n_turns long, formatted string, token_ids array<int>, loss_mask array<tinyint>")
 
 
+class Reader:
+    """Reads conversations back from their tokens alone."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ids, self.decode = reserved(ranks), coder(ranks, pattern).decode_bytes
+        self.first = min(self.ids.values())
+
+    def __call__(self, tokens: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]], str]:
+        """The turns (role, text), and all text under the mask."""
+        tokens, mask = np.asarray(tokens), np.asarray(mask)
+        text = lambda part: unescape(self.decode(part.tolist()).decode())
+        at = np.flatnonzero(tokens >= self.first)  # markers; every turn has four
+        start, body, stop = (at[tokens[at] == self.ids[m]] for m in (START, BODY, STOP))
+        turns = [(text(tokens[a + 1 : b]), text(tokens[b + 1 : c])) for a, b, c in zip(start, body, stop, strict=True)]
+        return turns, text(tokens[mask == 1])
+
+
 def read_back(tokens: list[int], mask: list[int], ranks: dict[bytes, int], pattern: str) -> tuple[list[tuple[str, str]], str]:
-    """The turns (role, text) and all text under the mask, from a conversation's tokens alone."""
-    ids, decode = reserved(ranks), coder(ranks, pattern).decode_bytes
-    ids_at = {v: k for k, v in ids.items()}
-    turns, part, role = [], [], ""
-    for t in tokens:
-        m = ids_at.get(t)
-        if m is None:
-            part.append(t)
-        elif m == BODY:
-            role, part = decode(part).decode(), []
-        elif m == STOP:
-            turns.append((unescape(role), unescape(decode(part).decode())))
-        elif m == START:
-            part = []
-    return turns, unescape(decode([t for t, on in zip(tokens, mask, strict=True) if on]).decode())
+    """One conversation through ``Reader``."""
+    return Reader(ranks, pattern)(tokens, mask)

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from citelens.llm import toxicity
 from citelens.llm.common import materialise, table
 from citelens.llm.jaccard import jaccard_components
-from citelens.llm.packing import pack
+from citelens.llm.packing import pack, token_counts
 from citelens.llm.pii import replace_pii
 from citelens.llm.quality import quality_rules
+from citelens.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEY = "a key that the caller keeps"
@@ -47,7 +48,8 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """Lengths are byte-level BPE tokens of the whole new texts."""
+    return pack(token_counts(docs, *vocabulary()))
 
 
 STAGES = [("toxicity", toxic), ("quality rules", quality), ("n-gram Jaccard join", near_copies), ("PII", personal), ("best-fit packing", packed)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from citelens.llm import fixity, jaccard, jpeg, packing, urls
+from citelens.llm import bpe, fixity, jaccard, jpeg, packing, urls
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,16 +58,41 @@ def test_best_fit_invariants():
 
 
 def test_pack_equals_plain_packing(spark):
-    rows = [(i, " ".join(["w"] * (i * 37 % 900)), 1) for i in range(60)] + [(None, None, 1), (3, "w", 1), (3, "w", 1), (61, "w " * 9000, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, bin_id int")
+    rows = [(i, i * 37 % 900, 1) for i in range(60)] + [(None, None, 1), (3, 1, 1), (3, 1, 1), (61, 9000, 1), (62, -5, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, bin_id int")
     got = packing.pack(df).collect()
-    assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) for _, t, _ in rows)
-    items = sorted(((len((t or "").split()), i) for i, t, _ in rows), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+    items = sorted(((max(0, n or 0), i) for i, n, _ in rows), key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+    assert sum(r.n_tokens for r in got) == sum(n for n, _ in items)
     _, bins = packing.best_fit([n for n, _ in items])
     assert sorted(bins) == sorted({r.bin_id: r.bin_length for r in got}.values())
     again = packing.pack(df.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert packing.pack(df.limit(0)).count() == 0
+    spans = sorted((r.piece, r.start, r.n_tokens) for r in got if r.doc_id == 61)
+    assert spans == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 808)]
+
+
+def test_pack_deals_equal_rows_to_many_groups(spark):
+    rows = [(None, 100)] * 500 + [(7, 300)] * 130 + [(i, 50) for i in range(100)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(5), group=40).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens for r in got) == sum(n for _, n in rows)
+    assert len({r.bin_id >> 32 for r in got if r.doc_id is None}) > 4
+    held = {}
+    for r in got:
+        held.setdefault((r.bin_id, r.bin_length), []).append((r.bin_offset, r.n_tokens))
+    for (_, length), spans in held.items():
+        ends = [a + n for a, n in sorted(spans)]
+        assert [a for a, _ in sorted(spans)] == [0, *ends[:-1]] and ends[-1] <= length
+
+
+def test_token_counts(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = [(1, "A text, as such."), (None, None), (2, ""), (3, "word " * 50_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")
+    encode = bpe.coder(ranks, public_tokenizers.PATTERN).encode_ordinary
+    got = {r.doc_id: r.n_tokens for r in packing.token_counts(df, ranks, public_tokenizers.PATTERN).collect()}
+    assert got == {i: len(encode(t or "")) for i, t in rows}
 
 
 def test_audit_locates_every_change(spark):
@@ -301,6 +326,8 @@ def test_components(spark):
 
 
 def test_pipeline_stages(spark):
+    from citelens.llm import queries
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     if not os.path.isdir(SF):
         pytest.skip("no driver tables")
@@ -312,7 +339,8 @@ def test_pipeline_stages(spark):
         seen = out
     layout = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
     assert {r.doc_id for r in layout} == {r.doc_id for r in seen.collect()}
-    assert sum(r.n_tokens for r in layout) == sum(len((r.text or "").split()) for r in seen.collect())
+    tokens = packing.token_counts(seen, *queries.vocabulary())
+    assert sum(r.n_tokens for r in layout) == sum(r.n_tokens for r in tokens.collect())
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
