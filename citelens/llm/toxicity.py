@@ -1,21 +1,24 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained, on ordinary text; the toxic one is the same plus word beginnings chosen by a log-odds
-test, not a trained one (the README says why). A window of a text (one word by default) is compressed with either; what
-the toxic dictionary saves over the ordinary one (in bytes) is the window's distance. Counts of windows by distance,
-calibrated by a logistic model on labelled texts kept apart from those that trained the dictionaries, give the score.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Every window of a text (four words) is
+compressed with the ordinary dictionary alone and with the toxic one beside it; what the toxic one saves, in bytes, is the
+window's distance. Counts of windows by distance, calibrated by a logistic model on labelled texts kept apart from those
+that trained the dictionaries, give the score.
+
+Toxic text is mostly ordinary words, which say nothing. So the toxic dictionary is trained in rounds: each half of the toxic
+texts trains one, which compresses the other half, and only windows that it saved some bytes on train the next. What a
+window shares with toxic texts in general stays; what it has of its own, or shares with ordinary text, goes.
 
 What makes such small differences exact:
-* the toxic dictionary is the ordinary one plus the toxic content, with filler of equal length in the ordinary one, so
-  every offset agrees and a window without toxic content compresses alike;
-* every window ends in a tail that both dictionaries hold, since zstandard starts no match within a block's last bytes
+* both sides hold the ordinary dictionary at the same offsets; before it, farther from the window, lies the toxic one or
+  filler of its length, so a window that gains nothing from toxic text compresses alike;
+* every window ends in a tail that both sides hold, since zstandard starts no match within a block's last bytes
   and stores a block raw if it saves under two bytes.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -23,61 +26,67 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, map_rows
+from .common import crc32_of, discard, map_rows, materialise
 
 TAIL = bytes(range(128, 176))
 EDGES = b".,!?;:|*#$%&\"'()[]"
-BINS = 6
+BINS = 8
 
 
 @dataclass
 class Model:
-    """Picklable; ``ordinary`` and ``toxic`` are raw-content dictionaries."""
+    """Picklable; ``ordinary`` and ``toxic`` are the contents of the two trained dictionaries."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
     weights: list[float] = field(default_factory=list)
-    window: int = 1
+    window: int = 4
     level: int = 6
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
     """All words of a text, lower-cased and stripped of edge punctuation, in windows of ``size``."""
     words = [w for w in (w.strip(EDGES) for w in (text or "").lower().encode("utf-8", "replace").split()) if w]
-    return words if size == 1 else [b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    return [b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+
+
+class Distance:
+    """Bytes that the toxic dictionary saves on each of some windows."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, level: int) -> None:
+        of = lambda raw: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw + ordinary + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.without, self.beside = of(b"\1" * len(toxic)), of(toxic)
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(found), np.int64)
+        for at in range(0, len(found), 50_000):  # bounds the buffers
+            padded = [b" " + w + b" " + TAIL for w in found[at : at + 50_000]]
+            a, b = self.without.multi_compress_to_buffer(padded), self.beside.multi_compress_to_buffer(padded)
+            out[at : at + len(padded)] = [len(a[i]) - len(b[i]) for i in range(len(padded))]
+        return out
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
-        if model.weights:
-            of = lambda raw: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.ordinary, self.toxic = of(model.ordinary), of(model.toxic)
-
-    def distance(self, window: bytes) -> int:
-        found = self.known.get(window)
-        if found is None:
-            if len(self.known) > 500_000:  # only a memo: bounds a worker's memory
-                self.known.clear()
-            padded = b" " + window + b" " + TAIL
-            found = self.known[window] = len(self.ordinary.compress(padded)) - len(self.toxic.compress(padded))
-        return found
-
-    def features(self, text: str | None) -> list[float]:
-        counts = [0] * (BINS + 1)
-        for w in windows(text, self.model.window):
-            d = self.distance(w)
-            if d > 0:
-                counts[min(d, BINS)] += 1
-        return [math.log1p(c) for c in counts[1:]]
+        self.model = model
+        self.distance = Distance(model.toxic, model.ordinary, model.level) if model.weights else None
+
+    def features(self, text: str | None) -> np.ndarray:
+        """Logarithms of the number of windows at each distance, the share of windows at any, and the mean distance."""
+        found = windows(text, self.model.window)
+        if not found:
+            return np.zeros(BINS + 2)
+        saved = self.distance(found)
+        counts = np.bincount(np.clip(saved, 0, BINS), minlength=BINS + 1)[1:]
+        return np.r_[np.log1p(counts), counts.sum() / len(found), saved.sum() / len(found)]
 
     def score(self, text: str | None) -> float:
         if not self.model.weights:
             return 0.0
-        z = self.model.weights[0] + sum(w * x for w, x in zip(self.model.weights[1:], self.features(text), strict=True))
+        z = float(self.model.weights[0] + np.dot(self.model.weights[1:], self.features(text)))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -95,26 +104,27 @@ def _distinct_enough(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return kept
 
 
-def _stems(texts: list[list[bytes]], labels: list[int]) -> list[bytes]:
-    """Word beginnings that many toxic texts hold and ordinary texts do not."""
-    toxic, ordinary, n = Counter(), Counter(), Counter(labels)
-    beginnings = lambda words: {w[:k] for w in set(words) for k in range(4, min(len(w), 16) + 1)}
-    for words, label in zip(texts, labels, strict=True):
-        if label:
-            toxic.update(beginnings(words))
-    least = max(4, min(8, 0.25 * n[1]), 0.02 * n[1])
-    toxic = Counter({p: c for p, c in toxic.items() if c >= least})
-    for words, label in zip(texts, labels, strict=True):
-        if not label:
-            ordinary.update(p for p in beginnings(words) if p in toxic)
-    mark = {p: c for p, c in toxic.items() if c >= least and math.log((c + 0.5) / n[1]) - math.log((ordinary[p] + 0.5) / n[0]) > 3}
-    first = []
-    for p in sorted(mark, key=lambda p: (len(p), p)):  # beginnings that extend no marker of about the same support
-        if not any(p.startswith(q) and mark[q] <= 1.25 * mark[p] + 3 for q in first):
-            first.append(p)
-    longest = {max((q for q in mark if q.startswith(p) and mark[q] >= 0.8 * mark[p]), key=lambda q: (len(q), q)) for p in first}
-    inside = b" ".join(w for words, label in zip(texts, labels, strict=True) if not label for w in words)
-    return sorted(p for p in longest if not any(q != p and p.startswith(q) for q in longest) and inside.count(p) <= 0.02 * mark[p])
+def _train(samples: list[bytes], size: int, k: int, d: int = 6) -> bytes:
+    """The content of a dictionary that zstandard trains on samples, without its header and entropy tables; with too little
+    text to train on, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()[200:]
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def _toxic_dictionary(texts: list[list[bytes]], ordinary: bytes, size: int, k: int, level: int, rounds: int, gain: int) -> bytes:
+    """Trained on the windows of toxic texts that a dictionary of the other half of them saves ``gain`` bytes on."""
+    halves = [[w for t in texts[i::2] for w in t if len(w) >= 8] for i in (0, 1)]
+    picked = halves
+    for _ in range(rounds):
+        trained = [_train([b" " + w + b" " for w in ws], size, k) for ws in picked]
+        saved = [Distance(trained[1 - i], ordinary, level)(halves[i]) for i in (0, 1)]
+        kept = [[w for w, n in zip(halves[i], saved[i], strict=True) if n >= gain] for i in (0, 1)]
+        if not kept[0] or not kept[1]:
+            break
+        picked = kept
+    return _train([b" " + w + b" " for ws in picked for w in ws], size, k)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> list[float]:
@@ -128,7 +138,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
     return [float(v) for v in w]
 
 
-def fit(rows: list[tuple[str, int]], dictionary_bytes: int = 32768, window: int = 1, level: int = 6) -> Model:
+def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 65536, toxic_bytes: int = 8192, window: int = 4, level: int = 6, rounds: int = 2, gain: int = 3) -> Model:
     """A model of (text, toxic) rows. Half of them train the dictionaries, the others calibrate. With under 8 texts of
     either class there is nothing to learn: every score is then 0."""
     rows = _distinct_enough(rows)
@@ -139,33 +149,33 @@ def fit(rows: list[tuple[str, int]], dictionary_bytes: int = 32768, window: int
     n = Counter(label for _, label in rows)
     if min(n[0], n[1]) < 8:
         return Model()
-    texts, labels = [windows(t, 1) for t, _ in halves[0]], [label for _, label in halves[0]]
-    ordinary = [b" ".join(ws[i : i + 16]) for ws, label in zip(texts, labels, strict=True) if not label for i in range(0, len(ws), 16)]
-    ordinary = [w for w in ordinary if len(w) >= 8]
-    stems = _stems(texts, labels)
-    toxic = b"".join(b" " + p + b"\0" for p in stems)
-    try:
-        base = zstandard.train_dictionary(dictionary_bytes, ordinary, k=64, d=6).as_bytes()[200:]
-    except zstandard.ZstdError:  # too little text to train on: the text is the dictionary
-        base = b" ".join(ordinary)[-dictionary_bytes:]
-    model = Model(base + re.sub(rb".", b"\1", toxic, flags=re.S) + TAIL, base + toxic + TAIL, [0.0], window, level)
+    ordinary = _train([w for t, label in halves[0] if not label for w in windows(t, 16) if len(w) >= 8], ordinary_bytes, 64)
+    toxic = _toxic_dictionary([windows(t, window) for t, label in halves[0] if label], ordinary, toxic_bytes, 16, level, rounds, gain)
+    model = Model(ordinary, toxic, [0.0], window, level)
     scorer = Scorer(model)
     x = np.array([scorer.features(t) for t, _ in halves[1]])
     model.weights = _logistic(x, np.array([label for _, label in halves[1]], float))
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 100_000) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts: of either class the documents first by hash, whatever the corpus' size. Only
-    rows whose crc32(doc_id as text) mod 3 is not 1 are learnt from; texts over ``max_chars`` stay out of the sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 32_000_000) -> list[tuple[str, int]]:
+    """A bounded sample of labelled texts: of either class the documents first by hash, whatever the corpus' size, at most
+    ``max_toxic`` and ``max_ordinary`` of them, and no more once they hold ``max_chars`` characters together. Only rows whose
+    crc32(doc_id as text) mod 3 is not 1 are learnt from. Texts of any length may be among them, whole."""
     usable = labels.where((crc32_of("doc_id") % 3 != 1) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     picked = None
     for label, most in ((1, max_toxic), (0, max_ordinary)):
         part = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     # At most max_toxic + max_ordinary ids: fit to broadcast at any size.
-    found = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], r["toxic"]))]
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    found = materialise(found.distinct(), "labelled")
+    sizes = found.select(F.col("doc_id").alias("d"), F.col("toxic").alias("y"), F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+    before = Window.partitionBy("y").orderBy(F.xxhash64("d"), "d", "t").rowsBetween(Window.unboundedPreceding, -1)
+    fits = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_chars // 2).select("d", "y", "t")
+    rows = found.join(F.broadcast(fits), (F.col("doc_id") == F.col("d")) & (F.col("toxic") == F.col("y")) & (F.xxhash64("text") == F.col("t"))).select("doc_id", "text", "toxic").collect()
+    discard(found)
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["toxic"]))]
 
 
 def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
