@@ -57,6 +57,9 @@ HEX = "0123456789abcdef"
 # Where a group of digits starts another entity, a phone number ends before it.
 _other = r"(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?:\d{13,19}(?!\w)|\d{4}(?:[\ -]\d{4}){3}|\d{4}[\ -]\d{6}[\ -]\d{5})(?![\ -]?\d)|\d{3}-\d{2}-\d{4}(?![\w-])|[\w.+%-]+@"
 _title = "|".join(t for ts in TITLES.values() for t in ts)
+_TITLES = {t: g for g, ts in TITLES.items() for t in ts}
+_given = "|".join(n for ns in NAMES.values() for n in ns)
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 PATTERN = re.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
     |(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s*[:=]\s*["']?)[A-Za-z0-9+/_=.-]{{8,}}|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}}\b|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,}}|sk-\w{{20,}})\b)
@@ -66,19 +69,22 @@ PATTERN = re.compile(
     |(?P<card>(?<![\w])\d(?:[ -]?\d){{12,18}}(?!\w|\.\d))
     |(?P<phone>(?<![\w])(?:\+\d{{7,15}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)[ .-]?)?\d{{1,8}}(?:[ .-](?!{_other})\d{{1,8}}){{0,5}}
         |\(\d{{2,5}}\)[ .-]?\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{0,4}}|\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{1,4}})(?![\w]))
-    |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?)""",
+    |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?|\b(?:{_given})\ [A-ZÀ-Þ][\w'-]+)""",
     re.X,
 )
 # Every match of PATTERN holds one of these, so a text without them has none.
-HINT = re.compile(rf"[\d@]|\b(?:{_title})\b|(?i:token|secret|passw|key)|gh[pousr]_|sk-|AKIA")
+HINT = re.compile(rf"[\d@]|\b(?:{_title}|{_given})\b|(?i:token|secret|passw|key)|gh[pousr]_|sk-|AKIA")
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, text) of what PATTERN finds. A phone number has 7 to 15 digits; a longer run of groups is cut at the
-    last boundary that leaves it so many, and read on from there."""
+    last boundary that leaves it so many, and read on from there. A word in small letters after a title is no name."""
     out, at = [], 0
     while m := PATTERN.search(text, at):
         start, end, kind = m.start(), m.end(), m.lastgroup
+        if kind == "name" and name_parts(m[0])[1][0][0].islower():
+            at = start + m[0].index(" ") + 1
+            continue
         if kind == "phone":
             ends = [end, *(start + x.start() for x in re.finditer(r"(?<=\d)[ .-]", m[0]))]
             fits = [e for e in ends if 7 <= sum(c.isdigit() for c in text[start:e]) <= 15]
@@ -91,6 +97,12 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def name_parts(text: str) -> tuple[str, list[str]]:
+    """A name's title, which may be missing, and its words."""
+    first, *words = text.split(" ")
+    return (first, words) if first.rstrip(".") in _TITLES else ("", [first, *words])
+
+
 class Permutation:
     """Keyed permutations of 0 .. n-1; each tweak has its own."""
 
@@ -130,7 +142,14 @@ class Surrogates:
 
     def shape(self, text: str, tweak: str, alphabet: str | None = None) -> str:
         """Permutes a text among those of its shape: the same classes of characters at the same places."""
-        sets = [alphabet if alphabet and c in alphabet else CLASS.get(c) for c in text]
+        return self._permuted(text, tweak, [alphabet if alphabet and c in alphabet else CLASS.get(c) for c in text])
+
+    def name(self, text: str) -> str:
+        """Permutes a word of a name among those with vowels and consonants at the same places, so that it can be said."""
+        sounds = {c: a for plain in (VOWELS, CONSONANTS) for a in (plain, plain.upper()) for c in a}
+        return self._permuted(text, "name", [sounds.get(c) or CLASS.get(c) for c in text])
+
+    def _permuted(self, text: str, tweak: str, sets: list[str | None]) -> str:
         x = n = 0
         n = 1
         for c, a in zip(text, sets, strict=True):
@@ -191,21 +210,22 @@ class Surrogates:
             m = re.search(r"[A-Za-z0-9+/_=.-]{8,}$", text)
             return text[: m.start()] + self.shape(m[0], "secret", HEX if set(m[0]) <= set(HEX) else None)
         if kind == "name":
-            title, *words = text.split(" ")
+            title, words = name_parts(text)
+            told = _TITLES.get(title.rstrip("."), "")
             out = []
             for i, w in enumerate(words):
-                gender = next((g for g, names in NAMES.items() if w in names), None)
-                if i == 0 and gender and len(words) > 1:
-                    names = NAMES[gender]
-                    out.append(names[self.permute(f"name{gender}", names.index(w), len(names))])
-                elif i == 0 and len(words) > 1 and (gender := next((g for g, ts in TITLES.items() if title.rstrip(".") in ts), "")):
+                listed = next((g for g, names in NAMES.items() if w in names), None)
+                if i == 0 and listed:
+                    names = NAMES[listed]
+                    out.append(names[self.permute(f"name{listed}", names.index(w), len(names))])
+                elif i == 0 and len(words) > 1 and told:
                     # an unlisted given name takes one of the title's gender, so several may share one; the surname tells them apart
-                    names = NAMES[gender]
+                    names = NAMES[told]
                     at = int.from_bytes(hmac.digest(self.permute.key, f"given|{w}".encode(), "sha256"), "big") % len(names)
                     out.append(names[at] if names[at] != w else names[at - 1])
                 else:
-                    out.append(self.shape(w, "name"))
-            return " ".join([title, *out])
+                    out.append(self.name(w))
+            return " ".join([title, *out] if title else out)
         return self.shape(text, kind)
 
     def text(self, text: str | None) -> tuple[str | None, int, int]:
@@ -216,6 +236,9 @@ class Surrogates:
         found = entities(text)
         if not found:
             return text, 0, 0
+        # a name without a title is a mention where its surname has one elsewhere
+        titled = {words[-1] for _, _, kind, own in found if kind == "name" for title, words in [name_parts(own)] if title}
+        found = [x for x in found if x[2] != "name" or name_parts(x[3])[0] or name_parts(x[3])[1][-1] not in titled]
         originals = {x[3].lower() for x in found}
         named: dict[tuple[str, str], str] = {}
         taken: set[str] = set()
@@ -250,7 +273,7 @@ class Surrogates:
         for (kind, own), new in named.items():
             if kind != "name":
                 continue
-            olds, news = own.split(" ")[1:], new.split(" ")[1:] or [new]
+            olds, news = name_parts(own)[1], name_parts(new)[1]
             pairs = [(" ".join(olds), " ".join(news)), *(zip(olds, news, strict=True) if len(olds) == len(news) else ((o, new) for o in olds))]
             for o, n in pairs:
                 if not o[0].islower():

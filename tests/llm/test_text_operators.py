@@ -187,6 +187,41 @@ def test_pii_names_keep_gender_and_coreference():
     assert re.search(r"Mrs\. (\w+) ", s.text("Mrs. Gwendolyn Price")[0])[1] in pii.NAMES["f"]
 
 
+def test_pii_names_without_titles_and_words_that_are_none():
+    s = pii.Surrogates("k")
+    assert s.text("Yes Sir please come")[0] == "Yes Sir please come" and s.text("Dr who? Miss it")[1] == 0
+    new = s.text("Marie Curie met Frau Marie, then Mrs Marie Curie and Curie.")[0]
+    m = re.fullmatch(r"(\w+) (\w+) met Frau (\w+), then Mrs (\w+) (\w+) and (\w+)\.", new)
+    assert m[1] == m[3] == m[4] and m[1] in pii.NAMES["f"] and m[1] != "Marie" and m[2] == m[5] == m[6] != "Curie"
+    assert [c in "aeiou" for c in m[2].lower()] == [c in "aeiou" for c in "curie"]
+
+
+def test_pii_against_planted_entities(spark):
+    """A plain reference: entities planted in known places, whose texts must come back changed only there."""
+    import random
+
+    rnd = random.Random(4)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    pool = [f"{word()}.{word()}@{word()}.org" for _ in range(15)] + [f"+1 ({digits(3)}) {digits(3)}-{digits(4)}" for _ in range(15)] + [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(10)]
+    pool += [f"Mr {word().title()} {word().title()}" for _ in range(10)] + [".".join(str(rnd.randint(0, 255)) for _ in range(4)) for _ in range(10)] + [f"token={digits(4)}{word()}{word()}" for _ in range(10)]
+    rows, planted = [], []
+    for i in range(120):
+        parts = [(rnd.choice(pool), True) if rnd.random() < 0.3 else (word(), False) for _ in range(30)]
+        rows.append((i, " ; ".join(t for t, _ in parts)))
+        planted.append(parts)
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    names: dict[str, set] = {}
+    for i, parts in enumerate(planted):
+        news = got[i].text.split(" ; ")
+        assert len(news) == len(parts) and got[i].n_entities == sum(p for _, p in parts)
+        for (own, is_entity), new in zip(parts, news, strict=True):
+            assert (new != own) if is_entity else (new == own)
+            if is_entity:
+                names.setdefault(own, set()).add(new)
+    assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
+
+
 def test_permutations_are_bijective():
     p = pii.Permutation(b"k")
     for n in (2, 7, 100, 1000):
