@@ -5,17 +5,20 @@ one (a function sentence -> tokens) can be passed wherever an annotator is taken
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .ambiguity import PHRASES
 from .registry import MISSIONS, Mission
 
 AUTHOR, NUMBER = "Authorsetal", "000"
+_MEANT = StructType().add("meant", ArrayType(StructType().add("i", IntegerType()).add("mission", StringType())))
 
 
 class Token(NamedTuple):
@@ -165,17 +168,32 @@ def true_match(sentence: str, mission: Mission, table: dict | None = None, annot
 
 
 def decide(rows: DataFrame, mission: Mission, verdict: Column, annotator: Annotator = annotate) -> DataFrame:
-    """Adds ``verdict``: by expressions where they tell, else by phrases. Only rows left open go through Python."""
+    """Adds ``verdict``: by expressions where they tell, else by phrases. Only sentences left open are sent to Python."""
     table = _compiled(MISSIONS)
     label = mission.label
 
     @F.pandas_udf("boolean")
-    def look(s: pd.Series) -> pd.Series:
+    def one(s: pd.Series) -> pd.Series:
         m = next(x for x in MISSIONS if x.label == label)
-        return s.map(lambda t: means_mission(t, m, table, MISSIONS, annotator)).astype("object")
+        return s.map(lambda t: None if t is None else means_mission(t, m, table, MISSIONS, annotator)).astype("object")
 
     first = rows.withColumn("verdict", verdict)
-    return first.where("verdict IS NOT NULL").unionByName(first.where("verdict IS NULL").withColumn("verdict", look("sentence")))
+    return first.withColumn("verdict", F.coalesce("verdict", one(F.when(F.col("verdict").isNull(), F.col("sentence")))))
+
+
+def look(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS, annotator: Annotator = annotate) -> DataFrame:
+    """Rows with ``asked``, an array<struct<i, mission, sentence>> of sentences that rules leave open; adds ``meant``, the
+    array<struct<i, mission>> of those that mean the mission. Other columns pass through unread."""
+    table = _compiled(MISSIONS)
+    known = {m.label: m for m in missions}
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("mission", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            meant = [[{"i": x["i"], "mission": x["mission"]} for x in xs or [] if means_mission(x["sentence"], known[x["mission"]], table, MISSIONS, annotator)] for xs in b.column("asked").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(meant, kind)], names=[*b.schema.names, "meant"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *_MEANT.fields]))
 
 
 def skim(sentence: str, annotator: Annotator = annotate) -> str:

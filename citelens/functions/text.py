@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,6 +36,10 @@ CLEANSE = [
 ]
 SENTENCE_ENDS = (r"(?<=.[.?!]) +(?=[(\[{<])", r"(?<=.[.?!][)\]}>]) +(?=[A-Z])", r"(?<=.[.?!]) +(?=[A-Z])")
 EDGES = (r"^\s+|\s+$", "")
+# The letters beyond ASCII that match an ASCII letter without regard to case, and those they match; the marks
+# that may part an acronym's letters.
+FOLDS = ("\u017f\u212a\u0131\u0130", "skii")
+PARTING = ". -"
 
 
 def _replace(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -65,6 +71,24 @@ def _split_each(parts: Column, pattern: str) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.split(p, pattern)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def forms(text: Column) -> Column:
+    """What the missions' patterns are tried on: the text, it in small letters, and either without the marks that may part
+    an acronym's letters. Computed once for all missions."""
+    swap = lambda t, pairs: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, t)
+    small = F.lower(swap(text, zip(*FOLDS, strict=True)))
+    tight = lambda t: swap(t, [(c, "") for c in PARTING])
+    return let(F.struct(text.alias("text"), small.alias("small")), lambda v: F.struct(v["text"].alias("text"), v["small"].alias("small"), tight(v["text"]).alias("tight"), tight(v["small"]).alias("small_tight")))
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
 def masked(text: Column, mission: Mission) -> Column:
     """The text with phrases that must not count for the mission blotted out."""
     for phrase in mission.banned:
@@ -72,47 +96,72 @@ def masked(text: Column, mission: Mission) -> Column:
     return text
 
 
+def phrase_in(v: Column, mission: Mission) -> Column:
+    """Whether the ``forms`` of a text hold a phrase of the mission. The pattern runs only on texts that hold the letters of
+    a phrase, which every text that matches does. Null does not match."""
+    short = [p for p in mission.phrases if not any(q != p and q.lower() in p.lower() for q in mission.phrases)]
+    may = _any([F.contains(v["small"], F.lit(p.lower())) for p in short])
+    return F.when(may, masked(v["text"], mission).rlike(f"(?iU){mission.phrase_pattern()}")).otherwise(False) if short else F.lit(False)
+
+
+def acronym_in(v: Column, mission: Mission) -> Column:
+    """Whether the ``forms`` of a text hold an acronym of the mission; as ``phrase_in``."""
+    out = []
+    for words, form, flags, cased in ((mission.cased, v["tight"], "(?U)", True), (mission.uncased, v["small_tight"], "(?iU)", False)):
+        if words:
+            may = _any([F.contains(form, F.lit(w if cased else w.lower())) for w in words])
+            out.append(F.when(may, masked(v["text"], mission).rlike(flags + mission.acronym_pattern(cased))).otherwise(False))
+    return _any(out)
+
+
+def mention_in(v: Column, mission: Mission, mode: str | None = None) -> Column:
+    """Whether the ``forms`` of a text name the mission, by a phrase ("keyword"), an acronym ("acronym") or either."""
+    if mode not in (None, "keyword", "acronym"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode:
+        return phrase_in(v, mission) if mode == "keyword" else acronym_in(v, mission)
+    return phrase_in(v, mission) | acronym_in(v, mission)
+
+
 def has_phrase(text: Column, mission: Mission) -> Column:
-    p = mission.phrase_pattern()
-    return masked(text, mission).rlike(f"(?iU){p}") if p else F.lit(False)
+    return let(forms(text), lambda v: phrase_in(v, mission))
 
 
 def has_acronym(text: Column, mission: Mission) -> Column:
-    found = [masked(text, mission).rlike(flags + p) for flags, p in (("(?U)", mission.acronym_pattern(True)), ("(?iU)", mission.acronym_pattern(False))) if p]
-    return reduce(lambda a, b: a | b, found) if found else F.lit(False)
+    return let(forms(text), lambda v: acronym_in(v, mission))
 
 
 def mentions(text: Column, mission: Mission, mode: str | None = None) -> Column:
     """Whether the text names the mission, by a phrase ("keyword"), an acronym ("acronym") or either."""
-    if mode not in (None, "keyword", "acronym"):
-        raise ValueError(f"unknown mode {mode}")
-    if mode:
-        return has_phrase(text, mission) if mode == "keyword" else has_acronym(text, mission)
-    return has_phrase(text, mission) | has_acronym(text, mission)
+    return let(forms(text), lambda v: mention_in(v, mission, mode))
 
 
 def mentions_any(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:
-    return reduce(lambda a, b: a | b, [mentions(text, m) for m in missions])
+    return let(forms(text), lambda v: _any([mention_in(v, m) for m in missions]))
 
 
 def missions_of(text: Column, missions: tuple[Mission, ...] = MISSIONS, mode: str | None = None) -> Column:
     """Labels of all missions a text names. One literal pattern each, so that none is compiled per row."""
-    return F.array_compact(F.array(*[F.when(mentions(text, m, mode), m.label) for m in missions]))
+    return let(forms(text), lambda v: F.array_compact(F.array(*[F.when(mention_in(v, m, mode), m.label) for m in missions])))
 
 
 def first_mission(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:
     """Label of the first mission, in registry order, that the text names; null if none."""
-    return F.coalesce(*[F.when(mentions(text, m), m.label) for m in missions])
+    return let(forms(text), lambda v: F.coalesce(*[F.when(mention_in(v, m), m.label) for m in missions]))
 
 
 def anonymise(text: Column, mission: Mission, placeholder: str = ANON) -> Column:
     """Every phrase and acronym of the mission gives way to the placeholder; long phrases first, banned ones are not spared."""
-    for phrase in mission.phrases:
-        text = F.regexp_replace(text, rf"(?iU)\b{phrase}\b", placeholder)
-    for flags, pattern in (("(?U)", mission.acronym_pattern(True)), ("(?iU)", mission.acronym_pattern(False))):
-        if pattern:
-            text = F.regexp_replace(text, flags + pattern, f"$1{placeholder}$2")
-    return text
+    def replaced(text: Column) -> Column:
+        for phrase in mission.phrases:
+            text = F.regexp_replace(text, rf"(?iU)\b{phrase}\b", placeholder)
+        for flags, pattern in (("(?U)", mission.acronym_pattern(True)), ("(?iU)", mission.acronym_pattern(False))):
+            if pattern:
+                text = F.regexp_replace(text, flags + pattern, f"$1{placeholder}$2")
+        return text
+
+    unbanned = replace(mission, banned=())
+    return let(forms(text), lambda v: F.when(mention_in(v, unbanned), replaced(v["text"])).otherwise(v["text"]))
 
 
 def importance(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import nlp
 from ..functions.registry import MISSIONS, Mission
-from ..functions.text import has_acronym, has_phrase, sentences
+from ..functions.text import acronym_in, forms, let, mention_in, phrase_in, sentences
 
 
 def merge_spans(hits: DataFrame, keys: list[str], buffer: int) -> DataFrame:
@@ -20,18 +23,26 @@ def merge_spans(hits: DataFrame, keys: list[str], buffer: int) -> DataFrame:
     return grouped.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 
+def _rules(v: Column, mission: Mission) -> Column:
+    if not mission.ambiguous:
+        return mention_in(v, mission)
+    plain = tuple(p for p in mission.phrases if p.lower() not in {a.lower() for a in mission.ambiguous})
+    out = F.when(acronym_in(v, mission), True)
+    if plain:
+        out = out.when(phrase_in(v, Mission(mission.label, plain, mission.cased, mission.uncased, mission.banned)), True)
+    return out.when(~phrase_in(v, mission), False)
+
+
 def verdict_by_rules(sentence: Column, mission: Mission) -> Column:
     """Whether a sentence that holds an ambiguous word means the mission, as far as expressions tell; null if a linguistic
     look is needed. In turn: a term without ambiguous words, no term at all, an acronym, a phrase that is more than an
     ambiguous word."""
-    if not mission.ambiguous:
-        return has_phrase(sentence, mission) | has_acronym(sentence, mission)
-    plain = tuple(p for p in mission.phrases if p.lower() not in {a.lower() for a in mission.ambiguous})
-    sure = Mission(mission.label, plain, mission.cased, mission.uncased, mission.banned) if plain or mission.cased or mission.uncased else None
-    out = F.when(has_acronym(sentence, mission), True)
-    if sure is not None and plain:
-        out = out.when(has_phrase(sentence, sure), True)
-    return out.when(~(has_phrase(sentence, mission) | has_acronym(sentence, mission)), False)
+    return let(forms(sentence), lambda v: _rules(v, mission))
+
+
+def _labels(sentence: Column, missions: tuple[Mission, ...], counts: Callable[[Column], Column]) -> Column:
+    """Labels of the missions whose verdict by rules ``counts``."""
+    return let(forms(sentence), lambda v: F.array_compact(F.array(*[F.when(counts(_rules(v, m)), m.label) for m in missions])))
 
 
 def sentence_rows(papers: DataFrame, text: Column) -> DataFrame:
@@ -43,19 +54,44 @@ def sentence_rows(papers: DataFrame, text: Column) -> DataFrame:
 def mission_sentences(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS, undecided: bool = True) -> DataFrame:
     """(bibcode, mission, i, last) of sentences that count for each mission. ``undecided``: whether an ambiguous word that
     rules cannot settle counts."""
-    hits = F.array_compact(F.array(*[F.when(F.coalesce(verdict_by_rules(F.col("sentence"), m), F.lit(undecided)), m.label) for m in missions]))
+    hits = _labels(F.col("sentence"), missions, lambda verdict: F.coalesce(verdict, F.lit(undecided)))
     return rows.select("bibcode", "i", "last", F.explode(hits).alias("mission"))
 
 
-def paragraphs(papers: DataFrame, text: Column, buffer: int = 0, missions: tuple[Mission, ...] = MISSIONS, undecided: bool = True) -> DataFrame:
-    """(bibcode, mission, lo, hi, paragraph): the sentences of each span, joined by spaces."""
-    rows = sentence_rows(papers, text)
-    spans = merge_spans(mission_sentences(rows, missions, undecided), ["bibcode", "mission"], buffer)
-    inside = spans.join(rows, "bibcode").where("i BETWEEN lo AND hi")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ")
-    return inside.groupBy("bibcode", "mission", "lo", "hi").agg(joined.alias("paragraph"))
+def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
+    """(bibcode, s, h): a paper's sentences, and for each the missions that it counts for. ``undecided`` None: sentences that
+    rules cannot settle are looked at in Python, and count where a phrase of the table says so. One narrow pass."""
+    split = papers.select("bibcode", sentences(text).alias("s"))
+    if undecided is not None:
+        return split.select("bibcode", "s", F.transform("s", lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(undecided)))).alias("h"))
+    sure = F.transform("s", lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(False))))
+    unsure = F.transform("s", lambda x: _labels(x, tuple(m for m in missions if m.ambiguous), lambda verdict: verdict.isNull()))
+    ruled = split.select("bibcode", "s", sure.alias("sure"), unsure.alias("unsure"))
+    asked = F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.transform(F.get("unsure", i), lambda m: F.struct(i.alias("i"), m.alias("mission"), F.get("s", i).alias("sentence")))))
+    looked = nlp.look(ruled.withColumn("asked", asked), missions)
+    more = lambda i: F.transform(F.filter("meant", lambda x: x["i"] == i), lambda x: x["mission"])
+    return looked.select("bibcode", "s", F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.concat(F.get("sure", i), more(i))).alias("h"))
+
+
+def _spans(hits: Column, last: Column, buffer: int) -> Column:
+    """As ``merge_spans``, of a sorted array of hits: array<struct<lo, hi>>."""
+    end = F.size(hits) - 1
+    opens = lambda k: (k == 0) | (F.get(hits, k - 1) + buffer < F.greatest(F.get(hits, k) - buffer, F.lit(0))) | F.lit(buffer == 0)
+    starts = F.filter(F.sequence(F.lit(0), end), opens)
+    closes = lambda j, at: F.coalesce(F.get(at, j + 1) - 1, end)
+    one = lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda j: F.struct(F.greatest(F.get(hits, F.get(at, j)) - buffer, F.lit(0)).alias("lo"), F.least(F.get(hits, closes(j, at)) + buffer, last).alias("hi")))
+    return let(starts, one)
+
+
+def paragraphs(papers: DataFrame, text: Column, buffer: int = 0, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
+    """(bibcode, mission, lo, hi, paragraph): the sentences of each span, joined by spaces. ``undecided`` as in
+    ``marked_papers``. Each row is a paper; its sentences stay with it, so nothing is shuffled."""
+    each = marked_papers(papers, text, missions, undecided).select("bibcode", "s", "h", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains(F.get("h", i), F.col("mission")))
+    found = each.select("bibcode", "mission", "s", hits.alias("at")).select("bibcode", "mission", "s", F.inline(_spans(F.col("at"), F.size("s") - 1, buffer)))
+    return found.select("bibcode", "mission", "lo", "hi", F.array_join(F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1), " ").alias("paragraph"))
 
 
-def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS) -> DataFrame:
-    """(bibcode, mission) where the text has a paragraph for the mission."""
-    return mission_sentences(sentence_rows(papers, text), missions).select("bibcode", "mission").distinct()
+def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
+    """(bibcode, mission) where the text has a paragraph for the mission. Each row is a paper."""
+    return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))

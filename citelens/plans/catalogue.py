@@ -615,12 +615,9 @@ def q_threshold_sweep(s, d):
 
 @query("q_truematch")
 def q_truematch(s, d):
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
-    out = [nlp.decide(rows, BY_LABEL[x], paragraphs.verdict_by_rules(F.col("sentence"), BY_LABEL[x])).where("verdict").select("bibcode", "i", F.lit(x).alias("mission")) for x in ("HST", "KEPLER", "K2", "COPERNICUS", "ROMAN")]
-    merged = out[0]
-    for o in out[1:]:
-        merged = merged.unionByName(o)
-    return merged
+    """All missions, in one pass: what rules settle and what phrases settle."""
+    h = paragraphs.marked_papers(A.papers(s, d), F.col("body"), undecided=None)
+    return h.select("bibcode", F.posexplode("h").alias("i", "hits")).select("bibcode", "i", F.explode("hits").alias("mission"))
 
 
 @query("q_nlp_wordchunks")
