@@ -3,12 +3,14 @@
 1. Each text's set of n-word shingles is hashed to sorted 64-bit integers. Equal sets are one node from here on.
 2. A node's prefix is its share of shingles that any partner must hit once: n - ceil(t n) + 1 of them, rarest first. Frequent
    shingles (counted over all texts; the table is of fixed size and only orders) come last, so that passages many texts share
-   seldom meet in a prefix. Nodes that share a prefix shingle form a group; equal groups count once. Groups too large for
-   one tile are cut, in order of size, into tiles of two blocks, for pairs of blocks within the size band only.
-3. In every tile, bitmaps of hashed shingles bound the overlap of pairs from above, and only survivors are verified, by
-   intersecting the sorted arrays. Links found early spare pairs later: the first round lists two partners per node, best
-   bound first, the second sixteen, the third all, each only in tiles where the round before left partners out and only
-   across the components found so far. Pairs within a component change nothing; no other pair stays untried.
+   seldom meet in a prefix. Nodes that share a prefix shingle form a group; equal groups count once. Every group is a tile; one
+   too large comes in parts, dealt over tasks.
+3. In every tile, bitmaps of hashed shingles bound the overlap of pairs from above. A tile passes on a spanning forest of the
+   pairs that may link, never all of them; what the forests connect is a cluster.
+4. Each cluster is a tile that gets the sorted arrays of its nodes, once. Pairs that the bitmaps allow are intersected; nodes
+   that link are one component from then on. Again only a spanning forest leaves the tile.
+5. A cluster or group beyond a tile is settled in parts first, then between one node per component, and whatever still
+   spans components by pairs of blocks within the size band: no pair stays untried, and most need no trial.
 
 Components come from rounds of large-star and small-star steps. Nothing that grows with the corpus reaches the driver.
 """
@@ -20,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import discard, map_rows, materialise
 
 HEAVY = 32_768  # entries of the table of frequent shingles: 0.5 MB
 TILE = 2_048  # members of a block; a tile is one block or two
+TILE_SHINGLES = 1 << 20  # shingles of a block of arrays: 8 MB
 BROADCAST_IDS = 500_000  # above, texts to verify are found by a shuffled join
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,8 +66,8 @@ class Shingler:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit per hashed shingle, in the least power of two of bits that is at least 256 and twice the set's size."""
-    bits = max(256, 1 << (2 * len(h) - 1).bit_length())
+    """A bit per hashed shingle, in the least power of two of bits that is at least 256 and four times the set's size."""
+    bits = max(256, 1 << (4 * len(h) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -82,18 +85,21 @@ def least_overlap(a, b, percent: int):
 
 
 def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the most frequent shingles, at most HEAVY. Every text is counted; a task passes on what it saw
-    three times or more in some millions of shingles."""
+    """(hashes, counts) of the most frequent shingles, at most HEAVY. Every text is counted, a repeated one once a task; a task
+    passes on what it saw three times or more in some millions of shingles."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingler(n), [], 0
+        shingles, held, size, met = Shingler(n), [], 0, set()
 
         def out() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h[c > 2].view(np.int64)), pa.array(c[c > 2])], names=["h", "c"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key in met:
+                    continue
+                met.add(key)
                 held.append(shingles(t))
                 size += len(held[-1])
                 if size > 6_000_000:
@@ -102,7 +108,7 @@ def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield out()
 
-    seen = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    seen = docs.select("text", F.xxhash64("text")).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = seen.orderBy(F.desc("c"), "h").limit(HEAVY).collect()
     top = sorted((np.uint64(r["h"] % (1 << 64)), r["c"]) for r in top)
     return np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
@@ -114,16 +120,17 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.nda
     hashes, counts = heavy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(n), set()
+        shingles, seen, met = Shingler(n), set(), {}
         for b in batches:
             out = []
-            for t in b.column(2).to_pylist():
-                h = shingles(t)
-                if not len(h):
-                    out.append((None, 0, b"", []))
+            for key, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key in met:
+                    out.append((*met[key], b"", []))
                     continue
-                f = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
-                if f in seen:
+                h = shingles(t)
+                f = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) if len(h) else None
+                met[key] = f, len(h)
+                if f is None or f in seen:
                     out.append((f, len(h), b"", []))
                     continue
                 seen.add(f)
@@ -147,211 +154,277 @@ def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.nda
     return docs.select("doc", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc long, t long, f long, n long, bits binary, prefix array<long>")
 
 
-def _groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(lid, fs): the distinct tiles."""
+def components(edges: DataFrame) -> DataFrame | None:
+    """(f, c): the least id in each node's component, for the nodes of ``edges`` (a, b), by alternating stars; None without
+    edges."""
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = None
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if not state[0]:
+            return None
+        if tuple(state) == before:
+            break
+        before = tuple(state)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        now, old = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), now
+        discard(old)
+    return now.select(F.col("u").alias("f"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components after more links: only components that the links join are looked at again. None as long as there are none."""
+    if labels is None:
+        return components(links)
+    of = lambda end: labels.select(F.col("f").alias(end), F.col("c").alias(f"c{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(ends.where("a <> b"))
+    if joined is None:
+        return labels
+    moved = labels.join(joined.select(F.col("f").alias("c"), F.col("c").alias("d")), "c", "left").select("f", F.coalesce("d", "c").alias("c"))
+    return materialise(moved.unionByName(joined.join(labels, "f", "left_anti")), "labels")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each run of equal first ``keys`` columns, of a stream sorted by them."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[:keys] != held[0][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def tiles(fs: np.ndarray, ns: np.ndarray) -> Iterator[np.ndarray]:
-        if len(fs) <= TILE:
-            yield fs
-            return
-        order = np.lexsort((fs, ns))
-        fs, ns = fs[order], ns[order]
-        for i in range(0, len(fs), TILE):
-            for j in range(i, len(fs), TILE):
-                if percent * ns[j] > 100 * ns[min(i + TILE, len(ns)) - 1]:
-                    break
-                own = np.r_[i : min(i + TILE, len(fs))] if i == j else np.r_[i : i + TILE, j : min(j + TILE, len(fs))]
-                if i != j or len(own) > 1:
-                    yield fs[own]
+
+def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(lid, fs, big): distinct groups of at most TILE sets that share a prefix shingle. A larger group comes in such parts,
+    with its shingle in ``big``; a shingle known to be frequent is dealt to tasks by part from the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
+        found: dict[int, tuple[np.ndarray, int | None]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = list(found.items())
+            rows = [(k, fs, big) for k, (fs, big) in found.items()]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.list_(pa.int64()))], names=["lid", "fs"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.int64()))], names=["lid", "fs", "big"])
 
-        def close(f: np.ndarray, n: np.ndarray) -> None:
-            keep = np.r_[True, f[1:] != f[:-1]]
-            if keep.sum() < 2:
+        def close(g: int, s: int, f: np.ndarray) -> None:
+            fs = f[np.r_[True, f[1:] != f[:-1]]]
+            if s < 0 and len(fs) <= TILE:
+                if len(fs) > 1:
+                    found[xxhash.xxh3_64_intdigest(np.ascontiguousarray(fs).tobytes()) - (1 << 63)] = fs, None
                 return
-            for fs in tiles(f[keep], n[keep]):
-                found[xxhash.xxh3_64_intdigest(np.ascontiguousarray(fs).tobytes()) - (1 << 63)] = fs
+            for i in range(0, len(fs), TILE):
+                found[xxhash.xxh3_64_intdigest(np.array([g, s, i], np.int64).tobytes()) - (1 << 63)] = fs[i : i + TILE], g
 
         rest = (np.zeros(0, np.int64),) * 3
         for b in batches:
-            g, f, n = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
-            cut = np.flatnonzero(g[1:] != g[:-1]) + 1
-            starts = np.r_[0, cut]
-            for i in np.flatnonzero(np.diff(starts) > 1):
-                close(f[starts[i] : starts[i + 1]], n[starts[i] : starts[i + 1]])
+            g, s, f = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
+            starts = np.r_[0, np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1])) + 1]
+            for i in np.flatnonzero((np.diff(starts) > 1) | (s[starts[:-1]] >= 0)):
+                close(g[starts[i]], s[starts[i]], f[starts[i] : starts[i + 1]])
             last = starts[-1] if len(g) else 0
-            rest = g[last:], f[last:], n[last:]
+            rest = g[last:], s[last:], f[last:]
             if len(found) > 20_000:
                 yield flush()
-        if len(rest[0]) > 1:
-            close(rest[1], rest[2])
+        if len(rest[0]):
+            close(rest[0][0], rest[1][0], rest[2])
         if found:
             yield flush()
 
-    rows = sets.select(F.explode("prefix").alias("g"), "f", "n")
-    some = rows.repartition("g").sortWithinPartitions("g", "f").mapInArrow(run, "lid long, fs array<long>")
-    return some.groupBy("lid").agg(F.first("fs").alias("fs"))
+    rows = sets.select(F.explode("prefix").alias("g"), "f")
+    parts = [(int(h), int(-(-c // TILE))) for h, c in zip(heavy[0].view(np.int64), heavy[1], strict=True) if c > TILE]
+    part = F.lit(-1).cast("long")
+    if parts:  # at most HEAVY entries
+        rows = rows.join(F.broadcast(sets.sparkSession.createDataFrame(parts, "g long, parts long")), "g", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("f", "g"), "parts"), part)
+    rows = rows.select("g", part.alias("s"), "f")
+    some = rows.repartition("g", "s").sortWithinPartitions("g", "s", "f").mapInArrow(run, "lid long, fs array<long>, big long")
+    return some.groupBy("lid").agg(F.first("fs").alias("fs"), F.first("big").alias("big"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
-    """Of pairs (a, b) of sets, those that link, by exact intersection; the sets are made again from one text each, which
-    its id and hash find (the id alone may be null or have several texts). ``repeated``: rows repeat both."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct().join(nodes.select("f", F.col("row.doc").alias("d"), F.col("row.t").alias("t")), "f")
-    ends = materialise(ends, "ends")
-    count = ends.count()
-    own = (F.xxhash64("text") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
-    texts = docs.join(F.broadcast(ends) if count <= BROADCAST_IDS else ends, own).select("f", "text")
-    if repeated:
-        texts = texts.dropDuplicates(["f"])
-    both = pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b")
+class _Tile:
+    """The sets of one tile, in order of size: rows (f, c, bits) and, for exact work, the sorted arrays."""
 
-    cache: dict[str, Shingler] = {}
+    def __init__(self, rows: list[tuple[int, int, int, bytes]], percent: int, arrays: dict[int, np.ndarray] | None = None) -> None:
+        rows.sort(key=lambda r: (r[2], r[0]))
+        self.f, self.n, self.bits = [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
+        self.sizes = np.array(self.n, np.int64)
+        self.comps = np.array([r[1] for r in rows], np.int64)
+        self.percent, self.arrays = percent, arrays
+        self.folded: dict[int, tuple[int, np.ndarray]] = {}
+        if len(rows) > 12:
+            # Bitmaps grow with n: each length has one matrix, of its nodes and of the larger ones within their size band.
+            last = {len(b): n for n, b in zip(self.n, self.bits, strict=True)}
+            for i, raw in enumerate(self.bits):
+                if (size := len(raw)) not in self.folded:
+                    end = int(np.searchsorted(self.sizes, 100 * last[size] // percent, side="right"))
+                    self.folded[size] = i, np.stack([fold(b, size) for b in self.bits[i:end]])
+
+    def forest(self) -> Iterator[tuple[int, int]]:
+        """Edges that connect whatever is connected by pairs across components that may link, by their bitmaps; with
+        arrays, by pairs that do link. A spanning forest: fewer edges than nodes."""
+        tree = self.comps if self.arrays is not None else np.arange(len(self.f))
+        for i in range(len(self.f) - 1):
+            end = int(np.searchsorted(self.sizes, 100 * self.n[i] // self.percent, side="right"))
+            at = i + 1 + np.flatnonzero((tree[i + 1 : end] != tree[i]) & (self.comps[i + 1 : end] != self.comps[i]))
+            if len(at):
+                at = self._allowed(i, at)
+            if len(at) and self.arrays is not None:
+                at = self._linked(i, at)
+            for j in at:
+                if tree[j] != tree[i]:
+                    tree[tree == tree[j]] = tree[i]
+                    yield self.f[i], self.f[int(j)]
+
+    def _allowed(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Of the partners, those whose bitmaps allow a link: an element whose bit the other lacks is not shared."""
+        size = len(self.bits[i])
+        if self.folded:
+            first, matrix = self.folded[size]
+            own, other = matrix[i - first], matrix[at - first]
+            lone, others = np.bitwise_count(own & ~other).sum(1, dtype=np.int64), np.bitwise_count(other & ~own).sum(1, dtype=np.int64)
+        else:
+            own = int.from_bytes(self.bits[i], "little")
+            ints = [int.from_bytes(fold(self.bits[j], size).tobytes(), "little") for j in at]
+            lone, others = np.array([(own & ~o).bit_count() for o in ints]), np.array([(o & ~own).bit_count() for o in ints])
+        bound = np.minimum(self.n[i] - lone, self.sizes[at] - others)
+        return at[bound >= least_overlap(self.n[i], self.sizes[at], self.percent)]
+
+    def _linked(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Of the partners, those that link: the sorted arrays are intersected."""
+        own, others = self.arrays[self.f[i]], [self.arrays[self.f[j]] for j in at]
+        flat = np.concatenate(others)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        shared = np.add.reduceat(hit, np.r_[0, np.cumsum([len(o) for o in others])[:-1]], dtype=np.int64)
+        return at[shared >= least_overlap(self.n[i], self.sizes[at], self.percent)]
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with an ``f``, and its component ``c`` so far."""
+    if labels is None:
+        return rows.withColumn("c", F.col("f"))
+    return rows.join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shingles = cache.setdefault("s", Shingler(n))
-        out, last, held = [], None, None
-        for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-            if b != last:
-                last, held = b, shingles(tb)
-            x = shingles(ta)
-            i = len(np.intersect1d(x, held, assume_unique=True))
-            if 100 * i >= percent * (len(x) + len(held) - i):
-                out.append((a, b))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return map_rows(both.select("a", "b", "ta", "tb"), run, "a long, b long")
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """The keys whose rows lie in several components."""
+    return rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(f, c): the least id in each node's component, for the nodes of ``edges`` (a, b), by alternating stars."""
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if tuple(state) == before or not state[0]:
-            break
-        before = tuple(state)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return now.select(F.col("u").alias("f"), F.col("v").alias("c")).unionByName(now.select(F.col("v").alias("f"), F.col("v").alias("c")).distinct())
+def _candidates(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every tile of members (lid, f, c) a forest over the pairs that their bitmaps allow."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for rows in _runs(batches, 1):
+            out += _Tile([r[1:] for r in rows], percent).forest()
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more links: only components that the links join are looked at again."""
-    if labels is None:
-        return components(links)
-    of = lambda end: labels.select(F.col("f").alias(end), F.col("c").alias(f"c{end}"))
-    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(ends.where("a <> b"))
-    moved = labels.join(joined.select(F.col("f").alias("c"), F.col("c").alias("d")), "c", "left").select("f", F.coalesce("d", "c").alias("c"))
-    return moved.unionByName(joined.join(labels, "f", "left_anti"))
+    rows = members.join(nodes.select("f", "n", "bits"), "f").select("lid", "f", "c", "n", "bits")
+    return rows.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "a long, b long")
 
 
-class _Tile:
-    """The nodes of one tile, in order of size."""
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    def __init__(self, rows: list[tuple], percent: int) -> None:
-        rows.sort(key=lambda r: (r[2], r[0]))
-        self.f, self.c, self.n, self.bits = (list(x) for x in zip(*rows, strict=True))
-        self.percent = percent
-
-    def pairs(self, most: int) -> Iterator[tuple[int, int, bool]]:
-        """(a, b, more): pairs across components whose bitmaps allow a link, for each node at most ``most`` partners that
-        are not smaller, best bound first."""
-        find = self._few
-        if len(self.f) > 12:
-            self.prepare()
-            find = self._many
-        for i in range(len(self.f) - 1):
-            found = find(i)
-            if len(found) > most:
-                found.sort()
-            for _, j in found[:most]:
-                yield min(self.f[i], self.f[j]), max(self.f[i], self.f[j]), len(found) > most
-
-    def _few(self, i: int) -> list[tuple[int, int]]:
-        n, raw, c, out = self.n[i], self.bits[i], self.c[i], []
-        own = int.from_bytes(raw, "little")
-        for j in range(i + 1, len(self.f)):
-            m = self.n[j]
-            if self.percent * m > 100 * n:
-                break
-            if self.c[j] != c:
-                other, size = int.from_bytes(self.bits[j], "little"), 8 * len(self.bits[j])
-                while size > 8 * len(raw):
-                    size //= 2
-                    other = (other >> size) | (other & ((1 << size) - 1))
-                spare = min(n - (own & ~other).bit_count(), m - (other & ~own).bit_count()) - least_overlap(n, m, self.percent)
-                if spare >= 0:
-                    out.append((-spare, j))
-        return out
-
-    def _many(self, i: int) -> list[tuple[int, int]]:
-        n, size = self.n[i], len(self.bits[i])
-        end = int(np.searchsorted(self.sizes, 100 * n // self.percent, side="right"))
-        at = i + 1 + np.flatnonzero(self.comps[i + 1 : end] != self.comps[i])
-        if not len(at):
-            return []
-        # Bitmaps grow with n, so the others' are no shorter: each length has one matrix, of its nodes and all larger ones.
-        first, matrix = self.folded[size]
-        own, other = matrix[i - first], matrix[at - first]
-        bound = np.minimum(n - np.bitwise_count(own & ~other).sum(1, dtype=np.int64), self.sizes[at] - np.bitwise_count(other & ~own).sum(1, dtype=np.int64))
-        spare = bound - least_overlap(n, self.sizes[at], self.percent)
-        return [(-int(s), int(j)) for s, j in zip(spare[spare >= 0], at[spare >= 0], strict=True)]
-
-    def prepare(self) -> None:
-        self.sizes, self.comps = np.array(self.n, np.int64), np.array(self.c, np.int64)
-        self.folded: dict[int, tuple[int, np.ndarray]] = {}
-        for i, raw in enumerate(self.bits):
-            if (size := len(raw)) not in self.folded:
-                # nodes beyond the size band of the last one of this length are not compared with it
-                last = max(n for n, b in zip(self.n, self.bits, strict=True) if len(b) == size)
-                end = int(np.searchsorted(self.sizes, 100 * last // self.percent, side="right"))
-                self.folded[size] = i, np.stack([fold(b, size) for b in self.bits[i:end]])
-
-
-def _across(groups: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int, most: int) -> DataFrame:
-    """(lid, a, b, more) of the tiles that span components; ``more`` where a node has partners beyond ``most``."""
-    members = groups.select("lid", F.explode("fs").alias("f"))
-    if labels is not None:
-        members = members.join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
-        open_ = members.groupBy("lid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("lid")
-        members = members.join(open_, "lid")
-    else:
-        members = members.withColumn("c", F.col("f"))
-    members = members.join(nodes.select("f", "n", "bits"), "f").select("lid", "f", "c", "n", "bits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(f, h): the sorted shingles of the wanted sets, from one text each, found by its id and hash (either alone may stand
+    for several). Rows that repeat both come more than once."""
+    ends = materialise(nodes.join(wanted.select("f"), "f").select("f", F.col("row.doc").alias("d"), F.col("row.t").alias("t")), "ends")
+    own = (F.xxhash64("text") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
+    texts = docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, own).select("f", "text")
+    cache: dict[str, Shingler] = {}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles = cache.setdefault("s", Shingler(n))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["f", "h"])
 
-        def pack(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["lid", "a", "b", "more"])
+    return map_rows(texts, run, "f long, h binary")
 
-        for b in batches:
-            out = []
-            for lid, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if lid != key and held:
-                    out += [(key, *p) for p in _Tile(held, percent).pairs(most)]
-                    held = []
-                key = lid
-                held.append(tuple(row))
-            if out:
-                yield pack(out)
-        if held:
-            yield pack([(key, *p) for p in _Tile(held, percent).pairs(most)])
 
-    return members.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "lid long, a long, b long, more boolean")
+def _verified(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every tile of members (lid, f, c) a forest over the pairs across components that link. A tile arrives with
+    its arrays and is settled at once: linked sets are one component from then on, and pairs within one are not tried."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for rows in _runs(batches, 1):
+            own = {f: np.frombuffer(h, np.uint64) for _, f, _, h in rows}
+            comps = {f: c for _, f, c, _ in rows}
+            out += _Tile([(f, comps[f], len(h), bitmap(h)) for f, h in own.items()], percent, own).forest()
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    rows = members.join(arrays, "f").select("lid", "f", "c", "h")
+    return rows.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(lid, f, c): rows (key, f, c, n) of large groups as tiles of two blocks. A group is cut, in order of size, into blocks of
+    about TILE sets and TILE_SHINGLES shingles; every pair of blocks within the size band is a tile if it spans components.
+    Blocks follow from counts by size, so no task sees a whole group."""
+    by_size = rows.groupBy("key", "n").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_size.select("key", "n", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum(F.col("rows") * F.col("n")).over(before), F.lit(0)).alias("weight"))
+    place = F.pmod(F.xxhash64("f"), "rows")
+    block = F.floor((F.col("at") + place) / TILE) + F.floor((F.col("weight") + place * F.col("n")) / TILE_SHINGLES)
+    dealt = rows.join(starts, ["key", "n"]).select("key", "f", "c", "n", block.alias("block"))
+    blocks = dealt.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    listed = blocks.groupBy("key").agg(F.collect_list(F.struct("block", "lo")).alias("all"))
+    partners = F.filter("all", lambda x: (x["block"] >= F.col("block")) & (x["lo"] * percent <= F.col("hi") * 100))
+    pairs = blocks.join(listed, "key").select("key", F.col("block").alias("i"), F.explode(F.transform(partners, lambda x: x["block"])).alias("j"))
+    tiles = pairs.select("key", F.xxhash64("key", "i", "j").alias("lid"), F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    members = dealt.join(tiles, ["key", "block"]).select("lid", "f", "c")
+    return members.join(_several(members, "lid"), "lid").select("lid", "f", "c")
+
+
+def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataFrame | None, n: int, percent: int) -> DataFrame | None:
+    """The components after all links within tiles of members (lid, f, c). What bitmaps leave connected is a cluster, and a
+    cluster is verified as one tile; one too large for a tile first in parts, then by one set per component, and last, if it
+    still spans components, by all pairs of its blocks across them."""
+    found = materialise(_candidates(members, nodes, percent), "candidates")
+    clusters = components(found)
+    if clusters is None:
+        return labels
+    clusters = materialise(clusters.withColumnRenamed("c", "k").join(nodes.select("f", "n"), "f"), "clusters")
+    arrays = materialise(_arrays(docs, nodes, clusters, n), "arrays")
+    size = clusters.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
+    large = size.where("parts > 1")
+    some_large = not large.isEmpty()
+    part = F.xxhash64("k", F.pmod(F.xxhash64("f"), "parts"))
+    dealt = clusters.join(size, "k").select(part.alias("lid"), "f")
+    labels = _merged(labels, materialise(_verified(_labelled(dealt, labels), arrays, percent), "links"))
+    discard(found)
+    while some_large:
+        now = _labelled(clusters.join(large.select("k"), "k"), labels)
+        now = materialise(now.join(_several(now, "k"), "k").select(F.col("k").alias("key"), "f", "c", "n"), "unsettled")
+        if now.isEmpty():
+            break
+        one = now.groupBy("key", "c").agg(F.min(F.struct("n", "f")).alias("x")).select("key", "c", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
+        size = one.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
+        dealt = one.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("f", F.lit(7)), "parts")).alias("lid"), "f", "c")
+        links = materialise(_verified(dealt, arrays, percent), "links")
+        last = links.isEmpty()
+        if last:
+            links = materialise(_verified(_block_pairs(now, percent), arrays, percent), "links")
+        labels = _merged(labels, links)
+        if last:
+            break
+    discard(arrays)
+    return labels
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -360,31 +433,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null, empty or blank text has an empty set and links with nothing. Repeated rows stay repeated; rows of one id count
     as texts of that id; a null id stays out of the components' least ids. Other columns are not read. Ids are longs.
-    Sets are told apart by a 64-bit hash of their sorted hashes. Memory: a task holds one tile of at most 2 x TILE bitmaps.
+    Sets are told apart by a 64-bit hash of their sorted hashes. Memory: a task holds one tile: at most 2 x TILE bitmaps, or
+    the arrays of about 2 x TILE_SHINGLES shingles (one set more, however long).
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = materialise(_sets(docs, n, percent, _heavy(docs, n)), "sets")
+    heavy = _heavy(docs, n)
+    sets = materialise(_sets(docs, n, percent, heavy), "sets")
     full = sets.where(F.length("bits") > 0)
     row = F.struct(F.col("doc").isNull().alias("null"), "doc", "t")  # one row with the set's text
     nodes = materialise(full.groupBy("f").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    repeated = not sets.where("f IS NOT NULL").groupBy("doc", "t").count().where("count > 1").isEmpty()
-    groups = materialise(_groups(full, percent), "groups")
-    labels = tried = None
-    for most in (2, 16, 1 << 60):
-        found = materialise(_across(groups, nodes, labels, percent, most), "across")
-        pairs = found.select("a", "b").distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = materialise(_verify(pairs, nodes, docs, n, percent, repeated), "links")
-        if labels is None or not links.isEmpty():
-            labels = materialise(_merged(labels, links), "labels")
-        # A tile of which every pair was listed is settled; the rest is looked at again, across the components of now.
-        groups = groups.join(found.where("more").select("lid").distinct(), "lid", "left_semi")
-        if groups.isEmpty():
-            break
+    groups = materialise(_groups(full, heavy), "groups")
+    labels = _settle(_labelled(groups.select("lid", F.explode("fs").alias("f")), None), nodes, docs, None, n, percent)
+    big = groups.where("big IS NOT NULL").select(F.col("big").alias("key"), F.explode("fs").alias("f")).distinct()
+    big = _labelled(big, labels)
+    big = materialise(big.join(_several(big, "key"), "key").join(nodes.select("f", "n"), "f"), "big")
+    if not big.isEmpty():  # groups beyond a tile that still span components: all pairs of blocks across them
+        labels = _settle(_block_pairs(big, percent), nodes, docs, labels, n, percent)
+    discard(groups, big)
     # The least id of a set counts every row of it: bits are on the first that a task met, of any id.
     ids = sets.where("f IS NOT NULL").groupBy("f").agg(F.min("doc").alias("doc"))
-    of = ids.join(labels, "f", "left").withColumn("c", F.coalesce("c", "f"))
+    of = _labelled(ids, labels)
     least = of.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = of.join(least, "c").select("f", "component_id")
     out = sets.select("doc", "f", "n").join(named, "f", "left")
