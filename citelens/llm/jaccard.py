@@ -3,8 +3,9 @@
 1. Each text's set of n-word shingles is hashed to sorted 64-bit integers. Equal sets are one node from here on.
 2. A node's prefix is its share of shingles that any partner must hit once: n - ceil(t n) + 1 of them, rarest first. Frequent
    shingles (counted over all texts; the table is of fixed size and only orders) come last, so that passages many texts share
-   seldom meet in a prefix. Nodes that share a prefix shingle form a group; equal groups count once. Every group is a tile; one
-   too large comes in parts, dealt over tasks.
+   seldom meet in a prefix. Nodes that share a prefix shingle form a group, less those that no other member can link with
+   (by size, or because the pair meets in an earlier group). Groups of nearly the same nodes are united. Every group is a
+   tile; one too large comes in parts, dealt over tasks.
 3. In every tile, bitmaps of hashed shingles bound the overlap of pairs from above. A tile passes on a spanning forest of the
    pairs that may link, never all of them; what the forests connect is a cluster.
 4. Each cluster is a tile that gets the sorted arrays of its nodes, once. Pairs that the bitmaps allow are intersected; nodes
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, map_rows, materialise
 
-HEAVY = 32_768  # entries of the table of frequent shingles: 0.5 MB
+HEAVY = 262_144  # entries of the table of frequent shingles: 4 MB
 TILE = 2_048  # members of a block; a tile is one block or two
 TILE_SHINGLES = 1 << 20  # shingles of a block of arrays: 8 MB
 BROADCAST_IDS = 500_000  # above, texts to verify are found by a shuffled join
@@ -109,9 +110,10 @@ def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield out()
 
     seen = docs.select("text", F.xxhash64("text")).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = seen.orderBy(F.desc("c"), "h").limit(HEAVY).collect()
-    top = sorted((np.uint64(r["h"] % (1 << 64)), r["c"]) for r in top)
-    return np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
+    top = seen.orderBy(F.desc("c"), "h").limit(HEAVY).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
 
 
 def _sets(docs: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -202,51 +204,92 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
         yield held
 
 
-def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(lid, fs, big): distinct groups of at most TILE sets that share a prefix shingle. A larger group comes in such parts,
-    with its shingle in ``big``; a shingle known to be frequent is dealt to tasks by part from the start."""
+def _paired(f: np.ndarray, n: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """The members of a group that some other member may need here, sorted. In order of rarity, the first shingle that two linked
+    sets share lies in the smaller one's first n - ceil(2 t n / (1 + t)) + 1; a set that has the group's shingle later, ``late``,
+    is here for smaller or equal ones only, and either way for the size band."""
+    order = np.lexsort((f, n))
+    f, n, early = f[order], n[order], ~late[order]
+    before = np.r_[0, np.cumsum(early)]
+    least = np.searchsorted(n, -(-percent * n // 100))
+    smaller = before[np.searchsorted(n, n, side="right")] - before[least] - early
+    larger = np.searchsorted(n, 100 * n // percent, side="right") - np.searchsorted(n, n) - 1
+    return np.sort(f[(smaller > 0) | (early & (larger > 0))])
+
+
+def _merged_groups(groups: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Groups of one least member, largest first, united while they overlap so much that a tile gains little by it: a passage
+    or family makes a group per shingle, of nearly the same sets."""
+    now = None
+    for g in sorted(groups, key=lambda g: (-len(g), g.tobytes())):
+        both = g if now is None else np.union1d(now, g)
+        if now is None or len(both) <= min(TILE, max(1.5 * len(now), 32)):
+            now = both
+        else:
+            yield now
+            now = g
+    if now is not None:
+        yield now
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[np.ndarray, int | None]] = {}
 
-        def flush() -> pa.RecordBatch:
-            rows = [(k, fs, big) for k, (fs, big) in found.items()]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.int64()))], names=["lid", "fs", "big"])
+def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(lid, fs, big): groups of at most TILE sets that share a prefix shingle. A larger group comes in such parts, with its
+    shingle in ``big``; a shingle known to be frequent is dealt to tasks by part from the start."""
+    kinds = pa.int64(), pa.list_(pa.int64()), pa.int64()
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["least", "fs", "big"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, np.ndarray] = {}
+        parts: list[tuple] = []
 
-        def close(g: int, s: int, f: np.ndarray) -> None:
-            fs = f[np.r_[True, f[1:] != f[:-1]]]
+        def close(g: int, s: int, f: np.ndarray, w: np.ndarray) -> None:
+            first = np.r_[True, f[1:] != f[:-1]]
+            fs = f[first] if s >= 0 else _paired(f[first], w[first] >> 1, (w[first] & 1) == 1, percent)
             if s < 0 and len(fs) <= TILE:
                 if len(fs) > 1:
-                    found[xxhash.xxh3_64_intdigest(np.ascontiguousarray(fs).tobytes()) - (1 << 63)] = fs, None
+                    found[fs.tobytes()] = fs
                 return
-            for i in range(0, len(fs), TILE):
-                found[xxhash.xxh3_64_intdigest(np.array([g, s, i], np.int64).tobytes()) - (1 << 63)] = fs[i : i + TILE], g
+            parts.extend((fs[i], fs[i : i + TILE], g) for i in range(0, len(fs), TILE))
+
+        def flush() -> pa.RecordBatch:
+            rows = [(fs[0], fs, None) for fs in found.values()] + parts
+            found.clear()
+            parts.clear()
+            return pack(rows)
 
-        rest = (np.zeros(0, np.int64),) * 3
+        rest = (np.zeros(0, np.int64),) * 4
         for b in batches:
-            g, s, f = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
+            g, s, f, w = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
             starts = np.r_[0, np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1])) + 1]
             for i in np.flatnonzero((np.diff(starts) > 1) | (s[starts[:-1]] >= 0)):
-                close(g[starts[i]], s[starts[i]], f[starts[i] : starts[i + 1]])
+                own = slice(starts[i], starts[i + 1])
+                close(g[starts[i]], s[starts[i]], f[own], w[own])
             last = starts[-1] if len(g) else 0
-            rest = g[last:], s[last:], f[last:]
-            if len(found) > 20_000:
+            rest = g[last:], s[last:], f[last:], w[last:]
+            if len(found) + len(parts) > 20_000:
                 yield flush()
         if len(rest[0]):
-            close(rest[0][0], rest[1][0], rest[2])
-        if found:
-            yield flush()
+            close(rest[0][0], rest[1][0], rest[2], rest[3])
+        yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            whole = _merged_groups([np.array(fs, np.int64) for _, fs, big in rows if big is None])
+            yield pack([(rows[0][0], fs, None) for fs in whole] + [r for r in rows if r[2] is not None])
 
-    rows = sets.select(F.explode("prefix").alias("g"), "f")
-    parts = [(int(h), int(-(-c // TILE))) for h, c in zip(heavy[0].view(np.int64), heavy[1], strict=True) if c > TILE]
+    n, early = F.col("n"), F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
+    rows = sets.select(F.posexplode("prefix").alias("at", "g"), "f", (2 * n + F.when(F.col("at") >= early, 1).otherwise(0)).alias("w"))
+    hot = [(int(h), int(-(-c // TILE))) for h, c in zip(heavy[0].view(np.int64), heavy[1], strict=True) if c > TILE]
     part = F.lit(-1).cast("long")
-    if parts:  # at most HEAVY entries
-        rows = rows.join(F.broadcast(sets.sparkSession.createDataFrame(parts, "g long, parts long")), "g", "left")
+    if hot:  # at most HEAVY entries
+        rows = rows.join(F.broadcast(sets.sparkSession.createDataFrame(hot, "g long, parts long")), "g", "left")
         part = F.coalesce(F.pmod(F.xxhash64("f", "g"), "parts"), part)
-    rows = rows.select("g", part.alias("s"), "f")
-    some = rows.repartition("g", "s").sortWithinPartitions("g", "s", "f").mapInArrow(run, "lid long, fs array<long>, big long")
-    return some.groupBy("lid").agg(F.first("fs").alias("fs"), F.first("big").alias("big"))
+    rows = rows.select("g", part.alias("s"), "f", "w")
+    some = rows.repartition("g", "s").sortWithinPartitions("g", "s", "f").mapInArrow(run, "least long, fs array<long>, big long")
+    tiles = some.repartition("least").sortWithinPartitions("least").mapInArrow(merge, "least long, fs array<long>, big long")
+    return tiles.select(F.xxhash64("fs", "big").alias("lid"), "fs", "big")
 
 
 class _Tile:
@@ -442,7 +485,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = sets.where(F.length("bits") > 0)
     row = F.struct(F.col("doc").isNull().alias("null"), "doc", "t")  # one row with the set's text
     nodes = materialise(full.groupBy("f").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    groups = materialise(_groups(full, heavy), "groups")
+    groups = materialise(_groups(full, heavy, percent), "groups")
     labels = _settle(_labelled(groups.select("lid", F.explode("fs").alias("f")), None), nodes, docs, None, n, percent)
     big = groups.where("big IS NOT NULL").select(F.col("big").alias("key"), F.explode("fs").alias("f")).distinct()
     big = _labelled(big, labels)
