@@ -203,6 +203,21 @@ def skim(sentence: str, annotator: Annotator = annotate) -> str:
     return re.sub(r" ?('s)", r"\1", re.sub(r"([(\[{]) ", r"\1", text))
 
 
+def thin_column(text: Column, mission: Mission, skim_: bool, trim_: bool, annotator: Annotator = annotate) -> Column:
+    """Sentences without words that carry little (``skim_``) and without clauses that name nothing important (``trim_``)."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            t = trim(t, mission, annotator) if trim_ else t
+            return skim(t, annotator) if skim_ else t
+
+        return s.map(one)
+
+    return run(text)
+
+
 def skim_column(text: Column, annotator: Annotator = annotate) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

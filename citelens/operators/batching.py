@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import range_of, starts
+
 MAX_LINES, MAX_BYTES, MAX_TOKENS = 50_000, 200 * 1024 * 1024, 40_000_000
 
 
@@ -31,11 +33,10 @@ def chunk_plan(stats: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MA
     return out.withColumn("chunks_per_day", per_day).withColumn("days", F.greatest(F.lit(1), F.ceil(F.col("base_chunks") / F.col("chunks_per_day"))))
 
 
-def ordinals(lines: DataFrame, block: int = 10_000) -> DataFrame:
-    """Adds a global number from 0 in the order of ord: blocks of ord are counted, then numbered within."""
-    keyed = lines.withColumn("__b", F.floor(F.col("ord") / block))
-    start = keyed.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    return keyed.join(start, "__b").withColumn("number", F.col("__s") + F.row_number().over(W.partitionBy("__b").orderBy("ord")) - 1).drop("__b", "__s")
+def ordinals(lines: DataFrame) -> DataFrame:
+    """Adds a global number from 0 in the order of ord: ranges of ord are counted, then numbered within."""
+    keyed = lines.withColumn("__b", range_of(lines, "ord"))
+    return keyed.join(F.broadcast(starts(keyed, "__b", {"__s": F.count("*")})), "__b").withColumn("number", F.col("__s") + F.row_number().over(W.partitionBy("__b").orderBy("ord")) - 1).drop("__b", "__s")
 
 
 def assign_chunks(lines: DataFrame, lines_per_chunk: int, chunks_per_day: int) -> DataFrame:
@@ -60,10 +61,43 @@ def pending(chunks: DataFrame, log: DataFrame, chunks_per_day: int) -> DataFrame
     return chunks.join(log.select("chunk").distinct(), "chunk", "left_anti").orderBy("chunk").limit(chunks_per_day)
 
 
-def submission_status(chunks: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: total, submitted and remaining chunks."""
+def submission_status(chunks: DataFrame, log: DataFrame, today: Column | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """One row: total, submitted and remaining chunks; with a date, also chunks and tokens submitted on it and tokens left."""
     sent = log.select("chunk").distinct().withColumn("sent", F.lit(True))
-    return chunks.join(sent, "chunk", "left").agg(F.count("*").alias("total"), F.count("sent").alias("submitted"), (F.count("*") - F.count("sent")).alias("remaining"))
+    out = chunks.join(sent, "chunk", "left").agg(F.count("*").alias("total"), F.count("sent").alias("submitted"), (F.count("*") - F.count("sent")).alias("remaining"))
+    if today is None:
+        return out
+    own = log.where(F.to_date("ts") == today).agg(F.count("*").alias("submitted_today"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens_today"))
+    return out.join(F.broadcast(own)).withColumn("tokens_left", F.greatest(F.lit(0), F.lit(max_tokens) - F.col("tokens_today")))  # one row each
+
+
+def submission_gate(chunks: DataFrame, log: DataFrame, today: Column, chunks_per_day: int, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(chunk, tokens, running, send): the chunks (chunk, tokens) that are next, with the tokens that they would add up to on
+    that day, and whether each may still go. A dry run: nothing is sent. Only as many chunks as a day allows meet."""
+    spent = log.where(F.to_date("ts") == today).agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("spent"))
+    order = W.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)
+    next_ = pending(chunks, log, chunks_per_day).join(F.broadcast(spent))  # one row
+    running = F.col("spent") + F.sum("tokens").over(order)
+    return next_.select("chunk", "tokens", running.alias("running"), ((running <= max_tokens) & (F.col("n") + F.count("*").over(order) <= chunks_per_day)).alias("send"))
+
+
+def verify_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(chunk, n_lines, n_bytes, tokens, ok) of chunked lines (chunk, line): whether each chunk keeps to the limits."""
+    per = lines.groupBy("chunk").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("line") + 1).alias("n_bytes"), F.sum(token_estimate(F.col("line"))).alias("tokens"))
+    return per.withColumn("ok", (F.col("n_lines") <= max_lines) & (F.col("n_bytes") <= max_bytes) & (F.col("tokens") <= max_tokens))
+
+
+def chunking_needed(stats: DataFrame, max_lines: int = MAX_LINES, max_bytes: int = MAX_BYTES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """One row: whether a file must be cut, and by which of the limits."""
+    over = {"lines": F.col("n_lines") >= max_lines, "bytes": F.col("n_bytes") >= max_bytes, "tokens": F.col("total_tokens") >= max_tokens}
+    reasons = F.array_compact(F.array(*[F.when(c, k) for k, c in over.items()]))
+    return stats.select("n_lines", "n_bytes", "total_tokens", (F.size(reasons) > 0).alias("needed"), F.array_join(reasons, ",").alias("reasons"))
+
+
+def check_model(lines: DataFrame, model: str) -> DataFrame:
+    """(model, n, ok): the models that request lines name, and whether each is the one asked for."""
+    named = F.get_json_object("line", "$.body.model")
+    return lines.groupBy(named.alias("model")).agg(F.count("*").alias("n")).withColumn("ok", F.coalesce(F.col("model") == model, F.lit(False)))
 
 
 def batch_status(log: DataFrame, remote: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import MISSIONS, Mission
 from ..functions.text import mentions
+from .ranges import range_of, starts
 
 TEXT_KEYS = ["abstract", "author", "bibcode", "body", "keyword", "keyword_norm", "pubdate", "title"]
 
@@ -73,12 +74,12 @@ def flatten(papers: DataFrame, labels: DataFrame, papertypes: list[str], mission
 def limit_papers(rows: DataFrame, n: int) -> DataFrame:
     """Whole papers in order until ``n`` rows are reached: a paper stays if fewer than n rows precede it.
 
-    The running sum is over partial sums of blocks of papers, so no task sees more than a block's papers or all block sums.
+    The running sum is over sums of ranges of ord, so no task sees more than a range's papers or all range sums.
     """
-    per = rows.groupBy("ord", "bibcode").agg(F.count("*").alias("rows")).withColumn("block", F.floor(F.col("ord") / 10_000))
-    blocks = per.groupBy("block").agg(F.sum("rows").alias("rows"))
-    before = blocks.select("block", F.coalesce(F.sum("rows").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    per = rows.groupBy("ord", "bibcode").agg(F.count("*").alias("rows"))
+    per = per.withColumn("block", range_of(per, "ord"))
     own = F.coalesce(F.sum("rows").over(W.partitionBy("block").orderBy("ord", "bibcode").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.broadcast(starts(per, "block", {"start": F.sum("rows")}))
     kept = per.withColumn("own", own).join(before, "block").where(F.col("start") + F.col("own") < n).select("ord", "bibcode")
     return rows.join(kept, ["ord", "bibcode"], "left_semi")
 
@@ -87,49 +88,68 @@ def split_order(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("bibcode").cast("string")))
 
 
+def _ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows with ``k``, their number from 1 within the key in hashed order. A key may hold most rows: they are numbered by
+    ranges of the hash, each starting where the ranges before it end."""
+    ordered = rows.withColumn("__o", split_order(seed)).withColumn("__b", F.substring("__o", 1, 4))
+    ranges = ordered.groupBy(key, "__b").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    first = ranges.select(key, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    within = F.row_number().over(W.partitionBy(key, "__b").orderBy("__o", "bibcode"))
+    return ordered.withColumn("__w", within).join(first, [key, "__b"]).withColumn("k", F.col("__s") + F.col("__w")).drop("__o", "__b", "__s", "__w")
+
+
+def levelled(counts: dict[str, int], classes: list[str], n: int) -> dict[str, int]:
+    """How many of n rows each class gets if every row goes to the smallest of them so far, by name at a tie."""
+    low = sorted(classes, key=lambda c: (counts.get(c, 0), c))
+    given = dict.fromkeys(classes, 0)
+    for i in range(len(low)):
+        level = counts.get(low[i + 1], 0) if i + 1 < len(low) else None
+        each = n // (i + 1) if level is None else min(n // (i + 1), level - counts.get(low[i], 0) - given[low[i]])
+        for c in low[: i + 1]:
+            given[c] += each
+        n -= each * (i + 1)
+        if level is None or counts.get(low[i], 0) + given[low[i]] < level:
+            break
+    for c in sorted(classes, key=lambda c: (counts.get(c, 0) + given[c], c))[:n]:
+        given[c] += 1
+    return given
+
+
 def tvt_split(labels: DataFrame, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), mode: str = "uniform", seed: int = 10) -> DataFrame:
     """(bibcode, class, split): all rows of a bibcode share one split.
 
-    A bibcode of one class is represented by it; one of several goes, in hashed order, to the smallest of its classes so
-    far (a fold over the few such bibcodes, on the driver). Then each class is ordered by hash and sliced. "uniform": every
-    class gives round(fraction x smallest class) to train and validate, the rest to test; "available": each class by its own
-    count, an error if the roundings do not sum to it.
+    A bibcode of one class is represented by it. Those of several go to the smallest of their classes so far: set of classes
+    by set of classes (these and their counts, no bibcodes, reach the driver), in hashed order within each. Then each class is
+    ordered by hash and sliced. "uniform": every class gives round(fraction x smallest class) to train and validate, the rest
+    to test; "available": each class by its own count, an error if the roundings do not sum to it.
     """
     if mode not in ("uniform", "available"):
         raise ValueError(f"unknown mode {mode}")
     total = sum(fractions)
     share = [f / total for f in fractions]
     per = labels.groupBy("bibcode").agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    single = per.where(F.size("classes") == 1).select("bibcode", F.col("classes")[0].alias("class"))
-    several = per.where(F.size("classes") > 1).withColumn("o", split_order(seed)).orderBy("o").select("bibcode", "classes").collect()
-    counts = {r["class"]: r["n"] for r in single.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    chosen = []
-    for r in several:
-        c = min(r["classes"], key=lambda k: (counts.get(k, 0), k))
-        counts[c] = counts.get(c, 0) + 1
-        chosen.append((r["bibcode"], c))
-    rep = single
-    if chosen:
-        rep = single.unionByName(labels.sparkSession.createDataFrame(chosen, single.schema))
-    sizes = {}
+    sets = sorted((list(r["classes"]), r["n"]) for r in per.groupBy("classes").agg(F.count("*").alias("n")).collect())
+    counts = {classes[0]: n for classes, n in sets if len(classes) == 1}
+    chosen = F.col("classes")[0]
+    for classes, n in sets:
+        if len(classes) > 1:
+            given, at = levelled(counts, classes, n), 0
+            for c, own in given.items():
+                at, counts[c] = at + own, counts.get(c, 0) + own
+                chosen = F.when((F.col("classes") == F.array(*[F.lit(x) for x in classes])) & (F.col("k") > at - own) & (F.col("k") <= at), c).otherwise(chosen)
+    several = _ranked(per.where(F.size("classes") > 1).withColumn("key", F.array_join("classes", "|")), "key", seed)
+    rep = per.where(F.size("classes") == 1).select("bibcode", F.col("classes")[0].alias("class"))
+    if any(len(classes) > 1 for classes, _ in sets):
+        rep = rep.unionByName(several.select("bibcode", chosen.alias("class")))
     least = min(counts.values(), default=0)
+    split = F.lit("test")
     for c, n in counts.items():
-        of = least if mode == "uniform" else n
-        train, validate, test = (round(s * of) for s in share)
+        train, validate, test = (round(s * (least if mode == "uniform" else n)) for s in share)
         if mode == "available" and train + validate + test != n:
             raise ValueError(f"fractions do not divide class {c} of {n}")
-        sizes[c] = (train, train + validate)
-    # A class may hold most rows: its order is numbered by hash range, each range starting where the ranges before end.
-    ordered = rep.withColumn("__o", split_order(seed)).withColumn("__b", F.substring("__o", 1, 4))
-    ranges = ordered.groupBy("class", "__b").agg(F.count("*").alias("__n"))
-    before = W.partitionBy("class").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranges.select("class", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    within = F.row_number().over(W.partitionBy("class", "__b").orderBy("__o", "bibcode"))
-    out = ordered.withColumn("__w", within).join(starts, ["class", "__b"]).withColumn("__k", F.col("__s") + F.col("__w"))
-    split = F.lit("test")
-    for c, (train, validate) in sizes.items():
-        split = F.when((F.col("class") == c) & (F.col("__k") <= train), "train").when((F.col("class") == c) & (F.col("__k") <= validate), "validate").otherwise(split)
-    return out.select("bibcode", "class", split.alias("split"))
+        split = F.when((F.col("class") == c) & (F.col("k") <= train), "train").when((F.col("class") == c) & (F.col("k") <= train + validate), "validate").otherwise(split)
+    return _ranked(rep, "class", seed).select("bibcode", "class", split.alias("split"))
 
 
 def truth_table(bibcodes: DataFrame, labels: DataFrame, missions: list[str], rejection: str = "rejection") -> DataFrame:

@@ -90,13 +90,43 @@ def errors(papers: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("bibcode", why.alias("error")).where("error IS NOT NULL")
 
 
-def acceptance_tally(calls: DataFrame, accept: float, inspect: float) -> DataFrame:
-    """Per lower-cased (mission, papertype): calls, accepted calls and papers, calls to inspect and papers. Lists are of the
-    group's own papers, sorted and distinct."""
+def _acceptance(accept: float, inspect: float) -> Column:
     best = F.greatest("conf_science", "conf_mention")
-    yes, look = best >= accept, (best >= inspect) & (best < accept)
-    listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("bibcode").cast("string")))), ",")
+    return F.when(best >= accept, "accept").when(best >= inspect, "inspect")
+
+
+def acceptance_tally(calls: DataFrame, accept: float, inspect: float) -> DataFrame:
+    """Per lower-cased (mission, papertype): calls, accepted calls and papers, calls to inspect and papers."""
+    route = _acceptance(accept, inspect)
+    of = lambda r: F.coalesce(route == r, F.lit(False))
     return calls.groupBy(F.lower("mission").alias("mission"), F.lower("papertype").alias("papertype")).agg(
-        F.count("*").alias("total_count"), F.count_if(yes).alias("accepted_count"), F.countDistinct(F.when(yes, F.col("bibcode"))).alias("accepted_papers"),
-        F.count_if(look).alias("inspection_count"), F.countDistinct(F.when(look, F.col("bibcode"))).alias("inspection_papers"), listed(yes).alias("accepted_bibcodes"), listed(look).alias("inspection_bibcodes"),
+        F.count("*").alias("total_count"), F.count_if(of("accept")).alias("accepted_count"), F.countDistinct(F.when(of("accept"), F.col("bibcode"))).alias("accepted_papers"),
+        F.count_if(of("inspect")).alias("inspection_count"), F.countDistinct(F.when(of("inspect"), F.col("bibcode"))).alias("inspection_papers"),
     )
+
+
+def acceptance_papers(calls: DataFrame, accept: float, inspect: float) -> DataFrame:
+    """(mission, papertype, route, bibcode): the papers behind the tally, one row each."""
+    return calls.select(F.lower("mission").alias("mission"), F.lower("papertype").alias("papertype"), _acceptance(accept, inspect).alias("route"), "bibcode").where("route IS NOT NULL").distinct()
+
+
+def evaluate(papers: DataFrame, runs: DataFrame, human: DataFrame, found: DataFrame, wanted: DataFrame, accept: float = ACCEPT, inspect: float = INSPECT) -> dict[str, DataFrame]:
+    """All of an evaluation from runs to summary, for the ``wanted`` bibcodes: "missions" (mission confidences), "classes"
+    (grouped calls with agreement, route and whether the text names the mission), "missing" (missions one side lacks),
+    "hallucinated", and "errors" (papers without a source or an output, the latter with their human labels).
+
+    ``human``: (bibcode, mission, papertype); ``found``: (bibcode, mission) that the texts name."""
+    ids = wanted.select("bibcode").distinct()
+    failed = errors(papers, runs, ids)
+    calls = explode_calls(runs.join(ids, "bibcode", "left_semi").join(failed, "bibcode", "left_anti"))
+    own = human.join(ids, "bibcode", "left_semi")
+    grouped = grouped_calls(calls)
+    per = mission_confidence(grouped)
+    wrong = hallucinated(calls, found)
+    routes = route(grouped, per, accept, inspect).select("bibcode", "mission", "papertype", "route")
+    named = wrong.select("bibcode", F.col("mission").alias("__m"), F.lit(True).alias("__h"))
+    agreed = consistency(grouped, own).withColumn("__m", F.upper("mission")).join(routes, ["bibcode", "mission", "papertype"], "left").join(named, ["bibcode", "__m"], "left")
+    classes = agreed.withColumn("hallucinated", F.coalesce("__h", F.lit(False))).drop("__m", "__h")
+    labels = own.groupBy("bibcode").agg(F.array_sort(F.collect_set(F.concat_ws(":", F.upper("mission"), "papertype"))).alias("labels"))
+    reported = failed.join(labels, "bibcode", "left").withColumn("human", F.when(F.col("error").startswith("No mission output"), F.array_join("labels", ","))).select("bibcode", "error", "human")
+    return {"missions": per, "classes": classes, "missing": missing_missions(calls, own), "hallucinated": wrong, "errors": reported}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import range_of, starts
+
 POSITIVE, NEGATIVE = "SCIENCE", "NONSCIENCE"
 # Which paper types count as science.
 PAPERTYPES = {"science": POSITIVE, "mention": NEGATIVE, "supermention": NEGATIVE, "data_influenced": NEGATIVE, "data-influenced": NEGATIVE, "unresolved_grey": NEGATIVE, "engineering": NEGATIVE, "instrument": NEGATIVE}
@@ -20,11 +22,24 @@ def map_papertype(papertype: Column, mapping: dict[str, str] = PAPERTYPES) -> Co
     return out
 
 
+# The masks of the pretrained classifier's classes.
+MASKS = {"science": "science", "mention": "mention", "supermention": "mention", "data_influenced": "data_influenced"}
+
+
+def mask_class(papertype: Column, masks: dict[str, str] = MASKS, other: str = "other") -> Column:
+    """The pretrained classifier's class of a paper type in any case; ``other`` for an unknown one, null for null."""
+    low = F.lower(papertype)
+    return F.when(papertype.isNotNull(), F.coalesce(F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])[low], F.lit(other)))
+
+
 def label_pairs(bibcodes: DataFrame, missions: DataFrame, human: DataFrame, llm: DataFrame) -> DataFrame:
     """(bibcode, mission, human_raw, llm_raw, human, llm) for every paper and requested mission. Missions are upper-cased.
-    One side only: the other counts as ignored, so NONSCIENCE; neither: both NONSCIENCE. Of two model labels the first by
-    name counts. The missions are few and fixed: they are exploded, not joined."""
-    one = lambda df, c: df.groupBy("bibcode", F.upper("mission").alias("mission")).agg(F.min("papertype").alias(c))
+    One side only: the other counts as ignored, so NONSCIENCE; neither: both NONSCIENCE. Of several labels the first counts,
+    by a column ``ord`` where the table has one, else by name. The missions are few and fixed: they are exploded, not joined."""
+    def one(df: DataFrame, c: str) -> DataFrame:
+        first = F.min_by("papertype", F.struct("ord", "papertype")) if "ord" in df.columns else F.min("papertype")
+        return df.groupBy("bibcode", F.upper("mission").alias("mission")).agg(first.alias(c))
+
     grid = bibcodes.select("bibcode").distinct().select("bibcode", F.explode(F.array(*[F.lit(m["mission"].upper()) for m in missions.collect()])).alias("mission"))
     both = grid.join(one(human, "human_raw"), ["bibcode", "mission"], "left").join(one(llm, "llm_raw"), ["bibcode", "mission"], "left")
     return both.withColumns({"human": F.coalesce(map_papertype(F.col("human_raw")), F.lit(NEGATIVE)), "llm": F.coalesce(map_papertype(F.col("llm_raw")), F.lit(NEGATIVE))})
@@ -80,29 +95,52 @@ def roc_scores(pairs: DataFrame, per_mission: DataFrame) -> DataFrame:
 def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) by descending score, from a start at infinity; scores on a straight line are dropped.
 
-    Rows are first summed per distinct score, so the running sums see one row per score; round scores to bound their number.
+    Rows are summed per distinct score, and running sums go by ranges of scores: no task sees more than one range's scores.
     """
     per = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    points = per.select(F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
-    total = scores.agg(F.sum("label").alias("ps"), F.sum(1 - F.col("label")).alias("ns"))
-    start = total.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    per = per.persist()  # one row per distinct score, read several times below
+    per = per.withColumn("block", range_of(per, "score"))
+    edges = per.groupBy("block").agg(F.max_by(F.struct("p", "n"), "score").alias("top"))
+    below = edges.select("block", F.lag("top").over(W.orderBy("block")).alias("below"), F.lead("block").over(W.orderBy("block")).isNull().alias("highest"))
+    joined = per.join(F.broadcast(starts(per, "block", {"p0": F.sum("p"), "n0": F.sum("n")}, descending=True)), "block").join(F.broadcast(below), "block")
+    w = W.partitionBy("block").orderBy(F.desc("score"))
+    down = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    next_ = F.coalesce(F.lead(F.struct("p", "n")).over(w), F.col("below"))
+    points = joined.select(
+        F.col("score").alias("threshold"), (F.col("p0") + F.sum("p").over(down)).alias("tp"), (F.col("n0") + F.sum("n").over(down)).alias("fp"),
+        (next_.isNull() | (F.col("highest") & (F.row_number().over(w) == 1)) | (next_["p"] != F.col("p")) | (next_["n"] != F.col("n"))).alias("bend"),
+    )
     if drop_collinear:
-        w = W.orderBy(F.desc("threshold"))
-        step = lambda c: (F.col(c) - F.lag(c).over(w), F.lead(c).over(w) - F.col(c))
-        (t0, t1), (f0, f1) = step("tp"), step("fp")
-        points = points.withColumn("keep", t0.isNull() | t1.isNull() | (t0 != t1) | (f0 != f1)).where("keep").drop("keep")
-    points = start.unionByName(points)
-    points = points.join(F.broadcast(total))  # one row
+        points = points.where("bend")
+    total = per.agg(F.sum("p").alias("ps"), F.sum("n").alias("ns"))
+    start = total.select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    points = start.unionByName(points.drop("bend")).join(F.broadcast(total))  # one row
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return points.select("threshold", "tp", "fp", rate("tp", "ps").alias("tpr"), rate("fp", "ns").alias("fpr"))
 
 
-def auc(curve: DataFrame) -> DataFrame:
-    """One row: the area under a curve, by trapezoids."""
-    w = W.orderBy(F.desc("threshold"))
-    steps = curve.select((F.col("fpr") - F.lag("fpr").over(w)).alias("dx"), (F.col("tpr") + F.lag("tpr").over(w)).alias("y"))
-    return steps.agg(F.coalesce(F.sum(F.col("dx") * F.col("y") / 2), F.lit(0.0)).alias("auc"))
+def auc(scores: DataFrame) -> DataFrame:
+    """One row: the area under the curve of rows (label, score), by trapezoids: each score's negatives times the positives above
+    it and half of those at it. 0 if a class is missing."""
+    per = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).persist()
+    per = per.withColumn("block", range_of(per, "score"))
+    above = F.coalesce(F.sum("p").over(W.partitionBy("block").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = per.withColumn("above", above).join(F.broadcast(starts(per, "block", {"p0": F.sum("p")}, descending=True)), "block")
+    area = F.sum(F.col("n") * (F.col("p0") + F.col("above") + F.col("p") / 2))
+    return joined.agg(F.coalesce(F.try_divide(area, (F.sum("p") * F.sum("n")).cast("double")), F.lit(0.0)).alias("auc"))
+
+
+def auc_per_class(rows: DataFrame, classes: list[str], round_to: int = 6) -> DataFrame:
+    """(class, auc) of rows (actual, probs map<class, double>), one class against the rest; then "macro", the mean of the
+    classes, and "micro", over all (row, class) decisions together. Scores are rounded, which bounds how many are distinct."""
+    each = F.array(*[F.struct(F.lit(c).alias("class"), (F.col("actual") == c).cast("int").alias("label"), F.round(F.coalesce(F.col("probs")[c], F.lit(0.0)), round_to).alias("score")) for c in classes])
+    decisions = rows.select(F.inline(each))
+    both = decisions.unionByName(decisions.withColumn("class", F.lit("micro")))
+    per = both.groupBy("class", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    above = F.coalesce(F.sum("p").over(W.partitionBy("class").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    area = F.sum(F.col("n") * (F.col("above") + F.col("p") / 2))
+    own = per.withColumn("above", above).groupBy("class").agg(F.coalesce(F.try_divide(area, (F.sum("p") * F.sum("n")).cast("double")), F.lit(0.0)).alias("auc"))
+    return own.unionByName(own.where("class <> 'micro'").agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc")))
 
 
 def nearest_thresholds(curve: DataFrame) -> DataFrame:
@@ -113,13 +151,21 @@ def nearest_thresholds(curve: DataFrame) -> DataFrame:
     return near.groupBy("wanted").agg(F.min_by(F.struct("threshold", "tpr", "fpr"), key).alias("p")).select("wanted", "p.*")
 
 
-def callouts(pairs: DataFrame, human: DataFrame, llm: DataFrame, missions: list[str]) -> DataFrame:
-    """One row of counts: papers, human and model calls of requested missions, distinct model missions beyond them, calls both made."""
+def callouts(pairs: DataFrame, human: DataFrame, llm: DataFrame, missions: list[str], failed: DataFrame | None = None, hallucinated: DataFrame | None = None) -> DataFrame:
+    """One row of counts: papers, human and model calls of requested missions, distinct model missions beyond them, calls both
+    made. With ``failed`` (bibcode, error): papers without an output; with ``hallucinated`` (bibcode, mission), calls that the
+    text does not bear out: how many of them people made as well."""
     names = [m.upper() for m in missions]
     own = pairs.agg(F.countDistinct("bibcode").alias("n_bibcodes"), F.count("human_raw").alias("n_human_callouts"), F.count("llm_raw").alias("n_llm_callouts"),
                     F.count_if(F.col("human_raw").isNotNull() & F.col("llm_raw").isNotNull()).alias("n_both_callouts"))
     beyond = llm.where(~F.upper("mission").isin(names)).agg(F.countDistinct(F.upper("mission")).alias("n_non_mission"))
-    return own.join(F.broadcast(beyond))  # one row each
+    out = own.join(F.broadcast(beyond))  # one row each, as are the others
+    if failed is not None:
+        out = out.join(F.broadcast(failed.agg(F.count_if(F.col("error").startswith("No mission output")).alias("n_missing_output"))))
+    if hallucinated is not None:
+        joint = hallucinated.select("bibcode", F.upper("mission").alias("mission")).distinct().join(human.select("bibcode", F.upper("mission").alias("mission")).distinct(), ["bibcode", "mission"], "left_semi")
+        out = out.join(F.broadcast(joint.agg(F.count("*").alias("n_joint_hallucinations"))))
+    return out
 
 
 def audit(human: DataFrame, llm: DataFrame) -> DataFrame:
@@ -141,7 +187,10 @@ def llm_only(human: DataFrame, llm: DataFrame) -> DataFrame:
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:
-    """One row: papers and classifications that failed, and each kind's count."""
-    bad = audited.where("result IS NOT NULL AND result <> 'matched'")
+    """One row: papers and classifications that failed, and each kind's count. With a column ``flag``, a flagged row counts as
+    failed whatever its result, and flags are counted."""
+    flagged = F.coalesce(F.col("flag"), F.lit(False)) if "flag" in audited.columns else F.lit(False)
+    bad = audited.where(flagged | (F.col("result").isNotNull() & (F.col("result") != "matched")))
     kinds = ("false_positive", "false_negative", "false_negative_because_ignored", "ignored")
-    return bad.agg(F.countDistinct("bibcode").alias("n_papers"), F.count("*").alias("n_classifications"), *[F.count_if(F.col("result") == k).alias(k) for k in kinds])
+    more = [F.count_if(flagged).alias("flag")] if "flag" in audited.columns else []
+    return bad.agg(F.countDistinct("bibcode").alias("n_papers"), F.count("*").alias("n_classifications"), *[F.count_if(F.col("result") == k).alias(k) for k in kinds], *more)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nlp
 from ..functions.registry import MISSIONS, Mission
-from ..functions.text import acronym_in, forms, let, mention_in, phrase_in, sentences
+from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline
 
 
 def merge_spans(hits: DataFrame, keys: list[str], buffer: int) -> DataFrame:
@@ -95,3 +95,25 @@ def paragraphs(papers: DataFrame, text: Column, buffer: int = 0, missions: tuple
 def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
     """(bibcode, mission) where the text has a paragraph for the mission. Each row is a paper."""
     return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
+
+
+def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, annotator: nlp.Annotator = nlp.annotate) -> DataFrame:
+    """(bibcode, modif, modif_none) of every paper: a mission's paragraphs after the steps of ``mode``, and as they are, each
+    joined by line breaks; empty where the text has none. Steps, joined by "_" and applied in this order: "skim", "trim",
+    "anon", or "none"; then the text is streamlined. "trim" needs single sentences, so buffer 0."""
+    steps = mode.split("_")
+    if not set(steps) <= {"none", "skim", "trim", "anon"} or ("none" in steps and len(steps) > 1):
+        raise ValueError(f"unknown mode {mode}")
+    if "trim" in steps and buffer:
+        raise ValueError("trim works on single sentences: buffer must be 0")
+    found = paragraphs(papers, text, buffer, (mission,), undecided)
+    now = F.col("paragraph")
+    if "skim" in steps or "trim" in steps:
+        now = nlp.thin_column(now, mission, "skim" in steps, "trim" in steps, annotator)
+    if "anon" in steps:
+        now = anonymise(now, mission)
+    made = found.select("bibcode", "lo", streamline(now).alias("m"), F.col("paragraph").alias("p"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", c))), lambda x: x[c]), "\n")
+    per = made.groupBy("bibcode").agg(joined("m").alias("modif"), joined("p").alias("modif_none"))
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return papers.select("bibcode").join(per, "bibcode", "left").select("bibcode", empty("modif"), empty("modif_none"))

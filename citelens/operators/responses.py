@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,8 +59,38 @@ def output_key(bibcode: Column, file: Column) -> Column:
     return F.coalesce(bibcode, F.coalesce(F.nullif(F.regexp_extract(file, r"temp_[^_]*_(.*)\.json$", 1), F.lit("")), file))
 
 
-def source_kind(source: Column) -> Column:
-    return F.when(source.rlike("^[0-9]+$"), "index").otherwise("bibcode")
+def source_kind(source: Column, files: list[str] | None = None) -> Column:
+    """What a source names: one of the known ``files``, an index, or a bibcode."""
+    kind = F.when(source.rlike("^[0-9]+$"), "index").otherwise("bibcode")
+    return F.when(source.isin(files), "file").otherwise(kind) if files else kind
+
+
+def unfilled_fields(template: str, fields: list[str]) -> list[str]:
+    """The fields of a prompt template that a paper's columns do not fill, in order."""
+    return list(dict.fromkeys(f for f in re.findall(r"\{(\w+)\}", template) if f not in fields))
+
+
+def classify_papers(papers: DataFrame, prompt: Column, responder: Callable[[str], str], n_runs: int = 1) -> DataFrame:
+    """Runs (bibcode, run, notes, error, missions) of a model: ``responder`` turns a prompt into a response text and is called
+    in the tasks, ``n_runs`` times a paper; if it raises, the message is the run's error. Names are set to their registered
+    spelling, quotes stripped; a response that fails validation keeps its error."""
+
+    @F.pandas_udf("struct<text:string,failed:string>")
+    def ask(prompts: pd.Series) -> pd.DataFrame:
+        def one(p: str | None) -> tuple[str | None, str | None]:
+            try:
+                return responder(p or ""), None
+            except Exception as e:  # noqa: BLE001  a run's failure is data
+                return None, f"{type(e).__name__}: {e}"
+
+        return pd.DataFrame([one(p) for p in prompts], columns=["text", "failed"])
+
+    each = papers.select("bibcode", prompt.alias("prompt"), F.explode(F.sequence(F.lit(1), F.lit(n_runs))).alias("run"))
+    said = each.select("bibcode", "run", ask.asNondeterministic()("prompt").alias("a")).select("bibcode", "run", "a.*")
+    parsed = said.withColumn("p", parse_response(F.col("text")))
+    missions = F.transform("p.response.missions", lambda m: m.withField("mission", F.coalesce(canonical_mission(m["mission"]), m["mission"])).withField("quotes", strip_quotes(m["quotes"])))
+    error = F.coalesce("failed", "p.error", F.when(~unique_missions(F.col("missions")) | F.exists("missions", lambda m: ~valid_confidence(m["confidence"])), "Validation failed"))
+    return parsed.withColumn("missions", missions).select("bibcode", "run", F.col("p.response.notes").alias("notes"), error.alias("error"), "missions")
 
 
 def keep_latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.registry import Mission
+from .dataset import tvt_split
+
 LOW, ERROR, NO_MATCH, NOT_CLASSIFIED = "lowprob", "error", "nomatch", "donotclassify"
 SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -38,6 +42,37 @@ def routed_verdict(classes: list[str], probs: Column, text: Column, do_not_class
     return F.when(failed, ERROR).when(F.coalesce(F.trim(text) == "", F.lit(True)), NO_MATCH).when(do_not_classify, NOT_CLASSIFIED).otherwise(verdict(classes, probs, threshold))
 
 
+def classify_set(texts: DataFrame, missions: tuple[Mission, ...], modify: Callable[[DataFrame, Mission], DataFrame], score: Callable[[DataFrame], DataFrame], classes: list[str], threshold: float = 0.7) -> DataFrame:
+    """(id, bibcode, mission, verdict, probs): every text classified for every mission. ``modify`` gives a mission's
+    (bibcode, modif), empty where the text does not name it; ``score`` adds probs to a table with a column text. The missions
+    are few and fixed: one branch each, of one plan; texts are scored once for all of them."""
+    per = [modify(texts, m).select("bibcode", F.lit(m.label).alias("mission"), F.lit(m.do_not_classify).alias("skip"), F.col("modif").alias("text")) for m in missions]
+    every = reduce(DataFrame.unionByName, per)
+    scored = score(every)
+    probs = F.array(*[F.coalesce(F.col("probs")[c], F.lit(0.0)) for c in classes])
+    said = routed_verdict(classes, probs, F.col("text"), F.col("skip"), F.col("probs").isNull() & (F.trim("text") != ""), threshold)
+    return scored.select(F.concat_ws("_", "bibcode", "mission").alias("id"), "bibcode", "mission", said.alias("verdict"), "probs")
+
+
+def train_with_quarantine(rows: DataFrame, modify: Callable[[DataFrame], DataFrame], train: Callable[[DataFrame], object], fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 10):
+    """(model, splits, quarantine) of rows (bibcode, class, ...): ``modify`` adds ``text`` and ``error``; rows with an error or
+    without text go to quarantine with the reason, the rest are split by bibcode, and ``train`` fits on the train split."""
+    made = modify(rows)
+    reason = F.coalesce("error", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no text"))
+    quarantine = made.where(reason.isNotNull()).select("bibcode", "class", reason.alias("error"))
+    good = made.where(reason.isNull())
+    splits = good.join(tvt_split(good.select("bibcode", "class"), fractions, seed=seed).select("bibcode", "split"), "bibcode")
+    return train(splits.where("split = 'train'")), splits, quarantine
+
+
+def performance(rows: DataFrame, classes: list[str], probs: Column, actual: Column, steps: Column | None = None) -> DataFrame:
+    """(threshold, actual, measured, n): counts of verdicts at every threshold of a sweep, in one pass over the rows."""
+    each = rows.select(actual.alias("actual"), probs.alias("__p"), F.explode(thresholds() if steps is None else steps).alias("threshold"))
+    best = F.array_max("__p")
+    named = F.get(F.array(*[F.lit(c) for c in classes]), F.array_position("__p", best).cast("int") - 1)
+    return each.select("threshold", "actual", F.when(best < F.col("threshold"), LOW).otherwise(named).alias("measured")).groupBy("threshold", "actual", "measured").agg(F.count("*").alias("n"))
+
+
 def counters(rows: DataFrame, actual: list[str], measured: list[str]) -> DataFrame:
     """(actual, measured, n, total, share): zero-filled counts of every pair of the domains, and shares of each actual class."""
     domain = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(a) for a in actual])).alias("actual")).select("actual", F.explode(F.array(*[F.lit(m) for m in measured])).alias("measured"))

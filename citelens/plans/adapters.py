@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import LABELS
+from ..sources.files import spread
 
 PROBES = [
     "We used that H S-T data in our work. The dog left the house.", "It shows that H.S T data. Fig. 4 shows the red vs. blue stars.",
@@ -38,7 +39,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat("text", F.lit("\n"), _pick(PROBES, F.col("doc_id")))
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("bibcode"), F.col("doc_id").alias("ord"), F.array("source").alias("title"), F.lit(None).cast("string").alias("abstract"), body.alias("body"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(F.col("doc_id").alias("bibcode"), F.col("doc_id").alias("ord"), F.array("source").alias("title"), F.lit(None).cast("string").alias("abstract"), body.alias("body"))
 
 
 PAPERS = f"""papers AS (SELECT doc_id AS bibcode, doc_id AS ord, source AS title,
@@ -54,6 +55,18 @@ TRACK = f"""track AS (SELECT doc_id AS bibcode, ({_array(LABELS)})[CAST(doc_id %
   CASE WHEN quality = 1 AND toxic = 0 THEN 'SCIENCE' WHEN quality = 1 AND toxic = 1 THEN 'MENTION' WHEN toxic = 0 THEN 'SUPERMENTION' ELSE 'DATA_INFLUENCED' END AS papertype FROM labels)"""
 
 
+def several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of papers with one to three missions: every third has a second one of another type, every sixth repeats the first."""
+    one = track(spark, sf_dir)
+    b = F.col("bibcode")
+    second = one.where(b % 3 == 0).select("bibcode", _pick(LABELS, b + 5).alias("mission"), F.when(F.col("papertype") == "SCIENCE", "MENTION").otherwise("SCIENCE").alias("papertype"))
+    return one.unionByName(second).unionByName(one.where(b % 6 == 0))
+
+
+SEVERAL = TRACK + f""", several AS (SELECT * FROM track UNION ALL SELECT bibcode, ({_array(LABELS)})[CAST((bibcode + 5) % {len(LABELS)} AS INTEGER) + 1], CASE WHEN papertype = 'SCIENCE' THEN 'MENTION' ELSE 'SCIENCE' END FROM track WHERE bibcode % 3 = 0
+  UNION ALL SELECT * FROM track WHERE bibcode % 6 = 0)"""
+
+
 def track_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As (bibcode, searches, class_missions)."""
     return track(spark, sf_dir).select("bibcode", F.array(F.struct(F.lower("mission").alias("search_key"), (F.col("bibcode") % 2 == 0).alias("ignored"))).alias("searches"), F.array(F.struct("mission", F.col("papertype").alias("paper_type"))).alias("class_missions"))

@@ -137,13 +137,17 @@ def _scores(s, d):
 @query("q_ops_stats", "WITH " + A.CALLS + f""", c AS (SELECT *, greatest(conf_science, conf_mention) AS best FROM calls)
 SELECT lower(mission) AS mission, lower(papertype) AS papertype, count(*) AS total_count, count(*) FILTER (best >= {ACCEPT}) AS accepted_count,
   count(DISTINCT bibcode) FILTER (best >= {ACCEPT}) AS accepted_papers, count(*) FILTER (best >= {INSPECT} AND best < {ACCEPT}) AS inspection_count,
-  count(DISTINCT bibcode) FILTER (best >= {INSPECT} AND best < {ACCEPT}) AS inspection_papers,
-  coalesce(list_aggregate(list_sort(list(DISTINCT CAST(bibcode AS VARCHAR)) FILTER (best >= {ACCEPT})), 'string_agg', ','), '') AS accepted_bibcodes,
-  coalesce(list_aggregate(list_sort(list(DISTINCT CAST(bibcode AS VARCHAR)) FILTER (best >= {INSPECT} AND best < {ACCEPT})), 'string_agg', ','), '') AS inspection_bibcodes FROM c GROUP BY 1, 2""")
+  count(DISTINCT bibcode) FILTER (best >= {INSPECT} AND best < {ACCEPT}) AS inspection_papers FROM c GROUP BY 1, 2""")
 def q_ops_stats(s, d):
     return evaluation.acceptance_tally(_calls(s, d), ACCEPT, INSPECT)
 
 
+@query("q_ops_papers", "WITH " + A.CALLS + f""" SELECT DISTINCT lower(mission) AS mission, lower(papertype) AS papertype, CASE WHEN greatest(conf_science, conf_mention) >= {ACCEPT} THEN 'accept' ELSE 'inspect' END AS route, bibcode
+FROM calls WHERE greatest(conf_science, conf_mention) >= {INSPECT}""")
+def q_ops_papers(s, d):
+    return evaluation.acceptance_papers(_calls(s, d), ACCEPT, INSPECT)
+
+
 @query("q_eval_grouped", "WITH " + GROUPED + " SELECT * FROM grouped")
 def q_eval_grouped(s, d):
     return _grouped(s, d)
@@ -230,7 +234,7 @@ def q_roc_points(s, d):
 
 @query("q_auc", f"WITH {ROC}, st AS (SELECT fpr - lag(fpr) OVER (ORDER BY threshold DESC) AS dx, tpr + lag(tpr) OVER (ORDER BY threshold DESC) AS y FROM curve) SELECT round(sum(dx * y / 2), 9) AS auc FROM st")
 def q_auc(s, d):
-    return metrics.auc(metrics.roc_curve(_scores(s, d))).select(F.round("auc", 9).alias("auc"))
+    return metrics.auc(_scores(s, d)).select(F.round("auc", 9).alias("auc"))
 
 
 @query("q_roc_nearest", f"""WITH {ROC}, k AS (SELECT i / CAST(10 AS DOUBLE) AS wanted FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i)),
@@ -264,9 +268,78 @@ def q_audit_summary(s, d):
     return metrics.audit_summary(metrics.audit(A.track(s, d), _llm(s, d)))
 
 
+@query("q_audit_flags", f"""WITH {_AUDIT}, fl AS (SELECT *, bibcode % 7 = 0 AS flag FROM audit) SELECT count(DISTINCT bibcode) AS n_papers, count(*) AS n_classifications, count(*) FILTER (result = 'false_positive') AS false_positive,
+  count(*) FILTER (result = 'false_negative') AS false_negative, count(*) FILTER (result = 'false_negative_because_ignored') AS false_negative_because_ignored, count(*) FILTER (result = 'ignored') AS ignored, count(*) FILTER (flag) AS flag
+  FROM fl WHERE flag OR result <> 'matched'""")
+def q_audit_flags(s, d):
+    return metrics.audit_summary(metrics.audit(A.track(s, d), _llm(s, d)).withColumn("flag", F.col("bibcode") % 7 == 0))
+
+
+@query("q_callouts_full", f"""WITH {PAIRS}, failed AS (SELECT doc_id AS bibcode FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT bibcode FROM calls)),
+own AS (SELECT count(DISTINCT bibcode) AS n_bibcodes, count(human_raw) AS n_human_callouts, count(llm_raw) AS n_llm_callouts, count(*) FILTER (human_raw IS NOT NULL AND llm_raw IS NOT NULL) AS n_both_callouts FROM pairs),
+wrong AS (SELECT DISTINCT bibcode, mission FROM calls WHERE bibcode % 2 = 0)
+SELECT own.*, 0 AS n_non_mission, (SELECT count(DISTINCT bibcode) FROM failed) AS n_missing_output, (SELECT count(*) FROM wrong WHERE (bibcode, mission) IN (SELECT (bibcode, mission) FROM track)) AS n_joint_hallucinations FROM own""")
+def q_callouts_full(s, d):
+    """Calls of papers with an even bibcode stand for hallucinated ones."""
+    ids = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"))
+    papers = A.read(s, d, "documents").select(F.col("doc_id").alias("bibcode"))
+    return metrics.callouts(_pairs(s, d), A.track(s, d), _llm(s, d), list(LABELS), evaluation.errors(papers, A.runs(s, d), ids), _calls(s, d).where("bibcode % 2 = 0"))
+
+
+@query("q_auc_classes", f"""WITH {A.CALLS}, {A.TRACK}, r AS (SELECT c.*, CASE WHEN t.papertype = 'SCIENCE' THEN 'science' WHEN t.papertype = 'MENTION' THEN 'mention' ELSE 'other' END AS actual FROM calls c JOIN track t USING (bibcode)),
+dec AS (SELECT 'science' AS class, actual, round(conf_science, 6) AS score FROM r UNION ALL SELECT 'mention', actual, round(conf_mention, 6) FROM r UNION ALL SELECT 'other', actual, round(conf_science * conf_mention, 6) FROM r),
+lab AS (SELECT class, CASE WHEN actual = class THEN 1 ELSE 0 END AS label, score FROM dec UNION ALL SELECT 'micro', CASE WHEN actual = class THEN 1 ELSE 0 END, score FROM dec),
+per AS (SELECT class, score, sum(label) AS p, sum(1 - label) AS n FROM lab GROUP BY 1, 2),
+cum AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM per),
+own AS (SELECT class, coalesce(CAST(sum(n * (above + p / CAST(2 AS DOUBLE))) AS DOUBLE) / nullif(CAST(sum(p) * sum(n) AS DOUBLE), 0), 0) AS auc FROM cum GROUP BY 1)
+SELECT class, round(auc, 9) AS auc FROM own UNION ALL SELECT 'macro', round(avg(auc), 9) FROM own WHERE class <> 'micro'""")
+def q_auc_classes(s, d):
+    actual = F.when(F.col("human") == "SCIENCE", "science").when(F.col("human") == "MENTION", "mention").otherwise("other")
+    probs = F.create_map(F.lit("science"), F.col("conf_science"), F.lit("mention"), F.col("conf_mention"), F.lit("other"), F.col("conf_science") * F.col("conf_mention"))
+    rows = _calls(s, d).join(A.track(s, d).select("bibcode", F.col("papertype").alias("human")), "bibcode").select(actual.alias("actual"), probs.alias("probs"))
+    return metrics.auc_per_class(rows, ["science", "mention", "other"]).withColumn("auc", F.round("auc", 9))
+
+
+@query("q_mask_class", f"WITH {A.TRACK} SELECT CASE papertype WHEN 'SCIENCE' THEN 'science' WHEN 'MENTION' THEN 'mention' WHEN 'SUPERMENTION' THEN 'mention' WHEN 'DATA_INFLUENCED' THEN 'data_influenced' ELSE 'other' END AS mask, count(*) AS n FROM track GROUP BY 1")
+def q_mask_class(s, d):
+    return A.track(s, d).groupBy(metrics.mask_class(F.col("papertype")).alias("mask")).agg(F.count("*").alias("n"))
+
+
+@query("q_evaluate", "WITH " + ROUTED + f""", {A.TRACK}, names AS (SELECT doc_id AS bibcode, ({A._array(LABELS)})[CAST(doc_id % {len(LABELS)} AS INTEGER) + 1] AS mission FROM documents)
+SELECT g.bibcode, g.mission, g.papertype, g."count", g.weighted_science, t.bibcode IS NOT NULL AS in_human_class, CASE WHEN t.bibcode IS NOT NULL THEN round_even(100.0 * g."count" / g.n_runs, 3) ELSE 0 END AS consistency, r.route, n.bibcode IS NULL AS hallucinated
+FROM grouped g LEFT JOIN track t ON t.bibcode = g.bibcode AND t.mission = g.mission AND t.papertype = g.papertype LEFT JOIN routed r ON r.bibcode = g.bibcode AND r.mission = g.mission AND r.papertype = g.papertype
+LEFT JOIN names n ON n.bibcode = g.bibcode AND n.mission = g.mission WHERE g.bibcode IN (SELECT doc_id FROM documents)""")
+def q_evaluate(s, d):
+    """One call from runs to summary; of each paper the text is taken to name one mission."""
+    papers = A.read(s, d, "documents").select(F.col("doc_id").alias("bibcode"))
+    found = papers.select("bibcode", A._pick(LABELS, F.col("bibcode")).alias("mission"))
+    wanted = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"))
+    out = evaluation.evaluate(papers, A.runs(s, d), A.track(s, d), found, wanted, ROUTE_ACCEPT, ROUTE_INSPECT)
+    return out["classes"].select("bibcode", "mission", "papertype", "count", "weighted_science", "in_human_class", "consistency", "route", "hallucinated")
+
+
 # Dataset
 
 
+@query("q_flatten_several", f"""WITH {A.SEVERAL}, k AS (SELECT s.*, CASE mission {' '.join(f"WHEN '{m.label}' THEN '{m.name}'" for m in MISSIONS)} END AS name FROM several s WHERE papertype IN ('SCIENCE', 'MENTION'))
+SELECT doc_id AS ord, doc_id AS bibcode, papertype AS class, name AS mission, row_number() OVER (PARTITION BY doc_id ORDER BY name, papertype) - 1 AS i_mission, doc_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY name, papertype) - 1) AS id FROM documents JOIN k ON doc_id = bibcode""")
+def q_flatten_several(s, d):
+    """Papers with one to three labels, of one or more classes, some of them repeated."""
+    return dataset.flatten(A.papers(s, d), A.several(s, d), _TYPES).drop("text")
+
+
+@query("q_limit_several", f"""WITH {A.SEVERAL}, c AS (SELECT bibcode AS ord, bibcode, count(*) AS n FROM several GROUP BY bibcode), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT s.bibcode, s.mission, s.papertype FROM several s JOIN r USING (bibcode) WHERE before < 1000""")
+def q_limit_several(s, d):
+    return dataset.limit_papers(A.several(s, d).withColumn("ord", F.col("bibcode")), 1000).select("bibcode", "mission", "papertype")
+
+
+@query("q_tvt_several")
+def q_tvt_several(s, d):
+    """Papers of several classes among them; a test folds row by row."""
+    return dataset.tvt_split(A.several(s, d).select("bibcode", F.col("papertype").alias("class")))
+
+
 @query("q_combine", "WITH " + A.PAPERS + ", " + A.TRACK + """ SELECT p.bibcode, t.mission, t.papertype, p.bibcode % 2 = 0 AS ignored, length(p.body) AS n_chars FROM papers p JOIN track t USING (bibcode)""")
 def q_combine(s, d):
     both = dataset.combine(A.papers(s, d), A.track_nested(s, d))
@@ -495,6 +568,43 @@ def q_submission_status(s, d):
     return batching.submission_status(A.lines(s, d).select(F.col("ord").alias("chunk")), A.log(s, d).select((F.col("chunk") * 2).alias("chunk")))
 
 
+@query("q_verify_chunks", f"""WITH {A.LINES}, o AS (SELECT line, (row_number() OVER (ORDER BY ord) - 1) // 40 + 1 AS chunk FROM lines),
+c AS (SELECT chunk, count(*) AS n_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, CAST(sum(greatest(1, len(regexp_split_to_array(trim(line), '\\s+')))) AS BIGINT) AS tokens FROM o GROUP BY 1)
+SELECT *, n_lines <= 40 AND n_bytes <= 2000 AND tokens <= 1000 AS ok FROM c""")
+def q_verify_chunks(s, d):
+    return batching.verify_chunks(batching.assign_chunks(A.lines(s, d), 40, 3), 40, 2000, 1000)
+
+
+@query("q_chunking_needed", f"WITH {_STATS} SELECT n_lines, n_bytes, total_tokens, n_lines >= 100 OR n_bytes >= 100000000 OR total_tokens >= 200 AS needed, concat_ws(',', CASE WHEN n_lines >= 100 THEN 'lines' END, CASE WHEN n_bytes >= 100000000 THEN 'bytes' END, CASE WHEN total_tokens >= 200 THEN 'tokens' END) AS reasons FROM stats")
+def q_chunking_needed(s, d):
+    return batching.chunking_needed(batching.file_statistics(A.lines(s, d)), 100, 100_000_000, 200)
+
+
+@query("q_check_model", "SELECT 'model-' || (page_id % 2) AS model, count(*) AS n, page_id % 2 = 1 AS ok FROM pages GROUP BY page_id % 2")
+def q_check_model(s, d):
+    papers = A.read(s, d, "pages").select(F.col("page_id").alias("bibcode"), "url")
+    lines = responses.requests(papers.where("bibcode % 2 = 0"), papers, "model-0", F.col("url")).unionByName(responses.requests(papers.where("bibcode % 2 = 1"), papers, "model-1", F.col("url")))
+    return batching.check_model(lines, "model-1")
+
+
+@query("q_submission_today", f"""WITH {A.LINES}, {A.LOG}, x AS (SELECT ord IN (SELECT chunk * 2 FROM log) AS sent FROM lines), t AS (SELECT CAST(min(ts) AS DATE) AS day FROM log),
+o AS (SELECT count(*) AS submitted_today, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens_today FROM log, t WHERE CAST(ts AS DATE) = day)
+SELECT count(*) AS total, count(*) FILTER (sent) AS submitted, count(*) FILTER (NOT sent) AS remaining, any_value(submitted_today) AS submitted_today, any_value(tokens_today) AS tokens_today, greatest(0, 40000000 - any_value(tokens_today)) AS tokens_left FROM x, o""")
+def q_submission_today(s, d):
+    """The log's first day stands for today."""
+    log = A.log(s, d)
+    day = F.lit(log.agg(F.to_date(F.min("ts"))).first()[0])
+    return batching.submission_status(A.lines(s, d).select(F.col("ord").alias("chunk")), log.withColumn("chunk", F.col("chunk") * 2), day)
+
+
+@query("q_submission_gate", f"""WITH {A.LINES}, {A.LOG}, p AS (SELECT DISTINCT ord AS chunk, CAST(strlen(line) AS BIGINT) AS tokens FROM lines WHERE ord NOT IN (SELECT chunk * 2 FROM log) ORDER BY chunk LIMIT 20)
+SELECT chunk, tokens, CAST(sum(tokens) OVER w AS BIGINT) AS running, sum(tokens) OVER w <= 400 AND count(*) OVER w <= 20 AS send FROM p WINDOW w AS (ORDER BY chunk)""")
+def q_submission_gate(s, d):
+    """On a day without submissions so far."""
+    chunks = A.lines(s, d).select(F.col("ord").alias("chunk"), F.octet_length("line").cast("long").alias("tokens"))
+    return batching.submission_gate(chunks, A.log(s, d).withColumn("chunk", F.col("chunk") * 2), F.lit("1900-01-01").cast("date"), 20, 400)
+
+
 @query("q_batch_status", f"WITH {A.LOG} SELECT chunk, batch_id, tokens, CASE WHEN CAST(substr(batch_id, 2) AS INTEGER) < 300 THEN 'completed' ELSE 'not_found' END AS status FROM log")
 def q_batch_status(s, d):
     remote = s.range(300).select(F.concat(F.lit("b"), F.col("id")).alias("batch_id"), F.lit("completed").alias("status"))
@@ -610,6 +720,48 @@ def q_threshold_sweep(s, d):
     return scoring.threshold_sweep(rows, F.greatest("conf_science", "conf_mention"), F.col("papertype") == F.col("human"), steps)
 
 
+@query("q_performance", f"""WITH {A.CALLS}, {A.TRACK}, th AS (SELECT 0.5 + i * (CAST(0.95 AS DOUBLE) - 0.5) / 19 AS t FROM (SELECT unnest(range(20)) AS i)),
+b AS (SELECT t.papertype AS actual, conf_science, conf_mention FROM calls c JOIN track t USING (bibcode))
+SELECT round(t, 6) AS threshold, actual, CASE WHEN greatest(conf_science, conf_mention) < round(t, 6) THEN 'lowprob' WHEN conf_science >= conf_mention THEN 'SCIENCE' ELSE 'MENTION' END AS measured, count(*) AS n FROM b, th GROUP BY 1, 2, 3""")
+def q_performance(s, d):
+    rows = _calls(s, d).join(A.track(s, d).select("bibcode", F.col("papertype").alias("human")), "bibcode")
+    steps = F.transform(scoring.thresholds(), lambda t: F.round(t, 6))
+    return scoring.performance(rows, ["SCIENCE", "MENTION"], F.array("conf_science", "conf_mention"), F.col("human"), steps)
+
+
+def _reply(prompt: str) -> str:
+    """Stands in for a model: every fifth prompt fails, every seventh answer is not JSON."""
+    n = int(prompt.split()[-1])
+    if n % 5 == 0:
+        raise TimeoutError("no answer")
+    if n % 7 == 0:
+        return "I cannot tell."
+    science = (n % 11) / 10
+    return '```json\n{"notes": "n", "missions": [{"mission": "hst", "papertype": "SCIENCE", "quotes": ["\\"q\\""], "reason": "r", "confidence": [%s, %s]}]}\n```' % (science, round(1 - science, 10))
+
+
+@query("q_classify_runs", "SELECT doc_id AS bibcode, run, CASE WHEN doc_id % 5 = 0 THEN 'TimeoutError: no answer' WHEN doc_id % 7 = 0 THEN 'No JSON content found in response' END AS error, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'HST' END AS mission, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN round((doc_id % 11) / CAST(10 AS DOUBLE), 6) END AS science FROM labels, (SELECT unnest([1, 2]) AS run)")
+def q_classify_runs(s, d):
+    papers = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"))
+    out = responses.classify_papers(papers, F.concat(F.lit("Paper "), F.col("bibcode").cast("string")), _reply, 2)
+    first = F.get("missions", 0)
+    return out.select("bibcode", F.col("run").cast("long").alias("run"), "error", first["mission"].alias("mission"), F.round(F.get(first["confidence"], 0), 6).alias("science"))
+
+
+@query("q_classify_set", f"""WITH {_HIT}, two AS (SELECT p.bibcode, m.mission FROM papers p, (SELECT unnest(['TESS', 'GALEX']) AS mission) m)
+SELECT bibcode || '_' || mission AS id, bibcode, mission, CASE WHEN (bibcode, mission) NOT IN (SELECT (bibcode, mission) FROM hit) THEN 'nomatch' WHEN bibcode % 2 = 0 THEN 'science' ELSE 'lowprob' END AS verdict FROM two""")
+def q_classify_set(s, d):
+    """Every text for two missions; the scorer goes by the parity of the bibcode."""
+    def modify(papers, m):
+        return paragraphs.modified_texts(papers, F.col("body"), m, "anon")
+
+    def score(rows):
+        return rows.withColumn("probs", F.create_map(F.lit("science"), F.when(F.col("bibcode") % 2 == 0, 0.9).otherwise(0.6), F.lit("mention"), F.lit(0.1)))
+
+    out = scoring.classify_set(A.papers(s, d), tuple(BY_LABEL[x] for x in ("TESS", "GALEX")), modify, score, ["science", "mention"])
+    return out.select("id", "bibcode", "mission", "verdict")
+
+
 # Linguistic operators: SQL cannot express them; tests hold them against given cases
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -18,6 +20,13 @@ PAPERTRACK = "bibcode string, searches array<struct<search_key:string,ignored:bo
 RUNS = "bibcode string, run int, notes string, error string, missions array<struct<mission:string,papertype:string,confidence:array<double>,reason:string,quotes:array<string>>>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to as many tasks as there are cores if its files give fewer: a small file is often one row group and so
+    one task, too few for work on texts. Tables of many files are left as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame | None:
     """A JSON array or JSON lines; unparsable records are in _corrupt_record. A missing path is logged and gives None."""
     try:
@@ -109,3 +118,47 @@ def misclassified_report(rows: DataFrame, columns: dict[str, Column]) -> DataFra
     """(line): a text block per misclassified row."""
     parts = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in columns.items()]
     return rows.select(F.concat(F.concat_ws("\n", *parts), F.lit("\n-----")).alias("line"))
+
+
+_sources: dict[tuple, tuple[DataFrame | None, DataFrame | None]] = {}
+
+
+def cached_sources(spark: SparkSession, papertext: str, papertrack: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """``load_datasets``, read once an application and kept by Spark, which spills and recomputes what does not fit."""
+    key = (spark.sparkContext.applicationId, papertext, papertrack)
+    if key not in _sources:
+        _sources[key] = tuple(df if df is None else df.persist() for df in load_datasets(spark, papertext, papertrack))
+    return _sources[key]
+
+
+def read_output(spark: SparkSession, path: str, bibcode: str | None = None) -> DataFrame:
+    """Runs written by ``append_runs``, all or one paper's."""
+    runs = spark.read.schema(RUNS).json(path)
+    return runs if bibcode is None else runs.where(F.col("bibcode") == bibcode)
+
+
+def paper_to_file(df: DataFrame, path: str, bibcode: str) -> DataFrame:
+    """Writes one paper as a JSON folder, for tools that take a file; returns it."""
+    one = point_lookup(df, bibcode)
+    one.write.mode("overwrite").json(path)
+    return one
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Classification results (id, bibcode, mission, verdict, probs) as JSON, one line per paper: id and a list of verdicts."""
+    per = results.groupBy("bibcode").agg(F.array_sort(F.collect_list(F.struct("mission", "verdict", "probs"))).alias("missions"))
+    per.write.mode("errorifexists").json(path)
+
+
+def run_serially(items: list[str], run: Callable[[str], None], log: str, pause: float = 0.0, dry_run: bool = False) -> list[str]:
+    """Runs items in sorted order, one after the other, skipping those a former call logged; returns what it ran (or would)."""
+    path = Path(log)
+    done = set(path.read_text().split("\n")) if path.exists() else set()
+    todo = [i for i in sorted(items) if i not in done]
+    for k, item in enumerate(todo if not dry_run else []):
+        if k and pause:
+            time.sleep(pause)
+        run(item)
+        with path.open("a") as f:
+            f.write(item + "\n")
+    return todo
