@@ -31,13 +31,14 @@ Annotator = Callable[[str], list[Token]]
 # Closed word classes of English.
 CLASSES = {
     "DET": "a an the this that these those each every some any no all both either neither such",
-    "PREP": "of in on at by for with from to into onto over under between among through during before after about above below against within without via per than as like",
+    "PREP": "across along around behind beneath beyond inside outside toward towards upon of in on at by for with from to into onto over under between among through during before after about above below against within without via per than as like",
     "CONJ": "and or but nor so yet because although while whereas if when where which who whom whose",
     "PRON": "i me my mine we us our ours you your yours he him his she her hers it its they them their theirs there here what",
     "AUX": "is are was were be been being am has have had do does did can could may might must shall should will would",
     "NEG": "not never n't",
     "VERB": "use used uses show shows showed shown see saw seen find found observe observed give gave given present presented take took taken make made plot plotted publish published follow follows differ differs rely leave left include included",
-    "ADV": "very also too again already then thus hence however more most less least just only even still well",
+    "ADV": "very also too again already then thus hence however more most less least just only even still well really often always sometimes soon here there now",
+    "ADJ": "high low old new young small large big deep bright faint rich poor neat same other similar different good better best early late long short strong weak hot cold massive raw blue red near far infrared ultraviolet optical several many few recent great full whole",
 }
 _class = {w: c for c, ws in CLASSES.items() for w in ws.split()}
 IRREGULAR = {"radii": "radius", "spectra": "spectrum", "nebulae": "nebula", "novae": "nova", "supernovae": "supernova", "data": "data", "series": "series", "analyses": "analysis", "axes": "axis", "hypotheses": "hypothesis", "indices": "index", "matrices": "matrix", "phenomena": "phenomenon", "foci": "focus"}
@@ -196,36 +197,6 @@ def look(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS, annotator: A
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *_MEANT.fields]))
 
 
-def skim(sentence: str, annotator: Annotator = annotate) -> str:
-    """A sentence without words that carry little: determiners, adverbs, adjectives that name no mission."""
-    kept = [t.text for t in annotator(sentence) if t.pos not in ("DET", "ADV", "ADJ")]
-    text = re.sub(r" ([.,;:?!)\]}])", r"\1", " ".join(kept))
-    return re.sub(r" ?('s)", r"\1", re.sub(r"([(\[{]) ", r"\1", text))
-
-
-def thin_column(text: Column, mission: Mission, skim_: bool, trim_: bool, annotator: Annotator = annotate) -> Column:
-    """Sentences without words that carry little (``skim_``) and without clauses that name nothing important (``trim_``)."""
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            t = trim(t, mission, annotator) if trim_ else t
-            return skim(t, annotator) if skim_ else t
-
-        return s.map(one)
-
-    return run(text)
-
-
-def skim_column(text: Column, annotator: Annotator = annotate) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else skim(t, annotator))
-
-    return run(text)
-
-
 def chunk_column(text: Column, mission: Mission, annotator: Annotator = annotate) -> Column:
     """array<struct<chunk, meaning>>: the word chunks of a mission and their core meanings."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import nlp
+from ..functions import grammar, nlp
 from ..functions.registry import MISSIONS, Mission
 from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline
 
@@ -97,7 +97,7 @@ def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, .
     return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
 
 
-def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, annotator: nlp.Annotator = nlp.annotate) -> DataFrame:
+def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, parser: grammar.Parser = grammar.parse) -> DataFrame:
     """(bibcode, modif, modif_none) of every paper: a mission's paragraphs after the steps of ``mode``, and as they are, each
     joined by line breaks; empty where the text has none. Steps, joined by "_" and applied in this order: "skim", "trim",
     "anon", or "none"; then the text is streamlined. "trim" needs single sentences, so buffer 0."""
@@ -108,10 +108,10 @@ def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str
         raise ValueError("trim works on single sentences: buffer must be 0")
     found = paragraphs(papers, text, buffer, (mission,), undecided)
     now = F.col("paragraph")
-    if "skim" in steps or "trim" in steps:
-        now = nlp.thin_column(now, mission, "skim" in steps, "trim" in steps, annotator)
+    if {"skim", "trim"} & set(steps):
+        now = grammar.thin_column(now, mission, set(steps), parser)
     if "anon" in steps:
-        now = anonymise(now, mission)
+        now = F.concat(anonymise(F.regexp_replace(now, r"[.?!]+$", ""), mission), F.regexp_extract(now, r"[.?!]+$", 0))  # the last mark is the sentence's
     made = found.select("bibcode", "lo", streamline(now).alias("m"), F.col("paragraph").alias("p"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", c))), lambda x: x[c]), "\n")
     per = made.groupBy("bibcode").agg(joined("m").alias("modif"), joined("p").alias("modif_none"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nlp
+from ..functions import grammar, nlp
 from ..functions import text as T
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
 from ..operators import batching, dataset, evaluation, metrics, paragraphs, responses, scoring
@@ -780,8 +780,25 @@ def q_nlp_wordchunks(s, d):
 
 @query("q_modif_skim")
 def q_modif_skim(s, d):
-    p = paragraphs.paragraphs(A.papers(s, d), F.col("body"), 0, (BY_LABEL["HST"],))
-    return p.select("bibcode", "lo", T.streamline(nlp.skim_column(F.col("paragraph"))).alias("modif"))
+    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["HST"], "skim").where("modif <> ''").select("bibcode", "modif")
+
+
+@query("q_modif_all")
+def q_modif_all(s, d):
+    """Every step, with ambiguous sentences settled."""
+    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["HST"], "skim_trim_anon", undecided=None).where("modif <> ''")
+
+
+@query("q_modif_none", f"WITH {_HIT}, p AS (SELECT h.bibcode, string_agg(s.sentence, chr(10) ORDER BY s.i) AS modif_none FROM hit h JOIN s ON s.bibcode = h.bibcode AND s.i = h.i WHERE h.mission = 'TESS' GROUP BY 1) SELECT papers.bibcode, md5(coalesce(modif_none, '')) AS h FROM papers LEFT JOIN p ON p.bibcode = papers.bibcode")
+def q_modif_none(s, d):
+    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["TESS"]).select("bibcode", F.md5("modif_none").alias("h"))
+
+
+@query("q_verbs")
+def q_verbs(s, d):
+    """Verbs of the sentences that name a mission, with their tense and whether their clause matters."""
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(T.mentions(F.col("sentence"), BY_LABEL["HST"]))
+    return rows.select("bibcode", "i", F.inline(grammar.verbs_column(F.col("sentence"), BY_LABEL["HST"])))
 
 
 @query("q_keyword_spans")

@@ -146,7 +146,8 @@ def paper_to_file(df: DataFrame, path: str, bibcode: str) -> DataFrame:
 
 def write_results(results: DataFrame, path: str) -> None:
     """Classification results (id, bibcode, mission, verdict, probs) as JSON, one line per paper: id and a list of verdicts."""
-    per = results.groupBy("bibcode").agg(F.array_sort(F.collect_list(F.struct("mission", "verdict", "probs"))).alias("missions"))
+    by_mission = lambda a, b: F.when(a["mission"] < b["mission"], -1).when(a["mission"] > b["mission"], 1).otherwise(0)
+    per = results.groupBy("bibcode").agg(F.array_sort(F.collect_list(F.struct("mission", "verdict", "probs")), by_mission).alias("missions"))
     per.write.mode("errorifexists").json(path)
 
 

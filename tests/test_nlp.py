@@ -30,11 +30,10 @@ def test_decide_agrees(spark):
         assert got.count() == len(own) and got.where("verdict IS DISTINCT FROM want").count() == 0
 
 
-def test_chunks_meaning_skim():
+def test_chunks_meaning():
     chunks = nlp.wordchunks(nlp.annotate("We saw the deep Hubble images of stars"), BY_LABEL["HST"])
     assert [[t.text for t in c] for c in chunks] == [["deep", "Hubble", "images"]]
     assert nlp.meaning(chunks[0], MISSIONS) == ["deep", "hubble", "image"]
-    assert nlp.skim("The very old stars, quickly, show the Hubble's data.") == "old stars,, show Hubble's data."
 
 
 def test_spans(spark):
