@@ -139,7 +139,7 @@ def read_output(spark: SparkSession, path: str, bibcode: str | None = None) -> D
 
 def paper_to_file(df: DataFrame, path: str, bibcode: str) -> DataFrame:
     """Writes one paper as a JSON folder, for tools that take a file; returns it."""
-    one = point_lookup(df, bibcode)
+    one = get_source(df, bibcode)
     one.write.mode("overwrite").json(path)
     return one
 

@@ -138,7 +138,7 @@ def test_files_of_results(spark, tmp_path):
     results = spark.createDataFrame([("1_HST", 1, "HST", "science", {"science": 0.9}), ("1_TESS", 1, "TESS", "nomatch", None)], "id string, bibcode int, mission string, verdict string, probs map<string,double>")
     files.write_results(results, str(tmp_path / "r"))
     assert len(spark.read.json(str(tmp_path / "r")).first().missions) == 2
-    papers = spark.createDataFrame([("x", "t"), ("y", "u")], "bibcode string, body string")
+    papers = spark.createDataFrame([("x", "t", 0), ("y", "u", 1)], "bibcode string, body string, ord int")
     files.paper_to_file(papers, str(tmp_path / "p"), "y")
     assert spark.read.json(str(tmp_path / "p")).first().body == "u"
 
