@@ -47,6 +47,10 @@ _MISSIONS: list[tuple[str, list[str], list[str], list[str], list[str], list[str]
 ]
 
 
+# What may stand before an acronym, between its letters and after it.
+BEFORE, BETWEEN, AFTER = r"(^|[^.])", r"\.? ?-?", r"\.?($|[^A-Z|a-z])"
+
+
 def _clean(acronym: str) -> str:
     return re.sub(r"[^\w]", "", acronym)
 
@@ -83,7 +87,7 @@ class Mission:
         words = self.cased if cased else self.uncased
         if not words:
             return None
-        return r"(^|[^.])(?:" + "|".join(r"\b" + r"\.? ?-?".join(w) + r"\b" for w in words) + r")\.?($|[^A-Z|a-z])"
+        return BEFORE + "(?:" + "|".join(r"\b" + BETWEEN.join(w) + r"\b" for w in words) + ")" + AFTER
 
 
 MISSIONS = tuple(Mission(label, tuple(p), tuple(c), tuple(u), tuple(b), tuple(a)) for label, p, c, u, b, a in _MISSIONS)

@@ -41,30 +41,51 @@ def _ascii(col: str) -> str:
     return f"regexp_replace({col}, '[^\\x00-\\x7F]', '_', 'g')"
 
 
+# The patterns below are written out for RE2 on their own, not taken from the implementation.
+
+
+def _phrases(m) -> str:
+    return "(?i)(?:" + "|".join(rf"\b{p}\b" for p in m.phrases) + ")"
+
+
+def _acronyms(words, case: str) -> str:
+    spelt = ["".join(c + (r"(?:\.)?(?: )?(?:-)?" if i < len(w) - 1 else "") for i, c in enumerate(w)) for w in words]
+    return case + r"(?:^|[^.])\b(?:" + "|".join(spelt) + r")\b(?:\.)?(?:$|[^A-Za-z|])"
+
+
 def _mentions(col: str, m, mode: str | None = None) -> str:
     col = _ascii(col)
     for phrase in m.banned:
         col = f"regexp_replace({col}, {_q('(?i)' + phrase)}, '{'#' * len(phrase)}', 'g')"
     parts = []
-    if mode != "acronym" and m.phrase_pattern():
-        parts.append(f"regexp_matches({col}, {_q('(?i)' + m.phrase_pattern())})")
+    if mode != "acronym" and m.phrases:
+        parts.append(f"regexp_matches({col}, {_q(_phrases(m))})")
     if mode != "keyword":
-        parts += [f"regexp_matches({col}, {_q(flags + p)})" for flags, p in (("", m.acronym_pattern(True)), ("(?i)", m.acronym_pattern(False))) if p]
+        parts += [f"regexp_matches({col}, {_q(_acronyms(words, case))})" for words, case in ((m.cased, ""), (m.uncased, "(?i)")) if words]
     return "(" + (" OR ".join(parts) or "FALSE") + ")"
 
 
+_NAME = r"(?:\b[A-Z]\. )*[A-Z][-A-Za-z'`]+"
+_WHO = rf"{_NAME}(?: and {_NAME}| & {_NAME}| et al\.| et al)*"
+_WHEN = r"(?:\d{4}|\d{2})(?:[,;](?: )?(?:\d{4}|\d{2}))*"
+_SQL_CITES = [
+    (rf"[{{\[(]{_WHO} {_WHEN}(?:[;,] {_WHO} {_WHEN})*[}}\])]", ""), (rf"{_WHO} [{{\[(]{_WHEN}[}}\])]", "Authorsetal"),
+    (r"\b(?:[A-Z]\. )*\b[A-Z][A-Za-z|]+ et al\b(?:\.)?", "Authorsetal"), (r"Authorsetal(?:(?:,|;| and|, and) +Authorsetal)+", "Authorsetal"),
+]
+_SQL_TIDY = [
+    (r"^[!,.:;?]", ""), (r"   *", " "), (r"([<{\[(]) ?", r"\1"), (r" ?([])}>!,.:;?])", r"\1"), (r" ?' ?", "'"),
+    (r"[<{\[(]([])}>])", r"\1"), (r"[!,.:;?]+([!,.:;?])", r"\1"), (r"\bet al\b\.", "et al"),
+]
+
+
 def _steps(col: str, steps: list[tuple[str, str]]) -> str:
     for pattern, to in steps:
-        if pattern == T.CLEANSE[5][0]:  # look-ahead, in two steps
-            col = f"regexp_replace({col}, '[(\\[{{<]([)\\]}}>])', '\\1', 'g')"
-            col = f"regexp_replace({col}, '[.,;:?!]+([.,;:?!])', '\\1', 'g')"
-        else:
-            col = f"regexp_replace({col}, {_q(pattern)}, {_q(to.replace('$', chr(92)))}, 'g')"
+        col = f"regexp_replace({col}, {_q(pattern)}, {_q(to)}, 'g')"
     return col
 
 
 def _cleanse(col: str, citations: bool) -> str:
-    return _steps(col, [*T.CLEANSE, *(T.CITES if citations else []), T.EDGES])
+    return _steps(col, [*_SQL_TIDY, *(_SQL_CITES if citations else []), (r"^\s+|\s+$", "")])
 
 
 def _streamline(col: str) -> str:
@@ -447,9 +468,10 @@ def q_first_keyword(s, d):
 def _anon(col, m):
     for p in m.phrases:
         col = f"regexp_replace({col}, {_q('(?i)' + chr(92) + 'b' + p + chr(92) + 'b')}, 'OBJ', 'g')"
-    for flags, p in (("", m.acronym_pattern(True)), ("(?i)", m.acronym_pattern(False))):
-        if p:
-            col = f"regexp_replace({col}, {_q(flags + p)}, '\\1OBJ\\2', 'g')"
+    for words, case in ((m.cased, ""), (m.uncased, "(?i)")):
+        if words:
+            guarded = _acronyms(words, case).replace("(?:^|[^.])", "(^|[^.])").replace("(?:$|[^A-Za-z|])", "($|[^A-Za-z|])")
+            col = f"regexp_replace({col}, {_q(guarded)}, '\\1OBJ\\2', 'g')"
     return col
 
 
