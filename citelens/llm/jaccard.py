@@ -263,7 +263,13 @@ def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int)
         for b in batches:
             g, s, f, w = (np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest))
             starts = np.r_[0, np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1])) + 1]
-            for i in np.flatnonzero((np.diff(starts) > 1) | (s[starts[:-1]] >= 0)):
+            size, whole = np.diff(starts), s[starts[:-1]] < 0
+            two = starts[:-1][whole & (size == 2)]  # most groups are pairs: the same rule, for all of them at once
+            small, large = np.where(w[two] >> 1 <= w[two + 1] >> 1, (two, two + 1), (two + 1, two))
+            meets = (100 * (w[small] >> 1) >= percent * (w[large] >> 1)) & ((w[small] & 1 == 0) | ((w[large] & 1 == 0) & (w[small] >> 1 == w[large] >> 1)))
+            for i in two[meets & (f[two] != f[two + 1])]:
+                found[f[i : i + 2].tobytes()] = f[i : i + 2]
+            for i in np.flatnonzero((size > 2) | ~whole):
                 own = slice(starts[i], starts[i + 1])
                 close(g[starts[i]], s[starts[i]], f[own], w[own])
             last = starts[-1] if len(g) else 0
@@ -381,37 +387,36 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(f, h): the sorted shingles of the wanted sets, from one text each, found by its id and hash (either alone may stand
-    for several). Rows that repeat both come more than once."""
-    ends = materialise(nodes.join(wanted.select("f"), "f").select("f", F.col("row.doc").alias("d"), F.col("row.t").alias("t")), "ends")
+def _arrays(docs: DataFrame, nodes: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(lid, f, c, h): members (lid, f, c) with the sorted shingles of each set, from one text, found by its id and hash (either
+    alone may stand for several). Rows that repeat both come more than once."""
+    ends = materialise(members.join(nodes.select("f", F.col("row.doc").alias("d"), F.col("row.t").alias("t")), "f"), "ends")
     own = (F.xxhash64("text") == F.col("t")) & F.col("doc").eqNullSafe(F.col("d"))
-    texts = docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, own).select("f", "text")
+    texts = docs.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, own).select("lid", "f", "c", "text")
     cache: dict[str, Shingler] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingles = cache.setdefault("s", Shingler(n))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["f", "h"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingles(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())], names=["lid", "f", "c", "h"])
 
-    return map_rows(texts, run, "f long, h binary")
+    return map_rows(texts, run, "lid long, f long, c long, h binary")
 
 
-def _verified(members: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for every tile of members (lid, f, c) a forest over the pairs across components that link. A tile arrives with
+def _verified(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for every tile of rows (lid, f, c, h) a forest over the pairs across components that link. A tile arrives with
     its arrays and is settled at once: linked sets are one component from then on, and pairs within one are not tried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for rows in _runs(batches, 1):
-            own = {f: np.frombuffer(h, np.uint64) for _, f, _, h in rows}
-            comps = {f: c for _, f, c, _ in rows}
+        for held in _runs(batches, 1):
+            own = {f: np.frombuffer(h, np.uint64) for _, f, _, h in held}
+            comps = {f: c for _, f, c, _ in held}
             out += _Tile([(f, comps[f], len(h), bitmap(h)) for f, h in own.items()], percent, own).forest()
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
 
-    rows = members.join(arrays, "f").select("lid", "f", "c", "h")
     return rows.repartition("lid").sortWithinPartitions("lid").mapInArrow(run, "a long, b long")
 
 
@@ -443,13 +448,12 @@ def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataF
     if clusters is None:
         return labels
     clusters = materialise(clusters.withColumnRenamed("c", "k").join(nodes.select("f", "n"), "f"), "clusters")
-    arrays = materialise(_arrays(docs, nodes, clusters, n), "arrays")
     size = clusters.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
     large = size.where("parts > 1")
     some_large = not large.isEmpty()
     part = F.xxhash64("k", F.pmod(F.xxhash64("f"), "parts"))
-    dealt = clusters.join(size, "k").select(part.alias("lid"), "f")
-    labels = _merged(labels, materialise(_verified(_labelled(dealt, labels), arrays, percent), "links"))
+    dealt = _labelled(clusters.join(size, "k").select(part.alias("lid"), "f"), labels).select("lid", "f", "c")
+    labels = _merged(labels, materialise(_verified(_arrays(docs, nodes, dealt, n), percent), "links"))
     discard(found)
     while some_large:
         now = _labelled(clusters.join(large.select("k"), "k"), labels)
@@ -459,14 +463,13 @@ def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataF
         one = now.groupBy("key", "c").agg(F.min(F.struct("n", "f")).alias("x")).select("key", "c", F.col("x.f").alias("f"), F.col("x.n").alias("n"))
         size = one.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("parts"))
         dealt = one.join(size, "key").select(F.xxhash64("key", F.pmod(F.xxhash64("f", F.lit(7)), "parts")).alias("lid"), "f", "c")
-        links = materialise(_verified(dealt, arrays, percent), "links")
+        links = materialise(_verified(_arrays(docs, nodes, dealt, n), percent), "links")
         last = links.isEmpty()
         if last:
-            links = materialise(_verified(_block_pairs(now, percent), arrays, percent), "links")
+            links = materialise(_verified(_arrays(docs, nodes, _block_pairs(now, percent), n), percent), "links")
         labels = _merged(labels, links)
         if last:
             break
-    discard(arrays)
     return labels
 
 
