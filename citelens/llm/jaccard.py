@@ -39,7 +39,7 @@ class _Words(dict):
     """64-bit hashes of words, kept for the words of one task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:  # only a memo
+        if len(self) > 200_000:  # only a memo
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -103,7 +103,7 @@ def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 met.add(key)
                 held.append(shingles(t))
                 size += len(held[-1])
-                if size > 6_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:
