@@ -30,9 +30,10 @@ def warc_record(record_id: Column, url: Column, payload: Column) -> Column:
 
 def archive_pages(pages: DataFrame, per_archive: int = 250) -> DataFrame:
     """(archive, offset, length, page_id, record): pages in archives of ``per_archive`` consecutive ids, records at
-    ascending offsets by page_id, then record. Null ids go to archive -1."""
+    ascending offsets by page_id, then record. Records without an id are dealt by their hash to archives -1 to -4096."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select(F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long").alias("archive"), "page_id", record.alias("record"))
+    own = F.coalesce(F.floor(F.col("page_id") / per_archive), -1 - F.pmod(F.xxhash64("record"), F.lit(4096)))
+    rows = pages.select("page_id", record.alias("record")).select(own.cast("long").alias("archive"), "page_id", "record")
     rows = rows.withColumn("length", F.octet_length("record").cast("long"))
     before = W.partitionBy("archive").orderBy("page_id", "record").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("archive", "offset", "length", "page_id", "record")
@@ -45,7 +46,9 @@ def record_hashes(replica: DataFrame) -> DataFrame:
 
 
 def _leaves(hashes: DataFrame) -> DataFrame:
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "h"))), lambda r: r["h"]), "")
+    """Equal rows are counted first, so that a leaf holds no more than its range's different records."""
+    hashes = hashes.groupBy("archive", "offset", "length", "h").agg(F.count("*").alias("copies"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "h", "copies"))), lambda r: F.concat(r["h"], F.lit("x"), r["copies"].cast("string"))), ",")
     return hashes.groupBy("archive", F.floor(F.col("offset") / RANGE).alias("node")).agg(F.sha2(joined.cast("binary"), 256).alias("h"))
 
 

@@ -401,7 +401,8 @@ def features(rgb: np.ndarray) -> str:
 
 def load_media(df: DataFrame, keep: list[str], media_col: str = "media", tensors: bool = True) -> DataFrame:
     """``keep`` and payload (null if none is stored), width, height, rgb (row-major tensor, if ``tensors``), feature of each
-    JPEG. Null or undecodable media give nulls. Columns of ``keep`` must not be called like the results."""
+    JPEG. Null or undecodable media give nulls. A column of ``keep`` called like a result is replaced by it."""
+    keep = [c for c in keep if c not in ("payload", "width", "height", "rgb", "feature")]
     names = [f"c{i}" for i in range(len(keep))]
     rows = df.select(F.col(f"`{media_col}`").alias("media"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)])
     kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]

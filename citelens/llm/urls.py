@@ -55,12 +55,14 @@ def filter_urls(
     rules with one host and path, "block" wins. Urls that no rule fits have a null rule and the verdict ``default``.
     A null or malformed url has an empty host and path, so the default. Repeated rows stay repeated. Other columns of
     ``df`` are not read; internal names start with two underscores, so an input's host, path, rule or verdict columns
-    do not clash unless they are among ``id_cols``.
+    do not clash; among ``id_cols`` such a column is replaced by the result. Every rule goes to each salt: the rules' rows are
+    multiplied by ``salts`` (twice the shuffle partitions), whatever the number of urls.
     """
+    id_cols = [c for c in id_cols if c not in ("host", "path", "rule", "verdict")]
     spark = df.sparkSession
     salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col).cast("string"))
-    ids = F.struct(*[F.col(c) for c in id_cols]).alias("__ids")
+    ids = F.struct(*([F.col(c) for c in id_cols] or [F.lit(0).alias("__none")])).alias("__ids")
     urls = df.select(ids, host.alias("host"), path.alias("path")).select(
         "__ids", "host", "path", F.monotonically_increasing_id().alias("__row")
     )

@@ -8,6 +8,10 @@
 
 Stages 1 to 4 return the columns of ``documents``. No stage samples or caps rows. SQL cannot express them (compression
 lengths, expectation-maximisation, keyed permutations, bin packing), so ORACLE_SQL is None; tests use brute force.
+
+In every stage a null or empty text has no windows, words, shingles, entities or tokens: the toxicity stage keeps it, the
+quality rules drop it (under 50 words). Rows may repeat, ids and other columns may be null, a table may be empty, texts may
+have any length, and columns beyond those of ``documents`` are not carried.
 """
 
 from __future__ import annotations
@@ -28,11 +32,13 @@ KEY = "a key that the caller keeps"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows scored under the threshold, repeated ones and those without an id or text among them."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.score_toxicity(docs, model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows that pass the base rules and whose posterior is at least one half."""
     return quality_rules(docs, keep=COLUMNS).where("kept").select(COLUMNS)
 
 
@@ -44,6 +50,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, equal texts stay equal."""
     return replace_pii(docs, KEY, keep=COLUMNS).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

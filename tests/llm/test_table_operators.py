@@ -319,6 +319,60 @@ def test_jaccard_counts_every_row_in_any_order(spark):
         assert got == {(7, 2), (3, 2), (9, 2), (2, 2), (None, 2), (5, 4), (None, 4), (4, 4), (5, 2)}
 
 
+@pytest.mark.parametrize(("tile", "shingles"), [(2_048, 1 << 20), (6, 300)])
+def test_jaccard_with_hot_groups_and_large_families(spark, monkeypatch, tile, shingles):
+    """A passage that most texts are made of, families beyond a tile, repeated and null ids, in two orders."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", shingles)
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rnd.choice(words) for _ in range(60))
+    texts = [passage + " " + " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 25))) for _ in range(50)]
+    for k in (30, 4, 2):
+        base = [rnd.choice(words) for _ in range(50)]
+        for _ in range(k):
+            t = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(50)] = rnd.choice(words)
+            texts.append(" ".join(t))
+    texts += [None, "", "one", "one", "two words"]
+    rows = list(zip(rnd.sample(range(2_000), len(texts)), texts, strict=True))
+    own = brute_components(rows)
+    twice = [*rows, *rows[:5]]
+    for some in (sorted(twice, key=lambda r: -r[0]), rnd.sample(twice, len(twice))):
+        df = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
+        least = {}
+        for i, _ in rows:
+            least[own[i][1]] = min(i, least.get(own[i][1], i))
+        assert got == sorted((i, own[i][0], least[own[i][1]]) for i, _ in twice)
+
+
+def test_pruned_groups_keep_every_pair():
+    """The rule that drops members, and its short form for pairs, against all pairs of sizes and places."""
+    rnd = random.Random(12)
+    for _ in range(300):
+        k = rnd.randint(2, 8)
+        f, n = np.arange(k), np.array([rnd.randint(5, 12) for _ in range(k)])
+        late = np.array([rnd.random() < 0.5 for _ in range(k)])
+        want = set()
+        for a in range(k):
+            for b in range(k):
+                if a != b and n[a] <= n[b] and 100 * n[a] >= 80 * n[b] and not late[a]:
+                    want |= {a, b}
+        assert set(jaccard._paired(f, n, late, 80).tolist()) == want
+
+
+def test_results_replace_columns_of_their_name(spark):
+    df = spark.createDataFrame([("http://a.com/x", "h", 5)], "url string, host string, rule int")
+    out = urls.filter_urls(df, urls.rule_table(spark, [("block", "com/")]), ["host", "rule"])
+    assert out.columns == ["host", "path", "rule", "verdict"] and tuple(out.first()) == ("a.com", "/x", "com/", "block")
+    media = jpeg.store_texts(spark.createDataFrame([(1, "t")], "doc_id long, text string")).withColumn("width", F.lit("own"))
+    assert jpeg.load_media(media, ["doc_id", "width"]).first().width == 8
+    again = fixity.archive_pages(spark.createDataFrame([(None, "u", "p")] * 40 + [(1, "u", "p")] * 30, "page_id long, url string, html string"))
+    assert fixity.audit(again, again.repartition(3)).count() == 0 and fixity.audit(again, again.where("page_id IS NOT NULL")).count() > 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 40), (40, 60)], "a long, b long")
     got = {r.f: r.c for r in jaccard.components(edges).collect()}

@@ -72,6 +72,49 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert kept == set(range(80))
 
 
+def test_quality_verdicts_equal_a_plain_version(spark):
+    """Votes, expectation-maximisation and posteriors written out over single documents."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    texts = [None, ""]
+    for i in range(150):
+        words = [f"word{rnd.randrange(20 if i % 5 == 0 else 2000)}" + ("###" if i % 7 == 0 else "") for _ in range(rnd.randint(20, 200))]
+        texts.append(("\n" if i % 3 else " ").join(words).upper() if i % 11 == 0 else " ".join(words))
+
+    def votes(t):
+        n, chars, symbols, dups, repeats, lines, upper, distinct = quality.features_of(t)
+        over = lambda a, b: a / b if b else 0.0
+        pick = lambda bad, good=False: 0 if bad else 1 if good else 2
+        size = over(chars, n)
+        return [pick(n < 50, n >= 80), pick(size < 2.5 or size > 14, 3 <= size <= 10), pick(over(symbols, n) > 0.15, symbols == 0), pick(over(symbols, chars) > 0.03),
+                pick(over(dups, lines) > 0.3 and dups >= 3), pick(over(repeats, n) > 0.3), pick(over(upper, n) > 0.4), pick(over(distinct, n) < 0.15, over(distinct, n) > 0.4)]
+
+    all_votes = [votes(t) for t in texts]
+    post, prior, old = [0.2 if 0 in v else 0.95 for v in all_votes], 0.8, None
+    for _ in range(200):
+        chance = []
+        for k in range(8):
+            per = []
+            for good in (0, 1):
+                w = [p if good else 1 - p for p in post]
+                per.append([(sum(x for x, v in zip(w, all_votes, strict=True) if v[k] == c) + 0.5) / (sum(w) + 1.5) for c in range(3)])
+            per[0][0] = max(per[0][0], per[1][0])  # an objection never counts in favour
+            per[1][1] = max(per[0][1], per[1][1])  # an approval never counts against
+            chance.append(per)
+        prior = min(0.95, max(0.05, sum(post) / len(post)))
+        done = old is not None and max(abs(a - b) for x, y in zip(chance, old, strict=True) for p, q in zip(x, y, strict=True) for a, b in zip(p, q, strict=True)) < 1e-8
+        old = chance
+        post = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(math.log(chance[k][1][v[k]] / chance[k][0][v[k]]) for k in range(8))))) for v in all_votes]
+        if done:
+            break
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert len({r.kept for r in got.values()}) == 2
+    for i, p in enumerate(post):
+        assert abs(got[i].quality - p) < 1e-5 and got[i].kept == (not got[i].base_failed and p >= 0.5), i
+
+
 def test_em_recovers_planted_accuracies():
     import random
 
@@ -120,6 +163,46 @@ def test_toxicity_held_out(spark, labelled, odd):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_version(spark, labelled, odd):
+    """Every window compressed on its own, the features and the logistic written out."""
+    import math
+
+    import zstandard
+
+    model = toxicity.fit([(t, x) for _, t, x in labelled])
+    assert model.toxic and model.ordinary and b"zugblatt" in model.toxic and b"zugblatt" not in model.ordinary
+
+    def plain(text):
+        words = [w.strip(toxicity.EDGES) for w in (text or "").lower().encode("utf-8", "replace").split()]
+        words = [w for w in words if w]
+        saved = []
+        for i in range(0, len(words), 4):
+            raw = b" " + b" ".join(words[i : i + 4]) + b" " + bytes(range(128, 176))
+            sizes = []
+            for first in (b"\1" * len(model.toxic), model.toxic):
+                d = zstandard.ZstdCompressionDict(first + model.ordinary + bytes(range(128, 176)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes.append(len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)))
+            saved.append(sizes[0] - sizes[1])
+        x = [math.log1p(sum(min(v, 8) == k for v in saved)) for k in range(1, 9)]
+        x += [sum(v > 0 for v in saved) / len(saved), sum(saved) / len(saved)] if saved else [0, 0]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+        return 1 / (1 + math.exp(-z))
+
+    docs = spark.createDataFrame([(i, t) for i, t, _ in labelled[:60]], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    for r in toxicity.score_toxicity(docs, model).collect():
+        assert abs(r.score - plain(r.text)) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    docs = spark.createDataFrame([(i, "word " * (40_000 if i == 0 else 5)) for i in range(90)] + [(3, "word " * 5), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(5, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    usable = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(rows) == len(usable) and (max(len(t) for t, _ in rows) == 200_000) == (0 in usable)
+    assert sum(y for _, y in toxicity.training_rows(docs, labels, max_toxic=7)) == 7
+    assert len(toxicity.training_rows(docs, labels, max_chars=100)) < len(usable)
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(toxicity.training_rows(odd, none))
@@ -252,6 +335,21 @@ def test_chat(spark, vocabulary):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), ranks, pattern).count() == 0
 
 
+def test_chat_of_long_texts_and_many_turns(spark, vocabulary):
+    ranks, pattern, _ = vocabulary
+    rows = [(1, i, "assistant" if i % 2 else "user", ("long <s> " * 20_000) if i == 3 else f"t{i}") for i in range(600)] + [(2, 0, "user", "x")] * 3
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6), ranks, pattern).collect()}
+    turns, learnt = chat.Reader(ranks, pattern)(got[1].token_ids, got[1].loss_mask)
+    assert turns == [(r, t) for _, _, r, t in rows[:600]] and learnt == "".join(t for _, _, r, t in rows[:600] if r == "assistant") and got[2].n_turns == 3
+
+
+def test_coder_tells_vocabularies_apart():
+    first = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    second = {bytes([i]): i for i in range(256)} | {b"bc": 256}
+    for ranks, want in ((first, [256, 99]), (second, [97, 256]), (first, [256, 99])):
+        assert bpe.coder(ranks, "[a-z]+").encode_ordinary("abc") == want
+
+
 def test_digest_is_of_the_whole_text(spark, vocabulary):
     ranks, pattern, own = vocabulary
     text = "long text " * 20000
