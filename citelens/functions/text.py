@@ -189,6 +189,12 @@ def fill_prompt(template: str, fields: dict[str, Column]) -> Column:
     return out
 
 
+def paper_fields(title: Column, abstract: Column, body: Column, missions: tuple[Mission, ...] = MISSIONS) -> dict[str, Column]:
+    """A paper's fields for ``fill_prompt``, with ``missions``, all that are asked for, and ``kw_missions``, those that the text names."""
+    text = searchable(title, abstract, body)
+    return {"title": F.get(title, 0), "abstract": abstract, "body": body, "missions": F.lit(", ".join(m.label for m in missions)), "kw_missions": F.array_join(missions_of(text, missions), ", ")}
+
+
 def fenced_json(text: Column) -> Column:
     """The first fenced block of JSON, or null."""
     found = F.regexp_extract(text, r"(?s)```json\s*(.*?)\s*```", 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,11 +19,24 @@ def token_estimate(line: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.split(F.trim(line), r"\s+"))).cast("long")
 
 
-def file_statistics(lines: DataFrame, sample: int | None = None) -> DataFrame:
-    """One row: n_lines, n_bytes, avg_tokens of the first ``sample`` lines by ord (default: all), total_tokens (truncated)."""
+def token_count(line: Column, encode: Callable[[str], list[int]] | None = None) -> Column:
+    """Tokens of a line by a tokenizer's ``encode``, run in Arrow batches; without one, its words."""
+    if encode is None:
+        return token_estimate(line)
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(encode(t or "")))
+
+    return run(line)
+
+
+def file_statistics(lines: DataFrame, sample: int | None = None, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """One row: n_lines, n_bytes, avg_tokens of the first ``sample`` lines by ord (default: all), total_tokens (truncated).
+    Tokens are ``encode``'s, or words."""
     all_ = lines.agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0)).alias("n_bytes"))
     some = lines.orderBy("ord").limit(sample) if sample else lines
-    avg = some.agg(F.coalesce(F.avg(token_estimate(F.col("line"))), F.lit(0.0)).alias("avg_tokens"))
+    avg = some.agg(F.coalesce(F.avg(token_count(F.col("line"), encode)), F.lit(0.0)).alias("avg_tokens"))
     return all_.join(F.broadcast(avg)).withColumn("total_tokens", (F.col("avg_tokens") * F.col("n_lines")).cast("long"))  # one row each
 
 

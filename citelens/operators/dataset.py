@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import MISSIONS, Mission
 from ..functions.text import mentions
+from .batching import ordinals
 from .ranges import range_of, starts
 
 TEXT_KEYS = ["abstract", "author", "bibcode", "body", "keyword", "keyword_norm", "pubdate", "title"]
@@ -71,6 +72,19 @@ def flatten(papers: DataFrame, labels: DataFrame, papertypes: list[str], mission
     return rows.select("ord", "bibcode", F.col("body").alias("text"), "class", "mission", "i_mission", F.concat_ws("_", "ord", "i_mission").alias("id"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds i_track, the number from 0 of a row's paper among the papers of the table, in their order."""
+    per = ordinals(rows.select("ord", "bibcode").distinct())
+    return rows.join(per.select("ord", "bibcode", F.col("number").alias("i_track")), ["ord", "bibcode"])
+
+
+def require_rows(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, or an error if they are fewer than asked for; at most n rows are read for it."""
+    if (found := rows.limit(n).count()) < n:
+        raise ValueError(f"{found} rows where {n} were asked for")
+    return rows
+
+
 def limit_papers(rows: DataFrame, n: int) -> DataFrame:
     """Whole papers in order until ``n`` rows are reached: a paper stays if fewer than n rows precede it.
 

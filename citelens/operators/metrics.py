@@ -26,6 +26,12 @@ def map_papertype(papertype: Column, mapping: dict[str, str] = PAPERTYPES) -> Co
 MASKS = {"science": "science", "mention": "mention", "supermention": "mention", "data_influenced": "data_influenced"}
 
 
+def report_lines(report: DataFrame, digits: int = 4) -> DataFrame:
+    """(line) of a class report, as people print it: label, precision, recall, f1 and support in columns."""
+    cell = lambda c: F.lpad(F.format_string(f"%.{digits}f", c), 10, " ")
+    return report.select(F.concat(F.rpad("label", 14, " "), cell("precision"), cell("recall"), cell("f1"), F.lpad(F.col("support").cast("string"), 10, " ")).alias("line"))
+
+
 def mask_class(papertype: Column, masks: dict[str, str] = MASKS, other: str = "other") -> Column:
     """The pretrained classifier's class of a paper type in any case; ``other`` for an unknown one, null for null."""
     low = F.lower(papertype)

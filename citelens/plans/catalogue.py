@@ -349,6 +349,12 @@ def q_flatten_several(s, d):
     return dataset.flatten(A.papers(s, d), A.several(s, d), _TYPES).drop("text")
 
 
+@query("q_numbered", f"""WITH {A.SEVERAL}, o AS (SELECT bibcode, row_number() OVER (ORDER BY bibcode) - 1 AS i_track FROM (SELECT DISTINCT bibcode FROM several))
+SELECT s.bibcode, s.mission, s.papertype, i_track FROM several s JOIN o USING (bibcode)""")
+def q_numbered(s, d):
+    return dataset.numbered(A.several(s, d).withColumn("ord", F.col("bibcode"))).select("bibcode", "mission", "papertype", "i_track")
+
+
 @query("q_limit_several", f"""WITH {A.SEVERAL}, c AS (SELECT bibcode AS ord, bibcode, count(*) AS n FROM several GROUP BY bibcode), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT s.bibcode, s.mission, s.papertype FROM several s JOIN r USING (bibcode) WHERE before < 1000""")
 def q_limit_several(s, d):
@@ -636,6 +642,25 @@ def q_batch_status(s, d):
 # Responses
 
 
+@query("q_request_lines", """SELECT '{"custom_id":"' || page_id || '","method":"POST","body":{"model":"m-2","input":"Read ' || url || '"}}' AS line FROM pages WHERE page_id % 3 = 0""")
+def q_request_lines(s, d):
+    papers = A.read(s, d, "pages").select(F.col("page_id").alias("bibcode"), "url")
+    lines = responses.requests(papers, papers.where("bibcode % 3 = 0"), "m-1", F.concat(F.lit("Read "), F.col("url")))
+    return responses.adjust_model(lines, "m-1", "m-2")
+
+
+@query("q_prompt_missions", f"""WITH {A.PAPERS}, k AS (SELECT bibcode, title, array_to_string(list_filter([{', '.join(f'CASE WHEN {_mentions("body", m)} THEN {chr(39)}{m.label}{chr(39)} END' for m in MISSIONS)}], lambda x: x IS NOT NULL), ', ') AS kw FROM papers)
+SELECT bibcode, 'Of ' || title || ': ' || kw || ' among {', '.join(LABELS)}' AS prompt FROM k""")
+def q_prompt_missions(s, d):
+    fields = T.paper_fields(F.col("title"), F.col("abstract"), F.col("body"))
+    return A.papers(s, d).select("bibcode", T.fill_prompt("Of {title}: {kw_missions} among {missions}", fields).alias("prompt"))
+
+
+@query("q_report_lines", f"WITH {_REPORT} SELECT rpad(label, 14, ' ') || lpad(printf('%.4f', precision), 10, ' ') || lpad(printf('%.4f', recall), 10, ' ') || lpad(printf('%.4f', f1), 10, ' ') || lpad(CAST(support AS VARCHAR), 10, ' ') AS line FROM rep")
+def q_report_lines(s, d):
+    return metrics.report_lines(metrics.class_report(_pairs(s, d)))
+
+
 @query("q_validate_conf", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN FALSE WHEN doc_id % 4 = 1 THEN TRUE WHEN doc_id % 4 = 2 THEN TRUE ELSE FALSE END AS ok FROM labels")
 def q_validate_conf(s, d):
     k = F.col("doc_id") % 4

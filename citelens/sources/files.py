@@ -163,3 +163,14 @@ def run_serially(items: list[str], run: Callable[[str], None], log: str, pause:
         with path.open("a") as f:
             f.write(item + "\n")
     return todo
+
+
+def write_paragraphs(paragraphs: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Paragraphs (bibcode, mission, lo, hi, paragraph) as Parquet by mission; an existing folder is kept unless told otherwise."""
+    paragraphs.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("mission").parquet(path)
+
+
+def read_paragraphs(spark: SparkSession, path: str, missions: list[str] | None = None) -> DataFrame:
+    """Written paragraphs, of all or some missions; only their folders are read."""
+    found = spark.read.parquet(path)
+    return found if missions is None else found.where(F.col("mission").isin(missions))

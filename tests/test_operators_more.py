@@ -150,3 +150,18 @@ def test_letters_that_fold_to_ascii(spark):
     assert found == set(T.FOLDS[0])
     df = spark.createDataFrame([("HuBBLe Kepler obſerves",), ("KEPLER",), ("hubbıe",)], "t string")
     assert [r[0] for r in df.select(T.missions_of(F.col("t"))).collect()] == [["HST", "KEPLER"], ["KEPLER"], []]
+
+
+def test_paragraph_files_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "HST", 0, 0, "p"), (2, "TESS", 1, 2, "q")], "bibcode int, mission string, lo int, hi int, paragraph string")
+    path = str(tmp_path / "p")
+    files.write_paragraphs(rows, path)
+    with pytest.raises(Exception, match="exist"):
+        files.write_paragraphs(rows, path)
+    files.write_paragraphs(rows, path, overwrite=True)
+    assert [r.bibcode for r in files.read_paragraphs(spark, path, ["TESS"]).collect()] == [2] and files.read_paragraphs(spark, path).count() == 2
+    lines = spark.createDataFrame([(0, "a b"), (1, "c")], "ord int, line string")
+    assert batching.file_statistics(lines, encode=lambda t: list(t)).first().total_tokens == 4 and batching.file_statistics(lines).first().total_tokens == 3
+    with pytest.raises(ValueError):
+        dataset.require_rows(rows, 3)
+    assert dataset.require_rows(rows, 2) is rows
