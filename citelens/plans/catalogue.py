@@ -661,17 +661,24 @@ def q_report_lines(s, d):
     return metrics.report_lines(metrics.class_report(_pairs(s, d)))
 
 
-@query("q_validate_conf", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN FALSE WHEN doc_id % 4 = 1 THEN TRUE WHEN doc_id % 4 = 2 THEN TRUE ELSE FALSE END AS ok FROM labels")
+_CONF = """c AS (SELECT bibcode, run, CASE WHEN bibcode % 5 = 0 THEN [0.0, 0.0] WHEN bibcode % 7 = 0 THEN [conf_science] WHEN bibcode % 11 = 0 THEN [conf_science, conf_mention, 0.0]
+  ELSE [conf_science, conf_mention + CAST(run % 3 AS DOUBLE) / 10] END AS conf FROM calls)"""
+
+
+@query("q_validate_conf", f"WITH {A.CALLS}, {_CONF} SELECT bibcode, run, len(conf) = 2 AND (list_sum(conf) = 0 OR abs(list_sum(conf) - 1) <= 1e-6) AS ok FROM c")
 def q_validate_conf(s, d):
-    k = F.col("doc_id") % 4
-    conf = F.when(k == 0, F.array(F.lit(0.4), F.lit(0.5))).when(k == 1, F.array(F.lit(0.3), F.lit(0.7))).when(k == 2, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0)))
-    return A.read(s, d, "labels").select("doc_id", responses.valid_confidence(conf).alias("ok"))
+    """Confidences of all calls, some of them spoilt: of one or three values, of another sum, or nought."""
+    b, science, mention = F.col("bibcode"), F.col("conf_science"), F.col("conf_mention")
+    spoilt = F.array(science, mention + (F.col("run") % 3).cast("double") / 10)
+    conf = F.when(b % 5 == 0, F.array(F.lit(0.0), F.lit(0.0))).when(b % 7 == 0, F.array(science)).when(b % 11 == 0, F.array(science, mention, F.lit(0.0))).otherwise(spoilt)
+    return _calls(s, d).select("bibcode", "run", responses.valid_confidence(conf).alias("ok"))
 
 
-@query("q_unique_missions", "SELECT doc_id, doc_id % 3 <> 0 AS ok FROM labels")
+@query("q_unique_missions", f"WITH {A.SEVERAL} SELECT bibcode, count(*) = count(DISTINCT mission) AS ok FROM several GROUP BY 1")
 def q_unique_missions(s, d):
-    other = F.when(F.col("doc_id") % 3 == 0, "HST").otherwise("TESS")
-    return A.read(s, d, "labels").select("doc_id", responses.unique_missions(F.array(F.struct(F.lit("HST").alias("mission")), F.struct(other.alias("mission")))).alias("ok"))
+    """Papers' labels as responses; some name a mission twice."""
+    per = A.several(s, d).groupBy("bibcode").agg(F.collect_list(F.struct("mission")).alias("missions"))
+    return per.select("bibcode", responses.unique_missions(F.col("missions")).alias("ok"))
 
 
 @query("q_map_papertype", "WITH " + A.TRACK + " SELECT bibcode, CASE WHEN bibcode % 5 = 0 THEN NULL WHEN papertype = 'SCIENCE' THEN 'SCIENCE' ELSE 'NONSCIENCE' END AS class FROM track")
@@ -680,9 +687,12 @@ def q_map_papertype(s, d):
     return A.track(s, d).select("bibcode", metrics.map_papertype(kind).alias("class"))
 
 
-@query("q_canonical_mission", "WITH " + A.TRACK + " SELECT bibcode, mission FROM track")
+@query("q_canonical_mission", "WITH " + A.TRACK + " SELECT bibcode, CASE WHEN bibcode % 4 = 3 THEN NULL ELSE mission END AS mission FROM track")
 def q_canonical_mission(s, d):
-    return A.track(s, d).select("bibcode", responses.canonical_mission(F.lower("mission")).alias("mission"))
+    """Names in small letters, in mixed ones, as registered, and unknown ones."""
+    k, name = F.col("bibcode") % 4, F.col("mission")
+    said = F.when(k == 0, F.lower(name)).when(k == 1, F.initcap(name)).when(k == 2, name).otherwise(F.concat(name, F.lit("X")))
+    return A.track(s, d).select("bibcode", responses.canonical_mission(said).alias("mission"))
 
 
 @query("q_convert", f"WITH {A.CALLS} SELECT bibcode, run, mission, papertype FROM calls WHERE greatest(conf_science, conf_mention) >= 0.7 OR greatest(conf_science, conf_mention) = 0.5")
@@ -704,13 +714,16 @@ def q_merge_chunks(s, d):
     return responses.keep_latest(merged, ["bibcode"], "run").select("bibcode", "mission", "run")
 
 
-@query("q_fenced_json", """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN 'No JSON content found in response' ELSE 'JSON could not be decoded' END AS error,
-  CASE WHEN turn % 3 = 0 THEN 'HST' END AS mission FROM conversations""")
+@query("q_fenced_json", f"""WITH {A.TRACK} SELECT bibcode, CASE WHEN bibcode % 4 = 1 THEN 'No JSON content found in response' WHEN bibcode % 4 = 2 THEN 'JSON could not be decoded' END AS error,
+  CASE WHEN bibcode % 4 IN (0, 3) THEN mission END AS mission, CASE WHEN bibcode % 4 IN (0, 3) THEN papertype END AS papertype FROM track""")
 def q_fenced_json(s, d):
-    good = '```json\n{"notes": "n", "missions": [{"mission": "HST", "papertype": "SCIENCE", "quotes": [], "reason": "r", "confidence": [0.9, 0.1]}]}\n```'
-    raw = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n" + good))).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.lit("```json\n{broken\n```"))
-    rows = A.read(s, d, "conversations").select("conv_id", "turn", responses.parse_response(raw).alias("p"))
-    return rows.select("conv_id", "turn", F.col("p.error").alias("error"), F.col("p.response.missions")[0]["mission"].alias("mission"))
+    """Every label as a model's text: fenced among prose, without a fence, cut off, and with a second block behind the first."""
+    k = F.col("bibcode") % 4
+    own = F.to_json(F.struct(F.lit("n").alias("notes"), F.array(F.struct("mission", "papertype", F.array(F.lit("q")).alias("quotes"), F.lit("r").alias("reason"), F.array(F.lit(0.9), F.lit(0.1)).alias("confidence"))).alias("missions")))
+    fenced = lambda x: F.concat(F.lit("```json\n"), x, F.lit("\n```"))
+    raw = F.when(k == 0, F.concat(F.lit("Here: "), fenced(own), F.lit(" Done."))).when(k == 1, own).when(k == 2, fenced(F.substring(own, 1, 20))).otherwise(F.concat(fenced(own), F.lit("\n"), fenced(F.lit("{}"))))
+    rows = A.track(s, d).select("bibcode", responses.parse_response(raw).alias("p"))
+    return rows.select("bibcode", F.col("p.error").alias("error"), F.get("p.response.missions", 0)["mission"].alias("mission"), F.get("p.response.missions", 0)["papertype"].alias("papertype"))
 
 
 @query("q_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -718,10 +731,13 @@ def q_json_props(s, d):
     return A.read(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("q_output_key", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'b' || doc_id END AS key FROM documents")
+@query("q_output_key", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN source || doc_id ELSE source || '.txt' END AS key FROM documents")
 def q_output_key(s, d):
-    own = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))
-    return A.read(s, d, "documents").select("doc_id", responses.output_key(own, F.concat(F.lit("temp_x_b"), F.col("doc_id"), F.lit(".json"))).alias("key"))
+    """With a bibcode, from a temporary file's name, and from another file's."""
+    k = F.col("doc_id") % 3
+    own = F.when(k == 0, F.col("doc_id").cast("string"))
+    file = F.when(k == 2, F.concat("source", F.lit(".txt"))).otherwise(F.concat(F.lit("temp_x1_"), "source", "doc_id", F.lit(".json")))
+    return A.read(s, d, "documents").select("doc_id", responses.output_key(own, file).alias("key"))
 
 
 @query("q_requests", "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)) GROUP BY 1")
