@@ -75,13 +75,14 @@ class Scorer:
         self.distance = Distance(model.toxic, model.ordinary, model.level) if model.weights else None
 
     def features(self, text: str | None) -> np.ndarray:
-        """Logarithms of the number of windows at each distance, the share of windows at any, and the mean distance."""
+        """Logarithms of the number of windows at each distance, the share of windows at any, the mean distance, and the
+        logarithm of all windows, as a long text meets small distances by chance."""
         found = windows(text, self.model.window)
         if not found:
-            return np.zeros(BINS + 2)
+            return np.zeros(BINS + 3)
         saved = self.distance(found)
         counts = np.bincount(np.clip(saved, 0, BINS), minlength=BINS + 1)[1:]
-        return np.r_[np.log1p(counts), counts.sum() / len(found), saved.sum() / len(found)]
+        return np.r_[np.log1p(counts), counts.sum() / len(found), saved.sum() / len(found), math.log1p(len(found))]
 
     def score(self, text: str | None) -> float:
         if not self.model.weights:
@@ -113,18 +114,29 @@ def _train(samples: list[bytes], size: int, k: int, d: int = 6) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def _toxic_dictionary(texts: list[list[bytes]], ordinary: bytes, size: int, k: int, level: int, rounds: int, gain: int) -> bytes:
-    """Trained on the windows of toxic texts that a dictionary of the other half of them saves ``gain`` bytes on."""
+def _spread(found: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` windows, evenly over the whole text, so that no long text outweighs the others in the fit."""
+    return found if len(found) <= most else [found[i * len(found) // most] for i in range(most)]
+
+
+def _toxic_dictionary(texts: list[list[bytes]], ordinary: bytes, size: int, k: int, level: int, rounds: int, gain: int, part: int, least: int) -> bytes:
+    """Trained on the windows of toxic texts that a dictionary of the other half of them saves ``gain`` bytes on. It holds one
+    ``part``-th of their length (``least`` to ``size`` bytes), as most of the rest is what they have of their own."""
     halves = [[w for t in texts[i::2] for w in t if len(w) >= 8] for i in (0, 1)]
+
+    def trained(picked: list[bytes]) -> bytes:
+        padded = [b" " + w + b" " for w in picked]
+        return _train(padded, max(least, min(size, sum(map(len, padded)) // part)), k)
+
     picked = halves
     for _ in range(rounds):
-        trained = [_train([b" " + w + b" " for w in ws], size, k) for ws in picked]
-        saved = [Distance(trained[1 - i], ordinary, level)(halves[i]) for i in (0, 1)]
+        own = [trained(ws) for ws in picked]
+        saved = [Distance(own[1 - i], ordinary, level)(halves[i]) for i in (0, 1)]
         kept = [[w for w, n in zip(halves[i], saved[i], strict=True) if n >= gain] for i in (0, 1)]
         if not kept[0] or not kept[1]:
             break
         picked = kept
-    return _train([b" " + w + b" " for ws in picked for w in ws], size, k)
+    return trained([w for ws in picked for w in ws])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> list[float]:
@@ -138,9 +150,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
     return [float(v) for v in w]
 
 
-def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 65536, toxic_bytes: int = 8192, window: int = 4, level: int = 6, rounds: int = 2, gain: int = 3) -> Model:
-    """A model of (text, toxic) rows. Half of them train the dictionaries, the others calibrate. With under 8 texts of
-    either class there is nothing to learn: every score is then 0."""
+#: (rounds, gain, part, least) of ``_toxic_dictionary``: a few, as how far to narrow depends on how much text there is.
+NARROWING = ((3, 4, 8, 1024), (2, 3, 3, 2048), (2, 4, 3, 4096))
+
+
+def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 65536, toxic_bytes: int = 8192, window: int = 4, level: int = 6, narrowing: tuple = NARROWING, most: int = 400) -> Model:
+    """A model of (text, toxic) rows. Half of them train the dictionaries, with at most ``most`` windows of a text, the others
+    calibrate, whole; of the toxic dictionaries by ``narrowing`` the one that the others' labels bear out best stays. With
+    under 8 texts of either class there is nothing to learn: every score is then 0."""
     rows = _distinct_enough(rows)
     halves: list[list[tuple[str, int]]] = [[], []]
     for label in (0, 1):
@@ -149,13 +166,18 @@ def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 65536, toxic_bytes: i
     n = Counter(label for _, label in rows)
     if min(n[0], n[1]) < 8:
         return Model()
-    ordinary = _train([w for t, label in halves[0] if not label for w in windows(t, 16) if len(w) >= 8], ordinary_bytes, 64)
-    toxic = _toxic_dictionary([windows(t, window) for t, label in halves[0] if label], ordinary, toxic_bytes, 16, level, rounds, gain)
-    model = Model(ordinary, toxic, [0.0], window, level)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for t, _ in halves[1]])
-    model.weights = _logistic(x, np.array([label for _, label in halves[1]], float))
-    return model
+    ordinary = _train([w for t, label in halves[0] if not label for w in _spread(windows(t, 16), most) if len(w) >= 8], ordinary_bytes, 64)
+    texts = [_spread(windows(t, window), most) for t, label in halves[0] if label]
+    y = np.array([label for _, label in halves[1]], float)
+    tried = []
+    for i, (rounds, gain, part, least) in enumerate(narrowing):
+        model = Model(ordinary, _toxic_dictionary(texts, ordinary, toxic_bytes, 16, level, rounds, gain, part, least), [0.0], window, level)
+        scorer = Scorer(model)
+        x = np.array([scorer.features(t) for t, _ in halves[1]])
+        model.weights = _logistic(x, y)
+        z = np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)
+        tried.append((float(np.sum(np.log1p(np.exp(-np.where(y == 1, z, -z))))), i, model))
+    return min(tried)[2]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_ordinary: int = 4000, max_chars: int = 32_000_000) -> list[tuple[str, int]]:
