@@ -184,7 +184,7 @@ def test_toxicity_scores_equal_a_plain_version(spark, labelled, odd):
                 sizes.append(len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)))
             saved.append(sizes[0] - sizes[1])
         x = [math.log1p(sum(min(v, 8) == k for v in saved)) for k in range(1, 9)]
-        x += [sum(v > 0 for v in saved) / len(saved), sum(saved) / len(saved)] if saved else [0, 0]
+        x += [sum(v > 0 for v in saved) / len(saved), sum(saved) / len(saved), math.log1p(len(saved))] if saved else [0, 0, 0]
         z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
         return 1 / (1 + math.exp(-z))
 
