@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..sources.files import spread  # not in the workers, which import this module too
+
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -287,9 +287,13 @@ def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int)
 
     n, early = F.col("n"), F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
     rows = sets.select(F.posexplode("prefix").alias("at", "g"), "f", (2 * n + F.when(F.col("at") >= early, 1).otherwise(0)).alias("w"))
-    hot = [(int(h), int(-(-c // TILE))) for h, c in zip(heavy[0].view(np.int64), heavy[1], strict=True) if c > TILE]
     part = F.lit(-1).cast("long")
-    if hot:  # at most HEAVY entries
+    often = [(int(h),) for h, c in zip(heavy[0].view(np.int64), heavy[1], strict=True) if c > TILE]
+    hot = []
+    if often:  # at most HEAVY entries; of them those whose group is larger than a tile, as most are in few prefixes
+        known = F.broadcast(sets.sparkSession.createDataFrame(often, "g long"))
+        hot = sets.select(F.explode("prefix").alias("g")).join(known, "g").groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts")).where("parts > 1").collect()
+    if hot:
         rows = rows.join(F.broadcast(sets.sparkSession.createDataFrame(hot, "g long, parts long")), "g", "left")
         part = F.coalesce(F.pmod(F.xxhash64("f", "g"), "parts"), part)
     rows = rows.select("g", part.alias("s"), "f", "w")
