@@ -103,7 +103,7 @@ def _heavy(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 met.add(key)
                 held.append(shingles(t))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 4_000_000:
                     yield out()
                     held, size = [], 0
         if held:
