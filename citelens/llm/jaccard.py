@@ -232,14 +232,26 @@ def _merged_groups(groups: list[np.ndarray]) -> Iterator[np.ndarray]:
         yield now
 
 
+def _packed_groups(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"least": pa.int64(), "fs": pa.list_(pa.int64()), "big": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def united(groups: DataFrame) -> DataFrame:
+    """(lid, fs, big): groups (least, fs, big), of which those of nearly the same sets are one."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            whole = _merged_groups([np.array(fs, np.int64) for _, fs, big in rows if big is None])
+            yield _packed_groups([(rows[0][0], fs, None) for fs in whole] + [r for r in rows if r[2] is not None])
+
+    tiles = groups.repartition("least").sortWithinPartitions("least").mapInArrow(merge, "least long, fs array<long>, big long")
+    return tiles.select(F.xxhash64("fs", "big").alias("lid"), "fs", "big")
+
+
 def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """(lid, fs, big): groups of at most TILE sets that share a prefix shingle. A larger group comes in such parts, with its
     shingle in ``big``; a shingle known to be frequent is dealt to tasks by part from the start."""
-    kinds = pa.int64(), pa.list_(pa.int64()), pa.int64()
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["least", "fs", "big"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, np.ndarray] = {}
         parts: list[tuple] = []
@@ -257,7 +269,7 @@ def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int)
             rows = [(fs[0], fs, None) for fs in found.values()] + parts
             found.clear()
             parts.clear()
-            return pack(rows)
+            return _packed_groups(rows)
 
         rest = (np.zeros(0, np.int64),) * 4
         for b in batches:
@@ -280,11 +292,6 @@ def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int)
             close(rest[0][0], rest[1][0], rest[2], rest[3])
         yield flush()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 1):
-            whole = _merged_groups([np.array(fs, np.int64) for _, fs, big in rows if big is None])
-            yield pack([(rows[0][0], fs, None) for fs in whole] + [r for r in rows if r[2] is not None])
-
     n, early = F.col("n"), F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
     rows = sets.select(F.posexplode("prefix").alias("at", "g"), "f", (2 * n + F.when(F.col("at") >= early, 1).otherwise(0)).alias("w"))
     part = F.lit(-1).cast("long")
@@ -298,11 +305,10 @@ def _groups(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], percent: int)
         part = F.coalesce(F.pmod(F.xxhash64("f", "g"), "parts"), part)
     rows = rows.select("g", part.alias("s"), "f", "w")
     some = rows.repartition("g", "s").sortWithinPartitions("g", "s", "f").mapInArrow(run, "least long, fs array<long>, big long")
-    tiles = some.repartition("least").sortWithinPartitions("least").mapInArrow(merge, "least long, fs array<long>, big long")
-    return tiles.select(F.xxhash64("fs", "big").alias("lid"), "fs", "big")
+    return united(some)
 
 
-class _Tile:
+class Tile:
     """The sets of one tile, in order of size: rows (f, c, bits) and, for exact work, the sorted arrays."""
 
     def __init__(self, rows: list[tuple[int, int, int, bytes]], percent: int, arrays: dict[int, np.ndarray] | None = None) -> None:
@@ -311,13 +317,16 @@ class _Tile:
         self.sizes = np.array(self.n, np.int64)
         self.comps = np.array([r[1] for r in rows], np.int64)
         self.percent, self.arrays = percent, arrays
+        self._prepare()
+
+    def _prepare(self) -> None:
         self.folded: dict[int, tuple[int, np.ndarray]] = {}
-        if len(rows) > 12:
+        if len(self.f) > 12:
             # Bitmaps grow with n: each length has one matrix, of its nodes and of the larger ones within their size band.
             last = {len(b): n for n, b in zip(self.n, self.bits, strict=True)}
             for i, raw in enumerate(self.bits):
                 if (size := len(raw)) not in self.folded:
-                    end = int(np.searchsorted(self.sizes, 100 * last[size] // percent, side="right"))
+                    end = int(np.searchsorted(self.sizes, 100 * last[size] // self.percent, side="right"))
                     self.folded[size] = i, np.stack([fold(b, size) for b in self.bits[i:end]])
 
     def forest(self) -> Iterator[tuple[int, int]]:
@@ -371,13 +380,14 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(key)
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for every tile of members (lid, f, c) a forest over the pairs that their bitmaps allow."""
+def _candidates(members: DataFrame, nodes: DataFrame, percent: int, kind: type[Tile]) -> DataFrame:
+    """(a, b): for every tile of members (lid, f, c) a forest over the pairs that their bitmaps allow, or what else a tile of
+    this kind compares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for rows in _runs(batches, 1):
-            out += _Tile([r[1:] for r in rows], percent).forest()
+            out += kind([r[1:] for r in rows], percent).forest()
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -415,7 +425,7 @@ def _verified(rows: DataFrame, percent: int) -> DataFrame:
         for held in _runs(batches, 1):
             own = {f: np.frombuffer(h, np.uint64) for _, f, _, h in held}
             comps = {f: c for _, f, c, _ in held}
-            out += _Tile([(f, comps[f], len(h), bitmap(h)) for f, h in own.items()], percent, own).forest()
+            out += Tile([(f, comps[f], len(h), bitmap(h)) for f, h in own.items()], percent, own).forest()
             if len(out) > 10_000:
                 yield _pairs(out)
                 out = []
@@ -443,11 +453,11 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return members.join(_several(members, "lid"), "lid").select("lid", "f", "c")
 
 
-def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataFrame | None, n: int, percent: int) -> DataFrame | None:
+def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataFrame | None, n: int, percent: int, kind: type[Tile]) -> DataFrame | None:
     """The components after all links within tiles of members (lid, f, c). What bitmaps leave connected is a cluster, and a
     cluster is verified as one tile; one too large for a tile first in parts, then by one set per component, and last, if it
     still spans components, by all pairs of its blocks across them."""
-    found = materialise(_candidates(members, nodes, percent), "candidates")
+    found = materialise(_candidates(members, nodes, percent, kind), "candidates")
     clusters = components(found)
     if clusters is None:
         return labels
@@ -477,33 +487,47 @@ def _settle(members: DataFrame, nodes: DataFrame, docs: DataFrame, labels: DataF
     return labels
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(``id_col``, n_shingles, component_id) of every row: the size of its set of n-word shingles, and the least id
-    reachable by links 100 |A n B| >= percent |A u B|, itself included.
+def nodes_of(sets: DataFrame) -> DataFrame:
+    """(f, row, n, bits): the distinct sets, each with one row that has its text."""
+    row = F.struct(F.col("doc").isNull().alias("null"), "doc", "t")
+    return materialise(sets.where(F.length("bits") > 0).groupBy("f").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
-    A null, empty or blank text has an empty set and links with nothing. Repeated rows stay repeated; rows of one id count
-    as texts of that id; a null id stays out of the components' least ids. Other columns are not read. Ids are longs.
-    Sets are told apart by a 64-bit hash of their sorted hashes. Memory: a task holds one tile: at most 2 x TILE bitmaps, or
-    the arrays of about 2 x TILE_SHINGLES shingles (one set more, however long).
-    """
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    heavy = _heavy(docs, n)
-    sets = materialise(_sets(docs, n, percent, heavy), "sets")
-    full = sets.where(F.length("bits") > 0)
-    row = F.struct(F.col("doc").isNull().alias("null"), "doc", "t")  # one row with the set's text
-    nodes = materialise(full.groupBy("f").agg(F.min(row).alias("row"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    groups = materialise(_groups(full, heavy, percent), "groups")
-    labels = _settle(_labelled(groups.select("lid", F.explode("fs").alias("f")), None), nodes, docs, None, n, percent)
+
+def settled(groups: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, kind: type[Tile] = Tile) -> DataFrame | None:
+    """(f, c): the components that links within the written groups (lid, fs, big) make; None without links. Deletes the groups."""
+    labels = _settle(_labelled(groups.select("lid", F.explode("fs").alias("f")), None), nodes, docs, None, n, percent, kind)
     big = groups.where("big IS NOT NULL").select(F.col("big").alias("key"), F.explode("fs").alias("f")).distinct()
     big = _labelled(big, labels)
     big = materialise(big.join(_several(big, "key"), "key").join(nodes.select("f", "n"), "f"), "big")
     if not big.isEmpty():  # groups beyond a tile that still span components: all pairs of blocks across them
-        labels = _settle(_block_pairs(big, percent), nodes, docs, labels, n, percent)
+        labels = _settle(_block_pairs(big, percent), nodes, docs, labels, n, percent, kind)
     discard(groups, big)
-    # The least id of a set counts every row of it: bits are on the first that a task met, of any id.
+    return labels
+
+
+def least_ids(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(doc, n_shingles, component_id) of every row of ``sets``. The least id of a set counts every row of it: bits are on the
+    first that a task met, of any id."""
     ids = sets.where("f IS NOT NULL").groupBy("f").agg(F.min("doc").alias("doc"))
     of = _labelled(ids, labels)
     least = of.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = of.join(least, "c").select("f", "component_id")
-    out = sets.select("doc", "f", "n").join(named, "f", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return sets.select("doc", "f", "n").join(named, "f", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(``id_col``, n_shingles, component_id) of every row: the size of its set of n-word shingles, and the least id
+    reachable by links 100 |A n B| >= percent |A u B|, itself included.
+
+    A null, empty or blank text has an empty set and links with nothing. Each row is a document of its own: rows stay repeated,
+    and links join rows, so that two texts of one id may have two components. A null id stays out of the components' least
+    ids. Other columns are not read. Ids are longs. Sets are told apart by a 64-bit hash of their sorted hashes. Memory: a task
+    holds one tile: at most 2 x TILE bitmaps, or the arrays of about 2 x TILE_SHINGLES shingles (one set more, however long).
+    """
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    heavy = _heavy(docs, n)
+    sets = materialise(_sets(docs, n, percent, heavy), "sets")
+    nodes = nodes_of(sets)
+    groups = materialise(_groups(sets.where(F.length("bits") > 0), heavy, percent), "groups")
+    labels = settled(groups, nodes, docs, n, percent)
+    return least_ids(sets, labels).withColumnRenamed("doc", id_col)
