@@ -38,11 +38,13 @@ def test_consistency_and_errors(spark, runs, rows):
     assert rows(E.errors(wanted.where("bibcode <> 'r'"), runs, wanted)) == [("q", "No mission output found for q"), ("r", "No paper source found")]
 
 
-def test_tally_lists_the_groups_own_papers(spark):
+def test_tally_lists_the_groups_own_papers(spark, rows):
     calls = spark.createDataFrame([("a", 0, "K2", "MENTION", 0.2, 0.8), ("b", 0, "Kepler", "SCIENCE", 0.95, 0.05), ("c", 0, "KEPLER", "SCIENCE", 0.9, 0.1)], "bibcode string, run int, mission string, papertype string, conf_science double, conf_mention double")
     got = {r.mission: r for r in E.acceptance_tally(calls, 0.85, 0.5).collect()}
-    assert (got["k2"].total_count, got["k2"].accepted_count, got["k2"].inspection_bibcodes) == (1, 0, "a")
-    assert (got["kepler"].accepted_count, got["kepler"].accepted_papers, got["kepler"].accepted_bibcodes) == (2, 2, "b,c")
+    assert (got["k2"].total_count, got["k2"].accepted_count, got["k2"].inspection_count, got["k2"].inspection_papers) == (1, 0, 1, 1)
+    assert (got["kepler"].accepted_count, got["kepler"].accepted_papers) == (2, 2)
+    papers = rows(E.acceptance_papers(calls, 0.85, 0.5), "mission", "route", "bibcode")
+    assert papers == [("k2", "inspect", "a"), ("kepler", "accept", "b"), ("kepler", "accept", "c")]
 
 
 def test_report_of_a_published_sample(spark):
@@ -76,7 +78,7 @@ def test_roc(spark):
     curve = M.roc_curve(scores)
     got = sorted(((r.threshold, round(r.fpr, 3), round(r.tpr, 3)) for r in curve.collect()), reverse=True)
     assert got == [(float("inf"), 0.0, 0.0), (0.9, 0.0, 0.333), (0.7, 0.0, 1.0), (0.1, 1.0, 1.0)]
-    assert M.auc(curve).first().auc == 1.0
+    assert M.auc(scores).first().auc == 1.0
 
 
 def test_audit(spark, rows):
