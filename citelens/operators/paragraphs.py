@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import grammar, nlp
+from ..functions import grammar
 from ..functions.registry import MISSIONS, Mission
 from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline
+from .ambiguity import key_of, settle
 
 
 def merge_spans(hits: DataFrame, keys: list[str], buffer: int) -> DataFrame:
@@ -58,19 +59,40 @@ def mission_sentences(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS,
     return rows.select("bibcode", "i", "last", F.explode(hits).alias("mission"))
 
 
-def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
+def _ruled(papers: DataFrame, text: Column, missions: tuple[Mission, ...]) -> DataFrame:
+    """(bibcode, s, sure, asked): a paper's sentences, for each the missions that rules settle, and array<struct<i, mission, sentence>>
+    of those they leave open."""
+    ambiguous = tuple(m for m in missions if m.ambiguous)
+    open_ = lambda x, i: F.transform(_labels(x, ambiguous, lambda verdict: verdict.isNull()), lambda m: F.struct(i.alias("i"), m.alias("mission"), x.alias("sentence")))
+    sure = F.transform(sentences(text), lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(False))))
+    return papers.select("bibcode", sentences(text).alias("s"), sure.alias("sure"), F.flatten(F.transform(sentences(text), open_)).alias("asked"))
+
+
+def _told(ruled: DataFrame, keep: list[str], missions: tuple[Mission, ...], lexicon: DataFrame | None) -> DataFrame:
+    """(keep, i, mission) of open sentences that phrases settle for their mission. Only these sentences are shuffled."""
+    asked = ruled.select(*keep, F.inline("asked"))
+    return settle(asked, [*keep, "i"], missions, lexicon).where("verdict").select(*keep, "i", "mission")
+
+
+def settled_sentences(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, lexicon: DataFrame | None = None) -> DataFrame:
+    """(bibcode, i, mission) of every sentence that means a mission: by rules, else by phrases (``operators.ambiguity``).
+    Bibcodes are unique."""
+    ruled = _ruled(papers, text, missions)
+    sure = ruled.select("bibcode", F.posexplode("sure").alias("i", "hits")).select("bibcode", "i", F.explode("hits").alias("mission"))
+    return sure.unionByName(_told(ruled, ["bibcode"], missions, lexicon))
+
+
+def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True, lexicon: DataFrame | None = None) -> DataFrame:
     """(bibcode, s, h): a paper's sentences, and for each the missions that it counts for. ``undecided`` None: sentences that
-    rules cannot settle are looked at in Python, and count where a phrase of the table says so. One narrow pass."""
-    split = papers.select("bibcode", sentences(text).alias("s"))
+    rules cannot settle count where a phrase of the table says so; what that finds is joined to the papers by a hash of their
+    text. Otherwise one narrow pass."""
     if undecided is not None:
+        split = papers.select("bibcode", sentences(text).alias("s"))
         return split.select("bibcode", "s", F.transform("s", lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(undecided)))).alias("h"))
-    sure = F.transform("s", lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(False))))
-    unsure = F.transform("s", lambda x: _labels(x, tuple(m for m in missions if m.ambiguous), lambda verdict: verdict.isNull()))
-    ruled = split.select("bibcode", "s", sure.alias("sure"), unsure.alias("unsure"))
-    asked = F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.transform(F.get("unsure", i), lambda m: F.struct(i.alias("i"), m.alias("mission"), F.get("s", i).alias("sentence")))))
-    looked = nlp.look(ruled.withColumn("asked", asked), missions)
-    more = lambda i: F.transform(F.filter("meant", lambda x: x["i"] == i), lambda x: x["mission"])
-    return looked.select("bibcode", "s", F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.concat(F.get("sure", i), more(i))).alias("h"))
+    ruled = _ruled(papers, text, missions).withColumn("p", F.when(F.size("asked") > 0, key_of(F.array_join("s", "\n"))))
+    meant = _told(ruled, ["p"], missions, lexicon).groupBy("p").agg(F.collect_list(F.struct("i", "mission")).alias("meant"))
+    more = lambda i: F.coalesce(F.transform(F.filter("meant", lambda x: x["i"] == i), lambda x: x["mission"]), F.array().cast("array<string>"))
+    return ruled.join(meant, "p", "left").select("bibcode", "s", F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.concat(F.get("sure", i), more(i))).alias("h"))
 
 
 def _spans(hits: Column, last: Column, buffer: int) -> Column:

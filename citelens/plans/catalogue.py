@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar, nlp
 from ..functions import text as T
+from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
-from ..operators import batching, dataset, evaluation, metrics, paragraphs, responses, scoring
+from ..operators import ambiguity, batching, dataset, evaluation, metrics, paragraphs, responses, scoring
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -828,17 +830,84 @@ def q_classify_set(s, d):
 # Linguistic operators: SQL cannot express them; tests hold them against given cases
 
 
-@query("q_truematch")
+def _rules_sql(m) -> str:
+    """The verdict by rules, null where a phrase must tell."""
+    if not m.ambiguous:
+        return _mentions("sentence", m)
+    plain = tuple(p for p in m.phrases if p not in m.ambiguous)
+    own = f" WHEN {_mentions('sentence', type(m)(m.label, plain, m.cased, m.uncased, m.banned), 'keyword')} THEN TRUE" if plain else ""
+    return f"CASE WHEN {_mentions('sentence', m, 'acronym')} THEN TRUE{own} WHEN NOT {_mentions('sentence', m)} THEN FALSE END"
+
+
+_AMBIGUOUS = [m for m in MISSIONS if m.ambiguous]
+_LETTER = r"[\p{L}\p{N}]"
+_SQL_WORD = rf"{_LETTER}+(?:[-−/.]{_LETTER}+)*|'s\b|\S"
+
+
+def _words_sql(source: str, masks: bool = True) -> str:
+    """Words of the rows (mission, sentence) of ``source``, their classes, what they mean and the chunks they form."""
+    sentence = "sentence"
+    for m in _AMBIGUOUS if masks else []:
+        for phrase in m.banned:
+            sentence = f"CASE WHEN mission = '{m.label}' THEN regexp_replace({sentence}, {_q('(?i)' + phrase)}, '{'#' * len(phrase)}', 'g') ELSE {sentence} END"
+    if masks:
+        sentence = f"regexp_replace({sentence}, {_q(chr(45) + r'\b[0-9]+\b')}, '-000', 'g')"
+    listed = " ".join(f"WHEN low IN ({', '.join(_q(w) for w in words.split())}) THEN '{name}'" for name, words in reversed(nlp.CLASSES.items()))
+    core = " ".join(f"WHEN {_mentions('w', m)} THEN CASE WHEN regexp_matches({_ascii('w')}, '[^a-zA-Z0-9]') THEN low ELSE '{m.name.lower()}' END" for m in MISSIONS)
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in nlp.IRREGULAR.items())
+    return f"""w0 AS (SELECT mission, sentence, regexp_extract_all({sentence}, {_q(_SQL_WORD)}) AS ws FROM {source}),
+w1 AS (SELECT *, lower(w) AS low FROM (SELECT mission, sentence, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w0)),
+w2 AS (SELECT *, CASE WHEN low = {_q("'s")} THEN 'POSS' WHEN NOT regexp_matches(w, {_q(_LETTER)}) THEN 'PUNCT' WHEN regexp_matches(low, '^(id)?[0-9]') THEN 'NUM' {listed}
+    WHEN low LIKE '%ly' AND length(low) > 4 THEN 'ADV' WHEN regexp_matches(low, '(ous|ive|ful|able|ible|ical|ed)$') AND length(low) > 4 THEN 'ADJ' ELSE 'NOUN' END AS pos,
+  CASE mission {' '.join(f"WHEN '{m.label}' THEN {_mentions('w', m)}" for m in _AMBIGUOUS)} END AS own,
+  CASE {core} WHEN regexp_matches(low, '^(id)?[0-9]+') THEN '000' ELSE CASE low {irregular} ELSE
+    CASE WHEN length(low) > 4 AND low LIKE '%ies' THEN low[:-4] || 'y' WHEN length(low) > 4 AND regexp_matches(low, '(sses|shes|ches|xes)$') THEN low[:-3]
+      WHEN length(low) > 3 AND low LIKE '%s' AND NOT regexp_matches(low, '(ss|us|is)$') THEN low[:-2] ELSE low END END END AS root FROM w1),
+w3 AS (SELECT *, i - row_number() OVER (PARTITION BY mission, sentence ORDER BY i) AS island FROM w2 WHERE own OR w IN ('-', '/') OR pos IN ('NOUN', 'ADJ', 'NUM', 'POSS')),
+ck AS (SELECT mission, sentence, min(i) AS begins, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (pos <> 'POSS'), '') AS text, coalesce(string_agg(root, ' ' ORDER BY i) FILTER (pos NOT IN ('POSS', 'PUNCT')), '') AS meaning
+  FROM w3 GROUP BY mission, sentence, island HAVING bool_or(own))"""
+
+
+def _phrases_sql() -> str:
+    """(mission, ord, exact, spaced, verdict) of the phrase table."""
+    rows = []
+    for m in _AMBIGUOUS:
+        for n, (who, text, verdict) in enumerate(PHRASES):
+            if who.lower() in ("anymission", m.name.lower()):
+                own = text.replace("AnyMission", m.name.lower())
+                words = nlp.meaning([t._replace(pos="NOUN") if t.pos != "PUNCT" else t for t in nlp.annotate(own)])
+                spaced = r" (?:\w+ )*".join(rf"\b{re.escape(w)}\b" for w in words)
+                rows.append(f"('{m.label}', {n}, {_q(rf'(?i)\b{re.escape(own)}\b')}, {_q('(?i)' + spaced)}, {verdict})")
+    return "ph(mission, ord, exact, spaced, verdict) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _in(values) -> str:
+    return "(" + ", ".join(_q(v.lower()) for v in values) + ")"
+
+
+_SETTLED = f"""{_words_sql('asked')}, {_phrases_sql()},
+bare AS (SELECT *, CASE mission {' '.join(f"WHEN '{m.label}' THEN lower(text) IN {_in(m.ambiguous)} OR replace(lower(text), '.', '') IN {_in(m.phrases + m.cased + m.uncased)}" for m in _AMBIGUOUS)} END AS bare FROM ck),
+hits AS (SELECT b.*, ord, verdict, unnest([0, 1]) AS form, unnest([length(regexp_extract(meaning, exact)), length(regexp_extract(meaning, spaced))]) AS size FROM bare b JOIN ph ON ph.mission = b.mission AND NOT bare),
+best AS (SELECT mission, sentence, verdict FROM hits WHERE size > 0 QUALIFY row_number() OVER (PARTITION BY mission, sentence, begins ORDER BY form, size, ord) = 1 UNION ALL SELECT mission, sentence, TRUE FROM bare WHERE bare),
+told AS (SELECT mission, sentence, bool_or(verdict) AS verdict FROM best GROUP BY 1, 2)"""
+
+
+@query("q_truematch", f"WITH {_SENT}, r AS (" + " UNION ALL ".join(f"SELECT bibcode, i, sentence, '{m.label}' AS mission, {_rules_sql(m)} AS verdict FROM s" for m in MISSIONS) + f"""),
+asked AS (SELECT DISTINCT mission, sentence FROM r WHERE verdict IS NULL AND sentence IS NOT NULL), {_SETTLED}
+SELECT bibcode, i, mission FROM r WHERE verdict UNION ALL SELECT bibcode, i, r.mission FROM r JOIN told ON r.mission = told.mission AND r.sentence = told.sentence WHERE r.verdict IS NULL AND told.verdict""")
 def q_truematch(s, d):
-    """All missions, in one pass: what rules settle and what phrases settle."""
-    h = paragraphs.marked_papers(A.papers(s, d), F.col("body"), undecided=None)
-    return h.select("bibcode", F.posexplode("h").alias("i", "hits")).select("bibcode", "i", F.explode("hits").alias("mission"))
+    """All missions: what rules settle, and what phrases settle."""
+    return paragraphs.settled_sentences(A.papers(s, d), F.col("body")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("q_nlp_wordchunks")
+@query("q_nlp_wordchunks", f"WITH {_SENT}, named AS (" + " UNION ALL ".join(f"SELECT bibcode, i AS place, '{m.label}' AS mission, sentence FROM s WHERE {_mentions('sentence', m, 'keyword')}" for m in _AMBIGUOUS) + f"""), asked AS (SELECT DISTINCT mission, sentence FROM named), {_words_sql('asked', masks=False)}
+SELECT bibcode, place AS i, mission, begins, text AS chunk, meaning FROM named JOIN ck USING (mission, sentence)""")
 def q_nlp_wordchunks(s, d):
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(T.has_phrase(F.col("sentence"), BY_LABEL["HST"]))
-    return rows.select("bibcode", "i", F.explode(nlp.chunk_column(F.col("sentence"), BY_LABEL["HST"])).alias("c")).select("bibcode", "i", "c.*")
+    """Chunks around the names of every mission with ambiguous words, with their meanings."""
+    ambiguous = tuple(m for m in MISSIONS if m.ambiguous)
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).withColumn("mission", F.explode(T.missions_of(F.col("sentence"), ambiguous, "keyword")))
+    found = ambiguity.chunks(rows, ["bibcode", "i"], ambiguous)
+    return found.select("bibcode", F.col("i").cast("long").alias("i"), "mission", F.col("at").cast("long").alias("begins"), F.col("text").alias("chunk"), "meaning")
 
 
 @query("q_modif_skim")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from citelens.functions import nlp
 from citelens.functions.registry import BY_LABEL, MISSIONS
+from citelens.operators import ambiguity
 from citelens.operators.paragraphs import verdict_by_rules
 
 CASES = [
@@ -26,7 +27,7 @@ def test_decide_agrees(spark):
     for label in ("HST", "KEPLER", "K2", "COPERNICUS"):
         own = [(p, w) for p, m, w in CASES if m == label]
         df = spark.createDataFrame(own, "sentence string, want boolean")
-        got = nlp.decide(df, BY_LABEL[label], verdict_by_rules(F.col("sentence"), BY_LABEL[label]))
+        got = ambiguity.decide(df.withColumn("mission", F.lit(label)), verdict_by_rules(F.col("sentence"), BY_LABEL[label]))
         assert got.count() == len(own) and got.where("verdict IS DISTINCT FROM want").count() == 0
 
 
