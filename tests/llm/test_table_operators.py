@@ -248,7 +248,7 @@ def test_media_query_stores_tensors(spark):
     assert want and all(got[i] == h for i, h in want.items()) and None not in got.values()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=80):
     sets, parent = {}, {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -264,7 +264,7 @@ def brute_components(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             i = len(sets[a] & sets[b])
-            if i and 100 * i >= 80 * len(sets[a] | sets[b]):
+            if i and 100 * i >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
