@@ -1,13 +1,12 @@
-"""Grammar over a dependency parse: word classes, conjuncts, noun-chunk ids, clauses, and thinning a sentence by them.
+"""Labels of a dependency parse, and a default parser as a plug-in; what follows from a parse is in ``functions.parse``.
 
-A parse is a list of ``Node``; any parser that gives one (with the usual universal part-of-speech, treebank tag and
-dependency labels) can be passed in. The default, ``parse``, is shallow: it finds clauses by their markers, participles and
-verbs, and attaches words within a clause by position. It is right on plain sentences and an approximation beyond.
+A parser gives a list of ``Node``, with the usual universal part-of-speech, treebank tag and dependency labels; any can be
+passed in. The default, ``parse``, is shallow: it finds clauses by their markers, participles and verbs, and attaches words
+within a clause by position. It is right on plain sentences and an approximation beyond.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .nlp import Annotator, annotate
 from .registry import Mission
+from .text import mentions
 
 
 class Node(NamedTuple):
@@ -44,111 +44,6 @@ LABELS = {
 TENSES = {"past": {"VBD", "VBN"}, "present": {"VB", "VBP", "VBZ", "VBG"}, "future": {"MD"}, "purpose": {"TO"}}
 SUBORDINATORS = {"because", "although", "while", "whereas", "if", "when", "where", "once", "since", "unless", "until", "which", "who", "whom", "whose", "that"}
 IRREGULAR_PARTICIPLES = {"taken", "made", "given", "shown", "seen", "found", "known", "drawn", "built"}
-CLAUSE_DEPS = {"advcl", "relcl", "acl", "ccomp"}
-
-
-def _any(node: Node, name: str) -> bool:
-    return any(getattr(node, field) in values for field, values in LABELS[name].items())
-
-
-def _all(node: Node, name: str) -> bool:
-    return all(getattr(node, field) in values for field, values in LABELS[name].items())
-
-
-def origin(nodes: list[Node], i: int) -> int:
-    """The first word of a chain of conjuncts or appositions that a word belongs to; the word itself if it is none."""
-    seen = set()
-    while nodes[i].dep in LABELS["conjoined"]["dep"] | LABELS["appos"]["dep"] and i not in seen:
-        seen.add(i)
-        i = nodes[i].head
-    return i
-
-
-def is_word(nodes: list[Node], i: int, kind: str, important: Callable[[str], bool] = lambda text: False) -> bool:
-    """Whether a word is of a class (ROOT, VERB, USELESS, SUBJECT, PREPOSITION, BASE_OBJECT, DIRECT_OBJECT, PREPOSITION_OBJECT,
-    PREPOSITION_SUBJECT, MARKER, X, CONJOINED, DETERMINANT, AUX, NOUN, PRONOUN, ADJECTIVE, CONJUNCTION, PASSIVE, NEGATIVE,
-    PUNCTUATION, BRACKET, POSSESSIVE, NUMBER). A conjunct is what the first of its chain is."""
-    node, kind = nodes[i], kind.lower()
-    if kind in ("subject", "base_object", "direct_object", "preposition_object", "preposition_subject", "verb") and (first := origin(nodes, i)) != i:
-        return is_word(nodes, first, kind, important) and (kind != "verb" or node.tag in LABELS["verb"]["tag"])
-    head = nodes[node.head]
-    if kind == "verb":
-        return node.tag in LABELS["verb"]["tag"] and (node.dep in LABELS["verb"]["dep"] | LABELS["root"]["dep"] | LABELS["ccomp"]["dep"] or (node.dep == "ROOT" and node.pos in LABELS["aux"]["pos"]))
-    if kind == "useless":
-        return _all(node, "useless") and not (important(node.text) or node.dep in ("neg", "ROOT") or is_word(nodes, i, "subject"))
-    if kind == "subject":
-        return node.dep in LABELS["subject"]["dep"] and i < node.head
-    if kind == "base_object":
-        return node.dep in LABELS["object"]["dep"] and _any(node, "noun")
-    if kind == "direct_object":
-        return is_word(nodes, i, "base_object") and is_word(nodes, node.head, "verb")
-    if kind == "preposition_object":
-        return is_word(nodes, i, "base_object") and head.dep in LABELS["preposition"]["dep"]
-    if kind == "preposition_subject":  # the object of a preposition that hangs on a subject
-        return is_word(nodes, i, "preposition_object") and is_word(nodes, head.head, "subject")
-    if kind in ("preposition", "pronoun", "adjective", "number", "conjunction"):
-        return _all(node, kind)
-    if kind == "determinant":
-        return _any(node, kind) and node.tag in LABELS[kind]["tag"]
-    if kind == "aux":
-        return node.dep in LABELS["aux"]["dep"] and node.pos in LABELS["aux"]["pos"] | {"VERB"}
-    if kind not in LABELS:
-        raise ValueError(f"unknown word class {kind}")
-    return _any(node, kind)
-
-
-def _subtree(nodes: list[Node], root: int) -> list[int]:
-    kept = {root}
-    while more := {i for i, n in enumerate(nodes) if n.head in kept and i not in kept}:
-        kept |= more
-    return sorted(kept)
-
-
-def chunk_ids(nodes: list[Node]) -> list[int | None]:
-    """An id per noun chunk (a noun with the determiners, adjectives, numbers, nouns and possessives before it), shared by its
-    words; a verb at the root has its own; words of no chunk and useless words have none."""
-    out: list[int | None] = [None] * len(nodes)
-    now, last = 0, None
-    for i, n in enumerate(nodes):
-        if n.dep == "ROOT" and n.pos not in ("NOUN", "PROPN"):
-            now, last = now + 1, None
-            out[i] = now
-        elif n.pos in ("NOUN", "PROPN", "PRON", "DET", "ADJ", "NUM") or n.tag == "POS":
-            if last is None or n.tag == "DT":
-                now += 1
-            last = i
-            out[i] = None if is_word(nodes, i, "useless") else now
-        else:
-            last = None
-    return out
-
-
-def clauses(nodes: list[Node]) -> list[tuple[int, list[int]]]:
-    """(verb, words) of every dependent clause with all below it, outer ones first."""
-    return sorted(((i, _subtree(nodes, i)) for i, n in enumerate(nodes) if n.dep in CLAUSE_DEPS), key=lambda c: -len(c[1]))
-
-
-def tree(nodes: list[Node], important: Callable[[str], bool]) -> tuple[list[dict], list[dict]]:
-    """Tables of a sentence's verbs (index, tense, the verb above, whether its words matter) and words (index, main class,
-    whether it matters, the verbs above it, nearest first)."""
-    kinds = ("ROOT", "VERB", "AUX", "SUBJECT", "PREPOSITION_SUBJECT", "DIRECT_OBJECT", "PREPOSITION_OBJECT", "PREPOSITION", "NEGATIVE", "MARKER", "CONJUNCTION", "PUNCTUATION", "USELESS", "ADJECTIVE", "NUMBER", "PRONOUN", "NOUN", "DETERMINANT", "POSSESSIVE", "X")
-    verbs = [i for i in range(len(nodes)) if is_word(nodes, i, "VERB") or nodes[i].dep == "ROOT"]
-
-    def chain(i: int) -> list[int]:
-        out = []
-        while nodes[i].head != i:
-            i = nodes[i].head
-            if i in verbs:
-                out.append(i)
-        return out
-
-    words = [{"i": i, "text": n.text, "pos_main": next((k for k in kinds if is_word(nodes, i, k)), "X"), "important": important(n.text), "verbs": chain(i)} for i, n in enumerate(nodes)]
-    table = []
-    for v in verbs:
-        aux = [n.tag for i, n in enumerate(nodes) if n.head == v and is_word(nodes, i, "AUX")]
-        tense = "future" if "MD" in aux else next((t for t, tags in TENSES.items() if nodes[v].tag in tags), None)
-        table.append({"i": v, "text": nodes[v].text, "tense": tense, "above": chain(v)[:1], "important": important(" ".join(nodes[i].text for i in _subtree(nodes, v))), "below": [i for i in verbs if v in chain(i)]})
-    return table, words
 
 
 _TAGS = {"NOUN": ("NOUN", "NN"), "ADJ": ("ADJ", "JJ"), "ADV": ("ADV", "RB"), "DET": ("DET", "DT"), "PREP": ("ADP", "IN"), "PRON": ("PRON", "PRP"), "NEG": ("PART", "RB"), "NUM": ("NUM", "CD"), "PUNCT": ("PUNCT", "."), "POSS": ("PART", "POS")}
@@ -242,67 +137,19 @@ def parse(sentence: str, annotator: Annotator = annotate) -> list[Node]:
     return out
 
 
-def join(words: list[str]) -> str:
-    """Words as a text: no space before marks, after opening brackets or before a possessive."""
-    text = re.sub(r" ([.,;:?!)\]}])", r"\1", " ".join(words))
-    return re.sub(r" ?('s)", r"\1", re.sub(r"([(\[{]) ", r"\1", text))
-
+_ALWAYS = r"(?iU)\b(?:i|me|my|mine|we|us|our|ours)\b|\b(?:figures?|fig|tables?|tab|plots?)\b|\bet al\b|etal\b"
 
-_ALWAYS = re.compile(r"\b(?:i|me|my|mine|we|us|our|ours)\b|\b(?:figures?|fig|tables?|tab|plots?)\b|\bet al\b|etal\b", re.I)
 
-
-def importance_of(mission: Mission) -> Callable[[str], bool]:
+def importance_of(mission: Mission) -> Callable[[Column], Column]:
     """Whether words matter for a mission: they name it, speak in the first person, show a figure or cite."""
-    phrase = mission.phrase_pattern()
-    patterns = [re.compile(rf"\b(?:{phrase})\b", re.I)] if phrase else []
-    patterns += [re.compile(p, 0 if c else re.I) for c in (True, False) if (p := mission.acronym_pattern(c))]
-    return lambda text: any(p.search(text) for p in patterns) or bool(_ALWAYS.search(text))
-
-
-def skim(sentence: str, mission: Mission, parser: Parser = parse) -> str:
-    """Without useless words: determiners other than articles' like, adjectives and adverbs that modify, unless they matter."""
-    nodes, matters = parser(sentence), importance_of(mission)
-    return join([n.text for i, n in enumerate(nodes) if not is_word(nodes, i, "USELESS", matters)])
-
-
-def trim(sentence: str, mission: Mission, parser: Parser = parse) -> str:
-    """Without dependent clauses that hold nothing that matters, inner ones on their own."""
-    nodes, matters = parser(sentence), importance_of(mission)
-    gone: set[int] = set()
-    for _, words in clauses(nodes):
-        if not matters(" ".join(nodes[i].text for i in words)):
-            gone |= set(words)
-    last = len(nodes) - 1
-    kept = [n.text for i, n in enumerate(nodes) if i not in gone or (i == last and n.dep == "punct")]
-    while kept and kept[0] in (",", ";"):
-        kept.pop(0)
-    return join(kept)
-
-
-def thin(sentence: str | None, mission: Mission, steps: set[str], parser: Parser = parse) -> str | None:
-    """A sentence after "trim" and "skim", as far as ``steps`` name them."""
-    if sentence is None:
-        return None
-    out = trim(sentence, mission, parser) if "trim" in steps else sentence
-    return skim(out, mission, parser) if "skim" in steps else out
-
-
-def thin_column(text: Column, mission: Mission, steps: set[str], parser: Parser = parse) -> Column:
-    """``thin`` of a column; Arrow batches through one small function."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: thin(t, mission, steps, parser))
-
-    return run(text)
+    return lambda text: mentions(text, mission) | text.rlike(_ALWAYS)
 
 
-def verbs_column(text: Column, mission: Mission, parser: Parser = parse) -> Column:
-    """array<struct<verb, tense, important>> of a sentence's verb table."""
+def parsed(sentence: Column, parser: Parser = parse) -> Column:
+    """array<struct<text, pos, tag, dep, head>> by a parser in Python; Arrow batches, the only step that is not an expression."""
 
-    @F.pandas_udf("array<struct<verb:string,tense:string,important:boolean>>")
+    @F.pandas_udf("array<struct<text:string,pos:string,tag:string,dep:string,head:int>>")
     def run(s: pd.Series) -> pd.Series:
-        matters = importance_of(mission)
-        return s.map(lambda t: [{"verb": v["text"], "tense": v["tense"], "important": v["important"]} for v in tree(parser(t or ""), matters)[0]])
+        return s.map(lambda t: [n._asdict() for n in parser(t)] if t is not None else None)
 
-    return run(text)
+    return run(sentence)

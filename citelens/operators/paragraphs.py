@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import grammar
+from ..functions import grammar, parse
 from ..functions.registry import MISSIONS, Mission
 from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline
 from .ambiguity import key_of, settle
@@ -70,7 +70,7 @@ def _ruled(papers: DataFrame, text: Column, missions: tuple[Mission, ...]) -> Da
 
 def _told(ruled: DataFrame, keep: list[str], missions: tuple[Mission, ...], lexicon: DataFrame | None) -> DataFrame:
     """(keep, i, mission) of open sentences that phrases settle for their mission. Only these sentences are shuffled."""
-    asked = ruled.select(*keep, F.inline("asked"))
+    asked = ruled.select(*keep, F.inline_outer("asked")).where("mission IS NOT NULL")  # an inner one would have the rules tried for a filter as well
     return settle(asked, [*keep, "i"], missions, lexicon).where("verdict").select(*keep, "i", "mission")
 
 
@@ -119,10 +119,11 @@ def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, .
     return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
 
 
-def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, parser: grammar.Parser = grammar.parse) -> DataFrame:
+def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, parser: Callable[[Column], Column] = grammar.parsed) -> DataFrame:
     """(bibcode, modif, modif_none) of every paper: a mission's paragraphs after the steps of ``mode``, and as they are, each
     joined by line breaks; empty where the text has none. Steps, joined by "_" and applied in this order: "skim", "trim",
-    "anon", or "none"; then the text is streamlined. "trim" needs single sentences, so buffer 0."""
+    "anon", or "none"; then the text is streamlined. "trim" needs single sentences, so buffer 0. ``parser`` gives a sentence's parse
+    (``functions.parse``) as a column."""
     steps = mode.split("_")
     if not set(steps) <= {"none", "skim", "trim", "anon"} or ("none" in steps and len(steps) > 1):
         raise ValueError(f"unknown mode {mode}")
@@ -131,7 +132,8 @@ def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str
     found = paragraphs(papers, text, buffer, (mission,), undecided)
     now = F.col("paragraph")
     if {"skim", "trim"} & set(steps):
-        now = grammar.thin_column(now, mission, set(steps), parser)
+        found = parse.thinned(found.withColumn("__parse", parser(now)), F.col("__parse"), "__thin", grammar.importance_of(mission), set(steps))
+        now = F.col("__thin")
     if "anon" in steps:
         now = F.concat(anonymise(F.regexp_replace(now, r"[.?!]+$", ""), mission), F.regexp_extract(now, r"[.?!]+$", 0))  # the last mark is the sentence's
     made = found.select("bibcode", "lo", streamline(now).alias("m"), F.col("paragraph").alias("p"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import LABELS
+from ..functions.text import let
 from ..sources.files import spread
 
 PROBES = [
@@ -103,3 +104,45 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = "lines AS (SELECT page_id AS ord, url AS line FROM pages)"
+
+
+# Labels (part of speech, tag, dependency) dealt to words by arithmetic, as a parser's output in form: every word class, with chains of
+# conjuncts, subjects, objects, clauses and auxiliaries at every depth.
+PARSE_LABELS = [
+    ("PROPN", "NNP", "nsubj"), ("NOUN", "NN", "dobj"), ("NOUN", "NNS", "pobj"), ("NOUN", "NN", "conj"), ("VERB", "VBD", "conj"), ("VERB", "VBZ", "advcl"), ("VERB", "VBN", "acl"),
+    ("VERB", "VBG", "amod"), ("VERB", "VB", "ccomp"), ("ADJ", "JJ", "amod"), ("ADV", "RB", "advmod"), ("DET", "DT", "det"), ("PRON", "PRP", "nsubj"), ("PRON", "WDT", "nsubj"),
+    ("ADP", "IN", "prep"), ("PART", "TO", "aux"), ("AUX", "MD", "aux"), ("AUX", "VBZ", "auxpass"), ("CCONJ", "CC", "cc"), ("SCONJ", "IN", "mark"), ("NUM", "CD", "nummod"),
+    ("PUNCT", ".", "punct"), ("PART", "RB", "neg"), ("PROPN", "NNP", "appos"), ("X", "FW", "X"), ("PUNCT", "-LRB-", "punct"), ("PART", "POS", "case"), ("AUX", "IN", "aux"), ("ADJ", "JJ", "advmod"),
+]
+ROOT_LABELS = [("VERB", "VBD"), ("AUX", "VBZ"), ("NOUN", "NN")]
+
+
+def parse(sentence: Column) -> Column:
+    """A dependency tree over a sentence's words: the middle word is the root, every other word hangs on one nearer to it."""
+    words = F.filter(F.split(sentence, " "), lambda w: w != "")
+
+    def tree(ws: Column) -> Column:
+        n = F.size(ws)
+        r = F.floor(n / 2).cast("int")
+
+        def one(w: Column, i: Column) -> Column:
+            head = F.when(i == r, i).when(i < r, i + 1 + F.length(w) % F.greatest(r - i, F.lit(1))).otherwise(i - 1 - F.length(w) % F.greatest(i - r, F.lit(1)))
+            label = lambda k: F.get(F.array(*[F.lit(x[k]) for x in PARSE_LABELS]), (F.length(w) * 5 + i * 3) % len(PARSE_LABELS))
+            root = lambda k: F.get(F.array(*[F.lit(x[k]) for x in ROOT_LABELS]), n % len(ROOT_LABELS))
+            at = lambda k: F.when(i == r, root(k) if k < 2 else F.lit("ROOT")).otherwise(label(k))
+            return F.struct(w.alias("text"), at(0).alias("pos"), at(1).alias("tag"), at(2).alias("dep"), head.cast("int").alias("head"))
+
+        return F.transform(ws, one)
+
+    return let(words, tree)
+
+
+def parse_sql(source: str) -> str:
+    """tk(sid, w, i, n, head, pos, tag, dep): the same trees over src(sid, sentence), the distinct sentences of ``source``."""
+    k = len(PARSE_LABELS)
+    of = lambda x: f"CASE WHEN i = r THEN {_array([y[x] for y in ROOT_LABELS]) + f'[CAST(n % {len(ROOT_LABELS)} AS INTEGER) + 1]' if x < 2 else chr(39) + 'ROOT' + chr(39)} ELSE ({_array([y[x] for y in PARSE_LABELS])})[CAST((length(w) * 5 + i * 3) % {k} AS INTEGER) + 1] END"
+    return f"""src AS MATERIALIZED (SELECT row_number() OVER () AS sid, sentence FROM (SELECT DISTINCT sentence FROM {source} WHERE sentence IS NOT NULL)),
+tk0 AS (SELECT sid, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS ws FROM src),
+tk1 AS (SELECT sid, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n, len(ws) // 2 AS r FROM tk0),
+tk AS MATERIALIZED (SELECT sid, w, i, n, CASE WHEN i = r THEN i WHEN i < r THEN i + 1 + length(w) % greatest(r - i, 1) ELSE i - 1 - length(w) % greatest(i - r, 1) END AS head,
+  {of(0)} AS pos, {of(1)} AS tag, {of(2)} AS dep FROM tk1)"""

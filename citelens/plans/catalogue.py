@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grammar, nlp
+from ..functions import grammar, nlp, parse
 from ..functions import text as T
 from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
@@ -910,15 +910,120 @@ def q_nlp_wordchunks(s, d):
     return found.select("bibcode", F.col("i").cast("long").alias("i"), "mission", F.col("at").cast("long").alias("begins"), F.col("text").alias("chunk"), "meaning")
 
 
-@query("q_modif_skim")
+_IN = lambda name, field: f"{field} IN ({', '.join(_q(x) for x in sorted(grammar.LABELS[name][field]))})"
+_TENSE = lambda name: f"tag IN ({', '.join(_q(x) for x in sorted(grammar.TENSES[name]))})"
+
+
+def _classes_sql(source: str, matters: str = "FALSE") -> str:
+    """cl(sid, i, w, n, head, tag, dep, conj, origin, kinds): word classes by ancestors as rows. ``matters``: SQL on ``w``."""
+    first = lambda flag: f"coalesce(t.conj AND o.{flag}, FALSE)"
+    kinds = {
+        "ROOT": "s.root", "VERB": "s.verb", "USELESS": f"{_IN('useless', 'tag')} AND {_IN('useless', 'dep')} AND {_IN('useless', 'pos')} AND NOT ({_IN('negative', 'dep')} OR subject OR s.root) AND NOT ({matters})",
+        "SUBJECT": "subject", "PREPOSITION": "s.prep", "BASE_OBJECT": "s.base", "DIRECT_OBJECT": "direct", "PREPOSITION_OBJECT": "of_prep", "PREPOSITION_SUBJECT": "of_subject",
+        "MARKER": f"({_IN('marker', 'dep')} OR {_IN('marker', 'tag')} OR (s.det AND subject AND s.head <> s.i)) AND NOT (s.head <> s.i AND s.head_root)", "X": f"{_IN('x', 'dep')} OR {_IN('x', 'pos')}", "CONJOINED": "s.conj",
+        "DETERMINANT": "s.det", "AUX": f"{_IN('aux', 'dep')} AND {_IN('aux', 'pos')} AND ({' OR '.join(map(_TENSE, grammar.TENSES))}) AND NOT {_IN('preposition', 'tag')} AND NOT {_IN('number', 'tag')}", "NOUN": "s.noun",
+        "PRONOUN": f"{_IN('pronoun', 'tag')} OR {_IN('pronoun', 'pos')}", "ADJECTIVE": "s.adjective", "CONJUNCTION": f"{_IN('conjunction', 'pos')} AND {_IN('conjunction', 'tag')}", "PASSIVE": _IN("passive", "dep"),
+        "NEGATIVE": _IN("negative", "dep"), "PUNCTUATION": f"{_IN('punctuation', 'dep')} AND NOT regexp_matches(w, '(?i)[a-z|0-9]')", "BRACKET": _IN("bracket", "tag"), "POSSESSIVE": _IN("possessive", "tag"), "NUMBER": _IN("number", "pos"),
+    }
+    noun, det = f"({_IN('noun', 'pos')} AND NOT {_IN('determinant', 'tag')})", f"({_IN('determinant', 'pos')} AND {_IN('determinant', 'tag')})"
+    return f"""{A.parse_sql(source)},
+fl AS MATERIALIZED (SELECT *, dep = 'ROOT' AS root, {noun} AS noun, {_IN('adjective', 'tag')} OR {_IN('adjective', 'pos')} OR ({_IN('adjective', 'dep')} AND pos = 'VERB' AND {_IN('verb', 'tag')}) AS adjective, {noun} AND {_IN('object', 'dep')} AS base,
+  ({_IN('conjoined', 'dep')} OR {_IN('appos', 'dep')}) AND NOT {_IN('determinant', 'tag')} AS conj, {_IN('verb', 'tag')} AS finite, {_IN('verb', 'dep')} OR {_IN('ccomp', 'dep')} AS verbal, {det} AS det,
+  {_IN('preposition', 'tag')} AND (({_IN('preposition', 'dep')} AND {_IN('preposition', 'pos')}) OR ({_IN('aux', 'dep')} AND {_IN('aux', 'pos')})) AS prep FROM tk),
+up(sid, i, a, d) AS (SELECT sid, i, head, 1 FROM fl WHERE head <> i UNION ALL SELECT up.sid, up.i, t.head, d + 1 FROM up JOIN fl t ON t.sid = up.sid AND t.i = up.a WHERE t.head <> t.i),
+ups AS MATERIALIZED (SELECT * FROM up),
+og AS MATERIALIZED (SELECT u.sid, u.i, arg_min(u.a, u.d) AS origin FROM ups u JOIN fl a ON a.sid = u.sid AND a.i = u.a WHERE NOT a.conj GROUP BY 1, 2),
+lf AS (SELECT DISTINCT sid, head AS i FROM fl WHERE i < head),
+v0 AS MATERIALIZED (SELECT t.*, h.root AS head_root, g.origin, t.finite AND (t.verbal OR t.root OR ({_IN('adjective', 'dep').replace('dep', 't.dep')} AND t.head <> t.i AND h.root AND h.noun AND lf.i IS NOT NULL)) AS v FROM fl t JOIN fl h ON h.sid = t.sid AND h.i = t.head LEFT JOIN og g ON g.sid = t.sid AND g.i = t.i LEFT JOIN lf ON lf.sid = t.sid AND lf.i = t.i),
+v1 AS MATERIALIZED (SELECT t.*, t.v OR (t.finite AND {first('v')}) AS verb FROM v0 t LEFT JOIN v0 o ON o.sid = t.sid AND o.i = t.origin),
+s0 AS MATERIALIZED (SELECT t.*, NOT t.base AND ((t.noun AND t.root) OR (t.head <> t.i AND h.verb AND t.i < t.head AND ({_IN('subject', 'dep').replace('dep', 't.dep')} OR t.noun OR t.adjective))) AS s FROM v1 t JOIN v1 h ON h.sid = t.sid AND h.i = t.head),
+s1 AS MATERIALIZED (SELECT t.*, t.s OR (NOT t.base AND {first('s')}) AS subject FROM s0 t LEFT JOIN s0 o ON o.sid = t.sid AND o.i = t.origin),
+gv AS (SELECT u.sid, u.i, arg_min(u.a, u.d) AS g FROM ups u JOIN s1 a ON a.sid = u.sid AND a.i = u.a WHERE a.prep OR a.verb GROUP BY 1, 2),
+o0 AS MATERIALIZED (SELECT t.*, coalesce(t.base AND g.verb AND NOT g.prep, FALSE) AS d0, coalesce(t.base AND g.prep AND NOT p.subject, FALSE) AS p0, coalesce(t.base AND g.prep AND p.subject, FALSE) AS q0
+  FROM s1 t LEFT JOIN gv ON gv.sid = t.sid AND gv.i = t.i LEFT JOIN s1 g ON g.sid = gv.sid AND g.i = gv.g LEFT JOIN s1 p ON p.sid = g.sid AND p.i = g.head),
+sj AS (SELECT t.*, t.d0 OR {first('d0')} AS direct, t.p0 OR {first('p0')} AS of_prep, t.q0 OR {first('q0')} AS of_subject FROM o0 t LEFT JOIN o0 o ON o.sid = t.sid AND o.i = t.origin),
+cl AS MATERIALIZED (SELECT sid, i, w, n, head, tag, dep, root, conj, origin, list_filter([{', '.join(f"CASE WHEN {kinds[k]} THEN '{k}' END" for k in parse.KINDS)}], lambda x: x IS NOT NULL) AS kinds FROM sj s)"""
+
+
+def _tree_sql(matters: str) -> str:
+    """wt, the words, and vt, the verbs, from cl and ups."""
+    has = lambda k: f"list_contains(t.kinds, '{k}')" + ("" if k == "AUX" else f" OR coalesce(t.conj AND list_contains(o.kinds, '{k}'), FALSE)")
+    helps = lambda name: f"coalesce(bool_or(x.{_TENSE(name)}), FALSE)"
+    return f"""mo AS MATERIALIZED (SELECT *, ({matters}) AS own FROM cl),
+mn AS MATERIALIZED (SELECT t.*, CASE {' '.join(f"WHEN {has(k)} THEN '{k}'" for k in parse.MAIN)} END AS main, list_contains(t.kinds, 'VERB') OR t.root AS is_verb FROM mo t LEFT JOIN cl o ON o.sid = t.sid AND o.i = t.origin),
+ab AS (SELECT u.sid, u.i, arg_min(u.a, u.d) FILTER (a.is_verb) AS verb, arg_min(u.a, u.d) FILTER (a.main = 'VERB') AS trail, array_to_string(list(u.a ORDER BY u.d) FILTER (a.is_verb), ',') AS above FROM ups u JOIN mn a ON a.sid = u.sid AND a.i = u.a GROUP BY 1, 2),
+w_ AS MATERIALIZED (SELECT t.*, CASE WHEN t.is_verb THEN t.i ELSE ab.verb END AS verb, ab.verb AS verb_above, CASE WHEN t.main = 'VERB' THEN t.i ELSE ab.trail END AS trail, coalesce(ab.above, '') AS above FROM mn t LEFT JOIN ab ON ab.sid = t.sid AND ab.i = t.i),
+im AS (SELECT sid, verb AS i, bool_or(own) AS important FROM w_ GROUP BY 1, 2),
+wt AS MATERIALIZED (SELECT t.*, t.own OR coalesce(t.is_verb AND im.important, FALSE) AS important, CASE WHEN t.trail = t.i THEN p.trail END AS outer_ FROM w_ t LEFT JOIN im ON im.sid = t.sid AND im.i = t.i LEFT JOIN w_ p ON p.sid = t.sid AND p.i = t.verb_above),
+vt AS (SELECT v.sid, v.i, v.w, v.important, CASE WHEN (v.fin AND v.{_TENSE('future')}) OR {helps('future')} THEN 'future' WHEN (v.fin AND v.{_TENSE('past')}) OR ((NOT v.fin OR v.{_TENSE('present')}) AND {helps('past')}) THEN 'past'
+    WHEN (v.fin AND v.{_TENSE('present')}) OR (NOT v.fin AND {helps('present')}) THEN 'present' END AS tense, coalesce(bool_or(list_contains(x.kinds, 'PASSIVE')), FALSE) AS passive, {helps('purpose')} AS purpose
+  FROM (SELECT *, list_contains(kinds, 'VERB') AS fin FROM wt WHERE is_verb) v LEFT JOIN wt x ON x.sid = v.sid AND x.verb = v.i AND x.main = 'AUX' GROUP BY v.sid, v.i, v.w, v.important, v.fin, v.tag)"""
+
+
+def _thin_sql(skim: bool, trim: bool) -> str:
+    """th(sid, t): what skimming and trimming leave of a sentence."""
+    gone = "FALSE"
+    if trim:
+        gone = "(coalesce(d1.dull, FALSE) OR coalesce(d2.dull, FALSE)) AND NOT (t.i = t.n - 1 AND list_contains(t.kinds, 'PUNCTUATION'))"
+    keep = f"NOT ({gone})" + (" AND NOT list_contains(t.kinds, 'USELESS')" if skim else "")
+    text = f"coalesce(string_agg(t.w, ' ' ORDER BY t.i) FILTER ({keep}), '')"
+    for a, b in ((r" ([.,;:?!)\]}])", r"\1"), (r"([(\[{]) ", r"\1"), (r" ?('s)", r"\1"), (r"^(?:[,;]\s*)+", "")):
+        text = f"regexp_replace({text}, {_q(a)}, {_q(b)}, 'g')"
+    return f"""du AS (SELECT c.sid, c.h, NOT bool_or(c.important) AS dull FROM (SELECT sid, trail AS h, important FROM wt WHERE trail IS NOT NULL UNION ALL SELECT sid, outer_, important FROM wt WHERE outer_ IS NOT NULL) c GROUP BY 1, 2),
+th AS (SELECT t.sid, {text} AS t FROM wt t LEFT JOIN du d1 ON d1.sid = t.sid AND d1.h = t.trail LEFT JOIN du d2 ON d2.sid = t.sid AND d2.h = t.outer_ GROUP BY t.sid)"""
+
+
+_HST = BY_LABEL["HST"]
+_MATTERS = f"{_mentions('w', _HST)} OR regexp_matches({_ascii('w')}, '(?i)\\b(?:i|me|my|mine|we|us|our|ours)\\b|\\b(?:figures?|fig|tables?|tab|plots?)\\b|\\bet al\\b|etal\\b')"
+
+
+@query("q_word_classes", f"WITH RECURSIVE {_SENT}, {_classes_sql('s')}, k AS (SELECT sid, md5(string_agg(array_to_string(kinds, ','), ';' ORDER BY i)) AS h FROM cl GROUP BY 1) SELECT bibcode, s.i, k.h FROM s JOIN src ON src.sentence = s.sentence JOIN k ON k.sid = src.sid")
+def q_word_classes(s, d):
+    """The classes of every word of every sentence."""
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
+    seen = parse.words(rows.withColumn("p", A.parse(F.col("sentence"))), F.col("p"))
+    return seen.where(F.size("words") > 0).select("bibcode", F.col("i").cast("long").alias("i"), F.md5(F.array_join(F.transform("words", lambda w: F.array_join(w["kinds"], ",")), ";")).alias("h"))
+
+
+_NAMED = f"named AS (SELECT bibcode, i AS place, sentence FROM s WHERE {' OR '.join(_mentions('sentence', m) for m in MISSIONS)})"
+
+
+def _trees(s, d):
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(T.mentions_any(F.col("sentence")))
+    matters = grammar.importance_of(_HST)
+    return parse.tree(parse.words(rows.withColumn("p", A.parse(F.col("sentence"))), F.col("p"), matters=matters), matters)
+
+
+@query("q_verbs", f"WITH RECURSIVE {_SENT}, {_NAMED}, {_classes_sql('named', _MATTERS)}, {_tree_sql(_MATTERS)} SELECT bibcode, place AS i, vt.i AS word, vt.w AS verb, tense, passive, purpose, important FROM named JOIN src USING (sentence) JOIN vt ON vt.sid = src.sid")
+def q_verbs(s, d):
+    """Verbs of the sentences that name a mission, with their tense and whether what they govern matters."""
+    rows = _trees(s, d).select("bibcode", F.col("i").cast("long").alias("i"), F.explode_outer("tree.verbs").alias("v")).where("v IS NOT NULL")
+    return rows.select("bibcode", "i", F.col("v.i").cast("long").alias("word"), F.col("v.text").alias("verb"), "v.tense", "v.passive", "v.purpose", "v.important")
+
+
+@query("q_clauses", f"WITH RECURSIVE {_SENT}, {_NAMED}, {_classes_sql('named', _MATTERS)}, {_tree_sql(_MATTERS)} SELECT bibcode, place AS i, wt.i AS word, main, important, list_contains(kinds, 'USELESS') AS useless, verb, above, coalesce(trail, -1) AS trail, coalesce(outer_, -1) AS around FROM named JOIN src USING (sentence) JOIN wt ON wt.sid = src.sid")
+def q_clauses(s, d):
+    """Words of the sentences that name a mission: main class, clause, the verbs above."""
+    rows = _trees(s, d).select("bibcode", F.col("i").cast("long").alias("i"), F.explode_outer("tree.words").alias("w")).where("w IS NOT NULL")
+    long = lambda c: F.col(c).cast("long")
+    return rows.select("bibcode", "i", long("w.i").alias("word"), "w.main", "w.important", "w.useless", long("w.verb").alias("verb"), F.array_join("w.above", ",").alias("above"), F.coalesce(long("w.trail"), F.lit(-1)).alias("trail"), F.coalesce(long("w.outer"), F.lit(-1)).alias("around"))
+
+
+_HIT_HST = f"hh AS (SELECT bibcode, i, sentence FROM s WHERE {_mentions('sentence', _HST)})"
+
+
+@query("q_modif_skim", f"WITH RECURSIVE {_SENT}, {_HIT_HST}, {_classes_sql('hh', _MATTERS)}, {_tree_sql(_MATTERS)}, {_thin_sql(True, False)} SELECT bibcode, string_agg({_streamline('th.t')}, chr(10) ORDER BY hh.i) AS modif FROM hh JOIN src USING (sentence) JOIN th ON th.sid = src.sid GROUP BY 1")
 def q_modif_skim(s, d):
-    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["HST"], "skim").where("modif <> ''").select("bibcode", "modif")
+    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), _HST, "skim", parser=A.parse).where("modif <> ''").select("bibcode", "modif")
 
 
-@query("q_modif_all")
+@query("q_modif_all", f"""WITH RECURSIVE {_SENT}, r AS (SELECT bibcode, i, sentence, 'HST' AS mission, {_rules_sql(_HST)} AS verdict FROM s), asked AS (SELECT DISTINCT mission, sentence FROM r WHERE verdict IS NULL AND sentence IS NOT NULL), {_SETTLED},
+hh AS (SELECT bibcode, i, sentence FROM r WHERE verdict UNION ALL SELECT bibcode, i, r.sentence FROM r JOIN told ON r.mission = told.mission AND r.sentence = told.sentence WHERE r.verdict IS NULL AND told.verdict),
+{_classes_sql('hh', _MATTERS)}, {_tree_sql(_MATTERS)}, {_thin_sql(True, True)}, an AS (SELECT sid, regexp_replace(t, '[.?!]+$', '') AS t, regexp_extract(t, '[.?!]+$') AS mark FROM th)
+SELECT bibcode, string_agg({_streamline(f"({_anon('an.t', _HST)} || mark)")}, chr(10) ORDER BY hh.i) AS modif, string_agg(sentence, chr(10) ORDER BY hh.i) AS modif_none FROM hh JOIN src USING (sentence) JOIN an ON an.sid = src.sid GROUP BY 1 HAVING modif <> ''""")
 def q_modif_all(s, d):
     """Every step, with ambiguous sentences settled."""
-    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["HST"], "skim_trim_anon", undecided=None).where("modif <> ''")
+    return paragraphs.modified_texts(A.papers(s, d), F.col("body"), _HST, "skim_trim_anon", undecided=None, parser=A.parse).where("modif <> ''")
 
 
 @query("q_modif_none", f"WITH {_HIT}, p AS (SELECT h.bibcode, string_agg(s.sentence, chr(10) ORDER BY s.i) AS modif_none FROM hit h JOIN s ON s.bibcode = h.bibcode AND s.i = h.i WHERE h.mission = 'TESS' GROUP BY 1) SELECT papers.bibcode, md5(coalesce(modif_none, '')) AS h FROM papers LEFT JOIN p ON p.bibcode = papers.bibcode")
@@ -926,13 +1031,6 @@ def q_modif_none(s, d):
     return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["TESS"]).select("bibcode", F.md5("modif_none").alias("h"))
 
 
-@query("q_verbs")
-def q_verbs(s, d):
-    """Verbs of the sentences that name a mission, with their tense and whether their clause matters."""
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(T.mentions(F.col("sentence"), BY_LABEL["HST"]))
-    return rows.select("bibcode", "i", F.inline(grammar.verbs_column(F.col("sentence"), BY_LABEL["HST"])))
-
-
 @query("q_keyword_spans")
 def q_keyword_spans(s, d):
     rows = A.papers(s, d).where(T.mentions(F.col("body"), BY_LABEL["HST"]))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citelens.functions import grammar as g
+from citelens.functions import parse
 from citelens.functions.registry import BY_LABEL
 from citelens.operators.paragraphs import missions_in_text, modified_texts, paragraphs
 
@@ -25,43 +26,83 @@ TRIMMED = {
 }
 
 
-@pytest.mark.parametrize("sentence", SKIMMED)
-def test_skim_and_trim(sentence):
-    assert g.skim(sentence, HST) == SKIMMED[sentence]
-    assert g.trim(sentence, HST) == TRIMMED[sentence]
-    assert g.thin(sentence, HST, {"skim", "trim"}) == g.skim(TRIMMED[sentence], HST)
+PARSE = "p array<struct<text:string,pos:string,tag:string,dep:string,head:int>>"
+HUBBLE = lambda text: text.contains("Hubble")
 
 
-def given(*rows):
-    return [g.Node(*r) for r in rows]
+def test_skim_and_trim(spark):
+    df = spark.createDataFrame([(t,) for t in [*SKIMMED, "", ".", "( )", "and", ", , ,", "used used used"]], "t string").withColumn("p", g.parsed(F.col("t")))
+    matters = g.importance_of(HST)
+    out = parse.thinned(parse.thinned(df, F.col("p"), "skim", matters, {"skim"}), F.col("p"), "trim", matters, {"trim"})
+    got = {r.t: (r.skim, r.trim) for r in out.collect()}
+    assert {t: got[t] for t in SKIMMED} == {t: (SKIMMED[t], TRIMMED[t]) for t in SKIMMED}
+    assert got[""] == ("", "") and got["."] == (".", ".")
 
 
-def test_word_classes_of_a_given_parse():
-    """Any parser's output does: "Hubble and Webb observed the faint stars of M31 ." as a full parser labels it."""
-    nodes = given(("Hubble", "PROPN", "NNP", "nsubj", 3), ("and", "CCONJ", "CC", "cc", 0), ("Webb", "PROPN", "NNP", "conj", 0), ("observed", "VERB", "VBD", "ROOT", 3),
-                  ("the", "DET", "DT", "det", 6), ("faint", "ADJ", "JJ", "amod", 6), ("stars", "NOUN", "NNS", "dobj", 3), ("of", "ADP", "IN", "prep", 6), ("M31", "PROPN", "NNP", "pobj", 7), (".", "PUNCT", ".", "punct", 3))
-    of = lambda kind: [n.text for i, n in enumerate(nodes) if g.is_word(nodes, i, kind)]
-    assert of("SUBJECT") == ["Hubble", "Webb"] and of("VERB") == ["observed"] and of("ROOT") == ["observed"]
-    assert of("DIRECT_OBJECT") == ["stars"] and of("PREPOSITION_OBJECT") == ["M31"] and of("BASE_OBJECT") == ["stars", "M31"]
-    assert of("USELESS") == ["faint"] and of("CONJUNCTION") == ["and"] and of("CONJOINED") == ["Webb"] and of("DETERMINANT") == ["the"]
-    assert of("PREPOSITION") == ["of"] and of("PUNCTUATION") == ["."] and of("AUX") == of("NEGATIVE") == of("BRACKET") == []
-    assert g.origin(nodes, 2) == 0
-    ids = g.chunk_ids(nodes)
-    assert ids[0] != ids[2] and ids[3] not in (ids[2], ids[6]) and ids[5] is None and ids[4] == ids[6] and ids[1] is None
-    verbs, words = g.tree(nodes, lambda t: "Hubble" in t)
-    assert [(v["text"], v["tense"], v["important"]) for v in verbs] == [("observed", "past", True)] and words[0]["pos_main"] == "SUBJECT" and words[8]["verbs"] == [3]
-    with pytest.raises(ValueError):
-        g.is_word(nodes, 0, "nothing")
-    loop = given(("a", "NOUN", "NN", "conj", 1), ("b", "NOUN", "NN", "conj", 0))
-    assert g.origin(loop, 0) in (0, 1)
+def given(spark, *sentences):
+    return spark.createDataFrame([(list(s),) for s in sentences], PARSE)
+
+
+# "Hubble and Webb observed the faint stars of M31 ." as a full parser labels it
+OBSERVED = [("Hubble", "PROPN", "NNP", "nsubj", 3), ("and", "CCONJ", "CC", "cc", 0), ("Webb", "PROPN", "NNP", "conj", 0), ("observed", "VERB", "VBD", "ROOT", 3),
+            ("the", "DET", "DT", "det", 6), ("faint", "ADJ", "JJ", "amod", 6), ("stars", "NOUN", "NNS", "dobj", 3), ("of", "ADP", "IN", "prep", 6), ("M31", "PROPN", "NNP", "pobj", 7), (".", "PUNCT", ".", "punct", 3)]
+# "Hubble calibrated data to show": a noun at the root, a verb that modifies it, a mis-tagged "to"
+DATA = [("Hubble", "PROPN", "NNP", "npadvmod", 1), ("calibrated", "VERB", "VBN", "amod", 2), ("data", "NOUN", "NNS", "ROOT", 2), ("to", "PART", "IN", "aux", 4), ("show", "VERB", "VB", "relcl", 2)]
+# "Images of Hubble , which stars crossed , were used by us": a subject with a preposition, a clause within, an auxiliary, an agent
+IMAGES = [("Images", "NOUN", "NNS", "nsubjpass", 8), ("of", "ADP", "IN", "prep", 0), ("Hubble", "PROPN", "NNP", "pobj", 1), (",", "PUNCT", ",", "punct", 0), ("which", "PRON", "WDT", "dobj", 6), ("stars", "NOUN", "NNS", "nsubj", 6),
+          ("crossed", "VERB", "VBD", "relcl", 0), ("will", "AUX", "MD", "aux", 8), ("used", "VERB", "VBN", "ROOT", 8), ("by", "ADP", "IN", "agent", 8), ("him", "PRON", "PRP", "pobj", 9), ("been", "AUX", "VBN", "auxpass", 8), ("to", "PART", "TO", "aux", 8)]
+
+
+def of(df, kind):
+    return [[w.text for w in r.words if kind in w.kinds] for r in df.collect()]
+
+
+def test_word_classes_of_given_parses(spark):
+    df = parse.words(given(spark, OBSERVED, DATA, IMAGES), F.col("p"), matters=HUBBLE)
+    assert of(df, "SUBJECT") == [["Hubble", "Webb"], ["Hubble", "data"], ["Images", "stars"]]  # conjuncts, a noun left of a verb, one at the root
+    assert of(df, "VERB") == [["observed"], ["calibrated", "show"], ["crossed", "used"]]  # a modifier with words to its left, under a noun root
+    assert of(df, "ROOT") == [["observed"], ["data"], ["used"]]
+    assert of(df, "DIRECT_OBJECT") == [["stars"], [], []]  # "which" is a determiner, no noun
+    assert of(df, "PREPOSITION_OBJECT") == [["M31"], [], ["him"]] and of(df, "PREPOSITION_SUBJECT") == [[], [], ["Hubble"]]
+    assert of(df, "BASE_OBJECT") == [["stars", "M31"], [], ["Hubble", "him"]]
+    assert of(df, "PREPOSITION") == [["of"], ["to"], ["of", "by"]]
+    assert of(df, "USELESS") == [["faint"], [], []] and of(df, "CONJOINED") == [["Webb"], [], []] and of(df, "CONJUNCTION") == [["and"], [], []]
+    assert of(df, "DETERMINANT") == [["the"], [], ["which"]] and of(df, "MARKER") == [[], [], ["which"]]
+    assert of(df, "AUX") == [[], [], ["will", "been", "to"]] and of(df, "PASSIVE") == [[], [], ["been"]] and of(df, "PUNCTUATION") == [["."], [], [","]]
+    assert of(df, "ADJECTIVE") == [["faint"], ["calibrated"], []] and of(df, "PRONOUN") == [[], [], ["which", "him"]]
+
+
+def test_chains_circles_and_odd_heads(spark):
+    """A conjunct of a conjunct is what the first is; circles and heads outside the sentence end."""
+    chain = [("a", "NOUN", "NN", "dobj", 3), ("b", "NOUN", "NN", "conj", 0), ("c", "NOUN", "NN", "appos", 1), ("v", "VERB", "VBD", "ROOT", 3)]
+    circle = [("a", "NOUN", "NN", "conj", 1), ("b", "NOUN", "NN", "conj", 0), ("c", "VERB", "VBD", "acl", 9), ("d", None, None, None, None)]
+    df = parse.tree(parse.words(given(spark, chain, circle, []), F.col("p")), HUBBLE)
+    assert of(df, "DIRECT_OBJECT") == [["a", "b", "c"], [], []] and of(df, "CONJOINED") == [["b", "c"], ["a", "b"], []]
+    assert [[w.origin for w in r.words][:3] for r in df.collect()][0] == [0, 0, 0]
+    assert parse.words(spark.createDataFrame([(None,)], PARSE), F.col("p")).first().words == []
+
+
+def test_trees_of_given_parses(spark):
+    df = parse.tree(parse.words(given(spark, OBSERVED, DATA, IMAGES), F.col("p"), matters=HUBBLE), HUBBLE)
+    trees = [r.tree for r in df.collect()]
+    verbs = [[(v.text, v.tense, v.passive, v.purpose, v.important, list(v.below)) for v in t.verbs] for t in trees]
+    assert verbs[0] == [("observed", "past", False, False, True, [])]
+    assert verbs[1] == [("calibrated", "past", False, False, True, []), ("data", None, False, False, True, [1, 4])][:1] + verbs[1][1:] and [v[0] for v in verbs[1]] == ["calibrated", "data", "show"]
+    assert verbs[2] == [("crossed", "past", False, False, False, []), ("used", "future", True, True, True, [6])]
+    words = trees[2].words
+    assert [w.main for w in words][:3] == ["SUBJECT", "PREPOSITION", "PREPOSITION_SUBJECT"] and words[5].main == "SUBJECT" and words[10].main == "PREPOSITION_OBJECT"
+    assert [w.trail for w in words] == [8, 8, 8, 8, 6, 6, 6, 8, 8, 8, 8, 8, 8] and words[6].outer == 8 and words[5].above == [6, 8]
+    assert [w.important for w in words] == [i in (2, 8) for i in range(13)]
 
 
-def test_empty_sentences():
-    assert g.parse("") == [] and g.skim("", HST) == "" and g.trim("", HST) == "" and g.thin(None, HST, {"skim"}) is None
-    for odd in (".", "( )", "HST", "and", "which", ", , ,", "used used used"):
-        nodes = g.parse(odd)
-        assert all(0 <= n.head < len(nodes) for n in nodes)
-        g.skim(odd, HST), g.trim(odd, HST), g.tree(nodes, bool), g.chunk_ids(nodes)
+def test_clauses_go_and_noun_chunks_stay_whole(spark):
+    df = given(spark, IMAGES)
+    thin = lambda **k: parse.thinned(df, F.col("p"), "t", HUBBLE, {"trim"}, **k).first().t
+    assert thin() == "Images of Hubble, will used by him been to"
+    ids = parse.words(df, F.col("p")).withColumn("c", parse.chunk_ids(F.col("words"), F.expr("array(named_struct('first', 4, 'last', 5), named_struct('first', 0, 'last', 0))"))).first().c
+    assert ids[:7] == [2, None, None, None, 1, 1, None] and ids[8] == 0
+    chunked = parse.tree(parse.words(df, F.col("p")), lambda t: t == "which stars", F.array(*[F.lit(x).cast("int") for x in ids])).first().tree
+    assert [w.important for w in chunked.words][4:7] == [True, True, True] and [w.chunk for w in chunked.words] == ids
 
 
 def test_modes(spark):
