@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import map_rows, materialise, small_batches
 
 DOCS = 64  # documents of a block
 POSTINGS = 65_536  # postings after which a block ends
@@ -86,7 +86,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         n = [len(terms_of(t)) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)]), pa.array([sum(n)])], names=["documents", "terms"])
 
-    total = map_rows(docs.select("text"), sizes, "documents long, terms long").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
+    with small_batches(docs.sparkSession):
+        total = map_rows(docs.select("text"), sizes, "documents long, terms long").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).first()
     corpus = Corpus(total.documents or 0, total.terms or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     # Blocks are numbered within their task; the number of the partition makes them unique.
     rows = docs.mapInArrow(run, INDEX).withColumn("block", F.col("block") + F.spark_partition_id().cast("long") * (1 << 32))
-    return materialise(rows, "index"), corpus
+    with small_batches(docs.sparkSession):
+        return materialise(rows, "index"), corpus
 
 
 class _Piece:
@@ -288,19 +290,20 @@ def search(index: DataFrame, corpus: Corpus, queries: DataFrame, item_col: str =
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
     found = None
     asked = queries.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
-    for piece in _pieces(asked.toLocalIterator(), _Hashes()):
-        piece.weigh(corpus, _documents_of(index, piece))
-        start = context.broadcast((piece, np.zeros(len(piece.items), np.int64)))
-        first = index.join(F.broadcast(_seeds(index, start, SEEDS)), "block", "left_semi")  # at most SEEDS blocks a query
-        best = first.mapInArrow(_scored(corpus, start, k), "q long, doc long, score long").withColumn("place", place)
-        least = np.zeros(len(piece.items), np.int64)
-        for r in best.where(F.col("place") == k).select("q", "score").collect():
-            least[r.q] = r.score
-        share = context.broadcast((piece, least))
-        each = index.mapInArrow(_scored(corpus, share, k), "q long, doc long, score long").withColumn("place", place).where(F.col("place") <= k)
-        items = spark.createDataFrame(list(enumerate(piece.items)), "q long, item_id long")
-        named = materialise(each.join(F.broadcast(items), "q").select("item_id", F.col("place").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score"), "ranked")
-        start.destroy()
-        share.destroy()
-        found = named if found is None else found.unionByName(named)
+    with small_batches(spark):
+        for piece in _pieces(asked.toLocalIterator(), _Hashes()):
+            piece.weigh(corpus, _documents_of(index, piece))
+            start = context.broadcast((piece, np.zeros(len(piece.items), np.int64)))
+            first = index.join(F.broadcast(_seeds(index, start, SEEDS)), "block", "left_semi")  # at most SEEDS blocks a query
+            best = first.mapInArrow(_scored(corpus, start, k), "q long, doc long, score long").withColumn("place", place)
+            least = np.zeros(len(piece.items), np.int64)
+            for r in best.where(F.col("place") == k).select("q", "score").collect():
+                least[r.q] = r.score
+            share = context.broadcast((piece, least))
+            each = index.mapInArrow(_scored(corpus, share, k), "q long, doc long, score long").withColumn("place", place).where(F.col("place") <= k)
+            items = spark.createDataFrame(list(enumerate(piece.items)), "q long, item_id long")
+            named = materialise(each.join(F.broadcast(items), "q").select("item_id", F.col("place").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score"), "ranked")
+            start.destroy()
+            share.destroy()
+            found = named if found is None else found.unionByName(named)
     return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if found is None else found
