@@ -98,6 +98,17 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG = "log AS (SELECT event_id % 500 AS chunk, ts, event_id % 1000 + 1 AS tokens, 'b' || (event_id % 700) AS batch_id FROM events)"
 
 
+_STATUSES = ["submitted", "validating", "in_progress", "in_progress", "in_progress", "finalizing", "completed", "in_progress", "failed", "in_progress", "cancelled"]
+
+
+def batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as status reports of submitted batches, three or four of each."""
+    return read(spark, sf_dir, "events").select(F.concat(F.lit("b"), (F.col("event_id") / 4).cast("long")).alias("batch_id"), "ts", _pick(_STATUSES, F.col("event_id") * 7 + F.col("user_id")).alias("status"))
+
+
+BATCH_EVENTS = f"ev AS (SELECT 'b' || (event_id // 4) AS batch_id, ts, ({_array(_STATUSES)})[CAST((event_id * 7 + user_id) % {len(_STATUSES)} AS INTEGER) + 1] AS status FROM events)"
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as lines of a batch file."""
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("line"))

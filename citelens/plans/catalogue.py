@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
 from ..operators import ambiguity, batching, dataset, evaluation, metrics, paragraphs, responses, scoring
+from ..streaming.lifecycle import lifecycle
 from . import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,6 +703,14 @@ def q_convert(s, d):
     return responses.classification(_calls(s, d), 0.7).select("bibcode", "run", "mission", "papertype")
 
 
+@query("q_batch_lifecycle", f"""WITH {A.BATCH_EVENTS}, b AS (SELECT batch_id, min(ts) AS started, min({{'ts': ts, 'status': status}}) FILTER (status IN ('cancelled', 'completed', 'expired', 'failed')) AS e FROM ev GROUP BY 1), n AS (SELECT max(ts) AS now FROM ev)
+SELECT batch_id, CASE WHEN e.ts <= started + INTERVAL 24 HOUR THEN e.status WHEN started + INTERVAL 24 HOUR <= now THEN 'expired' ELSE 'open' END AS status, CAST(epoch_us(started) AS BIGINT) AS started,
+  coalesce(CAST(epoch_us(CASE WHEN e.ts <= started + INTERVAL 24 HOUR THEN e.ts WHEN started + INTERVAL 24 HOUR <= now THEN started + INTERVAL 24 HOUR END) AS BIGINT), -1) AS ended FROM b, n""")
+def q_batch_lifecycle(s, d):
+    """How each submitted batch ended, and when."""
+    return lifecycle(A.batch_events(s, d)).withColumns({c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-1)) for c in ("started", "ended")})
+
+
 @query("q_upsert_latest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def q_upsert_latest(s, d):
     return responses.keep_latest(A.read(s, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")

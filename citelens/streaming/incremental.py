@@ -1,14 +1,9 @@
-"""Incremental variants of batch steps as Structured Streaming (an extension)."""
+"""Incremental variants of batch steps as Structured Streaming (an extension). Tables kept by a stream are in ``sources.buckets``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.responses import keep_latest
 
 
 def daily_tokens(log: DataFrame, late: str = "1 day") -> DataFrame:
@@ -17,16 +12,6 @@ def daily_tokens(log: DataFrame, late: str = "1 day") -> DataFrame:
     return per.select(F.to_date("window.start").alias("day"), "n", "tokens")
 
 
-def upsert_stream(rows: DataFrame, keys: list[str], version: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into a table: of equal keys the row of the greatest version stays. Replays change nothing."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        old = read()
-        write(keep_latest(batch if old is None else old.unionByName(batch), keys, version))
-
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append").start()
-
-
 def tally_stream(calls: DataFrame, accept: float, inspect: float) -> DataFrame:
     """Running counts per (mission, papertype) of a stream of calls: total, accepted, to inspect (complete or update mode)."""
     best = F.greatest("conf_science", "conf_mention")

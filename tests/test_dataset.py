@@ -106,16 +106,15 @@ def test_counters_and_verdicts(spark):
 
 
 def test_streams_equal_batch(spark, tmp_path):
-    from citelens.streaming.incremental import upsert_stream
+    from citelens.sources.buckets import read_buckets, upsert_stream
 
     src = spark.createDataFrame([(1, 1), (1, 3), (2, 2)], "k int, v int")
     src.write.parquet(str(tmp_path / "in"))
-    held = []
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = upsert_stream(stream, ["k"], "v", lambda: None, lambda df: held.append(sorted(tuple(r) for r in df.collect())), str(tmp_path / "cp"))
+    q = upsert_stream(stream, str(tmp_path / "out"), ["k"], "v", str(tmp_path / "cp"), available=False)
     q.processAllAvailable()
     q.stop()
-    assert held[-1] == [(1, 3), (2, 2)]
+    assert sorted(tuple(r) for r in read_buckets(spark, str(tmp_path / "out"), src.schema).collect()) == [(1, 3), (2, 2)]
 
 
 def test_entry(spark):
