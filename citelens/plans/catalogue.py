@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
 from ..operators import ambiguity, batching, dataset, evaluation, metrics, paragraphs, responses, scoring
+from ..sources import order
 from ..streaming.lifecycle import lifecycle
 from . import adapters as A
 
@@ -531,11 +532,26 @@ def q_hallucinated(s, d):
     return evaluation.hallucinated(_calls(s, d), paragraphs.missions_in_text(A.papers(s, d), F.col("body")))
 
 
-@query("q_importance", f"""WITH {_SENT.replace('s AS (SELECT bibcode, unnest(string_split(t', "s AS (SELECT bibcode, unnest(string_split(" + _ascii("t"))} SELECT bibcode, count(*) FILTER (regexp_matches(sentence, '(?i)\\b(i|me|my|mine|myself|we|us|our|ours|ourselves)\\b')) AS n_1st,
-  count(*) FILTER (regexp_matches(sentence, '\\b[A-Z][A-Z|a-z]+etal\\b|\\bet al\\b')) AS n_etal FROM s GROUP BY 1""")
+_FLAGS = {
+    "is_keyword": " OR ".join(_mentions("sentence", m) for m in MISSIONS), "is_pron_1st": "regexp_matches(plain, '(?i)\\b(i|me|my|mine|myself|we|us|our|ours|ourselves)\\b')",
+    "is_pron_3rd": "regexp_matches(plain, '(?i)\\b(he|him|his|himself|she|her|hers|herself|they|them|their|theirs|themselves)\\b')",
+    "is_term_fig": "regexp_matches(plain, '(?i)\\b(figures?|fig|tables?|tab|plots?|images?|panels?|graphs?)\\b')", "is_etal": "regexp_matches(plain, '\\b[A-Z][A-Z|a-z]+etal\\b|\\bet al\\b')",
+}
+
+
+@query("q_importance", f"WITH {_SENT}, f AS (SELECT bibcode, {', '.join(f'({v}) AS {k}' for k, v in _FLAGS.items())} FROM (SELECT *, {_ascii('sentence')} AS plain FROM s)) SELECT bibcode, {', '.join(f'count(*) FILTER ({k}) AS n_{k[3:]}' for k in _FLAGS)}, count(*) FILTER ({' OR '.join(_FLAGS)}) AS n_any FROM f GROUP BY 1")
 def q_importance(s, d):
+    """Sentences of each paper by why they matter."""
     rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).select("bibcode", T.importance(F.col("sentence")).alias("f"))
-    return rows.groupBy("bibcode").agg(F.count_if("f.is_pron_1st").alias("n_1st"), F.count_if("f.is_etal").alias("n_etal"))
+    return rows.groupBy("bibcode").agg(*[F.count_if(f"f.{k}").alias(f"n_{k[3:]}") for k in (*_FLAGS, "is_any")])
+
+
+@query("q_source_order", "WITH d AS (SELECT *, row_number() OVER () - 1 AS ord FROM documents) SELECT source, lang, min(ord) AS ord, arg_min(doc_id, ord) AS doc_id, count(*) AS n FROM d GROUP BY 1, 2")
+def q_source_order(s, d):
+    """The first document of each source and language as the file lists them."""
+    rows = order.numbered(A.read(s, d, "documents")).select("source", "lang", "ord", "doc_id")
+    first = order.first_by(rows, ["source", "lang"])
+    return first.join(rows.groupBy("source", "lang").agg(F.count("*").alias("n")), ["source", "lang"])
 
 
 @query("q_modif_anon", f"WITH {_HIT}, p AS (SELECT h.bibcode, h.i, s.sentence FROM hit h JOIN s ON s.bibcode = h.bibcode AND s.i = h.i WHERE h.mission = 'HST') SELECT bibcode, md5(string_agg({_streamline(_anon('sentence', BY_LABEL['HST']))}, chr(10) ORDER BY i)) AS h FROM p GROUP BY 1")

@@ -50,7 +50,8 @@ def write_lines(df: DataFrame, path: str, column: str = "line") -> None:
 
 
 def get_source(papers: DataFrame, bibcode: str | None = None, index: int | None = None) -> DataFrame:
-    """The first paper of a bibcode, or the paper at a place in the order of ord; empty if there is none."""
+    """The first paper of a bibcode, or the paper at a place in the order of ord; empty if there is none. ``sources.order.numbered``
+    gives papers from files their ord."""
     if bibcode is not None:
         return papers.where(F.col("bibcode") == bibcode).orderBy("ord").limit(1)
     return papers.orderBy("ord").offset(index or 0).limit(1)
