@@ -119,6 +119,20 @@ def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, .
     return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
 
 
+def missions_or_names(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, lexicon: DataFrame | None = None) -> DataFrame:
+    """(bibcode, mission) as ``missions_in_text`` with phrases, but a paper with a sentence of which no phrase tells whether it means a
+    mission counts for those missions whose label its text holds as it is spelt. Bibcodes are unique."""
+    ruled = _ruled(papers, text, missions)
+    asked = ruled.select("bibcode", F.inline_outer("asked")).where("mission IS NOT NULL")
+    told = settle(asked, ["bibcode", "i"], missions, lexicon)
+    failed = asked.select("bibcode", "i", "mission").join(told, ["bibcode", "i", "mission"], "left_anti").select("bibcode").distinct()
+    sure = ruled.select("bibcode", F.explode_outer(F.array_distinct(F.flatten("sure"))).alias("mission")).where("mission IS NOT NULL")
+    found = sure.unionByName(told.where("verdict").select("bibcode", "mission")).distinct().join(failed, "bibcode", "left_anti")
+    plain = papers.select("bibcode", text.alias("__t")).join(failed, "bibcode", "left_semi")
+    names = F.filter(F.array(*[F.lit(m.label) for m in missions]), lambda m: F.contains("__t", m))
+    return found.unionByName(plain.select("bibcode", F.explode(names).alias("mission")))
+
+
 def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, parser: Callable[[Column], Column] = grammar.parsed) -> DataFrame:
     """(bibcode, modif, modif_none) of every paper: a mission's paragraphs after the steps of ``mode``, and as they are, each
     joined by line breaks; empty where the text has none. Steps, joined by "_" and applied in this order: "skim", "trim",

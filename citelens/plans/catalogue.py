@@ -12,7 +12,7 @@ from ..functions import grammar, nlp, parse
 from ..functions import text as T
 from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
-from ..operators import ambiguity, batching, dataset, evaluation, metrics, paragraphs, responses, scoring
+from ..operators import ambiguity, batching, dataset, evaluation, metrics, models, paragraphs, responses, scoring
 from ..sources import order
 from ..streaming.lifecycle import lifecycle
 from . import adapters as A
@@ -925,6 +925,29 @@ def q_truematch(s, d):
     return paragraphs.settled_sentences(A.papers(s, d), F.col("body")).withColumn("i", F.col("i").cast("long"))
 
 
+@query("q_missions_or_names", f"WITH {_SENT}, r AS (" + " UNION ALL ".join(f"SELECT bibcode, i, sentence, '{m.label}' AS mission, {_rules_sql(m)} AS verdict FROM s" for m in MISSIONS) + f"""),
+asked AS (SELECT DISTINCT mission, sentence FROM r WHERE verdict IS NULL AND sentence IS NOT NULL), {_SETTLED},
+v AS (SELECT r.bibcode, r.mission, coalesce(r.verdict, told.verdict) AS verdict FROM r LEFT JOIN told ON r.verdict IS NULL AND r.mission = told.mission AND r.sentence = told.sentence WHERE r.sentence IS NOT NULL),
+failed AS (SELECT DISTINCT bibcode FROM v WHERE verdict IS NULL)
+SELECT DISTINCT bibcode, mission FROM v WHERE verdict AND bibcode NOT IN (SELECT bibcode FROM failed)
+UNION ALL SELECT bibcode, m.mission FROM papers JOIN failed USING (bibcode), (SELECT unnest([{', '.join(_q(x) for x in LABELS)}]) AS mission) m WHERE contains(body, m.mission)""")
+def q_missions_or_names(s, d):
+    """Missions in texts, by names alone where a sentence cannot be settled."""
+    return paragraphs.missions_or_names(A.papers(s, d), F.col("body"))
+
+
+@query("q_model_scores")
+def q_model_scores(s, d):
+    """Every document's class and its probability, by a model trained on labelled documents with others as validation."""
+    papers = A.papers(s, d).select("bibcode", F.col("body").alias("text"))
+    labelled = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"), F.when(F.col("quality") == 1, "good").otherwise("poor").alias("class")).join(papers, "bibcode")
+    part = F.crc32(F.col("bibcode").cast("string").cast("binary")) % 5
+    model = models.TextModel(["good", "poor"]).train(labelled.where(part > 0), labelled.where(part == 0), epochs=6)
+    scored = models.scorer_of(model)(papers)
+    probs = F.array(*[F.col("probs")[c] for c in model.classes])
+    return scored.select("bibcode", scoring.verdict(model.classes, probs).alias("verdict"), F.round(F.array_max(probs), 3).alias("top"))
+
+
 @query("q_nlp_wordchunks", f"WITH {_SENT}, named AS (" + " UNION ALL ".join(f"SELECT bibcode, i AS place, '{m.label}' AS mission, sentence FROM s WHERE {_mentions('sentence', m, 'keyword')}" for m in _AMBIGUOUS) + f"""), asked AS (SELECT DISTINCT mission, sentence FROM named), {_words_sql('asked', masks=False)}
 SELECT bibcode, place AS i, mission, begins, text AS chunk, meaning FROM named JOIN ck USING (mission, sentence)""")
 def q_nlp_wordchunks(s, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import time
 from collections.abc import Callable
 from pathlib import Path
@@ -44,6 +45,15 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The rows as one JSON array in one file, in the order of the table's partitions, for tools that take nothing else. One task
+    writes it: tables that go on within Spark are ``write_json``'s, which ``read_json`` reads in parallel."""
+    one = df.coalesce(1)
+    rows = one.select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).alias("line"))
+    end = df.sparkSession.range(1).select(F.lit("[]" if df.isEmpty() else "]").alias("line"))
+    rows.unionByName(end).coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
 def write_lines(df: DataFrame, path: str, column: str = "line") -> None:
     """One text file: for short lists."""
     df.select(F.col(column).cast("string")).coalesce(1).write.mode("errorifexists").text(path)
@@ -103,6 +113,26 @@ def load_plan(path: str) -> dict:
     return plan | {"base_chunks": max(plan.get("base_chunks", 0), len(plan.get("files", [])))}
 
 
+def merged(default: dict, user: dict | None) -> dict:
+    """A configuration with the user's values in place of the default ones: mappings are merged key by key, lists are joined, and
+    any other value of the user's replaces the default one."""
+    out = dict(default)
+    for key, value in (user or {}).items():
+        old = out.get(key)
+        if isinstance(old, dict) and isinstance(value, dict):
+            out[key] = merged(old, value)
+        else:
+            out[key] = [*old, *value] if isinstance(old, list) and isinstance(value, list) else value
+    return out
+
+
+def load_config(default: dict, folder: str | None = None, name: str = "citelens_config.json") -> dict:
+    """The default configuration with that of the user's file, if there is one in ``folder`` (by default the folder named in
+    CITELENS_CONFIG_DIR, else the home folder), merged over it. Variables of the environment are replaced in the file."""
+    path = Path(folder or os.environ.get("CITELENS_CONFIG_DIR") or Path.home()) / name
+    return merged(default, json.loads(os.path.expandvars(path.read_text())) if path.exists() else None)
+
+
 def prompt(kind: str, file: str | None = None, config: dict | None = None, default: dict | None = None) -> str:
     """The user's or agent's prompt: from a file, else the configuration, else the packaged default."""
     if kind not in ("user", "agent"):

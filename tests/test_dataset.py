@@ -117,6 +117,26 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in read_buckets(spark, str(tmp_path / "out"), src.schema).collect()) == [(1, 3), (2, 2)]
 
 
+def test_json_array_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, 'q"')], "k int, t string").coalesce(1)
+    files.write_json_array(df, str(tmp_path / "a"))
+    files.write_json_array(df.limit(0), str(tmp_path / "b"))
+    assert [(r.k, r.t) for r in files.read_json(spark, str(tmp_path / "a"), "k int, t string").collect()] == [(1, "a"), (2, None), (3, 'q"')]
+    assert files.read_json(spark, str(tmp_path / "b"), "k int").count() == 0
+    with pytest.raises(Exception, match="already exists"):
+        files.write_json_array(df, str(tmp_path / "a"))
+
+
+def test_user_configuration_over_defaults(tmp_path, monkeypatch):
+    default = {"llm": {"model": "small", "files": ["a"]}, "n": 1}
+    assert files.load_config(default, str(tmp_path)) == default
+    monkeypatch.setenv("OWN_MODEL", "large")
+    (tmp_path / "citelens_config.json").write_text('{"llm": {"model": "$OWN_MODEL", "files": ["b"]}, "extra": null}')
+    monkeypatch.setenv("CITELENS_CONFIG_DIR", str(tmp_path))
+    assert files.load_config(default) == {"llm": {"model": "large", "files": ["a", "b"]}, "n": 1, "extra": None}
+    assert default == {"llm": {"model": "small", "files": ["a"]}, "n": 1}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
