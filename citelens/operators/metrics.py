@@ -104,7 +104,6 @@ def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
     Rows are summed per distinct score, and running sums go by ranges of scores: no task sees more than one range's scores.
     """
     per = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    per = per.persist()  # one row per distinct score, read several times below
     per = per.withColumn("block", range_of(per, "score"))
     edges = per.groupBy("block").agg(F.max_by(F.struct("p", "n"), "score").alias("top"))
     below = edges.select("block", F.lag("top").over(W.orderBy("block")).alias("below"), F.lead("block").over(W.orderBy("block")).isNull().alias("highest"))
@@ -128,7 +127,7 @@ def roc_curve(scores: DataFrame, drop_collinear: bool = True) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """One row: the area under the curve of rows (label, score), by trapezoids: each score's negatives times the positives above
     it and half of those at it. 0 if a class is missing."""
-    per = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n")).persist()
+    per = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     per = per.withColumn("block", range_of(per, "score"))
     above = F.coalesce(F.sum("p").over(W.partitionBy("block").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     joined = per.withColumn("above", above).join(F.broadcast(starts(per, "block", {"p0": F.sum("p")}, descending=True)), "block")
@@ -138,14 +137,18 @@ def auc(scores: DataFrame) -> DataFrame:
 
 def auc_per_class(rows: DataFrame, classes: list[str], round_to: int = 6) -> DataFrame:
     """(class, auc) of rows (actual, probs map<class, double>), one class against the rest; then "macro", the mean of the
-    classes, and "micro", over all (row, class) decisions together. Scores are rounded, which bounds how many are distinct."""
+    classes, and "micro", over all (row, class) decisions together. Scores are rounded first: closer ones count as equal, and
+    no class has more than a million of them. Sums above a score go by ranges of scores."""
     each = F.array(*[F.struct(F.lit(c).alias("class"), (F.col("actual") == c).cast("int").alias("label"), F.round(F.coalesce(F.col("probs")[c], F.lit(0.0)), round_to).alias("score")) for c in classes])
     decisions = rows.select(F.inline(each))
     both = decisions.unionByName(decisions.withColumn("class", F.lit("micro")))
     per = both.groupBy("class", "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    above = F.coalesce(F.sum("p").over(W.partitionBy("class").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("block", range_of(per, "score"))
+    higher = W.partitionBy("class").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    before = per.groupBy("class", "block").agg(F.sum("p").alias("__p")).select("class", "block", F.coalesce(F.sum("__p").over(higher), F.lit(0)).alias("p0"))
+    above = F.col("p0") + F.coalesce(F.sum("p").over(W.partitionBy("class", "block").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     area = F.sum(F.col("n") * (F.col("above") + F.col("p") / 2))
-    own = per.withColumn("above", above).groupBy("class").agg(F.coalesce(F.try_divide(area, (F.sum("p") * F.sum("n")).cast("double")), F.lit(0.0)).alias("auc"))
+    own = per.join(F.broadcast(before), ["class", "block"]).withColumn("above", above).groupBy("class").agg(F.coalesce(F.try_divide(area, (F.sum("p") * F.sum("n")).cast("double")), F.lit(0.0)).alias("auc"))
     return own.unionByName(own.where("class <> 'micro'").agg(F.lit("macro").alias("class"), F.avg("auc").alias("auc")))
 
 

@@ -46,6 +46,12 @@ def _labels(sentence: Column, missions: tuple[Mission, ...], counts: Callable[[C
     return let(forms(sentence), lambda v: F.array_compact(F.array(*[F.when(counts(_rules(v, m)), m.label) for m in missions])))
 
 
+def _each(rows: DataFrame) -> DataFrame:
+    """A row per element of ``mission``. An inner generator would have the optimiser compute the array once more, to filter on it
+    first, which is what costs here; hence an outer one, and the filter after it."""
+    return rows.withColumn("mission", F.explode_outer("mission")).where("mission IS NOT NULL")
+
+
 def sentence_rows(papers: DataFrame, text: Column) -> DataFrame:
     """(bibcode, i, last, sentence): the sentences of a text, exploded once for all missions."""
     split = papers.select("bibcode", sentences(text).alias("s"))
@@ -56,7 +62,7 @@ def mission_sentences(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS,
     """(bibcode, mission, i, last) of sentences that count for each mission. ``undecided``: whether an ambiguous word that
     rules cannot settle counts."""
     hits = _labels(F.col("sentence"), missions, lambda verdict: F.coalesce(verdict, F.lit(undecided)))
-    return rows.select("bibcode", "i", "last", F.explode(hits).alias("mission"))
+    return _each(rows.select("bibcode", "i", "last", hits.alias("mission")))
 
 
 def _ruled(papers: DataFrame, text: Column, missions: tuple[Mission, ...]) -> DataFrame:
@@ -78,8 +84,8 @@ def settled_sentences(papers: DataFrame, text: Column, missions: tuple[Mission,
     """(bibcode, i, mission) of every sentence that means a mission: by rules, else by phrases (``operators.ambiguity``).
     Bibcodes are unique."""
     ruled = _ruled(papers, text, missions)
-    sure = ruled.select("bibcode", F.posexplode("sure").alias("i", "hits")).select("bibcode", "i", F.explode("hits").alias("mission"))
-    return sure.unionByName(_told(ruled, ["bibcode"], missions, lexicon))
+    sure = ruled.select("bibcode", F.posexplode_outer("sure").alias("i", "mission"))
+    return _each(sure).unionByName(_told(ruled, ["bibcode"], missions, lexicon))
 
 
 def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True, lexicon: DataFrame | None = None) -> DataFrame:
@@ -108,7 +114,7 @@ def _spans(hits: Column, last: Column, buffer: int) -> Column:
 def paragraphs(papers: DataFrame, text: Column, buffer: int = 0, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
     """(bibcode, mission, lo, hi, paragraph): the sentences of each span, joined by spaces. ``undecided`` as in
     ``marked_papers``. Each row is a paper; its sentences stay with it, so nothing is shuffled."""
-    each = marked_papers(papers, text, missions, undecided).select("bibcode", "s", "h", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
+    each = _each(marked_papers(papers, text, missions, undecided).select("bibcode", "s", "h", F.array_distinct(F.flatten("h")).alias("mission")))
     hits = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.array_contains(F.get("h", i), F.col("mission")))
     found = each.select("bibcode", "mission", "s", hits.alias("at")).select("bibcode", "mission", "s", F.inline(_spans(F.col("at"), F.size("s") - 1, buffer)))
     return found.select("bibcode", "mission", "lo", "hi", F.array_join(F.slice("s", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1), " ").alias("paragraph"))
@@ -116,7 +122,7 @@ def paragraphs(papers: DataFrame, text: Column, buffer: int = 0, missions: tuple
 
 def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True) -> DataFrame:
     """(bibcode, mission) where the text has a paragraph for the mission. Each row is a paper."""
-    return marked_papers(papers, text, missions, undecided).select("bibcode", F.explode(F.array_distinct(F.flatten("h"))).alias("mission"))
+    return _each(marked_papers(papers, text, missions, undecided).select("bibcode", F.array_distinct(F.flatten("h")).alias("mission")))
 
 
 def missions_or_names(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, lexicon: DataFrame | None = None) -> DataFrame:
@@ -126,7 +132,7 @@ def missions_or_names(papers: DataFrame, text: Column, missions: tuple[Mission,
     asked = ruled.select("bibcode", F.inline_outer("asked")).where("mission IS NOT NULL")
     told = settle(asked, ["bibcode", "i"], missions, lexicon)
     failed = asked.select("bibcode", "i", "mission").join(told, ["bibcode", "i", "mission"], "left_anti").select("bibcode").distinct()
-    sure = ruled.select("bibcode", F.explode_outer(F.array_distinct(F.flatten("sure"))).alias("mission")).where("mission IS NOT NULL")
+    sure = _each(ruled.select("bibcode", F.array_distinct(F.flatten("sure")).alias("mission")))
     found = sure.unionByName(told.where("verdict").select("bibcode", "mission")).distinct().join(failed, "bibcode", "left_anti")
     plain = papers.select("bibcode", text.alias("__t")).join(failed, "bibcode", "left_semi")
     names = F.filter(F.array(*[F.lit(m.label) for m in missions]), lambda m: F.contains("__t", m))

@@ -953,7 +953,7 @@ SELECT bibcode, place AS i, mission, begins, text AS chunk, meaning FROM named J
 def q_nlp_wordchunks(s, d):
     """Chunks around the names of every mission with ambiguous words, with their meanings."""
     ambiguous = tuple(m for m in MISSIONS if m.ambiguous)
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).withColumn("mission", F.explode(T.missions_of(F.col("sentence"), ambiguous, "keyword")))
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).withColumn("mission", F.explode_outer(T.missions_of(F.col("sentence"), ambiguous, "keyword"))).where("mission IS NOT NULL")
     found = ambiguity.chunks(rows, ["bibcode", "i"], ambiguous)
     return found.select("bibcode", F.col("i").cast("long").alias("i"), "mission", F.col("at").cast("long").alias("begins"), F.col("text").alias("chunk"), "meaning")
 

@@ -155,13 +155,22 @@ _sources: dict[tuple, tuple[DataFrame | None, DataFrame | None]] = {}
 
 
 def cached_sources(spark: SparkSession, papertext: str, papertrack: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """``load_datasets``, read once an application and kept by Spark, which spills and recomputes what does not fit."""
+    """``load_datasets``, read once an application and kept by Spark, which spills and recomputes what does not fit, until
+    ``release_sources``."""
     key = (spark.sparkContext.applicationId, papertext, papertrack)
     if key not in _sources:
         _sources[key] = tuple(df if df is None else df.persist() for df in load_datasets(spark, papertext, papertrack))
     return _sources[key]
 
 
+def release_sources() -> None:
+    """Forgets what ``cached_sources`` keeps."""
+    while _sources:
+        for df in _sources.popitem()[1]:
+            if df is not None:
+                df.unpersist()
+
+
 def read_output(spark: SparkSession, path: str, bibcode: str | None = None) -> DataFrame:
     """Runs written by ``append_runs``, all or one paper's."""
     runs = spark.read.schema(RUNS).json(path)
