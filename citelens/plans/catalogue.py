@@ -1028,9 +1028,9 @@ _MATTERS = f"{_mentions('w', _HST)} OR regexp_matches({_ascii('w')}, '(?i)\\b(?:
 @query("q_word_classes", f"WITH RECURSIVE {_SENT}, {_classes_sql('s')}, k AS (SELECT sid, md5(string_agg(array_to_string(kinds, ','), ';' ORDER BY i)) AS h FROM cl GROUP BY 1) SELECT bibcode, s.i, k.h FROM s JOIN src ON src.sentence = s.sentence JOIN k ON k.sid = src.sid")
 def q_word_classes(s, d):
     """The classes of every word of every sentence."""
-    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
+    rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body")).where(F.col("sentence").rlike("[^ ]"))  # a filter on the words would compute them twice
     seen = parse.words(rows.withColumn("p", A.parse(F.col("sentence"))), F.col("p"))
-    return seen.where(F.size("words") > 0).select("bibcode", F.col("i").cast("long").alias("i"), F.md5(F.array_join(F.transform("words", lambda w: F.array_join(w["kinds"], ",")), ";")).alias("h"))
+    return seen.select("bibcode", F.col("i").cast("long").alias("i"), F.md5(F.array_join(F.transform("words", lambda w: F.array_join(w["kinds"], ",")), ";")).alias("h"))
 
 
 _NAMED = f"named AS (SELECT bibcode, i AS place, sentence FROM s WHERE {' OR '.join(_mentions('sentence', m) for m in MISSIONS)})"
