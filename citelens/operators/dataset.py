@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,49 +114,105 @@ def _ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return ordered.withColumn("__w", within).join(first, [key, "__b"]).withColumn("k", F.col("__s") + F.col("__w")).drop("__o", "__b", "__s", "__w")
 
 
-def levelled(counts: dict[str, int], classes: list[str], n: int) -> dict[str, int]:
-    """How many of n rows each class gets if every row goes to the smallest of them so far, by name at a tie."""
-    low = sorted(classes, key=lambda c: (counts.get(c, 0), c))
-    given = dict.fromkeys(classes, 0)
-    for i in range(len(low)):
-        level = counts.get(low[i + 1], 0) if i + 1 < len(low) else None
-        each = n // (i + 1) if level is None else min(n // (i + 1), level - counts.get(low[i], 0) - given[low[i]])
-        for c in low[: i + 1]:
-            given[c] += each
-        n -= each * (i + 1)
-        if level is None or counts.get(low[i], 0) + given[low[i]] < level:
-            break
-    for c in sorted(classes, key=lambda c: (counts.get(c, 0) + given[c], c))[:n]:
-        given[c] += 1
-    return given
-
-
-def tvt_split(labels: DataFrame, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), mode: str = "uniform", seed: int = 10) -> DataFrame:
+#: Papers of several classes are folded by ranges of the hash: about this many a range, and at most so many ranges.
+RANGE_ROWS, MOST_RANGES = 50_000, 4096
+
+
+def fold_levels(members: list[tuple[int, ...]], entry: list[int]) -> list[int]:
+    """Which class each paper goes to, in order: the smallest of its classes so far, the first of them at a tie."""
+    counts, picks = list(entry), []
+    for classes in members:
+        best = min(classes, key=lambda c: (counts[c], c))
+        counts[best] += 1
+        picks.append(best)
+    return picks
+
+
+def _entries(ranges: DataFrame, fold, start: list[int], sizes: dict[int, int]) -> dict[int, list[int]]:
+    """The counts that each range starts from. All ranges are folded at once from guessed counts and again where what the
+    ranges before them gave differs from the guess, until nothing does. A pass settles at least the first range that was
+    wrong, and mostly all: from counts of the same total, levelling soon comes to the same counts."""
+    order = sorted(sizes)
+    guess, at = {}, 0
+    for r in order:
+        low, each = sum(start) + at, list(start)
+        for c in sorted(range(len(start)), key=lambda c: start[c]):  # as if the lowest classes were filled up evenly
+            each[c] = max(each[c], low // len(start))
+        each[start.index(min(start))] += low - sum(each)
+        guess[r], at = each, at + sizes[r]
+    guess[order[0]] = list(start)
+    given: dict[int, list[int]] = {}
+    stale = set(order)
+    ranges = ranges.persist()
+    try:
+        while stale:
+            picked = fold(ranges.where(F.col("range").isin(sorted(stale))), {r: guess[r] for r in stale})
+            for r, c, n in picked.select("range", F.explode("picks").alias("c")).groupBy("range", "c").count().collect():
+                if r in stale:
+                    given[r], stale = [0] * len(start), stale - {r}
+                given[r][c] = n
+            now, stale = list(start), set()
+            for r in order:
+                if guess[r] != now:
+                    guess[r] = list(now)
+                    stale.add(r)
+                now = [a + b for a, b in zip(now, given[r], strict=True)]
+    finally:
+        ranges.unpersist()
+    return guess
+
+
+def levelled(papers: DataFrame, counts: dict[str, int], n: int, seed: int = 10, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(bibcode, class) of ``n`` papers (bibcode, classes: sorted array): in hashed order each goes to the smallest of its
+    classes so far, by name at a tie; ``counts`` is what every class has before.
+
+    Only the counts of ranges, of which there are at most MOST_RANGES, reach the driver."""
+    names = sorted(counts)
+    place = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
+    parts = max(1, min(MOST_RANGES, -(-n // range_rows)))
+    own = papers.select("bibcode", F.transform("classes", lambda c: place[c]).alias("members"), split_order(seed).alias("o"))
+    own = own.withColumn("range", F.shiftright(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") * parts, 32).cast("int"))
+    ranges = own.groupBy("range").agg(F.array_sort(F.collect_list(F.struct("o", "bibcode", "members"))).alias("rows")).select("range", F.col("rows.bibcode").alias("ids"), F.col("rows.members").alias("members"))
+    start = [counts[c] for c in names]
+
+    def fold(rows: DataFrame, entry: dict[int, list[int]]) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                found = zip(b.column("range").to_pylist(), b.column("members").to_pylist(), strict=True)
+                picks = [fold_levels(members, entry[r]) for r, members in found]
+                yield pa.RecordBatch.from_arrays([b.column("range"), b.column("ids"), pa.array(picks, pa.list_(pa.int32()))], names=["range", "ids", "picks"])
+
+        return rows.mapInArrow(run, f"range int, ids {rows.schema['ids'].dataType.simpleString()}, picks array<int>")
+
+    entry = {0: start}
+    if parts > 1:
+        sizes = {r["range"]: r["n"] for r in own.groupBy("range").agg(F.count("*").alias("n")).collect()}
+        entry = _entries(ranges, fold, start, sizes)
+    picked = fold(ranges, entry).select(F.explode(F.arrays_zip("ids", "picks")).alias("p"))
+    return picked.select(F.col("p.ids").alias("bibcode"), F.array(*[F.lit(c) for c in names])[F.col("p.picks")].alias("class"))
+
+
+def tvt_split(labels: DataFrame, fractions: tuple[float, float, float] = (0.8, 0.1, 0.1), mode: str = "uniform", seed: int = 10, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(bibcode, class, split): all rows of a bibcode share one split.
 
-    A bibcode of one class is represented by it. Those of several go to the smallest of their classes so far: set of classes
-    by set of classes (these and their counts, no bibcodes, reach the driver), in hashed order within each. Then each class is
-    ordered by hash and sliced. "uniform": every class gives round(fraction x smallest class) to train and validate, the rest
-    to test; "available": each class by its own count, an error if the roundings do not sum to it.
+    A bibcode of one class is represented by it. Those of several go, one by one in hashed order, to the smallest of their
+    classes so far (``levelled``). Then each class is ordered by hash and sliced. "uniform": every class gives round(fraction x
+    smallest class) to train and validate, the rest to test; "available": each class by its own count, an error if the roundings
+    do not sum to it.
     """
     if mode not in ("uniform", "available"):
         raise ValueError(f"unknown mode {mode}")
     total = sum(fractions)
     share = [f / total for f in fractions]
     per = labels.groupBy("bibcode").agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    sets = sorted((list(r["classes"]), r["n"]) for r in per.groupBy("classes").agg(F.count("*").alias("n")).collect())
-    counts = {classes[0]: n for classes, n in sets if len(classes) == 1}
-    chosen = F.col("classes")[0]
-    for classes, n in sets:
-        if len(classes) > 1:
-            given, at = levelled(counts, classes, n), 0
-            for c, own in given.items():
-                at, counts[c] = at + own, counts.get(c, 0) + own
-                chosen = F.when((F.col("classes") == F.array(*[F.lit(x) for x in classes])) & (F.col("k") > at - own) & (F.col("k") <= at), c).otherwise(chosen)
-    several = _ranked(per.where(F.size("classes") > 1).withColumn("key", F.array_join("classes", "|")), "key", seed)
+    sets = [(list(r["classes"]), r["n"]) for r in per.groupBy("classes").agg(F.count("*").alias("n")).collect()]
+    counts = {c: 0 for classes, _ in sets for c in classes} | {classes[0]: n for classes, n in sets if len(classes) == 1}
     rep = per.where(F.size("classes") == 1).select("bibcode", F.col("classes")[0].alias("class"))
-    if any(len(classes) > 1 for classes, _ in sets):
-        rep = rep.unionByName(several.select("bibcode", chosen.alias("class")))
+    if several := sum(n for classes, n in sets if len(classes) > 1):
+        picked = levelled(per.where(F.size("classes") > 1), counts, several, seed, range_rows)
+        rep = rep.unionByName(picked)
+        for r in picked.groupBy("class").agg(F.count("*").alias("n")).collect():
+            counts[r["class"]] += r["n"]
     least = min(counts.values(), default=0)
     split = F.lit("test")
     for c, n in counts.items():

@@ -336,11 +336,43 @@ FROM grouped g LEFT JOIN track t ON t.bibcode = g.bibcode AND t.mission = g.miss
 LEFT JOIN names n ON n.bibcode = g.bibcode AND n.mission = g.mission WHERE g.bibcode IN (SELECT doc_id FROM documents)""")
 def q_evaluate(s, d):
     """One call from runs to summary; of each paper the text is taken to name one mission."""
+    return _evaluated(s, d)["classes"].select("bibcode", "mission", "papertype", "count", "weighted_science", "in_human_class", "consistency", "route", "hallucinated")
+
+
+def _evaluated(s, d, wanted=None, runs=None):
     papers = A.read(s, d, "documents").select(F.col("doc_id").alias("bibcode"))
     found = papers.select("bibcode", A._pick(LABELS, F.col("bibcode")).alias("mission"))
-    wanted = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"))
-    out = evaluation.evaluate(papers, A.runs(s, d), A.track(s, d), found, wanted, ROUTE_ACCEPT, ROUTE_INSPECT)
-    return out["classes"].select("bibcode", "mission", "papertype", "count", "weighted_science", "in_human_class", "consistency", "route", "hallucinated")
+    wanted = wanted or A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode"))
+    return evaluation.evaluate(papers, runs or A.runs(s, d), A.track(s, d), found, wanted, ROUTE_ACCEPT, ROUTE_INSPECT)
+
+
+_EVALUATED = f"""{A.TRACK}, names AS (SELECT doc_id AS bibcode, ({A._array(LABELS)})[CAST(doc_id % {len(LABELS)} AS INTEGER) + 1] AS mission FROM documents),
+done AS (SELECT * FROM calls WHERE bibcode IN (SELECT doc_id FROM documents))"""
+
+
+@query("q_evaluate_missions", f"WITH {ROUTED} SELECT bibcode, mission, round(total_science, 6) AS total_science, round(total_mention, 6) AS total_mention, prob_mission FROM per_mission WHERE bibcode IN (SELECT doc_id FROM documents)")
+def q_evaluate_missions(s, d):
+    return _evaluated(s, d)["missions"].select("bibcode", "mission", *[F.round(c, 6).alias(c) for c in ("total_science", "total_mention")], "prob_mission")
+
+
+@query("q_evaluate_missing", f"""WITH {A.CALLS}, {_EVALUATED}, a AS (SELECT DISTINCT bibcode, mission FROM done), b AS (SELECT DISTINCT bibcode, mission FROM track WHERE bibcode IN (SELECT bibcode FROM done)),
+x AS (SELECT bibcode, 'human' AS side, mission FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT bibcode, 'llm', mission FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT bibcode, side, string_agg(mission, ',' ORDER BY mission) AS missions FROM x GROUP BY 1, 2""")
+def q_evaluate_missing(s, d):
+    return _evaluated(s, d)["missing"]
+
+
+@query("q_evaluate_hallucinated", f"WITH {A.CALLS}, {_EVALUATED} SELECT bibcode, mission FROM done EXCEPT SELECT * FROM names")
+def q_evaluate_hallucinated(s, d):
+    return _evaluated(s, d)["hallucinated"].select("bibcode", "mission")
+
+
+@query("q_evaluate_errors", f"""WITH {A.CALLS}, {_EVALUATED}, w AS (SELECT DISTINCT bibcode, bibcode IN (SELECT doc_id FROM documents) AS sourced FROM (SELECT doc_id AS bibcode FROM labels UNION ALL SELECT doc_id + 1 FROM documents)),
+l AS (SELECT bibcode, string_agg(DISTINCT upper(mission) || ':' || papertype, ',' ORDER BY upper(mission) || ':' || papertype) AS labels FROM track GROUP BY 1)
+SELECT bibcode, CASE WHEN sourced THEN 'No mission output found for ' || bibcode ELSE 'No paper source found' END AS error, CASE WHEN sourced THEN labels END AS human FROM w LEFT JOIN l USING (bibcode) WHERE NOT sourced OR bibcode % 9 = 0 OR bibcode NOT IN (SELECT bibcode FROM calls)""")
+def q_evaluate_errors(s, d):
+    """Papers without a source too; of every ninth no run came back."""
+    wanted = A.read(s, d, "labels").select(F.col("doc_id").alias("bibcode")).union(A.read(s, d, "documents").select(F.col("doc_id") + 1))
+    return _evaluated(s, d, wanted, A.runs(s, d).where("bibcode % 9 <> 0"))["errors"]
 
 
 # Dataset
@@ -365,9 +397,18 @@ def q_limit_several(s, d):
     return dataset.limit_papers(A.several(s, d).withColumn("ord", F.col("bibcode")), 1000).select("bibcode", "mission", "papertype")
 
 
-@query("q_tvt_several")
+_LEVELS = A.SEVERAL + """, per AS (SELECT bibcode, list_sort(list(DISTINCT papertype)) AS classes FROM several GROUP BY 1), names AS (SELECT list_sort(list(DISTINCT papertype)) AS cs FROM several),
+multi AS (SELECT bibcode, list_transform(classes, lambda c: list_position(cs, c)) AS members, row_number() OVER (ORDER BY md5('10|' || bibcode), bibcode) AS i FROM per, names WHERE len(classes) > 1),
+steps AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS bibcode, NULL::BIGINT AS pick, (SELECT list(n ORDER BY c) FROM (SELECT c, count(p.bibcode) AS n FROM (SELECT unnest(cs) AS c FROM names) LEFT JOIN (SELECT bibcode, classes[1] AS c FROM per WHERE len(classes) = 1) p USING (c) GROUP BY c)) AS counts
+  UNION ALL SELECT i, bibcode, pick, list_transform(counts, lambda x, j: x + CASE WHEN j = pick THEN 1 ELSE 0 END) FROM (SELECT m.i, m.bibcode, counts, list_sort(list_transform(members, lambda c: {'n': counts[c], 'c': c}))[1].c AS pick FROM steps JOIN multi m ON m.i = steps.i + 1)),
+rep AS (SELECT bibcode, classes[1] AS class FROM per WHERE len(classes) = 1 UNION ALL SELECT bibcode, (SELECT cs FROM names)[pick] FROM steps WHERE i > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('10|' || bibcode), bibcode) AS k FROM rep), lo AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM rep GROUP BY class))
+SELECT bibcode, class, CASE WHEN k <= round_even(0.8 * n, 0) THEN 'train' WHEN k <= round_even(0.8 * n, 0) + round_even(0.1 * n, 0) THEN 'validate' ELSE 'test' END AS split FROM o, lo"""
+
+
+@query("q_tvt_several", f"WITH RECURSIVE {_LEVELS}")
 def q_tvt_several(s, d):
-    """Papers of several classes among them; a test folds row by row."""
+    """Papers of several classes among them, levelled one by one."""
     return dataset.tvt_split(A.several(s, d).select("bibcode", F.col("papertype").alias("class")))
 
 
@@ -476,31 +517,37 @@ def q_first_keyword(s, d):
 
 
 def _anon(col, m):
+    """RE2 takes word boundaries as ASCII's, so the characters beside an acronym are spelt out."""
     for p in m.phrases:
         col = f"regexp_replace({col}, {_q('(?i)' + chr(92) + 'b' + p + chr(92) + 'b')}, 'OBJ', 'g')"
     for words, case in ((m.cased, ""), (m.uncased, "(?i)")):
         if words:
-            guarded = _acronyms(words, case).replace("(?:^|[^.])", "(^|[^.])").replace("(?:$|[^A-Za-z|])", "($|[^A-Za-z|])")
-            col = f"regexp_replace({col}, {_q(guarded)}, '\\1OBJ\\2', 'g')"
+            spelt = "|".join(r"(?:\.)?(?: )?(?:-)?".join(w) for w in words)
+            guarded = case + r"(^|[^.\p{L}\p{M}\p{N}_])(?:" + spelt + r")(?:\.($|[^A-Za-z|])|($|[^|\p{L}\p{M}\p{N}_]))"
+            col = f"regexp_replace({col}, {_q(guarded)}, '\\1OBJ\\2\\3', 'g')"
     return col
 
 
-@query("q_anonymise", f"WITH {A.PAPERS} SELECT bibcode, md5({_anon('body', BY_LABEL['HST'])}) AS hst, md5({_anon('body', BY_LABEL['PANSTARRS'])}) AS panstarrs FROM papers")
+@query("q_anonymise", f"WITH {A.PAPERS} SELECT bibcode, {', '.join(f'md5({_anon("body", m)}) AS {m.label.lower()}' for m in MISSIONS)} FROM papers")
 def q_anonymise(s, d):
-    return A.papers(s, d).select("bibcode", *[F.md5(T.anonymise(F.col("body"), BY_LABEL[m])).alias(m.lower()) for m in ("HST", "PANSTARRS")])
+    """Of every mission the text without its terms."""
+    return A.papers(s, d).select("bibcode", *[F.md5(T.anonymise(F.col("body"), m)).alias(m.label.lower()) for m in MISSIONS])
 
 
 _SENT = A.PAPERS + f", m AS (SELECT bibcode, {_marked('body')} AS t FROM papers), s AS (SELECT bibcode, unnest(string_split(t, chr(1))) AS sentence, unnest(range(len(string_split(t, chr(1))))) AS i, len(string_split(t, chr(1))) - 1 AS last FROM m)"
 _HIT = _SENT + ", hit AS (" + " UNION ALL ".join(f"SELECT bibcode, i, last, '{m.label}' AS mission FROM s WHERE {_mentions('sentence', m)}" for m in MISSIONS) + ")"
 
 
-@query("q_truematch_fast", f"WITH {_SENT} " + " UNION ALL ".join(
-    f"SELECT bibcode, i, '{lab}' AS mission, CASE WHEN {_mentions('sentence', BY_LABEL[lab], 'acronym')} THEN TRUE"
-    + (f" WHEN {_mentions('sentence', type(BY_LABEL[lab])(lab, tuple(p for p in BY_LABEL[lab].phrases if p not in BY_LABEL[lab].ambiguous), BY_LABEL[lab].cased, BY_LABEL[lab].uncased, BY_LABEL[lab].banned), 'keyword')} THEN TRUE" if any(p not in BY_LABEL[lab].ambiguous for p in BY_LABEL[lab].phrases) else "")
-    + f" WHEN NOT {_mentions('sentence', BY_LABEL[lab])} THEN FALSE END AS verdict FROM s" for lab in ("HST", "COPERNICUS", "KEPLER", "ROMAN")))
+def _rules_by_mission(m) -> str:
+    clear = tuple(p for p in m.phrases if p not in m.ambiguous)
+    sure = [_mentions("sentence", m, "acronym")] + ([_mentions("sentence", type(m)(m.label, clear, m.cased, m.uncased, m.banned), "keyword")] if clear else [])
+    return f"SELECT bibcode, i, '{m.label}' AS mission, CASE {' '.join(f'WHEN {x} THEN TRUE' for x in sure)} WHEN NOT {_mentions('sentence', m)} THEN FALSE END AS verdict FROM s"
+
+
+@query("q_truematch_fast", f"WITH {_SENT} " + " UNION ALL ".join(_rules_by_mission(m) for m in MISSIONS))
 def q_truematch_fast(s, d):
     rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
-    per = F.array(*[F.struct(F.lit(lab).alias("mission"), paragraphs.verdict_by_rules(F.col("sentence"), BY_LABEL[lab]).alias("verdict")) for lab in ("HST", "COPERNICUS", "KEPLER", "ROMAN")])
+    per = F.array(*[F.struct(F.lit(m.label).alias("mission"), paragraphs.verdict_by_rules(F.col("sentence"), m).alias("verdict")) for m in MISSIONS])
     return rows.select("bibcode", F.col("i").cast("long").alias("i"), F.inline(per))
 
 

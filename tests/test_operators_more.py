@@ -1,5 +1,6 @@
 """Splits of papers with several classes, ranges, gates, callouts, multi-class areas, responders, quarantine, results."""
 
+import hashlib
 import json
 import random
 
@@ -12,35 +13,41 @@ from citelens.operators import batching, dataset, evaluation, metrics, ranges, r
 from citelens.sources import files
 
 
-def test_levelled_equals_a_fold():
-    rnd = random.Random(1)
-    for _ in range(500):
-        counts = {c: rnd.randint(0, 9) for c in "abcd"}
-        classes, n = rnd.sample("abcd", rnd.randint(2, 4)), rnd.randint(0, 30)
-        want = dict.fromkeys(classes, 0)
-        for _ in range(n):
-            want[min(classes, key=lambda c: (counts[c] + want[c], c))] += 1
-        assert dataset.levelled(counts, classes, n) == want
+def _levels(own, seed=10):
+    """A plain fold: papers of several classes, by md5, go to the smallest of theirs so far."""
+    counts = {c: 0 for cs in own.values() for c in cs}
+    out = {b: min(cs) for b, cs in own.items() if len(cs) == 1}
+    for c in out.values():
+        counts[c] += 1
+    for b in sorted((b for b in own if len(own[b]) > 1), key=lambda b: (hashlib.md5(f"{seed}|{b}".encode()).hexdigest(), b)):
+        out[b] = min(own[b], key=lambda c: (counts[c], c))
+        counts[out[b]] += 1
+    return out
 
 
-def test_split_of_several_classes(spark):
+@pytest.mark.parametrize("range_rows", [50_000, 7])
+def test_split_of_several_classes(spark, range_rows):
     rows = [(i, "a") for i in range(40)] + [(i, "b") for i in range(30, 60)] + [(i, "c") for i in range(55, 58)] + [(5, "a")]
-    df = spark.createDataFrame(rows, "bibcode int, class string")
-    got = dataset.tvt_split(df).collect()
-    own = {}
-    for b, c in rows:
-        own.setdefault(b, set()).add(c)
-    assert sorted(r.bibcode for r in got) == sorted(own) and all(r["class"] in own[r.bibcode] for r in got)
-    sizes = {c: sum(r["class"] == c for r in got) for c in "abc"}
-    single = {c: sum(own[b] == {c} for b in own) for c in "abc"}
-    want = dict(single)
-    for s in sorted({tuple(sorted(x)) for x in own.values() if len(x) > 1}):
-        for _ in range(sum(tuple(sorted(x)) == s for x in own.values())):
-            want[min(s, key=lambda c: (want[c], c))] += 1
-    assert sizes == want
-    least = min(sizes.values())
-    assert all(sum(r["class"] == c and r.split == "train" for r in got) == round(0.8 * least) for c in "abc")
-    assert sorted(map(tuple, dataset.tvt_split(df.repartition(5)).collect())) == sorted(map(tuple, got))
+    rnd = random.Random(3)
+    many = [(i, c) for i in range(400) for c in rnd.sample("abcd", rnd.choice([1, 1, 2, 3]))] + [(i, "d") for i in range(400, 500)]
+    for table in (rows, many):
+        own = {}
+        for b, c in table:
+            own.setdefault(b, set()).add(c)
+        got = dataset.tvt_split(spark.createDataFrame(table, "bibcode int, class string"), range_rows=range_rows).collect()
+        assert len(got) == len(own) and {r.bibcode: r["class"] for r in got} == _levels(own)
+
+
+def test_levelling_by_ranges_settles_every_case(spark):
+    """Guesses are far off where the sets of classes change along the order."""
+    rnd = random.Random(5)
+    for n in (1, 60):
+        own = {f"p{i}": {"a", "b"} if rnd.random() < 0.5 else {"b", "c", "d"} if rnd.random() < 0.7 else {"a", "d"} for i in range(n)}
+        start = {"a": 0, "b": 25, "c": 3, "d": 0}
+        papers = spark.createDataFrame([(b, sorted(c)) for b, c in own.items()], "bibcode string, classes array<string>")
+        got = {r.bibcode: r["class"] for r in dataset.levelled(papers, start, n, range_rows=4).collect()}
+        singles = {f"{c}{i}": {c} for c, k in start.items() for i in range(k)}
+        assert got == {b: c for b, c in _levels(own | singles).items() if b in own}
 
 
 def test_ranges_number_sparse_and_clustered_values(spark):
