@@ -25,10 +25,14 @@ from .common import map_rows
 
 # Given names by gender, and the titles that tell it.
 NAMES = {
-    "f": "Alice Anna Beatriz Carla Carmen Charlotte Claire Clara Elena Emily Emma Greta Hannah Helga Ines Isabel Julia Laura Lucia Maria Marie Martha Olivia Paula Sarah Sofia Sophie Susan".split(),
-    "m": "Adam Andreas Antonio Carlos Charles Daniel David Diego Frank Georg Henri Jakob James Jean John Jonas Karl Luis Marco Martin Michael Miguel Paul Peter Philippe Robert Thomas William".split(),
+    "f": "Alice Amelia Angela Anna Barbara Beatriz Carla Carmen Caroline Catherine Charlotte Christine Claire Clara Eleanor Elena Elizabeth Emily Emma Eva Greta Hannah Helen Helga Ines Irene Isabel Jennifer Julia Laura Linda Lucia Margaret Maria Marie Martha Monika Nicole Olivia Patricia Paula Rachel Rosa Sabine Sandra Sarah Sofia Sophie Susan Teresa Ursula Wanda".split(),
+    "m": "Adam Albert Alexander Andreas Antonio Benjamin Carlos Charles Christopher Daniel David Diego Edward Fernando Frank Georg George Hans Harry Henri Henry Jack Jakob James Jean John Jonas Joseph Juan Karl Klaus Luis Marco Martin Matthew Michael Miguel Nicolas Oliver Oscar Patrick Paul Pedro Peter Philippe Pierre Richard Robert Samuel Simon Stefan Thomas Victor Walter William".split(),
 }
 TITLES = {"m": "Mr Mister Herr Monsieur Señor Sir".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Señorita".split(), "": "Dr Prof".split()}
+# Words that make a given name before them a place, and words before four dotted numbers that are no address.
+PLACES = "Airport Avenue Boulevard Bridge Cathedral Church City College County Hall Hospital House Island Lane Museum Park River Road School Square Station Street University".split()
+NUMBERED = "appendix article build chapter clause figure paragraph part release rule section step table version".split()
+PREFIXES = "AKIA ghp_ gho_ ghu_ ghs_ ghr_ sk- eyJ".split()
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)])), "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)]))]
 
 
@@ -58,32 +62,60 @@ HEX = "0123456789abcdef"
 _other = r"(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?:\d{13,19}(?!\w)|\d{4}(?:[\ -]\d{4}){3}|\d{4}[\ -]\d{6}[\ -]\d{5})(?![\ -]?\d)|\d{3}-\d{2}-\d{4}(?![\w-])|[\w.+%-]+@"
 _title = "|".join(t for ts in TITLES.values() for t in ts)
 _TITLES = {t: g for g, ts in TITLES.items() for t in ts}
+_GENDER = {n: g for g, ns in NAMES.items() for n in ns}
 _given = "|".join(n for ns in NAMES.values() for n in ns)
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 PATTERN = re.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
-    |(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s*[:=]\s*["']?)[A-Za-z0-9+/_=.-]{{8,}}|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}}\b|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,}}|sk-\w{{20,}})\b)
+    |(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b["']?\s*[:=]\s*["']?)[A-Za-z0-9+/_=.-]{{8,}}|\b(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{{32,64}}\b|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,}}|sk-\w{{20,}})\b
+        |(?i:\bbearer)\ +[A-Za-z0-9+/_=.~-]{{15,}}[A-Za-z0-9+/_=-]|\beyJ[\w-]{{8,}}\.[\w-]{{8,}}\.[\w-]*[A-Za-z0-9_-])
     |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?\b)
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\w]|\.\d))
     |(?P<card>(?<![\w])\d(?:[ -]?\d){{12,18}}(?!\w|\.\d))
     |(?P<phone>(?<![\w])(?:\+\d{{7,15}}|\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)[ .-]?)?\d{{1,8}}(?:[ .-](?!{_other})\d{{1,8}}){{0,5}}
+        |0\d{{2,5}}/\d{{3,10}}(?:[ -](?!{_other})\d{{2,8}}){{0,3}}
         |\(\d{{2,5}}\)[ .-]?\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{0,4}}|\d{{2,8}}(?:[ .-](?!{_other})\d{{2,8}}){{1,4}})(?![\w]))
-    |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?|\b(?:{_given})\ [A-ZÀ-Þ][\w'-]+)""",
+    |(?P<name>\b(?:{_title})\.?\ [^\W\d_][\w'-]+(?:\ [A-ZÀ-ÞА-ЯΑ-Ω][\w'-]+)?|\b(?:{_given})(?:-[A-ZÀ-Þ][\w']+)?\ [A-ZÀ-Þ][\w'-]+)""",
     re.X,
 )
 # Every match of PATTERN holds one of these, so a text without them has none.
-HINT = re.compile(rf"[\d@]|\b(?:{_title}|{_given})\b|(?i:token|secret|passw|key)|gh[pousr]_|sk-|AKIA")
+HINT = re.compile(rf"[\d@]|\b(?:{_title}|{_given})\b|(?i:token|secret|passw|key|bearer)|gh[pousr]_|sk-|AKIA|eyJ")
+_NUMBERED = re.compile(rf"(?:\b(?i:{'|'.join(NUMBERED)})s?|§)\s*$")
+_YEAR = re.compile(r"(?:1[5-9]|20)\d\d")
+_DATE = re.compile(r"\d{4}([ .-])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([ .-])(?:0[1-9]|1[0-2])\2\d{4}|(?:0[1-9]|1[0-2])([ .-])(?:0[1-9]|[12]\d|3[01])\3\d{4}")
+_DECIMAL = re.compile(r"\d+\.\d+")
+
+
+def _no_entity(kind: str, own: str, before: str) -> bool:
+    """What has an entity's form and is none: years and ranges of years, dates and decimal numbers are no phone number, four
+    years no card whose check digit fails, the number of a section no address, a street no person. A plus sign or bracket, or a title, leaves no doubt."""
+    if kind == "phone":
+        if not own[0].isdigit():
+            return False
+        parts = re.split(r"[ .-]", own)
+        return all(_YEAR.fullmatch(x) for x in parts) or bool(_DATE.fullmatch(own) or _DECIMAL.fullmatch(own)) or ("/" in own and len(plain_digits(own.partition("/")[2])) < 5)
+    if kind == "card":
+        digits = plain_digits(own)
+        return all(_YEAR.fullmatch(x) for x in re.split("[ -]", own)) and luhn_digit(digits[:-1]) != digits[-1]
+    if kind == "ip":
+        return bool(_NUMBERED.search(before))
+    if kind == "name":
+        title, words = name_parts(own)
+        return words[0][0].islower() or (not title and words[-1] in PLACES)
+    return False
+
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, text) of what PATTERN finds. A phone number has 7 to 15 digits; a longer run of groups is cut at the
-    last boundary that leaves it so many, and read on from there. A word in small letters after a title is no name."""
+    last boundary that leaves it so many, and read on from there. A word in small letters after a title is no name; what else
+    only looks like an entity is told by ``_no_entity``."""
     out, at = [], 0
     while m := PATTERN.search(text, at):
         start, end, kind = m.start(), m.end(), m.lastgroup
-        if kind == "name" and name_parts(m[0])[1][0][0].islower():
-            at = start + m[0].index(" ") + 1
+        if _no_entity(kind, m[0], text[max(0, start - 16) : start]):
+            at = start + m[0].index(" ") + 1 if kind == "name" else end
             continue
         if kind == "phone":
             ends = [end, *(start + x.start() for x in re.finditer(r"(?<=\d)[ .-]", m[0]))]
@@ -149,6 +181,27 @@ class Surrogates:
         sounds = {c: a for plain in (VOWELS, CONSONANTS) for a in (plain, plain.upper()) for c in a}
         return self._permuted(text, "name", [sounds.get(c) or CLASS.get(c) for c in text])
 
+    def word(self, text: str) -> str:
+        """A listed given name becomes another of its gender, any other word one of its shape that holds none: the walk goes on
+        from listed names, so that it stays a permutation of the rest."""
+        if gender := _GENDER.get(text):
+            names = NAMES[gender]
+            return names[self.permute(f"name{gender}", names.index(text), len(names))]
+        new = self.name(text)
+        while new in _GENDER:
+            new = self.name(new)
+        return new
+
+    def given(self, text: str, told: str) -> str:
+        """An unlisted given name whose gender its title or its first part tells becomes two: a listed one of that gender and
+        the word of its own, which keeps different names different."""
+        gender = _GENDER.get(text.partition("-")[0]) or told
+        if text in _GENDER or not gender:
+            return self.word(text)
+        names = NAMES[gender]
+        at = int.from_bytes(hmac.digest(self.permute.key, f"given|{text}".encode(), "sha256"), "big") % len(names)
+        return f"{names[at] if names[at] != text.partition('-')[0] else names[at - 1]} {self.word(text)}"
+
     def _permuted(self, text: str, tweak: str, sets: list[str | None]) -> str:
         x = n = 0
         n = 1
@@ -207,24 +260,12 @@ class Surrogates:
             d = plain_digits(text[len(head):])
             return head + self._digits(text[len(head):], self.shape(d, f"phone{head}"))
         if kind == "secret":
-            m = re.search(r"[A-Za-z0-9+/_=.-]{8,}$", text)
-            return text[: m.start()] + self.shape(m[0], "secret", HEX if set(m[0]) <= set(HEX) else None)
+            m = re.search(r"[A-Za-z0-9+/_=.~-]{8,}$", text)
+            head = next((p for p in PREFIXES if m[0].startswith(p)), "")
+            return text[: m.start()] + head + self.shape(m[0][len(head) :], f"secret{head}", HEX if set(m[0]) <= set(HEX) else None)
         if kind == "name":
             title, words = name_parts(text)
-            told = _TITLES.get(title.rstrip("."), "")
-            out = []
-            for i, w in enumerate(words):
-                listed = next((g for g, names in NAMES.items() if w in names), None)
-                if i == 0 and listed:
-                    names = NAMES[listed]
-                    out.append(names[self.permute(f"name{listed}", names.index(w), len(names))])
-                elif i == 0 and len(words) > 1 and told:
-                    # an unlisted given name takes one of the title's gender, so several may share one; the surname tells them apart
-                    names = NAMES[told]
-                    at = int.from_bytes(hmac.digest(self.permute.key, f"given|{w}".encode(), "sha256"), "big") % len(names)
-                    out.append(names[at] if names[at] != w else names[at - 1])
-                else:
-                    out.append(self.name(w))
+            out = [self.given(words[0], _TITLES.get(title.rstrip("."), "")) if len(words) > 1 else self.word(words[0]), *map(self.word, words[1:])]
             return " ".join([title, *out] if title else out)
         return self.shape(text, kind)
 
@@ -274,7 +315,8 @@ class Surrogates:
             if kind != "name":
                 continue
             olds, news = name_parts(own)[1], name_parts(new)[1]
-            pairs = [(" ".join(olds), " ".join(news)), *(zip(olds, news, strict=True) if len(olds) == len(news) else ((o, new) for o in olds))]
+            halves = [" ".join(news[:-1]), news[-1]] if len(olds) == 2 and len(news) > 1 else [" ".join(news)] * len(olds)
+            pairs = [(" ".join(olds), " ".join(news)), *zip(olds, halves, strict=True)]
             for o, n in pairs:
                 if not o[0].islower():
                     parts.setdefault(o, n)
@@ -286,9 +328,7 @@ class Surrogates:
 
         def again(m: re.Match) -> str:
             if m["given"] and m["known"] in surnames:
-                gender = next(g for g, ws in NAMES.items() if m["given"] in ws)
-                names = NAMES[gender]
-                return f"{parts.get(m['given']) or names[self.permute(f'name{gender}', names.index(m['given']), len(names))]} {parts[m['known']]}"
+                return f"{parts.get(m['given']) or self.word(m['given'])} {parts[m['known']]}"
             return (m["given"] + " " if m["given"] else "") + parts[m["known"]]
 
         return re.compile(rf"(?<!\w)(?:(?P<given>{listed})\ (?={'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))}))?(?P<known>{known})(?!\w)"), again
