@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.ambiguity import PHRASES
 from ..functions.registry import BY_LABEL, LABELS, MISSIONS
 from ..operators import ambiguity, batching, dataset, evaluation, metrics, models, paragraphs, responses, scoring
-from ..sources import order
+from ..sources import files, order
 from ..streaming.lifecycle import lifecycle
 from . import adapters as A
 
@@ -820,6 +820,48 @@ def q_requests(s, d):
     return lines.select(F.get_json_object("line", "$.custom_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+# What sinks are given
+
+
+_RUNS = """r AS (SELECT doc_id AS bibcode, run, CASE WHEN (doc_id + run) % 11 = 0 THEN 'failed' END AS error FROM labels, (SELECT unnest([0, 1, 2, 3, 4]) AS run)),
+old AS (SELECT * FROM r WHERE run < 3 AND bibcode % 4 <> 0), new AS (SELECT bibcode, run - 3 AS run, error FROM r WHERE run >= 3 AND bibcode % 5 <> 0)"""
+
+
+def _old_and_new(s, d):
+    """Three runs of most papers, and two more of others, numbered from 0."""
+    r = A.runs(s, d).select("bibcode", "run", "error")
+    return r.where("run < 3 AND bibcode % 4 <> 0"), r.where("run >= 3 AND bibcode % 5 <> 0").withColumn("run", F.col("run") - 3)
+
+
+@query("q_append_runs", f"WITH {_RUNS} SELECT * FROM old UNION ALL SELECT bibcode, run + CASE WHEN bibcode IN (SELECT bibcode FROM old) THEN 3 ELSE 0 END, error FROM new")
+def q_append_runs(s, d):
+    return files.append_runs(*_old_and_new(s, d))
+
+
+@query("q_replace_runs", f"WITH {_RUNS} SELECT * FROM old WHERE bibcode NOT IN (SELECT bibcode FROM new) UNION ALL SELECT * FROM new")
+def q_replace_runs(s, d):
+    return files.append_runs(*_old_and_new(s, d), replace=True)
+
+
+@query("q_upsert_summary", f"WITH {_RUNS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE (bibcode, run) NOT IN (SELECT (bibcode, run) FROM new)")
+def q_upsert_summary(s, d):
+    return files.upsert(*_old_and_new(s, d), ["bibcode", "run"])
+
+
+@query("q_misclassified_lines", f"WITH {PAIRS} SELECT 'Bibcode: ' || bibcode || chr(10) || 'Mission: ' || mission || chr(10) || 'Human: ' || coalesce(human_raw, '') || chr(10) || 'Model: ' || coalesce(llm_raw, '') || chr(10) || '-----' AS line FROM cells WHERE cell IN ('fn', 'fp')")
+def q_misclassified_lines(s, d):
+    """A block of text for each paper and mission that human and model judge otherwise."""
+    wrong = _pairs(s, d).where("human <> llm")
+    return files.misclassified_report(wrong, {"Bibcode": F.col("bibcode"), "Mission": F.col("mission"), "Human": F.col("human_raw"), "Model": F.col("llm_raw")})
+
+
+@query("q_source_kind", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'file' WHEN doc_id % 2 = 0 THEN 'index' ELSE 'bibcode' END AS kind FROM documents")
+def q_source_kind(s, d):
+    """Files that are known, indices and bibcodes."""
+    own = F.when(F.col("source").isin("src1", "src2"), F.col("source")).when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("2023A"), "doc_id"))
+    return A.read(s, d, "documents").select("doc_id", responses.source_kind(own, ["src1", "src2"]).alias("kind"))
+
+
 # Scores
 
 
