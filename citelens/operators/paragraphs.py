@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -139,6 +140,22 @@ def missions_or_names(papers: DataFrame, text: Column, missions: tuple[Mission,
     return found.unionByName(plain.select("bibcode", F.explode(names).alias("mission")))
 
 
+def _anonymous(sentence: Column, mission: Mission) -> Column:
+    """A sentence without the mission's terms; its last mark stays, which an acronym's dot would take along."""
+    return F.concat(anonymise(F.regexp_replace(sentence, r"[.?!]+$", ""), mission), F.regexp_extract(sentence, r"[.?!]+$", 0))
+
+
+def modified_by_mission(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, anon: bool = False, buffer: int = 0, undecided: bool | None = True) -> DataFrame:
+    """(bibcode, mission, modif, modif_none): what ``modified_texts`` gives in the modes "none" and "anon", of all missions in one
+    pass over the papers; only missions that a text holds have a row."""
+    found = paragraphs(papers, text, buffer, missions, undecided)
+    own = F.col("paragraph")
+    now = reduce(lambda e, m: e.when(F.col("mission") == m.label, _anonymous(own, m)), missions, F) if anon else own
+    made = found.select("bibcode", "mission", F.struct("lo", streamline(now).alias("m"), own.alias("p")).alias("x"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x[c]), "\n")
+    return made.groupBy("bibcode", "mission").agg(joined("m").alias("modif"), joined("p").alias("modif_none"))
+
+
 def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str = "none", buffer: int = 0, undecided: bool | None = True, parser: Callable[[Column], Column] = grammar.parsed) -> DataFrame:
     """(bibcode, modif, modif_none) of every paper: a mission's paragraphs after the steps of ``mode``, and as they are, each
     joined by line breaks; empty where the text has none. Steps, joined by "_" and applied in this order: "skim", "trim",
@@ -155,7 +172,7 @@ def modified_texts(papers: DataFrame, text: Column, mission: Mission, mode: str
         found = parse.thinned(found.withColumn("__parse", parser(now)), F.col("__parse"), "__thin", grammar.importance_of(mission), set(steps))
         now = F.col("__thin")
     if "anon" in steps:
-        now = F.concat(anonymise(F.regexp_replace(now, r"[.?!]+$", ""), mission), F.regexp_extract(now, r"[.?!]+$", 0))  # the last mark is the sentence's
+        now = _anonymous(now, mission)
     made = found.select("bibcode", "lo", streamline(now).alias("m"), F.col("paragraph").alias("p"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lo", c))), lambda x: x[c]), "\n")
     per = made.groupBy("bibcode").agg(joined("m").alias("modif"), joined("p").alias("modif_none"))

@@ -1168,6 +1168,17 @@ def q_modif_none(s, d):
     return paragraphs.modified_texts(A.papers(s, d), F.col("body"), BY_LABEL["TESS"]).select("bibcode", F.md5("modif_none").alias("h"))
 
 
+_CUT = _HIT + ", c AS (SELECT h.bibcode, h.mission, h.i, s.sentence, regexp_replace(s.sentence, '[.?!]+$', '') AS t, regexp_extract(s.sentence, '[.?!]+$') AS mark FROM hit h JOIN s ON s.bibcode = h.bibcode AND s.i = h.i)"
+_EACH_ANON = f"(CASE mission {' '.join(f'WHEN {chr(39)}{m.label}{chr(39)} THEN {_anon(chr(116), m)}' for m in MISSIONS)} END || mark)"
+
+
+@query("q_modif_missions", f"WITH {_CUT}, n AS (SELECT bibcode, mission, i, sentence, {_EACH_ANON} AS a FROM c) SELECT bibcode, mission, md5(string_agg({_streamline('a')}, chr(10) ORDER BY i)) AS modif, md5(string_agg(sentence, chr(10) ORDER BY i)) AS modif_none FROM n GROUP BY 1, 2")
+def q_modif_missions(s, d):
+    """Of every mission the sentences that hold it, as they are and without its terms."""
+    out = paragraphs.modified_by_mission(A.papers(s, d), F.col("body"), anon=True)
+    return out.select("bibcode", "mission", F.md5("modif").alias("modif"), F.md5("modif_none").alias("modif_none"))
+
+
 @query("q_keyword_spans")
 def q_keyword_spans(s, d):
     rows = A.papers(s, d).where(T.mentions(F.col("body"), BY_LABEL["HST"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citelens.functions import text as T
 from citelens.functions.registry import BY_LABEL
-from citelens.operators import batching, dataset, evaluation, metrics, ranges, responses, scoring
+from citelens.operators import batching, dataset, evaluation, metrics, paragraphs, ranges, responses, scoring
 from citelens.sources import files
 
 
@@ -172,3 +172,15 @@ def test_paragraph_files_and_counts(spark, tmp_path):
     with pytest.raises(ValueError):
         dataset.require_rows(rows, 3)
     assert dataset.require_rows(rows, 2) is rows
+
+
+def test_modified_texts_of_all_missions(spark):
+    """One pass over the papers gives what a call for each mission gives."""
+    rows = [("a", "HST data were used. We like the J.W.S.T. spectra of HST! TESS saw it. No term here."), ("b", "TESS and HST agree."), ("c", "Nothing."), ("d", ""), ("e", None)]
+    papers = spark.createDataFrame(rows, "bibcode string, body string")
+    own = tuple(BY_LABEL[x] for x in ("HST", "JWST", "TESS", "GALEX"))
+    for anon in (False, True):
+        want = {(r.bibcode, m.label, r.modif, r.modif_none) for m in own for r in paragraphs.modified_texts(papers, F.col("body"), m, "anon" if anon else "none").where("modif_none <> ''").collect()}
+        got = [tuple(r) for r in paragraphs.modified_by_mission(papers, F.col("body"), own, anon).collect()]
+        assert set(got) == want and len(got) == len(want) == 5
+    assert paragraphs.modified_by_mission(papers.limit(0), F.col("body"), own).count() == 0
