@@ -25,8 +25,50 @@ MAIN = ("SUBJECT", "PREPOSITION_SUBJECT", "VERB", "DIRECT_OBJECT", "PREPOSITION"
 Matters = Callable[[Column], Column]
 
 
-def _in(value: Column, name: str, field: str) -> Column:
-    return value.isin(sorted(LABELS[name][field]))
+# A word's labels as bits of one number: those of KINDS, in this order, then labels that classes are made of. Labels given here
+# set a bit by themselves; a class told by a label alone is such a bit too.
+_LABELS = [("determinant", "tag"), ("noun", "pos"), ("aux", "pos"), ("aux", "dep"), ("preposition", "tag"), ("preposition", "pos"), ("preposition", "dep"), ("adjective", "tag"), ("adjective", "pos"),
+           ("adjective", "dep"), ("verb", "tag"), ("verb", "dep"), ("ccomp", "dep"), ("object", "dep"), ("conjoined", "dep"), ("appos", "dep"), ("number", "tag"), ("determinant", "pos"), ("marker", "dep"),
+           ("marker", "tag"), ("useless", "tag"), ("useless", "dep"), ("useless", "pos"), ("subject", "dep"), ("conjunction", "pos"), ("conjunction", "tag"), ("punctuation", "dep")]
+_ALONE = {"X": [("x", "dep"), ("x", "pos")], "PRONOUN": [("pronoun", "tag"), ("pronoun", "pos")], "PASSIVE": [("passive", "dep")], "NEGATIVE": [("negative", "dep")],
+          "BRACKET": [("bracket", "tag")], "POSSESSIVE": [("possessive", "tag")], "NUMBER": [("number", "pos")]}
+_BIT = {k: 1 << n for n, k in enumerate((*KINDS, *_LABELS, "tensed", "VERB pos"))}
+
+
+def _marks() -> dict[str, dict[str, int]]:
+    """Per field the bits of each label."""
+    sets = [(field, LABELS[name][field], _BIT[name, field]) for name, field in _LABELS] + [(field, LABELS[name][field], _BIT[k]) for k, of in _ALONE.items() for name, field in of]
+    sets += [("dep", {"ROOT"}, _BIT["ROOT"]), ("tag", set().union(*TENSES.values()), _BIT["tensed"]), ("pos", {"VERB"}, _BIT["VERB pos"])]
+    out: dict[str, dict[str, int]] = {"pos": {}, "tag": {}, "dep": {}}
+    for field, labels, bit in sets:
+        for label in sorted(labels):
+            out[field][label] = out[field].get(label, 0) | bit
+    return out
+
+
+def _mask(*names) -> int:
+    return sum(_BIT[n] for n in names)
+
+
+def _any(bits: Column, *names) -> Column:
+    return bits.bitwiseAND(F.lit(_mask(*names)).cast("long")) != 0
+
+
+def _all(bits: Column, *names, but: tuple = ()) -> Column:
+    """All of these bits, and none of ``but``."""
+    return bits.bitwiseAND(F.lit(_mask(*names, *but)).cast("long")) == _mask(*names)
+
+
+def _set(bits: Column, kinds: dict[str, Column]) -> Column:
+    for k, holds in kinds.items():
+        bits = bits.bitwiseOR(F.when(holds, F.lit(_BIT[k]).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
+def _names(bits: Column) -> Column:
+    """The classes of KINDS whose bits are set, looked up four at a time."""
+    of = lambda n, v: F.array(*[F.lit(k) for j, k in enumerate(KINDS[n : n + 4]) if v >> j & 1]).cast("array<string>")
+    return F.concat(*[F.get(F.array(*[of(n, v) for v in range(16)]), F.shiftright(bits, n).bitwiseAND(F.lit(15).cast("long")).cast("int")) for n in range(0, len(KINDS), 4)])
 
 
 def fixpoint(pointers: Column) -> Column:
@@ -36,28 +78,27 @@ def fixpoint(pointers: Column) -> Column:
 
 
 def _local(parse: Column) -> Column:
-    """Labels of the word alone."""
+    """Labels of the word alone, as ``bits``."""
     known = F.coalesce(parse, F.array().cast(PARSE))
+    marks = {field: F.create_map(*[x for label, bits in of.items() for x in (F.lit(label), F.lit(bits).cast("long"))]) for field, of in _marks().items()}
+    det = ("determinant", "tag")
+
+    def classed(b: Column) -> Column:
+        aux, prep = [("aux", "dep"), ("aux", "pos")], ("preposition", "tag")
+        return _set(b, {
+            "NOUN": _all(b, ("noun", "pos"), but=(det,)), "BASE_OBJECT": _all(b, ("noun", "pos"), ("object", "dep"), but=(det,)),
+            "ADJECTIVE": _any(b, ("adjective", "tag"), ("adjective", "pos")) | _all(b, ("adjective", "dep"), "VERB pos", ("verb", "tag")),
+            "CONJOINED": _any(b, ("conjoined", "dep"), ("appos", "dep")) & ~_any(b, det), "PREPOSITION": _all(b, ("preposition", "dep"), ("preposition", "pos"), prep) | _all(b, *aux, prep),
+            "AUX": _all(b, *aux, "tensed", but=(prep, ("number", "tag"))), "DETERMINANT": _all(b, ("determinant", "pos"), det), "CONJUNCTION": _all(b, ("conjunction", "pos"), ("conjunction", "tag")),
+        })
 
-    def one(w: Column, i: Column) -> Column:
-        pos, tag, dep = (F.coalesce(w[x], F.lit("")) for x in ("pos", "tag", "dep"))
-        is_ = lambda name, field: _in({"pos": pos, "tag": tag, "dep": dep}[field], name, field)
-        det = is_("determinant", "tag")
-        noun = is_("noun", "pos") & ~det
-        aux_pos, prep_tag = is_("aux", "pos"), is_("preposition", "tag")
-        adjective = is_("adjective", "tag") | is_("adjective", "pos") | (is_("adjective", "dep") & (pos == "VERB") & is_("verb", "tag"))
-        tensed = tag.isin(sorted(set().union(*TENSES.values())))
-        head = F.when(w["head"].between(0, F.size(known) - 1), w["head"]).otherwise(i).cast("int")
-        return F.struct(
-            w["text"].alias("text"), pos.alias("pos"), tag.alias("tag"), dep.alias("dep"), head.alias("head"), i.alias("i"),
-            (dep == "ROOT").alias("root"), noun.alias("noun"), adjective.alias("adjective"), (noun & is_("object", "dep")).alias("base"),
-            ((is_("conjoined", "dep") | is_("appos", "dep")) & ~det).alias("conj"), (is_("verb", "dep") | is_("ccomp", "dep")).alias("verbal"), is_("verb", "tag").alias("finite"), aux_pos.alias("aux_pos"),
-            ((is_("preposition", "dep") & is_("preposition", "pos") & prep_tag) | (is_("aux", "dep") & aux_pos & prep_tag)).alias("prep"),
-            (is_("aux", "dep") & aux_pos & tensed & ~prep_tag & ~is_("number", "tag")).alias("aux"), (is_("determinant", "pos") & det).alias("det"), (is_("marker", "dep") | is_("marker", "tag")).alias("mark"),
-            (is_("useless", "tag") & is_("useless", "dep") & is_("useless", "pos")).alias("plain"), is_("adjective", "dep").alias("amod"), is_("negative", "dep").alias("neg"), is_("passive", "dep").alias("passive"),
-        )
-
-    return let(known, lambda k: F.transform(k, one))
+    def one(w: Column, i: Column, n: Column) -> Column:
+        labels = [F.coalesce(F.element_at(marks[x], w[x]), F.lit(0).cast("long")) for x in ("pos", "tag", "dep")]
+        head = F.when(w["head"].between(0, n), w["head"]).otherwise(i).cast("int")
+        plain = [F.coalesce(w[x], F.lit("")).alias(x) for x in ("pos", "tag", "dep")]
+        return F.struct(w["text"].alias("text"), *plain, head.alias("head"), i.alias("i"), let(labels[0].bitwiseOR(labels[1]).bitwiseOR(labels[2]), classed).alias("bits"))
+
+    return let(F.struct(known.alias("k"), (F.size(known) - 1).alias("n")), lambda k: F.transform(k["k"], lambda w, i: one(w, i, k["n"])))
 
 
 def _stepwise(df: DataFrame, name: str, first: Column, steps: list[Callable[[Column], Column]]) -> DataFrame:
@@ -72,70 +113,76 @@ def words(df: DataFrame, parse: Column, name: str = "words", matters: Matters =
     chain of conjuncts it is in (its own if it is in none), and the labels that other functions here use. A conjunct is what
     the first of its chain is. ``matters``: whether a word's text is important, and so never useless."""
     at = lambda ws, i: F.get(ws, i)
+    is_ = lambda w, *names: _any(w["bits"], *names)
+    # What later steps find is kept in arrays of its own beside the words ``ws``, so that no step copies these.
+    with_ = lambda t, known, **new: F.struct(*[t[k].alias(k) for k in known], *[v.alias(k) for k, v in new.items()])
+
+    def of_origin(t: Column, flags: Column, w: Column) -> Column:
+        """The flag of the first word of a conjunct's chain; false where there is none."""
+        first = F.get(t["o"], w["i"])
+        return is_(w, "CONJOINED") & ~is_(at(t["ws"], first), "CONJOINED") & F.get(flags, first)
 
     def origins(ws: Column) -> Column:
-        first = lambda o: F.transform(ws, lambda w: w.withField("origin", F.get(o, w["i"])))
-        return let(fixpoint(F.transform(ws, lambda w: F.when(w["conj"], w["head"]).otherwise(w["i"]))), first)
+        return F.struct(ws.alias("ws"), fixpoint(F.transform(ws, lambda w: F.when(is_(w, "CONJOINED"), w["head"]).otherwise(w["i"]))).alias("o"))
+
+    def verbs(t: Column) -> Column:
+        ws = t["ws"]
 
-    def verbs(ws: Column) -> Column:
         def own(w: Column) -> Column:
             head = at(ws, w["head"])
-            lefts = F.size(F.filter(ws, lambda o: (o["head"] == w["i"]) & (o["i"] < w["i"]))) > 0
-            modifier = w["amod"] & (w["head"] != w["i"]) & head["root"] & head["noun"] & F.when(w["amod"], lefts)  # "calibrated" in "Hubble calibrated data"
-            return w["finite"] & (w["verbal"] | w["root"] | F.coalesce(modifier, F.lit(False)))
+            lefts = F.exists(ws, lambda o: (o["head"] == w["i"]) & (o["i"] < w["i"]))
+            modifier = is_(w, ("adjective", "dep")) & (w["head"] != w["i"]) & _all(head["bits"], "ROOT", "NOUN") & lefts  # "calibrated" in "Hubble calibrated data"
+            return is_(w, ("verb", "tag")) & (is_(w, ("verb", "dep"), ("ccomp", "dep"), "ROOT") | modifier)
+
+        both = lambda d: F.transform(ws, lambda w: F.get(d, w["i"]) | (is_(w, ("verb", "tag")) & of_origin(t, d, w)))
+        return with_(t, ["ws", "o"], v=let(F.transform(ws, own), both))
 
-        direct = F.transform(ws, lambda w: w.withField("verb", own(w)))
-        return let(direct, lambda d: F.transform(d, lambda w: w.withField("verb", w["verb"] | _of_origin(d, w, "verb") & w["finite"])))
+    def subjects(t: Column) -> Column:
+        ws = t["ws"]
 
-    def subjects(ws: Column) -> Column:
         def own(w: Column) -> Column:
-            left = (w["head"] != w["i"]) & at(ws, w["head"])["verb"] & (w["i"] < w["head"])
-            named = _in(w["dep"], "subject", "dep") | w["noun"] | w["adjective"]
-            return ((w["noun"] & w["root"]) | (named & left)) & ~w["base"]
+            left = (w["i"] < w["head"]) & F.get(t["v"], w["head"])
+            return (_all(w["bits"], "NOUN", "ROOT") | (is_(w, ("subject", "dep"), "NOUN", "ADJECTIVE") & left)) & ~is_(w, "BASE_OBJECT")
 
-        direct = F.transform(ws, lambda w: w.withField("subject", own(w)))
-        return let(direct, lambda d: F.transform(d, lambda w: w.withField("subject", w["subject"] | (_of_origin(d, w, "subject") & ~w["base"]))))
+        both = lambda d: F.transform(ws, lambda w: F.get(d, w["i"]) | (of_origin(t, d, w) & ~is_(w, "BASE_OBJECT")))
+        return with_(t, ["ws", "o", "v"], s=let(F.transform(ws, own), both))
 
-    def objects(ws: Column) -> Column:
-        """By the nearest preposition or verb above."""
-        stops = F.transform(ws, lambda w: F.when(w["prep"] | w["verb"], w["i"]).otherwise(w["head"]))
+    def objects(t: Column) -> Column:
+        """By the nearest preposition or verb above, as bits."""
+        ws = t["ws"]
+        stops = F.transform(ws, lambda w: F.when(is_(w, "PREPOSITION") | F.get(t["v"], w["i"]), w["i"]).otherwise(w["head"]))
+        bit = lambda k: F.lit(_BIT[k]).cast("long")
 
         def own(w: Column, end: Column) -> Column:
-            above = at(ws, F.get(end, w["head"]))
-            found = w["base"] & (w["head"] != w["i"])
-            of_subject = at(ws, above["head"])["subject"]
-            return F.struct((found & above["verb"] & ~above["prep"]).alias("direct"), (found & above["prep"] & ~of_subject).alias("of_prep"), (found & above["prep"] & of_subject).alias("of_subject"))
+            above = F.get(end, w["head"])
+            prep = let(at(ws, above), lambda a: F.when(is_(a, "PREPOSITION"), F.when(F.get(t["s"], a["head"]), bit("PREPOSITION_SUBJECT")).otherwise(bit("PREPOSITION_OBJECT"))))
+            found = F.coalesce(prep, F.when(F.get(t["v"], above), bit("DIRECT_OBJECT")), F.lit(0).cast("long"))
+            return F.when(is_(w, "BASE_OBJECT") & (w["head"] != w["i"]), found).otherwise(F.lit(0).cast("long"))
+
+        direct = let(fixpoint(stops), lambda end: F.transform(ws, lambda w: own(w, end)))
+        both = lambda d: F.transform(ws, lambda w: F.get(d, w["i"]).bitwiseOR(F.when(is_(w, "CONJOINED"), F.get(d, F.get(t["o"], w["i"]))).otherwise(F.lit(0).cast("long"))))
+        return with_(t, ["ws", "o", "v", "s"], d=let(direct, both))
 
-        direct = let(fixpoint(stops), lambda end: F.transform(ws, lambda w: w.withField("object", own(w, end))))
-        both = lambda d, w, name: w["object"][name] | F.coalesce(w["conj"] & at(d, w["origin"])["object"][name], F.lit(False))
-        return let(direct, lambda d: F.transform(d, lambda w: w.withField("object", F.struct(*[both(d, w, n).alias(n) for n in ("direct", "of_prep", "of_subject")]))))
+    def kinds(t: Column) -> Column:
+        ws = t["ws"]
 
-    def kinds(ws: Column) -> Column:
         def one(w: Column) -> Column:
-            below_root = (w["head"] != w["i"]) & at(ws, w["head"])["root"]
-            of = {
-                "ROOT": w["root"], "VERB": w["verb"], "SUBJECT": w["subject"], "PREPOSITION": w["prep"], "BASE_OBJECT": w["base"],
-                "DIRECT_OBJECT": w["object"]["direct"], "PREPOSITION_OBJECT": w["object"]["of_prep"], "PREPOSITION_SUBJECT": w["object"]["of_subject"],
-                "USELESS": w["plain"] & ~(w["neg"] | w["subject"] | w["root"]) & ~F.coalesce(matters(w["text"]), F.lit(False)),
-                "MARKER": (w["mark"] | (w["det"] & w["subject"] & (w["head"] != w["i"]))) & ~below_root, "X": _in(w["dep"], "x", "dep") | _in(w["pos"], "x", "pos"), "CONJOINED": w["conj"],
-                "DETERMINANT": w["det"], "AUX": w["aux"], "NOUN": w["noun"], "PRONOUN": _in(w["tag"], "pronoun", "tag") | _in(w["pos"], "pronoun", "pos"), "ADJECTIVE": w["adjective"],
-                "CONJUNCTION": _in(w["pos"], "conjunction", "pos") & _in(w["tag"], "conjunction", "tag"), "PASSIVE": w["passive"], "NEGATIVE": w["neg"],
-                "PUNCTUATION": _in(w["dep"], "punctuation", "dep") & ~F.coalesce(w["text"].rlike(r"(?i)[a-z|0-9]"), F.lit(False)), "BRACKET": _in(w["tag"], "bracket", "tag"),
-                "POSSESSIVE": _in(w["tag"], "possessive", "tag"), "NUMBER": _in(w["pos"], "number", "pos"),
-            }
-            return F.array_compact(F.array(*[F.when(of[k], k) for k in KINDS]))
-
-        return F.transform(ws, lambda w: w.withField("kinds", one(w)))
+            below_root = (w["head"] != w["i"]) & is_(at(ws, w["head"]), "ROOT")
+            verb, subject = F.get(t["v"], w["i"]), F.get(t["s"], w["i"])
+            bits = _set(w["bits"].bitwiseOR(F.get(t["d"], w["i"])), {
+                "VERB": verb, "SUBJECT": subject,
+                "USELESS": _all(w["bits"], *[("useless", x) for x in ("tag", "dep", "pos")], but=("NEGATIVE", "ROOT")) & ~subject & ~F.coalesce(matters(w["text"]), F.lit(False)),
+                "MARKER": (is_(w, ("marker", "dep"), ("marker", "tag")) | (is_(w, "DETERMINANT") & subject & (w["head"] != w["i"]))) & ~below_root,
+                "PUNCTUATION": is_(w, ("punctuation", "dep")) & ~F.coalesce(w["text"].rlike(r"(?i)[a-z|0-9]"), F.lit(False)),
+            })
+            plain = [w[x].alias(x) for x in ("text", "pos", "tag", "dep", "head", "i")]
+            return F.struct(*plain, is_(w, "ROOT").alias("root"), is_(w, "CONJOINED").alias("conj"), F.get(t["o"], w["i"]).alias("origin"), let(bits, _names).alias("kinds"))
+
+        return F.transform(ws, one)
 
     return _stepwise(df, name, _local(parse), [origins, verbs, subjects, objects, kinds])
 
 
-def _of_origin(ws: Column, w: Column, name: str) -> Column:
-    """The flag of the first word of a conjunct's chain; false where there is none."""
-    first = F.get(ws, w["origin"])
-    return w["conj"] & F.coalesce(~first["conj"] & first[name], F.lit(False))
-
-
 def chunk_ids(ws: Column, noun_chunks: Column) -> Column:
     """array<int> of the id of each word's chunk: 0 for the root, k + 1 for the words of the k-th noun chunk, null for useless words
     and words of none. ``noun_chunks``: array<struct<first, last>> of places, as a parser finds them."""
