@@ -75,13 +75,30 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def _swapped(t: Column, pairs) -> Column:
+    return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, t)
+
+
+def _small(text: Column) -> Column:
+    return F.lower(_swapped(text, zip(*FOLDS, strict=True)))
+
+
+def _forms(v: Column) -> Column:
+    tight = lambda t: _swapped(t, [(c, "") for c in PARTING])
+    return F.struct(v["text"].alias("text"), v["small"].alias("small"), tight(v["text"]).alias("tight"), tight(v["small"]).alias("small_tight"))
+
+
 def forms(text: Column) -> Column:
     """What the missions' patterns are tried on: the text, it in small letters, and either without the marks that may part
     an acronym's letters. Computed once for all missions."""
-    swap = lambda t, pairs: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, t)
-    small = F.lower(swap(text, zip(*FOLDS, strict=True)))
-    tight = lambda t: swap(t, [(c, "") for c in PARTING])
-    return let(F.struct(text.alias("text"), small.alias("small")), lambda v: F.struct(v["text"].alias("text"), v["small"].alias("small"), tight(v["text"]).alias("tight"), tight(v["small"]).alias("small_tight")))
+    return let(F.struct(text.alias("text"), _small(text).alias("small")), _forms)
+
+
+def where_near(text: Column, missions: tuple[Mission, ...], f: Callable[[Column], Column], none: Column) -> Column:
+    """f(``forms`` of the text) where the text may name one of the missions, else ``none``. One pattern, which every text that names
+    one matches in small letters, spares most texts the trials of each mission."""
+    near = _near_any(missions)
+    return let(F.struct(text.alias("text"), _small(text).alias("small")), lambda v: F.when(v["small"].rlike(near), let(_forms(v), f)).otherwise(none))
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -103,12 +120,41 @@ def phrase_in(v: Column, mission: Mission) -> Column:
     return F.when(may, masked(v["text"], mission).rlike(f"(?iU){mission.phrase_pattern()}")).otherwise(False) if short else F.lit(False)
 
 
+EDGE = ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])")
+
+
+def _parted(word: str) -> str:
+    return f"[{re.escape(PARTING)}]{{0,3}}".join(word)
+
+
+def _near(words: list[str]) -> str:
+    """What a text with one of these acronyms matches, by ASCII classes alone: many times cheaper than the pattern itself."""
+    return EDGE[0] + "(?:" + "|".join(map(_parted, words)) + ")" + EDGE[1]
+
+
+def _near_any(missions: tuple[Mission, ...]) -> str:
+    """What a text in small letters that names one of the missions matches: their terms between ASCII word boundaries, by first letter.
+    Without boundaries where a term has others or where blotting out banned phrases may make one."""
+    edged, loose = {}, []
+    for m in missions:
+        for p, pattern in [(p.lower(), re.escape(p.lower())) for p in m.phrases] + [(w.lower(), _parted(w.lower())) for w in (*m.cased, *m.uncased)]:
+            if m.banned or not (p.isascii() and p[0].isalnum() and p[-1].isalnum()):
+                loose.append(pattern)
+            else:
+                edged.setdefault(p[0], set()).add(pattern[1:])
+    by_letter = "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(edged.items()))
+    return "|".join(([f"{EDGE[0]}(?:{by_letter}){EDGE[1]}"] if edged else []) + sorted(set(loose)))
+
+
 def acronym_in(v: Column, mission: Mission) -> Column:
-    """Whether the ``forms`` of a text hold an acronym of the mission; as ``phrase_in``."""
+    """Whether the ``forms`` of a text hold an acronym of the mission; as ``phrase_in``, but letters parted by marks are in most
+    texts ("with st"), so those that have them must also have an acronym between ASCII word boundaries."""
     out = []
-    for words, form, flags, cased in ((mission.cased, v["tight"], "(?U)", True), (mission.uncased, v["small_tight"], "(?iU)", False)):
+    for words, form, tight, flags, cased in ((mission.cased, v["text"], v["tight"], "(?U)", True), (mission.uncased, v["small"], v["small_tight"], "(?iU)", False)):
         if words:
-            may = _any([F.contains(form, F.lit(w if cased else w.lower())) for w in words])
+            spelt = [w if cased else w.lower() for w in words]
+            may = _any([F.contains(tight, F.lit(w)) for w in spelt])
+            may = may if mission.banned else may & form.rlike(_near(spelt))
             out.append(F.when(may, masked(v["text"], mission).rlike(flags + mission.acronym_pattern(cased))).otherwise(False))
     return _any(out)
 
@@ -136,7 +182,7 @@ def mentions(text: Column, mission: Mission, mode: str | None = None) -> Column:
 
 
 def mentions_any(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:
-    return let(forms(text), lambda v: _any([mention_in(v, m) for m in missions]))
+    return where_near(text, missions, lambda v: _any([mention_in(v, m) for m in missions]), F.lit(False))
 
 
 def pieces(text: Column, missions: tuple[Mission, ...]) -> Column:
@@ -150,17 +196,18 @@ def pieces(text: Column, missions: tuple[Mission, ...]) -> Column:
 def missions_of(text: Column, missions: tuple[Mission, ...] = MISSIONS, mode: str | None = None) -> Column:
     """Labels of all missions a text names, in registry order; none of null. Tried piece by piece, so that a long text costs a pattern
     only where it holds a term's letters; one literal pattern each, so that none is compiled per row."""
-    found = F.transform(pieces(text, missions), lambda p: let(forms(p), lambda v: F.array_compact(F.array(*[F.when(mention_in(v, m, mode), m.label) for m in missions]))))
+    found = F.transform(pieces(text, missions), lambda p: where_near(p, missions, lambda v: F.array_compact(F.array(*[F.when(mention_in(v, m, mode), m.label) for m in missions])), F.array().cast("array<string>")))
     return let(F.array_distinct(F.flatten(found)), lambda f: F.filter(F.array(*[F.lit(m.label) for m in missions]), lambda m: F.array_contains(f, m)))
 
 
 def first_mission(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:
     """Label of the first mission, in registry order, that the text names; null if none."""
-    return let(forms(text), lambda v: F.coalesce(*[F.when(mention_in(v, m), m.label) for m in missions]))
+    return where_near(text, missions, lambda v: F.coalesce(*[F.when(mention_in(v, m), m.label) for m in missions]), F.lit(None).cast("string"))
 
 
-def anonymise(text: Column, mission: Mission, placeholder: str = ANON) -> Column:
-    """Every phrase and acronym of the mission gives way to the placeholder; long phrases first, banned ones are not spared."""
+def anonymise(text: Column, mission: Mission, placeholder: str = ANON, named: Column | None = None) -> Column:
+    """Every phrase and acronym of the mission gives way to the placeholder; long phrases first, banned ones are not spared.
+    ``named``: whether the text has any, where that is known for all missions at once (``missions_of`` of ``unbanned`` ones)."""
     def replaced(text: Column) -> Column:
         for phrase in mission.phrases:
             text = F.regexp_replace(text, rf"(?iU)\b{phrase}\b", placeholder)
@@ -169,8 +216,14 @@ def anonymise(text: Column, mission: Mission, placeholder: str = ANON) -> Column
                 text = F.regexp_replace(text, flags + pattern, f"$1{placeholder}$2")
         return text
 
-    unbanned = replace(mission, banned=())
-    return let(forms(text), lambda v: F.when(mention_in(v, unbanned), replaced(v["text"])).otherwise(v["text"]))
+    if named is not None:
+        return F.when(named, replaced(text)).otherwise(text)
+    return let(forms(text), lambda v: F.when(mention_in(v, unbanned(mission)), replaced(v["text"])).otherwise(v["text"]))
+
+
+def unbanned(mission: Mission) -> Mission:
+    """The mission with no phrase that must not count."""
+    return replace(mission, banned=())
 
 
 def importance(text: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:

@@ -1,8 +1,7 @@
-"""Shared helpers: tables, the shared folder for intermediate results, Arrow mapping."""
+"""Shared helpers: tables, Arrow mapping; the shared folder for intermediate results is ``sources.stage``."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import discard, forget, materialise, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from ..sources.files import spread  # not in the workers, which import this module too
@@ -17,44 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) takes one under
-    /tmp; a cluster raises, since no folder of one machine will do."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "/tmp/checkpoints"
-    return f"{found.rstrip('/')}/citelens-{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that no later result reads."""
-    for df in tables:
-        _delete(df.sparkSession, df.written_to)
-
-
-def forget(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call once no result that reads them is needed."""
-    _delete(spark, shared_dir(spark))
-
-
 def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are passed over."""
 

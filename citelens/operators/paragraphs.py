@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar, parse
 from ..functions.registry import MISSIONS, Mission
-from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline
+from ..functions.text import acronym_in, anonymise, forms, let, mention_in, phrase_in, sentences, streamline, where_near
+from ..sources.stage import materialise
 from .ambiguity import key_of, settle
 
 
@@ -42,9 +43,19 @@ def verdict_by_rules(sentence: Column, mission: Mission) -> Column:
     return let(forms(sentence), lambda v: _rules(v, mission))
 
 
+def _verdicts(v: Column, missions: tuple[Mission, ...]) -> Column:
+    return F.array(*[F.struct(F.lit(m.label).alias("mission"), _rules(v, m).alias("verdict")) for m in missions])
+
+
+def verdicts(sentence: Column, missions: tuple[Mission, ...] = MISSIONS) -> Column:
+    """array<struct<mission, verdict>>: ``verdict_by_rules`` for every mission, the sentence's forms computed once."""
+    no = F.array(*[F.struct(F.lit(m.label).alias("mission"), F.lit(False).alias("verdict")) for m in missions])
+    return where_near(sentence, missions, lambda v: _verdicts(v, missions), no)
+
+
 def _labels(sentence: Column, missions: tuple[Mission, ...], counts: Callable[[Column], Column]) -> Column:
-    """Labels of the missions whose verdict by rules ``counts``."""
-    return let(forms(sentence), lambda v: F.array_compact(F.array(*[F.when(counts(_rules(v, m)), m.label) for m in missions])))
+    """Labels of the missions whose verdict by rules ``counts``; false never does."""
+    return where_near(sentence, missions, lambda v: F.array_compact(F.array(*[F.when(counts(_rules(v, m)), m.label) for m in missions])), F.array().cast("array<string>"))
 
 
 def _each(rows: DataFrame) -> DataFrame:
@@ -66,27 +77,30 @@ def mission_sentences(rows: DataFrame, missions: tuple[Mission, ...] = MISSIONS,
     return _each(rows.select("bibcode", "i", "last", hits.alias("mission")))
 
 
-def _ruled(papers: DataFrame, text: Column, missions: tuple[Mission, ...]) -> DataFrame:
-    """(bibcode, s, sure, asked): a paper's sentences, for each the missions that rules settle, and array<struct<i, mission, sentence>>
-    of those they leave open."""
-    ambiguous = tuple(m for m in missions if m.ambiguous)
-    open_ = lambda x, i: F.transform(_labels(x, ambiguous, lambda verdict: verdict.isNull()), lambda m: F.struct(i.alias("i"), m.alias("mission"), x.alias("sentence")))
-    sure = F.transform(sentences(text), lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(False))))
-    return papers.select("bibcode", sentences(text).alias("s"), sure.alias("sure"), F.flatten(F.transform(sentences(text), open_)).alias("asked"))
+def _ruled(papers: DataFrame, text: Column, missions: tuple[Mission, ...], *more: Column) -> DataFrame:
+    """(bibcode, r, more): a paper's sentences as array<struct<sentence, said>>, ``said`` the ``verdicts`` of the missions that rules settle
+    for it or leave open."""
+    told = lambda v: F.filter(_verdicts(v, missions), lambda m: F.coalesce(m["verdict"], F.lit(True)))
+    said = lambda x: where_near(x, missions, told, F.array().cast("array<struct<mission:string,verdict:boolean>>"))
+    return papers.select("bibcode", F.transform(sentences(text), lambda x: F.struct(x.alias("sentence"), said(x).alias("said"))).alias("r"), *more)
+
+
+def _spoken(r: Column) -> Column:
+    """array<struct<i, mission, verdict, sentence>> of ``_ruled`` sentences; the sentence of open ones only."""
+    one = lambda x, i: F.transform(x["said"], lambda m: F.struct(i.alias("i"), m["mission"].alias("mission"), m["verdict"].alias("verdict"), F.when(m["verdict"].isNull(), x["sentence"]).alias("sentence")))
+    return F.flatten(F.transform(r, one))
 
 
-def _told(ruled: DataFrame, keep: list[str], missions: tuple[Mission, ...], lexicon: DataFrame | None) -> DataFrame:
+def _told(asked: DataFrame, keep: list[str], missions: tuple[Mission, ...], lexicon: DataFrame | None) -> DataFrame:
     """(keep, i, mission) of open sentences that phrases settle for their mission. Only these sentences are shuffled."""
-    asked = ruled.select(*keep, F.inline_outer("asked")).where("mission IS NOT NULL")  # an inner one would have the rules tried for a filter as well
     return settle(asked, [*keep, "i"], missions, lexicon).where("verdict").select(*keep, "i", "mission")
 
 
 def settled_sentences(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, lexicon: DataFrame | None = None) -> DataFrame:
     """(bibcode, i, mission) of every sentence that means a mission: by rules, else by phrases (``operators.ambiguity``).
-    Bibcodes are unique."""
-    ruled = _ruled(papers, text, missions)
-    sure = ruled.select("bibcode", F.posexplode_outer("sure").alias("i", "mission"))
-    return _each(sure).unionByName(_told(ruled, ["bibcode"], missions, lexicon))
+    Bibcodes are unique. The rules, which cost most, are tried once: what they settle or leave open is written."""
+    rows = materialise(_ruled(papers, text, missions).select("bibcode", F.inline_outer(_spoken(F.col("r")))).where("mission IS NOT NULL"), "sentences")
+    return rows.where("verdict").select("bibcode", "i", "mission").unionByName(_told(rows.where("verdict IS NULL"), ["bibcode"], missions, lexicon))
 
 
 def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, undecided: bool | None = True, lexicon: DataFrame | None = None) -> DataFrame:
@@ -96,10 +110,13 @@ def marked_papers(papers: DataFrame, text: Column, missions: tuple[Mission, ...]
     if undecided is not None:
         split = papers.select("bibcode", sentences(text).alias("s"))
         return split.select("bibcode", "s", F.transform("s", lambda x: _labels(x, missions, lambda verdict: F.coalesce(verdict, F.lit(undecided)))).alias("h"))
-    ruled = _ruled(papers, text, missions).withColumn("p", F.when(F.size("asked") > 0, key_of(F.array_join("s", "\n"))))
-    meant = _told(ruled, ["p"], missions, lexicon).groupBy("p").agg(F.collect_list(F.struct("i", "mission")).alias("meant"))
+    # The key tells papers with equal texts apart and is never null, so that no task gets many papers.
+    ruled = _ruled(papers, text, missions).withColumn("p", key_of(F.concat_ws("\n", F.col("bibcode").cast("string"), F.transform("r", lambda x: x["sentence"]))))
+    asked = ruled.select("p", F.inline_outer(F.filter(_spoken(F.col("r")), lambda x: x["verdict"].isNull()))).where("mission IS NOT NULL")  # an inner one would have the rules tried for a filter as well
+    meant = _told(asked, ["p"], missions, lexicon).groupBy("p").agg(F.collect_list(F.struct("i", "mission")).alias("meant"))
+    sure = lambda x: F.transform(F.filter(x["said"], lambda m: m["verdict"].isNotNull()), lambda m: m["mission"])
     more = lambda i: F.coalesce(F.transform(F.filter("meant", lambda x: x["i"] == i), lambda x: x["mission"]), F.array().cast("array<string>"))
-    return ruled.join(meant, "p", "left").select("bibcode", "s", F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.concat(F.get("sure", i), more(i))).alias("h"))
+    return ruled.join(meant, "p", "left").select("bibcode", F.transform("r", lambda x: x["sentence"]).alias("s"), F.transform("r", lambda x, i: F.concat(sure(x), more(i))).alias("h"))
 
 
 def _spans(hits: Column, last: Column, buffer: int) -> Column:
@@ -128,16 +145,16 @@ def missions_in_text(papers: DataFrame, text: Column, missions: tuple[Mission, .
 
 def missions_or_names(papers: DataFrame, text: Column, missions: tuple[Mission, ...] = MISSIONS, lexicon: DataFrame | None = None) -> DataFrame:
     """(bibcode, mission) as ``missions_in_text`` with phrases, but a paper with a sentence of which no phrase tells whether it means a
-    mission counts for those missions whose label its text holds as it is spelt. Bibcodes are unique."""
-    ruled = _ruled(papers, text, missions)
-    asked = ruled.select("bibcode", F.inline_outer("asked")).where("mission IS NOT NULL")
+    mission counts for those missions whose label its text holds as it is spelt. Bibcodes are unique. As in
+    ``settled_sentences``, the rules are tried once; the labels in a text go along with its open sentences."""
+    names = F.filter(F.array(*[F.lit(m.label) for m in missions]), lambda m: F.contains(text, m)).alias("names")
+    spoken = _ruled(papers, text, missions, names).select("bibcode", "names", F.inline_outer(_spoken(F.col("r")))).where("mission IS NOT NULL")
+    rows = materialise(spoken.withColumn("names", F.when(F.col("verdict").isNull(), F.col("names"))), "sentences")
+    asked = rows.where("verdict IS NULL").drop("verdict")
     told = settle(asked, ["bibcode", "i"], missions, lexicon)
-    failed = asked.select("bibcode", "i", "mission").join(told, ["bibcode", "i", "mission"], "left_anti").select("bibcode").distinct()
-    sure = _each(ruled.select("bibcode", F.array_distinct(F.flatten("sure")).alias("mission")))
-    found = sure.unionByName(told.where("verdict").select("bibcode", "mission")).distinct().join(failed, "bibcode", "left_anti")
-    plain = papers.select("bibcode", text.alias("__t")).join(failed, "bibcode", "left_semi")
-    names = F.filter(F.array(*[F.lit(m.label) for m in missions]), lambda m: F.contains("__t", m))
-    return found.unionByName(plain.select("bibcode", F.explode(names).alias("mission")))
+    both = asked.join(told, ["bibcode", "i", "mission"], "left").select("bibcode", "mission", "verdict", "names").unionByName(rows.where("verdict").select("bibcode", "mission", "verdict", "names"))
+    per = both.groupBy("bibcode").agg(F.bool_or(F.col("verdict").isNull()).alias("failed"), F.collect_set(F.when(F.col("verdict"), F.col("mission"))).alias("found"), F.first("names", ignorenulls=True).alias("names"))
+    return _each(per.select("bibcode", F.when(F.col("failed"), F.col("names")).otherwise(F.col("found")).alias("mission")))
 
 
 def _anonymous(sentence: Column, mission: Mission) -> Column:
