@@ -501,14 +501,20 @@ def _hits(mode):
     return f"WITH {A.PAPERS}, m AS (SELECT bibcode, array_to_string(list_filter([{', '.join(f'CASE WHEN {_mentions("body", m, mode)} THEN {chr(39)}{m.label}{chr(39)} END' for m in MISSIONS)}], lambda x: x IS NOT NULL), ',') AS missions FROM papers) SELECT * FROM m WHERE missions <> ''"
 
 
+def _named(papers, mode=None):
+    """An outer generator of one element: a filter on a plain column would compute it twice, and before a small file is dealt to all cores."""
+    found = F.array_join(T.missions_of(F.col("body"), mode=mode), ",")
+    return papers.select("bibcode", F.explode_outer(F.array(found)).alias("missions")).where("missions <> ''")
+
+
 @query("q_keyword_hits", _hits(None))
 def q_keyword_hits(s, d):
-    return A.papers(s, d).select("bibcode", F.array_join(T.missions_of(F.col("body")), ",").alias("missions")).where("missions <> ''")
+    return _named(A.papers(s, d))
 
 
 @query("q_keyword_mode", _hits("acronym"))
 def q_keyword_mode(s, d):
-    return A.papers(s, d).select("bibcode", F.array_join(T.missions_of(F.col("body"), mode="acronym"), ",").alias("missions")).where("missions <> ''")
+    return _named(A.papers(s, d), "acronym")
 
 
 @query("q_first_keyword", f"WITH {A.PAPERS} SELECT bibcode, coalesce({', '.join(f'CASE WHEN {_mentions("body", m)} THEN {chr(39)}{m.label}{chr(39)} END' for m in MISSIONS)}) AS mission FROM papers")
@@ -531,7 +537,9 @@ def _anon(col, m):
 @query("q_anonymise", f"WITH {A.PAPERS} SELECT bibcode, {', '.join(f'md5({_anon("body", m)}) AS {m.label.lower()}' for m in MISSIONS)} FROM papers")
 def q_anonymise(s, d):
     """Of every mission the text without its terms."""
-    return A.papers(s, d).select("bibcode", *[F.md5(T.anonymise(F.col("body"), m)).alias(m.label.lower()) for m in MISSIONS])
+    named = T.missions_of(F.col("body"), tuple(T.unbanned(m) for m in MISSIONS))
+    found = A.papers(s, d).select("bibcode", "body", named.alias("named"))
+    return found.select("bibcode", *[F.md5(T.anonymise(F.col("body"), m, named=F.array_contains("named", m.label))).alias(m.label.lower()) for m in MISSIONS])
 
 
 _SENT = A.PAPERS + f", m AS (SELECT bibcode, {_marked('body')} AS t FROM papers), s AS (SELECT bibcode, unnest(string_split(t, chr(1))) AS sentence, unnest(range(len(string_split(t, chr(1))))) AS i, len(string_split(t, chr(1))) - 1 AS last FROM m)"
@@ -547,8 +555,7 @@ def _rules_by_mission(m) -> str:
 @query("q_truematch_fast", f"WITH {_SENT} " + " UNION ALL ".join(_rules_by_mission(m) for m in MISSIONS))
 def q_truematch_fast(s, d):
     rows = paragraphs.sentence_rows(A.papers(s, d), F.col("body"))
-    per = F.array(*[F.struct(F.lit(m.label).alias("mission"), paragraphs.verdict_by_rules(F.col("sentence"), m).alias("verdict")) for m in MISSIONS])
-    return rows.select("bibcode", F.col("i").cast("long").alias("i"), F.inline(per))
+    return rows.select("bibcode", F.col("i").cast("long").alias("i"), F.inline_outer(paragraphs.verdicts(F.col("sentence"))))  # an inner one would compute them twice
 
 
 _SPANS = """, w AS (SELECT DISTINCT bibcode, mission, i, greatest(i - {b}, 0) AS lo, least(i + {b}, last) AS hi FROM hit),
