@@ -126,3 +126,14 @@ def test_true_match_filter(spark):
     settled = {(r.bibcode, r.mission) for r in missions_in_text(df, F.col("body"), undecided=None).collect()}
     assert every == {(1, "HST"), (2, "HST")} and settled == {(1, "HST")}
     assert [(r.lo, r.hi, r.paragraph) for r in paragraphs(df, F.col("body"), 0, (HST,), undecided=None).collect()] == [(1, 1, "Hubble images are deep.")]
+
+
+def test_word_classes_copy_no_words_and_settle_once(spark):
+    """Steps keep what they find beside the words; a step that rebuilt them per field made this plan many times as large."""
+    plan = parse.words(given(spark, OBSERVED), F.col("p"))._jdf.queryExecution().analyzed().toString()
+    assert "update_fields" not in plan.lower()
+    bits = parse._marks()
+    assert set(bits) == {"pos", "tag", "dep"} and bits["tag"]["VBD"] & parse._BIT["tensed"] and bits["pos"]["NOUN"] & parse._BIT["noun", "pos"]
+    odd = [("x", "PROPN", "VBN", "amod", 1), ("y", "VERB", "JJ", "agent", 1), ("z", "AUX", "CD", "aux", 0), ("-", "NUM", "LS", "punct", 1)]
+    got = [sorted(w.kinds) for w in parse.words(given(spark, odd), F.col("p")).first().words]
+    assert got == [["NOUN"], ["ADJECTIVE"], [], ["NUMBER", "PUNCTUATION"]]
